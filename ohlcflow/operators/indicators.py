@@ -153,25 +153,20 @@ def diff(col: str = "close", name: str | None = None) -> Indicator:
 
 
 def lagged(base: Indicator, k: int, name: str) -> Indicator:
-    """A window value shifted by ``k`` rows (window over window, two stages)."""
-    tmp = f"{name}__base"
+    """A window value shifted by ``k`` rows (window over window, two stages).
 
-    def apply(fr: Framed, df: DataFrame) -> DataFrame:
-        inner = Indicator(tmp, base.lookback, _renamed(base, tmp))
-        df = inner.apply(fr, df)
-        return df.withColumn(name, lag(fr, tmp, k)).drop(tmp)
-    return Indicator(name, base.lookback + k, apply)
+    ``base`` must write a column of its own (give it a private name) so it
+    cannot collide with the same indicator requested directly."""
+    src = base.columns[0]
 
-
-def _renamed(ind: Indicator, new: str) -> Apply:
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
-        out = ind.apply(fr, df)
-        return out.withColumnRenamed(ind.columns[0], new)
-    return apply
+        df = base.apply(fr, df)
+        return df.withColumn(name, lag(fr, src, k)).drop(*base.columns)
+    return Indicator(name, base.lookback + k, apply)
 
 
 def sma_200_1m_ago() -> Indicator:
-    return lagged(sma(200), 20, "sma_200_1m_ago")
+    return lagged(sma(200, name="sma_200_1m_ago__base"), 20, "sma_200_1m_ago")
 
 
 def rolling_stddev(period: int, col: str = "close", name: str | None = None) -> Indicator:
