@@ -17,7 +17,11 @@ from ..operators import indicators as I
 from ..functions.numeric import round_to
 from ..operators.latest import latest_bars
 from ..sources.derived import BARS_SQL, TICKS_SQL, bars_from_lineitem, ticks_from_events
+from ..operators import liquidity as L
+from ..operators import resample as R
+from ..sources import store as S
 from . import predicates as P
+from .batch import batch_scan
 from .scan import report, scan, sort_results, top_k, trend_scorecard
 from .spec import ScanSpec
 
@@ -307,3 +311,198 @@ def q_ind_common(spark, sf):
 def q_ind_lag_diff(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.prev_high(), I.diff("close"), I.sma_200_1m_ago()])
     return r4(df.select("symbol", "date", "prev_high", "close_diff", "sma_200_1m_ago"), "sma_200_1m_ago")
+
+
+# ---------------------------------------------------------------------------
+# Resampling and chart data (A4, A5, R-D, R-I, R-P, R-M, P3, I12)
+# ---------------------------------------------------------------------------
+
+def fold_sql(bucket: str, src: str = "bars", t: str = "date") -> str:
+    return (f"SELECT symbol, {bucket} AS {t}, arg_min(open, {t}) AS open, max(high) AS high, "
+            f"min(low) AS low, arg_max(close, {t}) AS close, "
+            f"CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume FROM {src} GROUP BY 1, 2")
+
+
+@register("resample_1d", with_bars(fold_sql("date")))
+def q_resample_1d(spark, sf):
+    return R.resample_daily(bars(spark, sf), "1d")
+
+
+@register("resample_week", with_bars(fold_sql("CAST(date_trunc('week', date) AS DATE)")))
+def q_resample_week(spark, sf):
+    return R.resample_daily(bars(spark, sf), "1w")
+
+
+@register("resample_2w", with_bars(fold_sql(
+    "CAST(DATE '1970-01-05' + CAST(floor((date - DATE '1970-01-05') / 14) * 14 AS INTEGER) AS DATE)")))
+def q_resample_2w(spark, sf):
+    return R.resample_daily(bars(spark, sf), "2w")
+
+
+@register("resample_month", with_bars(fold_sql("CAST(date_trunc('month', date) AS DATE)")))
+def q_resample_month(spark, sf):
+    return R.resample_daily(bars(spark, sf), "1mo")
+
+
+@register("resample_quarter", with_bars(fold_sql("CAST(date_trunc('quarter', date) AS DATE)")))
+def q_resample_quarter(spark, sf):
+    return R.resample_daily(bars(spark, sf), "3mo")
+
+
+@register("resample_intraday",
+          f"WITH ticks AS ({TICKS_SQL}) SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts, "
+          "arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, "
+          "CAST(sum(size) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2")
+def q_resample_intraday(spark, sf):
+    return R.ticks_to_bars(ticks_from_events(spark, sf), "15 minutes")
+
+
+@register("resample_hourly_by_type",
+          "SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, "
+          "arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, "
+          "CAST(count(*) AS BIGINT) AS volume FROM events GROUP BY 1, 2")
+def q_resample_hourly_by_type(spark, sf):
+    ev = ticks_from_events(spark, sf).drop("symbol")
+    t = (spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+         .select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"),
+                 F.lit(1).cast("bigint").alias("size")))
+    del ev
+    return R.ticks_to_bars(t, "1 hour")
+
+
+MAXD = "mx AS (SELECT symbol, max(date) AS m FROM bars GROUP BY 1)"
+
+
+@register("period_filter", with_bars(
+    f"SELECT {BASE_SQL} FROM bars JOIN mx USING (symbol) WHERE date >= CAST(m - INTERVAL 180 DAY AS DATE)", MAXD))
+def q_period_filter(spark, sf):
+    return R.period_filter(bars(spark, sf), "6mo").select(*BASE)
+
+
+@register("chart_data", with_bars(
+    "SELECT symbol, CAST(date_trunc('week', date) AS TIMESTAMP) AS time, arg_min(open, date) AS open, "
+    "max(high) AS high, min(low) AS low, arg_max(close, date) AS close, "
+    "CAST(coalesce(sum(volume), 0) AS BIGINT) AS volume "
+    "FROM bars JOIN mx USING (symbol) WHERE date >= CAST(m - INTERVAL 365 DAY AS DATE) GROUP BY 1, 2", MAXD))
+def q_chart_data(spark, sf):
+    return R.chart_bars(bars(spark, sf), resample="1w", period="1y")
+
+
+@register("overlay_sma", with_bars(
+    "SELECT symbol, CAST(date AS TIMESTAMP) AS time, series, (round((value) * 10000) / 10000) AS value FROM ("
+    "SELECT symbol, date, 'sma_50' AS series, sma_50 AS value, n FROM o UNION ALL "
+    "SELECT symbol, date, 'sma_200', sma_200, n FROM o) "
+    "WHERE value IS NOT NULL AND n > CAST(substr(series, 5) AS INTEGER)",
+    MAXD, "p AS (SELECT bars.* FROM bars JOIN mx USING (symbol) WHERE date >= CAST(m - INTERVAL 730 DAY AS DATE))",
+    ind_cte("o", ["sma_50", "sma_200"], src="p", extra=", count(*) OVER (PARTITION BY symbol) AS n")))
+def q_overlay_sma(spark, sf):
+    return r4(R.overlay_sma(bars(spark, sf), resample="1d", period="2y"), "value")
+
+
+# ---------------------------------------------------------------------------
+# Liquidity (A2, A3)
+# ---------------------------------------------------------------------------
+
+DV_SQL = ("dv AS (SELECT symbol, coalesce(sum(CASE WHEN date >= m - 60 THEN "
+          "CAST(close AS DECIMAL(18,7)) * CAST(volume AS DECIMAL(18,0)) END), 0) AS dollar_volume "
+          "FROM bars JOIN mx USING (symbol) GROUP BY 1)")
+DV_OUT = "CAST(round(dollar_volume, 4) AS DOUBLE) AS dollar_volume"
+
+
+def dv4(df: DataFrame) -> DataFrame:
+    return df.withColumn("dollar_volume", F.round(F.col("dollar_volume"), 4).cast("double"))
+
+
+@register("dollar_volume", with_bars(
+    f"SELECT symbol, {DV_OUT} FROM dv", MAXD, DV_SQL))
+def q_dollar_volume(spark, sf):
+    return dv4(L.dollar_volume(bars(spark, sf), exact=True))
+
+
+LIQ_THRESHOLD = 1_500_000.0
+
+
+@register("liquidity_flag", with_bars(
+    f"SELECT symbol, {DV_OUT}, dollar_volume >= 1500000 AS eligible FROM dv", MAXD, DV_SQL))
+def q_liquidity_flag(spark, sf):
+    return dv4(L.liquidity(bars(spark, sf), LIQ_THRESHOLD, exact=True))
+
+
+@register("eligible_count", with_bars(
+    "SELECT count(*) AS n_symbols, count(*) FILTER (WHERE dollar_volume >= 1500000) AS n_eligible FROM dv",
+    MAXD, DV_SQL))
+def q_eligible_count(spark, sf):
+    return L.eligible_count(bars(spark, sf), LIQ_THRESHOLD)
+
+
+# ---------------------------------------------------------------------------
+# Store surface
+# ---------------------------------------------------------------------------
+
+REQUESTED_SQL = "req AS (SELECT 'S' || s_suppkey AS symbol FROM supplier)"
+
+
+def requested(spark, sf):
+    sup = spark.read.parquet(f"{sf.rstrip('/')}/supplier.parquet")
+    return sup.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))
+
+
+@register("symbol_list", with_bars("SELECT DISTINCT symbol FROM bars"))
+def q_symbol_list(spark, sf):
+    return S.list_symbols(bars(spark, sf))
+
+
+@register("symbol_head", with_bars(
+    f"SELECT {BASE_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars) "
+    "WHERE k <= 10"))
+def q_symbol_head(spark, sf):
+    return S.head_each(bars(spark, sf), 10)
+
+
+@register("symbols_semi", with_bars("SELECT symbol FROM req WHERE symbol IN (SELECT symbol FROM bars)", REQUESTED_SQL))
+def q_symbols_semi(spark, sf):
+    return S.symbols_present(requested(spark, sf), bars(spark, sf))
+
+
+@register("symbols_anti", with_bars(
+    "SELECT symbol FROM req WHERE symbol NOT IN (SELECT symbol FROM bars)", REQUESTED_SQL))
+def q_symbols_anti(spark, sf):
+    return S.symbols_missing(requested(spark, sf), bars(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Batch scan (R2)
+# ---------------------------------------------------------------------------
+
+RECIPES = [
+    ("momentum", ScanSpec(min_price=1000.0, min_relative_volume=1.2)),
+    ("volatile", ScanSpec(min_adr=3.0, min_volume=20.0)),
+    ("gappers", ScanSpec(gap_up=2.0)),
+    ("quiet_large", ScanSpec(min_price=1500.0, min_relative_volume=0.0)),
+    ("trend", ScanSpec(trend_template=True)),
+]
+
+
+def _batch_sql() -> str:
+    conds = {
+        "momentum": "close >= 1000.0 AND rvol_20 >= 1.2",
+        "volatile": "adr_20 >= 3.0 AND volume >= 20.0",
+        "gappers": "open > prev_high * 1.02",
+        "quiet_large": "close >= 1500.0 AND rvol_20 >= 0.0",
+        "trend": TREND_COND,
+    }
+    unions = " UNION ALL ".join(
+        f"SELECT '{name}' AS recipe, symbol, date, close, volume FROM s WHERE {c}" for name, c in conds.items())
+    return with_bars(
+        unions,
+        ind_cte("t0", TREND_COLS + ["avg_volume_20", "adr_20", "prev_high"], extra=f", {LATEST}"),
+        "s AS (SELECT *, volume / avg_volume_20 AS rvol_20, "
+        "lag(sma_200, 20) OVER (PARTITION BY symbol ORDER BY date) AS sma_200_1m_ago FROM t0 QUALIFY rn = 1)")
+
+
+@register("batch_scan", None)
+def q_batch_scan(spark, sf):
+    return batch_scan(bars(spark, sf), RECIPES)
+
+
+ORACLE["batch_scan"] = _batch_sql()
