@@ -12,9 +12,10 @@ def round_to(c: Column, digits: int) -> Column:
     Scaling first rounds the value the machine holds (1234.565 is stored as
     1234.5649999...) instead of its shortest decimal text, the way printf-style
     formatting does, and matches the SQL ``round(x * 10^d) / 10^d`` used by
-    the oracle exactly."""
+    the oracle exactly (both add 0.0 so -0.0 prints as 0.0)."""
     scale = float(10 ** digits)
-    return F.round(c * F.lit(scale)) / F.lit(scale)
+    # + 0.0 turns a negative zero into 0.0
+    return F.round(c * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -198,3 +198,10 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
         fr.window.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn(out, F.col(part) + F.pow(F.lit(d), F.col(j) + 1) * F.coalesce(carry, F.lit(0.0)))
     return df.drop(sub, j, part)
+
+
+def roll_prev(fr: Framed, agg, col: Column | str, n: int) -> Column:
+    """``agg`` over the ``n`` rows before the current one (current row excluded)."""
+    c = F.col(col) if isinstance(col, str) else col
+    w = fr.window.rowsBetween(-n, -1)
+    return F.when(F.count(c).over(w) == n, agg(c).over(w))

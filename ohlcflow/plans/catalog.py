@@ -18,6 +18,9 @@ from ..functions.numeric import round_to
 from ..operators.latest import latest_bars
 from ..sources.derived import BARS_SQL, TICKS_SQL, bars_from_lineitem, ticks_from_events
 from ..operators import liquidity as L
+from ..operators import quality as Q
+from ..operators import screens as SC
+from ..operators import strategy as ST
 from ..operators import resample as R
 from ..sources import store as S
 from . import predicates as P
@@ -128,7 +131,7 @@ def q_scan_min_volume(spark, sf):
 
 
 @register("scan_rvol", with_bars(
-    f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000) AS avg_volume_20, (round((rvol_20) * 10000) / 10000) AS rvol_20 "
+    f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000 + 0.0) AS avg_volume_20, (round((rvol_20) * 10000) / 10000 + 0.0) AS rvol_20 "
     f"FROM (SELECT *, volume / avg_volume_20 AS rvol_20 FROM i) WHERE rn = 1 AND rvol_20 >= 1.5",
     ind_cte("i", ["avg_volume_20"], extra=f", {LATEST}")))
 def q_scan_rvol(spark, sf):
@@ -136,7 +139,7 @@ def q_scan_rvol(spark, sf):
 
 
 @register("scan_adr", with_bars(
-    f"SELECT {BASE_SQL}, (round((adr_20) * 10000) / 10000) AS adr_20 FROM i WHERE rn = 1 AND adr_20 >= 3",
+    f"SELECT {BASE_SQL}, (round((adr_20) * 10000) / 10000 + 0.0) AS adr_20 FROM i WHERE rn = 1 AND adr_20 >= 3",
     ind_cte("i", ["adr_20"], extra=f", {LATEST}")))
 def q_scan_adr(spark, sf):
     return r4(scan(bars(spark, sf), [P.min_adr(3)]), "adr_20")
@@ -154,8 +157,8 @@ TREND_CTE = ind_cte("t0", TREND_COLS, extra=f", {LATEST}")
 TREND_CTE2 = "t AS (SELECT *, lag(sma_200, 20) OVER (PARTITION BY symbol ORDER BY date) AS sma_200_1m_ago FROM t0)"
 TREND_COND = ("close > sma_50 AND sma_50 > sma_150 AND sma_150 > sma_200 AND sma_200 > sma_200_1m_ago "
               "AND close > low_252 * 1.25 AND close > high_252 * 0.75")
-TREND_OUT = ", ".join(f"(round(({c}) * 10000) / 10000) AS {c}" for c in ["sma_50", "sma_150", "sma_200"]) + \
-    ", high_252, low_252, (round((sma_200_1m_ago) * 10000) / 10000) AS sma_200_1m_ago"
+TREND_OUT = ", ".join(f"(round(({c}) * 10000) / 10000 + 0.0) AS {c}" for c in ["sma_50", "sma_150", "sma_200"]) + \
+    ", high_252, low_252, (round((sma_200_1m_ago) * 10000) / 10000 + 0.0) AS sma_200_1m_ago"
 TREND_R4 = ("sma_50", "sma_150", "sma_200", "sma_200_1m_ago")
 
 
@@ -184,8 +187,8 @@ COMBINED = ScanSpec(min_price=1000.0, min_relative_volume=1.0, min_adr=2.0, gap_
 
 
 @register("scan_combined", with_bars(
-    f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000) AS avg_volume_20, (round((rvol_20) * 10000) / 10000) AS rvol_20, "
-    "(round((adr_20) * 10000) / 10000) AS adr_20, prev_high FROM (SELECT *, volume / avg_volume_20 AS rvol_20 FROM i) "
+    f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000 + 0.0) AS avg_volume_20, (round((rvol_20) * 10000) / 10000 + 0.0) AS rvol_20, "
+    "(round((adr_20) * 10000) / 10000 + 0.0) AS adr_20, prev_high FROM (SELECT *, volume / avg_volume_20 AS rvol_20 FROM i) "
     "WHERE rn = 1 AND close >= 1000 AND rvol_20 >= 1.0 AND adr_20 >= 2.0 AND open > prev_high * 1.0",
     ind_cte("i", ["avg_volume_20", "adr_20", "prev_high"], extra=f", {LATEST}")))
 def q_scan_combined(spark, sf):
@@ -193,8 +196,8 @@ def q_scan_combined(spark, sf):
 
 
 REPORT_SPEC = ScanSpec(min_price=1500.0, min_relative_volume=1.0, trend_template=False, sort="rvol_20")
-REPORT_SQL_COLS = ("symbol, date, (round((close) * 100) / 100) AS close, volume, "
-                   "CASE WHEN rvol_20 IS NULL OR rvol_20 = 0 THEN NULL ELSE (round((rvol_20) * 100) / 100) END AS rvol_20, "
+REPORT_SQL_COLS = ("symbol, date, (round((close) * 100) / 100 + 0.0) AS close, volume, "
+                   "CASE WHEN rvol_20 IS NULL OR rvol_20 = 0 THEN NULL ELSE (round((rvol_20) * 100) / 100 + 0.0) END AS rvol_20, "
                    "CAST(NULL AS DOUBLE) AS adr_20, CAST(NULL AS DOUBLE) AS sma_50, CAST(NULL AS DOUBLE) AS sma_200")
 
 
@@ -208,7 +211,7 @@ def q_scan_report(spark, sf):
 
 @register("scan_top_k", with_bars(
     f"SELECT {REPORT_SQL_COLS} FROM (SELECT *, volume / avg_volume_20 AS rvol_20 FROM i) "
-    "WHERE rn = 1 AND rvol_20 >= 0 ORDER BY (round((rvol_20) * 100) / 100) DESC NULLS FIRST, symbol LIMIT 10",
+    "WHERE rn = 1 AND rvol_20 >= 0 ORDER BY (round((rvol_20) * 100) / 100 + 0.0) DESC NULLS FIRST, symbol LIMIT 10",
     ind_cte("i", ["avg_volume_20"], extra=f", {LATEST}")))
 def q_scan_top_k(spark, sf):
     return top_k(report(scan(bars(spark, sf), [P.min_rvol(0.0)])), "rvol_20", 10)
@@ -219,7 +222,7 @@ def q_scan_top_k(spark, sf):
 # ---------------------------------------------------------------------------
 
 @register("ind_sma", with_bars(
-    "SELECT symbol, date, (round((sma_20) * 10000) / 10000) AS sma_20, (round((sma_50) * 10000) / 10000) AS sma_50 FROM i",
+    "SELECT symbol, date, (round((sma_20) * 10000) / 10000 + 0.0) AS sma_20, (round((sma_50) * 10000) / 10000 + 0.0) AS sma_50 FROM i",
     ind_cte("i", ["sma_20", "sma_50"])))
 def q_ind_sma(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.sma(20), I.sma(50)])
@@ -227,7 +230,7 @@ def q_ind_sma(spark, sf):
 
 
 @register("ind_ema", with_bars(
-    "SELECT n.symbol, n.date, (round((r.y) * 10000) / 10000) AS ema_20 FROM n JOIN e_rec r ON r.symbol = n.symbol AND r.i = n.i",
+    "SELECT n.symbol, n.date, (round((r.y) * 10000) / 10000 + 0.0) AS ema_20 FROM n JOIN e_rec r ON r.symbol = n.symbol AND r.i = n.i",
     numbered("n", "close"), *ewm_ctes(2.0 / 21.0, "n", "e"), recursive=True))
 def q_ind_ema(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.ema(20)])
@@ -254,7 +257,7 @@ def rsi_sql_ctes(period: int) -> list[str]:
 
 
 @register("ind_rsi", with_bars(
-    "SELECT symbol, date, (round((rsi) * 10000) / 10000) AS rsi_14 FROM rsi WHERE NOT isnan(rsi)",
+    "SELECT symbol, date, (round((rsi) * 10000) / 10000 + 0.0) AS rsi_14 FROM rsi WHERE NOT isnan(rsi)",
     *rsi_sql_ctes(14), recursive=True))
 def q_ind_rsi(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.rsi(14)]).where(~F.isnan("rsi_14"))
@@ -266,22 +269,22 @@ TR_SQL = ("greatest(high - low, coalesce(abs(high - lag(close) OVER (PARTITION B
 
 
 @register("ind_atr", with_bars(
-    "SELECT n.symbol, n.date, (round((r.y) * 10000) / 10000) AS atr_14 FROM n JOIN a_rec r ON r.symbol = n.symbol AND r.i = n.i",
+    "SELECT n.symbol, n.date, (round((r.y) * 10000) / 10000 + 0.0) AS atr_14 FROM n JOIN a_rec r ON r.symbol = n.symbol AND r.i = n.i",
     numbered("n", TR_SQL), *ewm_ctes(1.0 / 14.0, "n", "a"), recursive=True))
 def q_ind_atr(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.atr(14)])
     return r4(df.select("symbol", "date", "atr_14"), "atr_14")
 
 
-@register("ind_adr", with_bars("SELECT symbol, date, (round((adr_20) * 10000) / 10000) AS adr_20 FROM i", ind_cte("i", ["adr_20"])))
+@register("ind_adr", with_bars("SELECT symbol, date, (round((adr_20) * 10000) / 10000 + 0.0) AS adr_20 FROM i", ind_cte("i", ["adr_20"])))
 def q_ind_adr(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.adr(20)])
     return r4(df.select("symbol", "date", "adr_20"), "adr_20")
 
 
 @register("ind_rvol", with_bars(
-    "SELECT symbol, date, (round((avg_volume_20) * 10000) / 10000) AS avg_volume_20, "
-    "(round((volume / avg_volume_20) * 10000) / 10000) AS rvol_20 FROM i", ind_cte("i", ["avg_volume_20"])))
+    "SELECT symbol, date, (round((avg_volume_20) * 10000) / 10000 + 0.0) AS avg_volume_20, "
+    "(round((volume / avg_volume_20) * 10000) / 10000 + 0.0) AS rvol_20 FROM i", ind_cte("i", ["avg_volume_20"])))
 def q_ind_rvol(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.rvol(20)])
     return r4(df.select("symbol", "date", "avg_volume_20", "rvol_20"), "avg_volume_20", "rvol_20")
@@ -295,8 +298,8 @@ def q_ind_extrema(spark, sf):
 
 
 @register("ind_common", with_bars(
-    "SELECT i.symbol, i.date, (round((sma_50) * 10000) / 10000) AS sma_50, (round((sma_200) * 10000) / 10000) AS sma_200, "
-    "(round((rsi.rsi) * 10000) / 10000) AS rsi_14 FROM i JOIN rsi ON rsi.symbol = i.symbol AND rsi.date = i.date "
+    "SELECT i.symbol, i.date, (round((sma_50) * 10000) / 10000 + 0.0) AS sma_50, (round((sma_200) * 10000) / 10000 + 0.0) AS sma_200, "
+    "(round((rsi.rsi) * 10000) / 10000 + 0.0) AS rsi_14 FROM i JOIN rsi ON rsi.symbol = i.symbol AND rsi.date = i.date "
     "WHERE NOT isnan(rsi.rsi)",
     *rsi_sql_ctes(14), ind_cte("i", ["sma_50", "sma_200"]), recursive=True))
 def q_ind_common(spark, sf):
@@ -306,7 +309,7 @@ def q_ind_common(spark, sf):
 
 @register("ind_lag_diff", with_bars(
     "SELECT symbol, date, prev_high, close_diff, "
-    "(round((lag(sma_200, 20) OVER (PARTITION BY symbol ORDER BY date)) * 10000) / 10000) AS sma_200_1m_ago FROM i",
+    "(round((lag(sma_200, 20) OVER (PARTITION BY symbol ORDER BY date)) * 10000) / 10000 + 0.0) AS sma_200_1m_ago FROM i",
     ind_cte("i", ["prev_high", "close_diff", "sma_200"])))
 def q_ind_lag_diff(spark, sf):
     df = I.add_indicators(bars(spark, sf), [I.prev_high(), I.diff("close"), I.sma_200_1m_ago()])
@@ -389,7 +392,7 @@ def q_chart_data(spark, sf):
 
 
 @register("overlay_sma", with_bars(
-    "SELECT symbol, CAST(date AS TIMESTAMP) AS time, series, (round((value) * 10000) / 10000) AS value FROM ("
+    "SELECT symbol, CAST(date AS TIMESTAMP) AS time, series, (round((value) * 10000) / 10000 + 0.0) AS value FROM ("
     "SELECT symbol, date, 'sma_50' AS series, sma_50 AS value, n FROM o UNION ALL "
     "SELECT symbol, date, 'sma_200', sma_200, n FROM o) "
     "WHERE value IS NOT NULL AND n > CAST(substr(series, 5) AS INTEGER)",
@@ -506,3 +509,232 @@ def q_batch_scan(spark, sf):
 
 
 ORACLE["batch_scan"] = _batch_sql()
+
+
+# ---------------------------------------------------------------------------
+# T2 screens (P-BO, P-ID, P-NR, P-DS, P-VS, P-RO, P-BB, P-CB)
+# ---------------------------------------------------------------------------
+
+def prev_sql(agg: str, expr: str, n: int) -> str:
+    f = f"(PARTITION BY symbol ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({expr}) OVER {f} = {n} THEN {agg}({expr}) OVER {f} END"
+
+
+IND_SQL.update({
+    "prior_high_20": prev_sql("max", "high", 20),
+    "prior_high_10": prev_sql("max", "high", 10),
+    "prior_high_50": prev_sql("max", "high", 50),
+    "range_min_7": roll_sql("min", "(high - low)", 7),
+    "prev_low": f"lag(low) OVER {WS}",
+    "volume_lag1": f"lag(volume) OVER {WS}",
+    "volume_lag2": f"lag(volume, 2) OVER {WS}",
+    "high_20": roll_sql("max", "high", 20),
+    "avg_volume_50": roll_sql("avg", "volume", 50),
+})
+
+
+def history(screen, spark, sf) -> DataFrame:
+    return scan(bars(spark, sf), [screen], history=True)
+
+
+@register("breakout_n", with_bars(
+    "SELECT symbol, date, close, prior_high_20 FROM i WHERE close > prior_high_20", ind_cte("i", ["prior_high_20"])))
+def q_breakout_n(spark, sf):
+    return history(SC.breakout(20), spark, sf).select("symbol", "date", "close", "prior_high_20")
+
+
+@register("inside_day", with_bars(
+    "SELECT symbol, date, high, low, prev_high, prev_low FROM i WHERE high < prev_high AND low > prev_low",
+    ind_cte("i", ["prev_high", "prev_low"])))
+def q_inside_day(spark, sf):
+    return history(SC.inside_day(), spark, sf).select("symbol", "date", "high", "low", "prev_high", "prev_low")
+
+
+@register("nr7", with_bars(
+    "SELECT symbol, date, range_min_7 FROM i WHERE high - low = range_min_7", ind_cte("i", ["range_min_7"])))
+def q_nr7(spark, sf):
+    return history(SC.nr7(), spark, sf).select("symbol", "date", "range_min_7")
+
+
+@register("dist_sma", with_bars(
+    "SELECT symbol, date, (round(((close - sma_20) / sma_20 * 100) * 10000) / 10000 + 0.0) AS dist_sma_20, "
+    "(round(((close - sma_50) / sma_50 * 100) * 10000) / 10000 + 0.0) AS dist_sma_50 FROM i",
+    ind_cte("i", ["sma_20", "sma_50"])))
+def q_dist_sma(spark, sf):
+    df = SC.distance_from_sma(bars(spark, sf), (20, 50))
+    return r4(df.select("symbol", "date", "dist_sma_20", "dist_sma_50"), "dist_sma_20", "dist_sma_50")
+
+
+@register("vol_squeeze", with_bars(
+    "SELECT symbol, date, (round((adr_20) * 10000) / 10000 + 0.0) AS adr_20 FROM i WHERE "
+    "(high - low = range_min_7 OR (high < prev_high AND low > prev_low)) AND adr_20 > 3 "
+    "AND volume < volume_lag1 AND volume_lag1 < volume_lag2",
+    ind_cte("i", ["range_min_7", "prev_high", "prev_low", "volume_lag1", "volume_lag2", "adr_20"])))
+def q_vol_squeeze(spark, sf):
+    return r4(history(SC.volatility_squeeze(), spark, sf).select("symbol", "date", "adr_20"), "adr_20")
+
+
+def rsi_named_ctes(period: int, tag: str) -> list[str]:
+    a = 1.0 / period
+    return [
+        f"g{tag} AS (SELECT symbol, date, coalesce({RSI_GAIN}, 0) AS x, "
+        "row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM bars)",
+        f"l{tag} AS (SELECT symbol, date, coalesce({RSI_LOSS}, 0) AS x, "
+        "row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM bars)",
+        *ewm_ctes(a, f"g{tag}", f"gg{tag}"), *ewm_ctes(a, f"l{tag}", f"ll{tag}"),
+        f"rsi{tag} AS (SELECT g.symbol, g.date, CASE WHEN ll.y = 0 THEN CASE WHEN gg.y = 0 THEN 'NaN'::DOUBLE "
+        f"ELSE 100.0 END ELSE 100.0 - 100.0 / (1.0 + gg.y / ll.y) END AS rsi "
+        f"FROM g{tag} g JOIN gg{tag}_rec gg ON gg.symbol = g.symbol AND gg.i = g.i "
+        f"JOIN ll{tag}_rec ll ON ll.symbol = g.symbol AND ll.i = g.i)",
+    ]
+
+
+@register("rsi_oversold", with_bars(
+    "SELECT i.symbol, i.date, (round((sma_200) * 10000) / 10000 + 0.0) AS sma_200, "
+    "(round((a.rsi) * 10000) / 10000 + 0.0) AS rsi_14, (round((b.rsi) * 10000) / 10000 + 0.0) AS rsi_2 "
+    "FROM i JOIN rsi14 a USING (symbol, date) JOIN rsi2 b USING (symbol, date) "
+    "WHERE close > sma_200 AND (a.rsi < 30 OR b.rsi < 10)",
+    *rsi_named_ctes(14, "14"), *rsi_named_ctes(2, "2"), ind_cte("i", ["sma_200"]), recursive=True))
+def q_rsi_oversold(spark, sf):
+    df = history(SC.rsi_oversold(), spark, sf).select("symbol", "date", "sma_200", "rsi_14", "rsi_2")
+    return r4(df, "sma_200", "rsi_14", "rsi_2")
+
+
+@register("bollinger_snapback", with_bars(
+    "SELECT i.symbol, i.date, (round((sma_20) * 10000) / 10000 + 0.0) AS sma_20, "
+    "(round((std_20) * 10000) / 10000 + 0.0) AS std_20, (round((a.rsi) * 10000) / 10000 + 0.0) AS rsi_14 "
+    "FROM i JOIN rsi14 a USING (symbol, date) WHERE close < sma_20 - 2 * std_20 AND a.rsi < 30",
+    *rsi_named_ctes(14, "14"), ind_cte("i", ["sma_20", "std_20"]), recursive=True))
+def q_bollinger_snapback(spark, sf):
+    df = history(SC.bollinger_snapback(), spark, sf).select("symbol", "date", "sma_20", "std_20", "rsi_14")
+    return r4(df, "sma_20", "std_20", "rsi_14")
+
+
+def atr_named_ctes(period: int) -> list[str]:
+    return [numbered(f"tr{period}", TR_SQL), *ewm_ctes(1.0 / period, f"tr{period}", f"atr{period}"),
+            f"atr{period} AS (SELECT n.symbol, n.date, r.y AS atr FROM tr{period} n JOIN atr{period}_rec r "
+            f"ON r.symbol = n.symbol AND r.i = n.i)"]
+
+
+@register("consolidation_breakout", with_bars(
+    "SELECT t.symbol, t.date FROM t JOIN atr5 a USING (symbol, date) JOIN atr20 b USING (symbol, date) "
+    f"WHERE {TREND_COND} AND close >= 0.95 * high_20 AND a.atr < b.atr AND volume < avg_volume_50",
+    *atr_named_ctes(5), *atr_named_ctes(20),
+    ind_cte("t0", TREND_COLS + ["high_20", "avg_volume_50"], extra=f", {LATEST}"), TREND_CTE2, recursive=True))
+def q_consolidation_breakout(spark, sf):
+    return history(SC.consolidation_breakout(), spark, sf).select("symbol", "date")
+
+
+# ---------------------------------------------------------------------------
+# T2 strategy tables (P-SIG, P-RS, P-REG, P-PM, P-SW)
+# ---------------------------------------------------------------------------
+
+BENCHMARK = "S1"
+
+
+@register("signals_next_bar", with_bars(
+    "SELECT symbol, signal_date, entry_date, entry, (round((stop) * 10000) / 10000 + 0.0) AS stop, size, "
+    "(round((rvol_20) * 10000) / 10000 + 0.0) AS rvol_20, "
+    "rank() OVER (PARTITION BY signal_date ORDER BY rvol_20 DESC NULLS LAST, symbol) AS rank FROM ("
+    "SELECT symbol, lag(date) OVER w AS signal_date, date AS entry_date, open AS entry, "
+    "lag(close) OVER w - 2.0 * lag(atr) OVER w AS stop, "
+    "CAST(floor(1000.0 / (lag(close) OVER w - (lag(close) OVER w - 2.0 * lag(atr) OVER w))) AS BIGINT) AS size, "
+    "lag(volume / avg_volume_20) OVER w AS rvol_20, lag(close > prior_high_20) OVER w AS prev_sig "
+    "FROM i JOIN atr14 USING (symbol, date) WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE prev_sig",
+    *atr_named_ctes(14), ind_cte("i", ["prior_high_20", "avg_volume_20"]), recursive=True))
+def q_signals_next_bar(spark, sf):
+    df = ST.next_bar_signals(bars(spark, sf))
+    return r4(df, "stop", "rvol_20")
+
+
+@register("relative_strength", with_bars(
+    "SELECT symbol, date, (round((ret_20) * 10000) / 10000 + 0.0) AS ret_20, "
+    "(round((bench_ret_20) * 10000) / 10000 + 0.0) AS bench_ret_20, (round((rs) * 10000) / 10000 + 0.0) AS rs, "
+    "(round((percent_rank() OVER (PARTITION BY date ORDER BY rs)) * 10000) / 10000 + 0.0) AS rs_rank FROM ("
+    "SELECT r.symbol, r.date, r.ret_20, b.ret_20 AS bench_ret_20, (1.0 + r.ret_20) / (1.0 + b.ret_20) AS rs "
+    f"FROM r JOIN (SELECT date, ret_20 FROM r WHERE symbol = '{BENCHMARK}') b USING (date))",
+    "r AS (SELECT * FROM (SELECT symbol, date, close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) - 1.0"
+    " AS ret_20 FROM bars) WHERE ret_20 IS NOT NULL)"))
+def q_relative_strength(spark, sf):
+    df = ST.relative_strength(bars(spark, sf), BENCHMARK, 20)
+    return r4(df, "ret_20", "bench_ret_20", "rs", "rs_rank")
+
+
+@register("regime", with_bars(
+    "SELECT date, CASE WHEN sma_200 IS NULL OR sma_50 IS NULL THEN 'unknown' "
+    "WHEN close > sma_200 AND sma_50 > sma_200 THEN 'trend_on' WHEN close > sma_200 THEN 'caution' "
+    "ELSE 'trend_off' END AS regime FROM i",
+    ind_cte("i", ["sma_50", "sma_200"], src=f"(SELECT * FROM bars WHERE symbol = '{BENCHMARK}')")))
+def q_regime(spark, sf):
+    return ST.regime(bars(spark, sf), BENCHMARK)
+
+
+TRADES_SQL = ("tr AS (SELECT 'breakout_20_h5' AS strategy, symbol, entry_date, date AS exit_date, "
+              "close / entry - 1.0 AS ret FROM (SELECT *, lag(close > prior_high_20, 5) OVER w AS fired, "
+              "lag(open, 4) OVER w AS entry, lag(date, 4) OVER w AS entry_date FROM i "
+              "WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE fired)")
+
+
+@register("perf_metrics", with_bars(
+    "SELECT s.strategy, n_trades, (round((win_rate) * 10000) / 10000 + 0.0) AS win_rate, "
+    "(round((expectancy) * 10000) / 10000 + 0.0) AS expectancy, "
+    "(round((exp(total_lr) - 1.0) * 10000) / 10000 + 0.0) AS total_return, "
+    "(round((exp(total_lr / greatest(date_diff('day', first_d, last_d) / 365.25, 1.0 / 365.25)) - 1.0) * 10000)"
+    " / 10000 + 0.0) AS cagr, (round((max_drawdown) * 10000) / 10000 + 0.0) AS max_drawdown FROM "
+    "(SELECT strategy, count(*) AS n_trades, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, "
+    "avg(ret) AS expectancy FROM tr GROUP BY 1) s JOIN "
+    "(SELECT strategy, min(dd) AS max_drawdown, sum(lr) AS total_lr, min(exit_date) AS first_d, "
+    "max(exit_date) AS last_d FROM (SELECT *, exp(cum - greatest(0.0, max(cum) OVER w)) - 1.0 AS dd FROM "
+    "(SELECT *, sum(lr) OVER w AS cum FROM (SELECT strategy, exit_date, sum(ln(1.0 + ret)) AS lr FROM tr "
+    "GROUP BY 1, 2) WINDOW w AS (PARTITION BY strategy ORDER BY exit_date ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW)) WINDOW w AS (PARTITION BY strategy ORDER BY exit_date ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW)) GROUP BY 1) d USING (strategy)",
+    ind_cte("i", ["prior_high_20"]), TRADES_SQL))
+def q_perf_metrics(spark, sf):
+    df = ST.performance(ST.forward_trades(bars(spark, sf), horizons=(5,), n=20))
+    return r4(df, "win_rate", "expectancy", "total_return", "cagr", "max_drawdown")
+
+
+@register("param_sweep", with_bars(
+    "SELECT param, split, count(*) AS n_signals, (round((avg(fwd)) * 10000) / 10000 + 0.0) AS avg_fwd_ret, "
+    "(round((avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END)) * 10000) / 10000 + 0.0) AS hit_rate FROM ("
+    "SELECT p.param, CASE WHEN sig_date < DATE '1999-01-01' THEN 'in_sample' ELSE 'out_of_sample' END AS split, "
+    "fwd FROM (SELECT *, lag(close > prior_high_10, 5) OVER w AS s10, lag(close > prior_high_20, 5) OVER w AS s20, "
+    "lag(close > prior_high_50, 5) OVER w AS s50, close / lag(close, 5) OVER w - 1.0 AS fwd, "
+    "lag(date, 5) OVER w AS sig_date FROM i WINDOW w AS (PARTITION BY symbol ORDER BY date)) x "
+    "JOIN (SELECT 10 AS param UNION ALL SELECT 20 UNION ALL SELECT 50) p "
+    "ON (p.param = 10 AND s10) OR (p.param = 20 AND s20) OR (p.param = 50 AND s50)) GROUP BY 1, 2",
+    ind_cte("i", ["prior_high_10", "prior_high_20", "prior_high_50"])))
+def q_param_sweep(spark, sf):
+    return r4(ST.param_sweep(bars(spark, sf), (10, 20, 50), 5, "1999-01-01"), "avg_fwd_ret", "hit_rate")
+
+
+# ---------------------------------------------------------------------------
+# Data quality (Q1-Q3)
+# ---------------------------------------------------------------------------
+
+@register("dq_stale", with_bars(
+    "SELECT symbol, last_date, date_diff('day', last_date, (SELECT max(date) FROM bars)) AS days_behind FROM "
+    "(SELECT symbol, max(date) AS last_date FROM bars GROUP BY 1) "
+    "WHERE date_diff('day', last_date, (SELECT max(date) FROM bars)) > 3"))
+def q_dq_stale(spark, sf):
+    df = Q.stale_symbols(bars(spark, sf), 3)
+    return df.withColumn("days_behind", F.col("days_behind").cast("bigint"))
+
+
+@register("dq_duplicates",
+          "SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem "
+          "GROUP BY 1, 2 HAVING count(*) > 1")
+def q_dq_duplicates(spark, sf):
+    li = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet")
+    trades = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
+                       F.col("l_shipdate").cast("date").alias("date"))
+    return Q.duplicate_bars(trades)
+
+
+@register("dq_missing", with_bars(
+    "SELECT s.symbol, m.date FROM (SELECT symbol, min(date) AS f, max(date) AS l FROM bars GROUP BY 1) s "
+    "JOIN (SELECT DISTINCT date FROM bars) m ON m.date BETWEEN s.f AND s.l "
+    "WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = s.symbol AND b.date = m.date)"))
+def q_dq_missing(spark, sf):
+    return Q.missing_bars(bars(spark, sf))
