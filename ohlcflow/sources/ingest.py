@@ -2,7 +2,7 @@
 
 Landing layout: one CSV per symbol, ``<dir>/<SYMBOL>.csv``, with a header row
 and at least ``date, open, high, low, close, volume`` in any column order
-(extra columns are ignored).  Each file is read as one text value (a daily
+(extra columns are ignored).  Each file is read as one value (a daily
 history is a few MB at most), its header maps fields by name, and rows are
 typed with ``try_*`` casts.  A symbol with any unparseable date yields no
 bars at all (all-or-nothing, like a failed fetch); other symbols continue.
@@ -29,15 +29,20 @@ FIELDS = ("date", "open", "high", "low", "close", "volume")
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """Parsed landing rows: (symbol, line_no, date, open, high, low, close, volume, bad_date)."""
-    files = (spark.read.option("wholetext", True).text(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("value")))
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    files = raw.select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("value"))
+    # 0-byte files produce no split and hence no row; the file index (driver-side
+    # metadata Spark lists for any read) still names them, so they come back as "".
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string")
+    files = files.unionByName(listed.join(files.select("path"), "path", "left_anti")
+                                    .withColumn("value", F.lit("")))
     lines = F.split(F.col("value"), r"\r?\n")
     header = F.split(F.lower(F.trim(F.element_at(lines, 1))), r"\s*,\s*")
     sym = F.upper(F.regexp_extract(F.url_decode(F.col("path")), r"([^/]+)\.csv$", 1))
     per_file = files.select(sym.alias("symbol"), header.alias("_hdr"),
-                            F.when(F.size(lines) > 1, F.slice(lines, 2, F.size(lines))).alias("_rows"))
+                            F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))),
+                                     lambda x: F.trim(x) != "").alias("_rows"))
     rows = per_file.select("symbol", "_hdr", F.posexplode_outer("_rows").alias("line_no", "_line"))
-    rows = rows.where(F.col("_line").isNull() | (F.trim(F.col("_line")) != ""))
     fields = F.split(F.col("_line"), ",")
     entries = F.transform(F.col("_hdr"), lambda h, i: F.struct(h.alias("k"), F.try_element_at(fields, i + 1).alias("v")))
     m = F.map_from_entries(F.filter(entries, lambda e: e["k"] != ""))
@@ -106,7 +111,7 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """One symbol per line, stripped (all whitespace) and upper-cased; blank and '#' lines dropped.
 
     Order and duplicates are kept (``line`` gives the position within its file)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = raw.select(F.posexplode(F.split("value", r"\n")).alias("line", "value"))
     sym = F.upper(F.regexp_replace("value", r"^\s+|\s+$", ""))
     return (lines.select("line", sym.alias("symbol"))

@@ -61,11 +61,15 @@ def read_symbol_files(spark: SparkSession, pattern: str) -> DataFrame:
     return canonical(df.withColumn("symbol", sym))
 
 
-def load_symbol(bars: DataFrame, symbol: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """S3: bars of one symbol (upper-cased), ordered by date."""
+def load_symbol(bars: DataFrame, symbol: str, buckets: int | None = None) -> DataFrame:
+    """S3: bars of one symbol (upper-cased), ordered by date.
+
+    With ``buckets`` (the count the store was written with) the bucket
+    partition is pruned as well; the symbol predicate is pushed to Parquet
+    either way."""
     sym = symbol.strip().upper()
     cond = F.col("symbol") == sym
-    if BUCKET in bars.columns:
+    if buckets and BUCKET in bars.columns:
         cond = cond & (F.col(BUCKET) == bucket_of(F.lit(sym), buckets))
     return bars.where(cond).select(*BAR_COLUMNS).orderBy("date")
 
@@ -107,9 +111,9 @@ def symbols_missing(requested: DataFrame, bars: DataFrame) -> DataFrame:
     return requested.join(bars.select("symbol").distinct(), "symbol", "left_anti")
 
 
-def head(bars: DataFrame, symbol: str, n: int = 10) -> DataFrame:
+def head(bars: DataFrame, symbol: str, n: int = 10, buckets: int | None = None) -> DataFrame:
     """First ``n`` bars of a symbol in date order."""
-    return load_symbol(bars, symbol).limit(n)
+    return load_symbol(bars, symbol, buckets).limit(n)
 
 
 def store_path_ok(path: str) -> bool:
