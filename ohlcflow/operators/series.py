@@ -103,12 +103,28 @@ class Framed:
         return out.drop(*[h for h in HELPERS if h in out.columns])
 
 
+def _has_shuffle(df: DataFrame) -> bool:
+    try:
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001 - plan inspection is only an optimization hint
+        return False
+
+
 def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
           order: str = "date", width: int | None = None, span: int | None = None,
-          latest: bool = False) -> Framed:
-    """Frame ``df`` so that windows with up to ``lookback`` preceding rows are exact."""
+          latest: bool = False, materialize: bool | None = None) -> Framed:
+    """Frame ``df`` so that windows with up to ``lookback`` preceding rows are exact.
+
+    The input is read twice (chunk statistics, then the rows).  If it is
+    itself the result of a shuffle (bars aggregated from trades, say) it is
+    written once to the checkpoint folder first (``materialize=None`` decides
+    from the plan) instead of being recomputed."""
     keys = tuple(keys)
     h = max(int(lookback), 0)
+    if materialize is None:
+        materialize = _has_shuffle(df)
+    if materialize:
+        df = scratch_table(df, "series-input")
     base = df.withColumn(CHUNK, chunk_column(df, order, width))
 
     counts = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
@@ -139,9 +155,10 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
         joined = (joined.withColumn(PART, F.explode(F.sequence(F.col(_P_LO), F.col(_P_HI))))
                   .withColumn(OWN, F.col(PART) == F.col(_P_LO)))
     joined = joined.drop("_own_chunk")
-    wp = Window.partitionBy(*keys, PART)
+    # partitions hold contiguous chunks, so the first row's offset is the partition's;
+    # first() and row_number() share one window spec -> one sort, one Window operator
     wo = Window.partitionBy(*keys, PART).orderBy(order)
-    joined = joined.withColumn(IDX, F.min(START).over(wp) + F.row_number().over(wo) - 1)
+    joined = joined.withColumn(IDX, F.first(START).over(wo) + F.row_number().over(wo) - 1)
     return Framed(joined, keys, order, h)
 
 
