@@ -71,11 +71,15 @@ def period_filter(bars: DataFrame, period: str | None) -> DataFrame:
                 .drop("_max_date"))
 
 
-def chart_bars(bars: DataFrame, *, resample: str = "1d", period: str | None = None) -> DataFrame:
-    """R-M + P3: period filter, then resample, then ``date`` -> ``time`` as a timestamp."""
+def chart_bars(bars: DataFrame, *, resample: str = "1d", period: str | None = None,
+               sort: bool = False) -> DataFrame:
+    """R-M + P3 (+O3): period filter, then resample, then ``date`` -> ``time`` as a timestamp.
+
+    ``sort=True`` orders by (symbol, time) with a range-partitioned global sort."""
     out = resample_daily(period_filter(bars, period), resample)
-    return out.select("symbol", F.col("date").cast("timestamp_ntz").alias("time"),
-                      "open", "high", "low", "close", "volume")
+    out = out.select("symbol", F.col("date").cast("timestamp_ntz").alias("time"),
+                     "open", "high", "low", "close", "volume")
+    return out.orderBy("symbol", "time") if sort else out
 
 
 def overlay_sma(bars: DataFrame, *, resample: str = "1d", period: str | None = None,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..schema import BAR_COLUMNS, BAR_SCHEMA
 
 BUCKET = "bucket"
+TIMEFRAME = "timeframe"
 DEFAULT_BUCKETS = 64
 
 
@@ -47,8 +48,7 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     """All bars of the store; a missing store is a typed empty frame."""
     if not _exists(spark, path):
         return empty_bars(spark)
-    df = spark.read.parquet(path)
-    return canonical(df)
+    return canonical(_read_store(spark, path))
 
 
 def read_symbol_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -74,26 +74,50 @@ def load_symbol(bars: DataFrame, symbol: str, buckets: int | None = None) -> Dat
     return bars.where(cond).select(*BAR_COLUMNS).orderBy("date")
 
 
-def save_bars(df: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
-    """Replace the full history of every symbol present in ``df``.
+def save_bars(df: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, timeframe: str | None = None) -> None:
+    """S4 (+Q4): replace the full history of every symbol present in ``df``.
 
     Dynamic partition overwrite replaces only the touched buckets; rows of
     other symbols sharing a touched bucket are carried over by reading the
-    bucket first (a left-anti join on symbol keeps them).
+    bucket first (a left-anti join on symbol keeps them).  With ``timeframe``
+    (``1d``, ``15min`` ...) the store is partitioned by timeframe first, so
+    daily and intraday histories live side by side and each prunes to itself.
     """
     spark = df.sparkSession
     new = canonical(df).withColumn(BUCKET, bucket_of(F.col("symbol"), buckets))
+    parts = [BUCKET]
+    if timeframe is not None:
+        new = new.withColumn(TIMEFRAME, F.lit(timeframe))
+        parts = [TIMEFRAME, BUCKET]
     if _exists(spark, path):
-        old = spark.read.parquet(path)
-        touched = new.select(BUCKET).distinct()
-        keep = (old.join(touched, BUCKET, "left_semi")
+        old = _read_store(spark, path)
+        touched = new.select(*parts).distinct()
+        keep = (old.join(touched, parts, "left_semi")
                    .join(new.select("symbol").distinct(), "symbol", "left_anti"))
         # materialize before overwriting the files it was read from
         keep = keep.checkpoint(eager=True)
         new = new.unionByName(keep.select(*new.columns))
-    (new.repartition(BUCKET).write.mode("overwrite")
+    (new.repartition(*parts).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET).parquet(path))
+        .partitionBy(*parts).parquet(path))
+
+
+def _read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The raw store with partition columns typed explicitly (no inference: '1d' is not a number)."""
+    from pyspark.sql import types as T
+    probe = spark.read.parquet(path)
+    fields = list(BAR_SCHEMA.fields)
+    if TIMEFRAME in probe.columns:
+        fields.append(T.StructField(TIMEFRAME, T.StringType(), True))
+    fields.append(T.StructField(BUCKET, T.IntegerType(), True))
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def read_timeframe(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    """Q4: the bars of one timeframe (partition-pruned)."""
+    if not _exists(spark, path):
+        return empty_bars(spark)
+    return canonical(_read_store(spark, path).where(F.col(TIMEFRAME) == timeframe))
 
 
 def list_symbols(bars: DataFrame) -> DataFrame:

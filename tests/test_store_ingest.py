@@ -80,3 +80,14 @@ def test_universe_file(spark):
     with open(p, "w") as f:
         f.write(" aapl\n# etf\n\n\tMSFT \r\n#x\naapl\n")
     assert [r.symbol for r in ingest.read_universe(spark, p).orderBy("line").collect()] == ["AAPL", "MSFT", "AAPL"]
+
+
+def test_timeframe_store(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tf-"), "bars")
+    S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [1.0, 2.0])), path, buckets=2, timeframe="1d")
+    S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [5.0])), path, buckets=2, timeframe="1w")
+    assert S.read_timeframe(spark, path, "1d").count() == 2
+    assert S.read_timeframe(spark, path, "1w").count() == 1
+    S.save_bars(make_bars(spark, series("AAA", "2024-03-01", [7.0])), path, buckets=2, timeframe="1d")
+    assert S.read_timeframe(spark, path, "1d").count() == 1
+    assert S.read_timeframe(spark, path, "1w").count() == 1
