@@ -19,7 +19,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import Framed, ewm, ewm_lookback, frame, lag, roll
+from .series import Framed, ewm, ewm_lookback, frame, lag, roll, rolling
 
 Apply = Callable[[Framed, DataFrame], DataFrame]
 
@@ -64,8 +64,7 @@ def rsi_from(gain: str, loss: str) -> F.Column:
 
 def sma(period: int, col: str = "close", name: str | None = None) -> Indicator:
     out = name or f"sma_{period}"
-    return Indicator(out, period - 1,
-                     lambda fr, df: df.withColumn(out, roll(fr, F.avg, col, period)))
+    return Indicator(out, period - 1, lambda fr, df: rolling(fr, df, "avg", col, period, out))
 
 
 def ema(period: int, col: str = "close", name: str | None = None) -> Indicator:
@@ -107,16 +106,14 @@ def atr(period: int = 14, name: str | None = None) -> Indicator:
 
 def adr(period: int = 20, name: str | None = None) -> Indicator:
     out = name or f"adr_{period}"
-    return Indicator(out, period - 1,
-                     lambda fr, df: df.withColumn(out, roll(fr, F.avg, range_pct(), period)))
+    return Indicator(out, period - 1, lambda fr, df: rolling(fr, df, "avg", range_pct(), period, out))
 
 
 def rvol(period: int = 20) -> Indicator:
     avg_name, out = f"avg_volume_{period}", f"rvol_{period}"
 
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
-        avg = roll(fr, F.avg, "volume", period)
-        return (df.withColumn(avg_name, avg)
+        return (rolling(fr, df, "avg", "volume", period, avg_name)
                   .withColumn(out, F.try_divide(F.col("volume").cast("double"), F.col(avg_name))))
     return Indicator(out, period - 1, apply, (avg_name, out))
 
@@ -125,17 +122,16 @@ def extrema(period: int = 252) -> Indicator:
     hi, lo = f"high_{period}", f"low_{period}"
 
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
-        return (df.withColumn(hi, roll(fr, F.max, "high", period))
-                  .withColumn(lo, roll(fr, F.min, "low", period)))
+        return rolling(fr, rolling(fr, df, "max", "high", period, hi), "min", "low", period, lo)
     return Indicator(f"extrema_{period}", period - 1, apply, (hi, lo))
 
 
 def rolling_min(period: int, col: str, name: str) -> Indicator:
-    return Indicator(name, period - 1, lambda fr, df: df.withColumn(name, roll(fr, F.min, col, period)))
+    return Indicator(name, period - 1, lambda fr, df: rolling(fr, df, "min", col, period, name))
 
 
 def rolling_max(period: int, col: str, name: str) -> Indicator:
-    return Indicator(name, period - 1, lambda fr, df: df.withColumn(name, roll(fr, F.max, col, period)))
+    return Indicator(name, period - 1, lambda fr, df: rolling(fr, df, "max", col, period, name))
 
 
 def shifted(col: str, k: int = 1, name: str | None = None) -> Indicator:

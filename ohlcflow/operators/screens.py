@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..plans.predicates import Predicate, trend_template
 from . import indicators as I
-from .series import Framed, lag, roll, roll_prev
+from .series import Framed, lag, roll, rolling
 
 
 def prior_high(n: int) -> I.Indicator:
     """Highest high of the ``n`` rows before the current one *(current excluded: ours)*."""
     name = f"prior_high_{n}"
-    return I.Indicator(name, n, lambda fr, df: df.withColumn(name, roll_prev(fr, F.max, "high", n)))
+    return I.Indicator(name, n, lambda fr, df: rolling(fr, df, "max", "high", n, name, skip=1))
 
 
 def range_min(n: int = 7) -> I.Indicator:

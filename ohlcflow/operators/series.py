@@ -100,7 +100,7 @@ class Framed:
 
     def finish(self, df: DataFrame | None = None) -> DataFrame:
         out = (df if df is not None else self.df).where(F.col(OWN))
-        return out.drop(*[h for h in HELPERS if h in out.columns])
+        return out.drop(*[c for c in out.columns if c in HELPERS or c.startswith(TABLE_PREFIX)])
 
 
 def _has_shuffle(df: DataFrame) -> bool:
@@ -217,8 +217,73 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
     return df.drop(sub, j, part)
 
 
-def roll_prev(fr: Framed, agg, col: Column | str, n: int) -> Column:
-    """``agg`` over the ``n`` rows before the current one (current row excluded)."""
-    c = F.col(col) if isinstance(col, str) else col
-    w = fr.window.rowsBetween(-n, -1)
-    return F.when(F.count(c).over(w) == n, agg(c).over(w))
+# Spark evaluates a sliding ROWS frame by re-aggregating the whole frame for
+# every row (O(rows x width)).  Wide frames (sum / avg / max / min) use a
+# doubling table instead: T_1 = x, T_2k(i) = T_k(i) (+) T_k(i - k), each level
+# one offset window on the partition's single sort.  A window of n rows is the
+# combination of the disjoint runs given by the binary digits of n, so sums
+# are pairwise (no running-sum subtraction, hence no cancellation, and NaN or
+# infinities outside the window cannot leak in).  Tables are shared between
+# windows over the same input (sma_50 / sma_150 / sma_200 use one table) and
+# are dropped by ``Framed.finish``.
+TABLE_PREFIX = "_t_"
+NATIVE_FRAME_MAX_ROWS = 32
+_COMBINE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
+
+
+def _doubling_table(fr: Framed, df: DataFrame, agg: str, base: str, upto: int):
+    """Add T_k for k = 2, 4, ... <= ``upto`` over column ``base``; return (df, {k: column})."""
+    names = {1: base}
+    k = 1
+    while k * 2 <= upto:
+        name = f"{TABLE_PREFIX}{agg}{k * 2}_{base}"
+        if name not in df.columns:
+            df = df.withColumn(name, _COMBINE[agg](F.col(names[k]), lag(fr, names[k], k)))
+        names[k * 2] = name
+        k *= 2
+    return df, names
+
+
+def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out: str,
+            skip: int = 0) -> DataFrame:
+    """Add ``out`` = ``agg`` over the ``n`` rows ending ``skip`` rows before the current one.
+
+    NULL until all ``n`` rows hold a non-null value (the ``roll`` rule)."""
+    if agg not in ("avg", "sum", "max", "min"):
+        raise ValueError(f"unsupported rolling aggregate {agg!r}")
+    if n <= NATIVE_FRAME_MAX_ROWS:
+        fn = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[agg]
+        c = F.col(col) if isinstance(col, str) else col
+        w = fr.window.rowsBetween(-(n - 1) - skip, -skip)
+        return df.withColumn(out, F.when(F.count(c).over(w) == n, fn(c).over(w)))
+    # one base column per input: named after the input column, or after ``out`` for expressions
+    src = col if isinstance(col, str) else out
+    table_agg = "sum" if agg in ("avg", "sum") else agg
+    base = f"{TABLE_PREFIX}{'d' if table_agg == 'sum' else 'x'}_{src}"
+    if base not in df.columns:
+        c = F.col(col) if isinstance(col, str) else col
+        df = df.withColumn(base, c.cast("double") if table_agg == "sum" else c)
+    cnt = f"{TABLE_PREFIX}n_{src}"
+    if cnt not in df.columns:
+        df = df.withColumn(cnt, F.count(F.col(base)).over(fr.running))
+    df, t = _doubling_table(fr, df, table_agg, base, n)
+
+    def at(name: str, offset: int) -> Column:
+        return F.col(name) if offset == 0 else lag(fr, name, offset)
+
+    full = (at(cnt, skip) - F.coalesce(at(cnt, skip + n), F.lit(0))) == n
+    if table_agg == "sum":
+        terms, offset = [], skip
+        for k in sorted(t, reverse=True):
+            if n & k:
+                terms.append(at(t[k], offset))
+                offset += k
+        value = terms[0]
+        for term in terms[1:]:
+            value = value + term
+        if agg == "avg":
+            value = value / F.lit(float(n))
+    else:
+        top = max(t)
+        value = _COMBINE[agg](at(t[top], skip), at(t[top], skip + n - top))
+    return df.withColumn(out, F.when(full, value))
