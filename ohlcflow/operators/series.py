@@ -48,6 +48,8 @@ IDX = "_i"
 _P_LO = "_p_lo"
 _P_HI = "_p_hi"
 HELPERS = (CHUNK, START, END, TOTAL, PART, OWN, IDX, _P_LO, _P_HI)
+# shared intermediate columns of rolling windows and EWMs; dropped by ``finish``
+TABLE_PREFIX = "_t_"
 
 DEFAULT_DATE_WIDTH_DAYS = 64
 DEFAULT_TS_WIDTH_SECONDS = 3600
@@ -205,43 +207,38 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
         return df.withColumn(out, F.col(x).cast("double"))
     d = 1.0 - alpha
     b = ewm_block(alpha)
-    sub, j, part = f"{out}__sub", f"{out}__j", f"{out}__part"
+    # block number and position are shared by every EWM with the same block
+    # size (RSI's gain and loss), so their windows share one sort
+    sub, j, part = f"{TABLE_PREFIX}ewsub{b}", f"{TABLE_PREFIX}ewj{b}", f"{out}__part"
+    if sub not in df.columns:
+        df = (df.withColumn(sub, F.floor(F.col(IDX) / b))
+                .withColumn(j, F.col(IDX) - F.col(sub) * b))
     w = F.when(F.col(IDX) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    df = (df.withColumn(sub, F.floor(F.col(IDX) / b))
-            .withColumn(j, F.col(IDX) - F.col(sub) * b))
     local = F.pow(F.lit(d), F.col(j)) * F.sum(w * F.col(x) * F.pow(F.lit(d), -F.col(j))).over(fr.sub_window(sub))
     df = df.withColumn(part, local)
-    carry = F.last(F.when(F.col(j) == b - 1, F.col(part)), ignorenulls=True).over(
-        fr.window.rowsBetween(Window.unboundedPreceding, -1))
+    # ordered by (block, date): the same sort as the block-local sums above
+    before = (Window.partitionBy(*fr.keys, PART).orderBy(sub, fr.order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carry = F.last(F.when(F.col(j) == b - 1, F.col(part)), ignorenulls=True).over(before)
     df = df.withColumn(out, F.col(part) + F.pow(F.lit(d), F.col(j) + 1) * F.coalesce(carry, F.lit(0.0)))
-    return df.drop(sub, j, part)
+    return df.drop(part)
 
 
 # Spark evaluates a sliding ROWS frame by re-aggregating the whole frame for
-# every row (O(rows x width)).  Wide frames (sum / avg / max / min) use a
-# doubling table instead: T_1 = x, T_2k(i) = T_k(i) (+) T_k(i - k), each level
-# one offset window on the partition's single sort.  A window of n rows is the
-# combination of the disjoint runs given by the binary digits of n, so sums
-# are pairwise (no running-sum subtraction, hence no cancellation, and NaN or
-# infinities outside the window cannot leak in).  Tables are shared between
-# windows over the same input (sma_50 / sma_150 / sma_200 use one table) and
-# are dropped by ``Framed.finish``.
-TABLE_PREFIX = "_t_"
+# every row (O(rows x width)).  Wide frames (sum / avg / max / min over n rows)
+# are cut into blocks instead: a native frame over the last BLOCK_ROWS rows
+# (S_b) is read back at offsets 0, b, 2b, ... by lag(), and the n mod b rows
+# left over are one more short native frame.  Per row that is about
+# 2b + n/b updates instead of n, in two window operators that Catalyst merges
+# with the neighbouring indicators' (same partition and order, independent
+# expressions), on the partition's single sort.  The parts are disjoint, so
+# sums are plain sums of partial sums: no running-sum subtraction (no
+# cancellation), and NaN or infinities outside the window cannot leak in.
+# S_b and the running non-null count are shared by all windows over the same
+# input (sma_50 / sma_150 / sma_200 share one) and dropped by ``Framed.finish``.
 NATIVE_FRAME_MAX_ROWS = 32
-_COMBINE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
-
-
-def _doubling_table(fr: Framed, df: DataFrame, agg: str, base: str, upto: int):
-    """Add T_k for k = 2, 4, ... <= ``upto`` over column ``base``; return (df, {k: column})."""
-    names = {1: base}
-    k = 1
-    while k * 2 <= upto:
-        name = f"{TABLE_PREFIX}{agg}{k * 2}_{base}"
-        if name not in df.columns:
-            df = df.withColumn(name, _COMBINE[agg](F.col(names[k]), lag(fr, names[k], k)))
-        names[k * 2] = name
-        k *= 2
-    return df, names
+BLOCK_ROWS = 16
+_NATIVE = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 
 def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out: str,
@@ -249,41 +246,41 @@ def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out:
     """Add ``out`` = ``agg`` over the ``n`` rows ending ``skip`` rows before the current one.
 
     NULL until all ``n`` rows hold a non-null value (the ``roll`` rule)."""
-    if agg not in ("avg", "sum", "max", "min"):
+    if agg not in _NATIVE:
         raise ValueError(f"unsupported rolling aggregate {agg!r}")
+    c = F.col(col) if isinstance(col, str) else col
     if n <= NATIVE_FRAME_MAX_ROWS:
-        fn = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}[agg]
-        c = F.col(col) if isinstance(col, str) else col
         w = fr.window.rowsBetween(-(n - 1) - skip, -skip)
-        return df.withColumn(out, F.when(F.count(c).over(w) == n, fn(c).over(w)))
-    # one base column per input: named after the input column, or after ``out`` for expressions
+        return df.withColumn(out, F.when(F.count(c).over(w) == n, _NATIVE[agg](c).over(w)))
+    part_agg = "sum" if agg in ("avg", "sum") else agg
+    x = c.cast("double") if part_agg == "sum" else c
+    fn = _NATIVE[part_agg]
+    # shared parts are named after the input column (after ``out`` for expressions)
     src = col if isinstance(col, str) else out
-    table_agg = "sum" if agg in ("avg", "sum") else agg
-    base = f"{TABLE_PREFIX}{'d' if table_agg == 'sum' else 'x'}_{src}"
-    if base not in df.columns:
-        c = F.col(col) if isinstance(col, str) else col
-        df = df.withColumn(base, c.cast("double") if table_agg == "sum" else c)
-    cnt = f"{TABLE_PREFIX}n_{src}"
+    b = BLOCK_ROWS
+    block, cnt = f"{TABLE_PREFIX}{part_agg}{b}_{src}", f"{TABLE_PREFIX}n_{src}"
+    q, r = divmod(n, b)
+    rest = f"{out}__rest"
+    parts = {}
+    if block not in df.columns:
+        parts[block] = fn(x).over(fr.window.rowsBetween(-(b - 1), 0))
     if cnt not in df.columns:
-        df = df.withColumn(cnt, F.count(F.col(base)).over(fr.running))
-    df, t = _doubling_table(fr, df, table_agg, base, n)
+        parts[cnt] = F.count(x).over(fr.running)
+    if r:
+        parts[rest] = fn(x).over(fr.window.rowsBetween(-(n - 1) - skip, -(q * b) - skip))
+    df = df.withColumns(parts)
 
     def at(name: str, offset: int) -> Column:
         return F.col(name) if offset == 0 else lag(fr, name, offset)
 
-    full = (at(cnt, skip) - F.coalesce(at(cnt, skip + n), F.lit(0))) == n
-    if table_agg == "sum":
-        terms, offset = [], skip
-        for k in sorted(t, reverse=True):
-            if n & k:
-                terms.append(at(t[k], offset))
-                offset += k
+    terms = [at(block, skip + j * b) for j in range(q)] + ([F.col(rest)] if r else [])
+    if part_agg == "sum":
         value = terms[0]
-        for term in terms[1:]:
-            value = value + term
+        for t in terms[1:]:
+            value = value + t
         if agg == "avg":
             value = value / F.lit(float(n))
     else:
-        top = max(t)
-        value = _COMBINE[agg](at(t[top], skip), at(t[top], skip + n - top))
-    return df.withColumn(out, F.when(full, value))
+        value = (F.greatest if agg == "max" else F.least)(*terms)
+    full = (at(cnt, skip) - F.coalesce(at(cnt, skip + n), F.lit(0))) == n
+    return df.withColumn(out, F.when(full, value)).drop(rest)

@@ -50,3 +50,37 @@ def test_latest_bar_is_partial_aggregate(spark):
     from ohlcflow.operators.latest import latest_bars
     text = _plan(latest_bars(_stored(spark)))
     assert "partial_max_by" in text
+
+
+def test_wide_windows_share_one_sort(spark):
+    """Trend template (windows of 50..252 rows): one sort, a handful of window operators."""
+    text = _plan(scan(_stored(spark), [P.trend_template()], history=True))
+    assert text.count("Sort [") == 1, text
+    assert text.count("Window [") <= 10, text
+
+
+def test_rsi_gain_and_loss_share_the_block_sort(spark):
+    from ohlcflow.operators import indicators as I
+    text = _plan(I.add_indicators(_stored(spark), [I.rsi(14)]))
+    assert text.count("Sort [") == 2, text
+
+
+def test_block_rolling_equals_native_frames(spark):
+    from pyspark.sql import functions as F
+    from ohlcflow.operators.series import frame, roll, rolling
+    fr = frame(_stored(spark), 260)
+    df, checks = fr.df, []
+    for agg, fn, col in [("avg", F.avg, "close"), ("sum", F.sum, "volume"),
+                         ("max", F.max, "high"), ("min", F.min, "low")]:
+        for n in (33, 50, 200, 252):
+            df = rolling(fr, df, agg, col, n, f"b_{agg}_{n}")
+            df = df.withColumn(f"n_{agg}_{n}", roll(fr, fn, col, n))
+            checks.append((f"b_{agg}_{n}", f"n_{agg}_{n}"))
+    df = rolling(fr, df, "max", "high", 50, "b_prev")
+    out = fr.finish(df)
+    assert not [c for c in out.columns if c.startswith("_")]
+    bad = out.agg(*[F.sum(F.when(~(F.col(a).eqNullSafe(F.col(b))
+                                   | (F.abs(F.col(a) - F.col(b)) <= 1e-9 * F.abs(F.col(b)))), 1)
+                          .otherwise(0)).alias(a) for a, b in checks]).collect()[0].asDict()
+    assert all(v == 0 for v in bad.values()), bad
+    assert out.where(F.col("b_avg_252").isNotNull()).count() > 0
