@@ -226,21 +226,27 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
 
 # Spark evaluates a sliding ROWS frame by re-aggregating the whole frame for
 # every row (O(rows x width)).  Wide frames (sum / avg / max / min over n rows)
-# are cut into blocks instead: a native frame over the last BLOCK_ROWS rows
-# (S_b) is read back at offsets 0, b, 2b, ... by lag(), and the n mod b rows
-# left over are one more short native frame.  Per row that is about
-# 2b + n/b updates instead of n, in two window operators that Catalyst merges
-# with the neighbouring indicators' (same partition and order, independent
-# expressions), on the partition's single sort.  The parts are disjoint, so
-# sums are plain sums of partial sums: no running-sum subtraction (no
-# cancellation), and NaN or infinities outside the window cannot leak in.
-# S_b and the running non-null count are shared by all windows over the same
-# input (sma_50 / sma_150 / sma_200 share one) and dropped by ``Framed.finish``.
+# are cut into blocks instead: a native frame over the last b rows (S_b) is
+# read back at offsets 0, b, 2b, ... by lag(), and the n mod b rows left over
+# are one more short native frame, so a row costs about 2b + n/b steps
+# instead of n.  Measured on the trend template (windows of 50..252 rows,
+# sf0.1, interleaved runs): 1.5 s instead of 2.8 s over every bar, 1.4 s
+# instead of 1.6 s on the snapshot.  The parts are disjoint, so sums are plain
+# sums of partial sums: no running-sum subtraction (no cancellation), and NaN
+# or infinities outside the window cannot leak in.  S_b and the running
+# non-null count are shared by all windows over the same input (one b for
+# all widths up to ~570 rows, so sma_50 / sma_150 / sma_200 share one S_b)
+# and are dropped by ``Framed.finish``.
 NATIVE_FRAME_MAX_ROWS = 32
-BLOCK_ROWS = 16
+MIN_BLOCK_ROWS = 16
 _NATIVE = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 
+def block_rows(n: int) -> int:
+    """b ~ sqrt(n) (minimizes b + n/b), in steps of ``MIN_BLOCK_ROWS`` so nearby widths share a block."""
+    return MIN_BLOCK_ROWS * max(1, round(math.sqrt(n) / MIN_BLOCK_ROWS))
+
+
 def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out: str,
             skip: int = 0) -> DataFrame:
     """Add ``out`` = ``agg`` over the ``n`` rows ending ``skip`` rows before the current one.
@@ -257,7 +263,7 @@ def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out:
     fn = _NATIVE[part_agg]
     # shared parts are named after the input column (after ``out`` for expressions)
     src = col if isinstance(col, str) else out
-    b = BLOCK_ROWS
+    b = block_rows(n)
     block, cnt = f"{TABLE_PREFIX}{part_agg}{b}_{src}", f"{TABLE_PREFIX}n_{src}"
     q, r = divmod(n, b)
     rest = f"{out}__rest"

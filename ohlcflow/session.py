@@ -2,8 +2,8 @@
 
 Nothing here hard-codes a cluster: on a cluster the caller's session already
 carries ``spark.checkpoint.dir`` (a shared folder) and we only read it.  A
-private folder is created only when the setting is absent, which is the case
-in local tests and the local benchmark.
+private folder is created only when the setting is absent and the master is
+local (tests, the local benchmark); a cluster session without it is an error.
 """
 
 from __future__ import annotations
@@ -24,11 +24,23 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # the snapshot plan relies on the window-group-limit rule for top-k per symbol
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # small local inputs: let AQE keep one reducer per core for the CPU-heavy
+    # window stages instead of merging them down to 1 MB partitions
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
 }
 
 
 def get_spark(master: str | None = None, partitions: int | None = None,
               app: str = "ohlcflow", extra: dict | None = None) -> SparkSession:
+    """A local session with ``LOCAL_CONF`` (tests, benchmark, oracle tool).
+
+    If a session is already active (a cluster job) it is returned unchanged,
+    apart from reading or, when unset, creating the checkpoint folder: the
+    local settings must not override a cluster's shuffle partitions."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
     conf = dict(LOCAL_CONF)
@@ -52,6 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a driver-local folder is invisible to executors on other machines
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="ohlcflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

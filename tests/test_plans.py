@@ -65,9 +65,13 @@ def test_rsi_gain_and_loss_share_the_block_sort(spark):
     assert text.count("Sort [") == 2, text
 
 
-def test_block_rolling_equals_native_frames(spark):
+def test_block_rolling_equals_native_frames(spark, monkeypatch):
     from pyspark.sql import functions as F
+    from ohlcflow.operators import series
     from ohlcflow.operators.series import frame, roll, rolling
+    # force the block form onto widths the small fixture can fill
+    monkeypatch.setattr(series, "NATIVE_FRAME_MAX_ROWS", 32)
+    monkeypatch.setattr(series, "MIN_BLOCK_ROWS", 16)
     fr = frame(_stored(spark), 260)
     df, checks = fr.df, []
     for agg, fn, col in [("avg", F.avg, "close"), ("sum", F.sum, "volume"),
