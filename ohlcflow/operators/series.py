@@ -68,6 +68,17 @@ def chunk_column(df: DataFrame, order: str, width: int | None = None) -> Column:
     return F.floor(c / (width or 1))
 
 
+def chunk_start(df: DataFrame, order: str, chunk: int, width: int | None = None) -> Column:
+    """The first ordering value of ``chunk`` (inverse of ``chunk_column``), as a foldable Column."""
+    dtype = df.schema[order].dataType
+    if isinstance(dtype, T.DateType):
+        return F.date_from_unix_date(F.lit(chunk * (width or DEFAULT_DATE_WIDTH_DAYS)))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        w = (width or DEFAULT_TS_WIDTH_SECONDS) * 1_000_000
+        return F.timestamp_micros(F.lit(chunk * w)).cast(dtype)
+    return F.lit(chunk * (width or 1))
+
+
 @dataclass(frozen=True)
 class Framed:
     """A framed series: ``df`` carries the helper columns listed in ``HELPERS``."""
@@ -149,6 +160,14 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
         stats = stats.select(*keys, CHUNK, START, TOTAL, p.cast("long").alias(_P_LO),
                              p_hi.cast("long").alias(_P_HI), F.lit(True).alias("_own_chunk"))
     stats = scratch_table(stats, "series-chunks")
+    if latest:
+        # No kept chunk starts before the earliest kept chunk, so this bound
+        # drops no needed row.  It folds to a literal of the ordering column's
+        # type, reaches the Parquet scan as a pushed filter and skips the row
+        # groups of old history (the store writes rows in date order).
+        first = stats.agg(F.min(CHUNK)).first()[0]
+        if first is not None:
+            base = base.where(F.col(order) >= chunk_start(df, order, int(first), width))
 
     joined = base.join(stats, [*keys, CHUNK], "inner")
     if latest:

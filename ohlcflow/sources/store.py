@@ -97,7 +97,13 @@ def save_bars(df: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, timefram
         # materialize before overwriting the files it was read from
         keep = keep.checkpoint(eager=True)
         new = new.unionByName(keep.select(*new.columns))
-    (new.repartition(*parts).write.mode("overwrite")
+    # A bucket may hold a hot symbol, so each bucket is spread over its years
+    # (one task per bucket-year, not per bucket).  Rows are written in date
+    # order, so row groups carry narrow date ranges and a scan that needs only
+    # recent bars (the snapshot plan's date cut-off) skips the old ones.
+    (new.repartition(*parts, F.year("date"))
+        .sortWithinPartitions("date", "symbol")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts).parquet(path))
 

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from ohlcflow.plans import predicates as P
 from ohlcflow.plans.scan import scan
@@ -88,3 +90,21 @@ def test_block_rolling_equals_native_frames(spark, monkeypatch):
                           .otherwise(0)).alias(a) for a, b in checks]).collect()[0].asDict()
     assert all(v == 0 for v in bad.values()), bad
     assert out.where(F.col("b_avg_252").isNotNull()).count() > 0
+
+
+def test_snapshot_pushes_a_date_cutoff_to_the_scan(spark):
+    text = _plan(scan(_stored(spark), [P.trend_template()]))
+    assert "GreaterThanOrEqual(date," in text, text
+
+
+def test_chunk_start_inverts_chunk_column(spark):
+    import datetime as dt
+    from ohlcflow.operators.series import chunk_column, chunk_start
+    days = spark.createDataFrame([(dt.date(1999, 12, 31),), (dt.date(2024, 2, 29),), (dt.date(1970, 1, 1),)], "d date")
+    stamps = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 1),), (dt.datetime(1999, 1, 1, 0, 0, 0),)],
+                                   "t timestamp_ntz")
+    for df, col in ((days, "d"), (stamps, "t")):
+        for (k, value) in df.select(chunk_column(df, col), col).collect():
+            start = df.select(chunk_start(df, col, int(k)).alias(col)).limit(1)
+            row = start.select(chunk_column(start, col).alias("k"), F.col(col)).first()
+            assert row["k"] == k and row[col] <= value
