@@ -247,23 +247,25 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
 # every row (O(rows x width)).  Wide frames (sum / avg / max / min over n rows)
 # are cut into blocks instead: a native frame over the last b rows (S_b) is
 # read back at offsets 0, b, 2b, ... by lag(), and the n mod b rows left over
-# are one more short native frame, so a row costs about 2b + n/b steps
-# instead of n.  Measured on the trend template (windows of 50..252 rows,
-# sf0.1, interleaved runs): 1.5 s instead of 2.8 s over every bar, 1.4 s
-# instead of 1.6 s on the snapshot.  The parts are disjoint, so sums are plain
-# sums of partial sums: no running-sum subtraction (no cancellation), and NaN
-# or infinities outside the window cannot leak in.  S_b and the running
-# non-null count are shared by all windows over the same input (one b for
-# all widths up to ~570 rows, so sma_50 / sma_150 / sma_200 share one S_b)
-# and are dropped by ``Framed.finish``.
+# are one more short native frame.  Measured on local[8]: one window frame
+# (a lag included) costs about as much per row as ten aggregate updates, so
+# a row costs about 10 n/b + b + (n mod b) update-equivalents, least near
+# b = sqrt(10 n); for the trend template (windows of 50..252 rows, sf0.1,
+# interleaved runs) that is 1.3 s instead of 2.8 s over every bar.  The parts
+# are disjoint, so sums are plain sums of partial sums: no running-sum
+# subtraction (no cancellation), and NaN or infinities outside the window
+# cannot leak in.  S_b and the running non-null count are shared by all
+# windows over the same input (one b = 48 for widths up to ~300 rows, so
+# sma_50 / sma_150 / sma_200 share one S_b) and are dropped by ``Framed.finish``.
 NATIVE_FRAME_MAX_ROWS = 32
-MIN_BLOCK_ROWS = 16
+MIN_BLOCK_ROWS = 48
+BLOCK_STEP = 16
 _NATIVE = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 
 def block_rows(n: int) -> int:
-    """b ~ sqrt(n) (minimizes b + n/b), in steps of ``MIN_BLOCK_ROWS`` so nearby widths share a block."""
-    return MIN_BLOCK_ROWS * max(1, round(math.sqrt(n) / MIN_BLOCK_ROWS))
+    """b ~ sqrt(10 n), in steps of ``BLOCK_STEP`` so that nearby widths share a block."""
+    return max(MIN_BLOCK_ROWS, BLOCK_STEP * round(math.sqrt(10 * n) / BLOCK_STEP))
 
 
 def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out: str,
