@@ -19,17 +19,24 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import Framed, ewm, ewm_lookback, frame, lag, roll, rolling
+from .series import IDX, PART, TOTAL, Framed, ewm, ewm_lookback, frame, lag, roll, rolling
 
 Apply = Callable[[Framed, DataFrame], DataFrame]
 
 
+# Latest-row form: given ``back`` (rows before the latest bar: 0 is the latest
+# bar, 1 the one before ...), the aggregate Columns that give the indicator's
+# value on the latest bar.  See ``snapshot_with``.
+Latest = Callable[[F.Column], dict]
+
+
 @dataclass(frozen=True)
 class Indicator:
     name: str
     lookback: int
     apply: Apply = field(compare=False, repr=False)
     outputs: tuple[str, ...] = ()
+    latest: Latest | None = field(default=None, compare=False, repr=False)
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -58,13 +65,25 @@ def rsi_from(gain: str, loss: str) -> F.Column:
              .otherwise(100.0 - 100.0 / (1.0 + g / lo)))
 
 
+def last_rows(back: F.Column, n: int, x, agg) -> F.Column:
+    """``agg`` of ``x`` over the ``n`` rows ending at ``back == 0``; NULL unless all ``n`` are non-null."""
+    v = F.when((back >= 0) & (back < n), x if isinstance(x, F.Column) else F.col(x))
+    return F.when(F.count(v) == n, agg(v))
+
+
+def row_at(back: F.Column, k: int, x) -> F.Column:
+    """The value of ``x`` ``k`` rows before ``back == 0`` (NULL if there is no such row)."""
+    return F.max(F.when(back == k, x if isinstance(x, F.Column) else F.col(x)))
+
+
 # ---------------------------------------------------------------------------
 # Indicator constructors
 # ---------------------------------------------------------------------------
 
 def sma(period: int, col: str = "close", name: str | None = None) -> Indicator:
     out = name or f"sma_{period}"
-    return Indicator(out, period - 1, lambda fr, df: rolling(fr, df, "avg", col, period, out))
+    return Indicator(out, period - 1, lambda fr, df: rolling(fr, df, "avg", col, period, out),
+                     latest=lambda back: {out: last_rows(back, period, F.col(col).cast("double"), F.avg)})
 
 
 def ema(period: int, col: str = "close", name: str | None = None) -> Indicator:
@@ -106,7 +125,8 @@ def atr(period: int = 14, name: str | None = None) -> Indicator:
 
 def adr(period: int = 20, name: str | None = None) -> Indicator:
     out = name or f"adr_{period}"
-    return Indicator(out, period - 1, lambda fr, df: rolling(fr, df, "avg", range_pct(), period, out))
+    return Indicator(out, period - 1, lambda fr, df: rolling(fr, df, "avg", range_pct(), period, out),
+                     latest=lambda back: {out: last_rows(back, period, range_pct(), F.avg)})
 
 
 def rvol(period: int = 20) -> Indicator:
@@ -115,7 +135,10 @@ def rvol(period: int = 20) -> Indicator:
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
         return (rolling(fr, df, "avg", "volume", period, avg_name)
                   .withColumn(out, F.try_divide(F.col("volume").cast("double"), F.col(avg_name))))
-    return Indicator(out, period - 1, apply, (avg_name, out))
+    def latest(back: F.Column) -> dict:
+        avg = last_rows(back, period, F.col("volume").cast("double"), F.avg)
+        return {avg_name: avg, out: F.try_divide(row_at(back, 0, F.col("volume").cast("double")), avg)}
+    return Indicator(out, period - 1, apply, (avg_name, out), latest)
 
 
 def extrema(period: int = 252) -> Indicator:
@@ -123,20 +146,25 @@ def extrema(period: int = 252) -> Indicator:
 
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
         return rolling(fr, rolling(fr, df, "max", "high", period, hi), "min", "low", period, lo)
-    return Indicator(f"extrema_{period}", period - 1, apply, (hi, lo))
+    return Indicator(f"extrema_{period}", period - 1, apply, (hi, lo),
+                     lambda back: {hi: last_rows(back, period, "high", F.max),
+                                   lo: last_rows(back, period, "low", F.min)})
 
 
 def rolling_min(period: int, col: str, name: str) -> Indicator:
-    return Indicator(name, period - 1, lambda fr, df: rolling(fr, df, "min", col, period, name))
+    return Indicator(name, period - 1, lambda fr, df: rolling(fr, df, "min", col, period, name),
+                     latest=lambda back: {name: last_rows(back, period, col, F.min)})
 
 
 def rolling_max(period: int, col: str, name: str) -> Indicator:
-    return Indicator(name, period - 1, lambda fr, df: rolling(fr, df, "max", col, period, name))
+    return Indicator(name, period - 1, lambda fr, df: rolling(fr, df, "max", col, period, name),
+                     latest=lambda back: {name: last_rows(back, period, col, F.max)})
 
 
 def shifted(col: str, k: int = 1, name: str | None = None) -> Indicator:
     out = name or f"{col}_lag{k}"
-    return Indicator(out, k, lambda fr, df: df.withColumn(out, lag(fr, col, k)))
+    return Indicator(out, k, lambda fr, df: df.withColumn(out, lag(fr, col, k)),
+                     latest=lambda back: {out: row_at(back, k, col)})
 
 
 def prev_high() -> Indicator:
@@ -145,7 +173,8 @@ def prev_high() -> Indicator:
 
 def diff(col: str = "close", name: str | None = None) -> Indicator:
     out = name or f"{col}_diff"
-    return Indicator(out, 1, lambda fr, df: df.withColumn(out, F.col(col) - lag(fr, col, 1)))
+    return Indicator(out, 1, lambda fr, df: df.withColumn(out, F.col(col) - lag(fr, col, 1)),
+                     latest=lambda back: {out: row_at(back, 0, col) - row_at(back, 1, col)})
 
 
 def lagged(base: Indicator, k: int, name: str) -> Indicator:
@@ -158,7 +187,12 @@ def lagged(base: Indicator, k: int, name: str) -> Indicator:
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
         df = base.apply(fr, df)
         return df.withColumn(name, lag(fr, src, k)).drop(*base.columns)
-    return Indicator(name, base.lookback + k, apply)
+    latest = None
+    if base.latest is not None:
+        # the base's latest form, evaluated k rows earlier
+        def latest(back: F.Column) -> dict:
+            return {name: base.latest(back - k)[src]}
+    return Indicator(name, base.lookback + k, apply, (), latest)
 
 
 def sma_200_1m_ago() -> Indicator:
@@ -168,7 +202,8 @@ def sma_200_1m_ago() -> Indicator:
 def rolling_stddev(period: int, col: str = "close", name: str | None = None) -> Indicator:
     out = name or f"std_{period}"
     return Indicator(out, period - 1,
-                     lambda fr, df: df.withColumn(out, roll(fr, F.stddev_pop, col, period)))
+                     lambda fr, df: df.withColumn(out, roll(fr, F.stddev_pop, col, period)),
+                     latest=lambda back: {out: last_rows(back, period, F.col(col).cast("double"), F.stddev_pop)})
 
 
 def common_suite() -> list[Indicator]:
@@ -203,6 +238,36 @@ def frame_with(bars: DataFrame, indicators, *, keys=("symbol",), order="date", l
     return fr.with_df(df)
 
 
+def snapshot_with(bars: DataFrame, indicators, *, keys=("symbol",), order="date",
+                  width: int | None = None) -> DataFrame | None:
+    """The latest bar of each symbol with the indicators' values on it, as one aggregate.
+
+    The snapshot framing already holds, per symbol, only the rows the longest
+    lookback needs, in one partition.  Instead of evaluating windows on every
+    one of those rows and keeping the last, each indicator's latest-row form
+    is a conditional aggregate over them (``avg(close) over the last 50 rows``
+    becomes ``avg(close) FILTER (back < 50)``), and the bar columns are taken
+    with ``max_by(c, row index)``.  The aggregate runs in the framing's
+    partitions (no further exchange) inside whole-stage codegen.  Returns
+    None when an indicator has no latest form (EWM-based ones); callers then
+    use the window plan, which gives the same values."""
+    inds = dedupe(indicators)
+    if any(i.latest is None for i in inds):
+        return None
+    lookback = max([i.lookback for i in inds] + [1])
+    fr = frame(bars, lookback, keys=tuple(keys), order=order, latest=True, width=width)
+    back = F.col(TOTAL) - 1 - F.col(IDX)
+    columns = [c for c in bars.columns if c not in keys]
+    aggs = [F.max_by(c, IDX).alias(c) for c in columns]
+    seen = set(columns)
+    for ind in inds:
+        for name, col in ind.latest(back).items():
+            if name not in seen:
+                seen.add(name)
+                aggs.append(col.alias(name))
+    return fr.df.groupBy(*keys, PART).agg(*aggs).drop(PART)
+
+
 def add_indicators(bars: DataFrame, indicators, **kw) -> DataFrame:
     """Bars with indicator columns, every input row exactly once."""
     fr = frame_with(bars, indicators, **kw)

@@ -18,13 +18,15 @@ from .series import Framed, lag, roll, rolling
 def prior_high(n: int) -> I.Indicator:
     """Highest high of the ``n`` rows before the current one *(current excluded: ours)*."""
     name = f"prior_high_{n}"
-    return I.Indicator(name, n, lambda fr, df: rolling(fr, df, "max", "high", n, name, skip=1))
+    return I.Indicator(name, n, lambda fr, df: rolling(fr, df, "max", "high", n, name, skip=1),
+                       latest=lambda back: {name: I.last_rows(back - 1, n, "high", F.max)})
 
 
 def range_min(n: int = 7) -> I.Indicator:
     name = f"range_min_{n}"
     return I.Indicator(name, n - 1,
-                       lambda fr, df: df.withColumn(name, roll(fr, F.min, F.col("high") - F.col("low"), n)))
+                       lambda fr, df: df.withColumn(name, roll(fr, F.min, F.col("high") - F.col("low"), n)),
+                       latest=lambda back: {name: I.last_rows(back, n, F.col("high") - F.col("low"), F.min)})
 
 
 def prev_bar() -> I.Indicator:
@@ -33,7 +35,10 @@ def prev_bar() -> I.Indicator:
                   .withColumn("prev_low", lag(fr, "low", 1))
                   .withColumn("volume_lag1", lag(fr, "volume", 1))
                   .withColumn("volume_lag2", lag(fr, "volume", 2)))
-    return I.Indicator("prev_bar", 2, apply, ("prev_high", "prev_low", "volume_lag1", "volume_lag2"))
+    return I.Indicator("prev_bar", 2, apply, ("prev_high", "prev_low", "volume_lag1", "volume_lag2"),
+                       lambda back: {"prev_high": I.row_at(back, 1, "high"), "prev_low": I.row_at(back, 1, "low"),
+                                     "volume_lag1": I.row_at(back, 1, "volume"),
+                                     "volume_lag2": I.row_at(back, 2, "volume")})
 
 
 def breakout(n: int = 20) -> Predicate:

@@ -35,8 +35,10 @@ def batch_scan(bars: DataFrame, recipes: list[tuple[str, ScanSpec]], *, plan: st
     inds = P.required_indicators(p for ps in preds.values() for p in ps)
     if not inds:
         inds = [I.shifted("close", 1, "_unused_prev_close")]
-    fr = I.frame_with(bars, inds, latest=(plan == "snapshot"))
-    snap = fr.finish(fr.df.where(Framed.is_latest()))
+    snap = I.snapshot_with(bars, inds) if plan == "snapshot" else None
+    if snap is None:
+        fr = I.frame_with(bars, inds, latest=(plan == "snapshot"))
+        snap = fr.finish(fr.df.where(Framed.is_latest()))
     hits = [F.when(F.coalesce(P.all_of(ps).condition, F.lit(False)), F.lit(name))
             for name, ps in preds.items()]
     matched = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")

@@ -8,7 +8,9 @@ Plans:
 
 * ``snapshot`` (default): frame only the tail of each history (last chunk
   plus the rows the longest lookback needs).  Rows older than that are
-  dropped before the shuffle.
+  dropped before the shuffle.  When every indicator has a latest-row form,
+  the values on the latest bar are conditional aggregates over that tail
+  (``indicators.snapshot_with``); EWM-based ones use windows on the tail.
 * ``rolling``: indicators on every bar, then the latest row.  Same result;
   used for history screens and as a cross-check.
 * ``history=True`` (R5): predicates on every bar, not only the latest.
@@ -50,6 +52,10 @@ def scan(bars: DataFrame, criteria=None, *, plan: str = "snapshot", as_of=None,
     if not inds and not history:
         return latest_bars(bars).where(cond)
     latest_only = (plan == "snapshot") and not history
+    if latest_only:
+        snap = I.snapshot_with(bars, inds, width=width)
+        if snap is not None:
+            return snap.where(cond)
     fr = I.frame_with(bars, inds, latest=latest_only, width=width)
     df = fr.df
     if not history:
@@ -96,8 +102,10 @@ def run_spec(bars: DataFrame, spec: ScanSpec, *, plan: str = "snapshot") -> Data
 
 def trend_scorecard(bars: DataFrame, *, plan: str = "snapshot") -> DataFrame:
     """Latest bar of each symbol with the six trend-template checks as booleans."""
-    fr = I.frame_with(bars, I.trend_suite(), latest=(plan == "snapshot"))
-    df = fr.finish(fr.df.where(Framed.is_latest()))
+    df = I.snapshot_with(bars, I.trend_suite()) if plan == "snapshot" else None
+    if df is None:
+        fr = I.frame_with(bars, I.trend_suite(), latest=(plan == "snapshot"))
+        df = fr.finish(fr.df.where(Framed.is_latest()))
     checks = [f().alias(name) for name, f in P.TREND_CHECKS.items()]
     passed = P.trend_template().condition
     return df.select("symbol", "date", *checks, F.coalesce(passed, F.lit(False)).alias("passes"))

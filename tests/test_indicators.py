@@ -106,3 +106,41 @@ def test_large_volume_no_overflow(spark):
     rows = series("V", "2020-01-01", [10.0] * 21, volumes=[big] * 21)
     r = I.add_indicators(make_bars(spark, rows), [I.rvol(20)]).orderBy("date").collect()[-1]
     assert r.rvol_20 == pytest.approx(1.0)
+
+
+def _latest_by_windows(bars, inds):
+    from ohlcflow.operators.series import Framed
+    fr = I.frame_with(bars, inds, latest=False)
+    return fr.finish(fr.df.where(Framed.is_latest()))
+
+
+def _assert_same(a_df, b_df):
+    a = a_df.toPandas().sort_values("symbol").reset_index(drop=True)
+    b = b_df.select(*a_df.columns).toPandas().sort_values("symbol").reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b, rtol=1e-12, check_dtype=False)
+
+
+def test_latest_aggregate_form_equals_windows(small_bars):
+    from ohlcflow.operators import screens as S
+    inds = [I.sma(50), I.sma(150), I.sma(200), I.extrema(252), I.sma_200_1m_ago(), I.rvol(20), I.adr(20),
+            I.prev_high(), I.diff("close"), I.shifted("volume", 2), I.rolling_stddev(20),
+            I.rolling_max(20, "high", "high_20"), S.prior_high(20), S.range_min(7), S.prev_bar()]
+    snap = I.snapshot_with(small_bars, inds)
+    assert snap is not None
+    assert snap.count() == small_bars.select("symbol").distinct().count()
+    _assert_same(snap, _latest_by_windows(small_bars, inds))
+
+
+def test_latest_aggregate_form_short_and_null_histories(spark):
+    # 3 rows (warm-up everywhere), 25 rows with a NULL close inside the 20-row window, 60 clean rows
+    rows = series("S3", "2024-01-01", [10.0, 11.0, 12.0])
+    gappy = series("NUL", "2024-01-01", [20.0 + i for i in range(25)])
+    gappy[15] = gappy[15][:5] + (None,) + gappy[15][6:]
+    rows += gappy + series("OK", "2023-06-01", [30.0 + (i % 7) for i in range(60)])
+    bars = make_bars(spark, rows)
+    inds = [I.sma(20), I.sma(50), I.rvol(20), I.shifted("close", 1), I.diff("close"), I.rolling_stddev(20)]
+    _assert_same(I.snapshot_with(bars, inds), _latest_by_windows(bars, inds))
+
+
+def test_latest_aggregate_form_falls_back_for_ewm(small_bars):
+    assert I.snapshot_with(small_bars, [I.sma(20), I.rsi(14)]) is None
