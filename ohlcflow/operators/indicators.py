@@ -37,6 +37,8 @@ class Indicator:
     apply: Apply = field(compare=False, repr=False)
     outputs: tuple[str, ...] = ()
     latest: Latest | None = field(default=None, compare=False, repr=False)
+    # columns whose previous-row value the latest form reads as ``_prev_<col>``
+    latest_prev: tuple[str, ...] = ()
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -58,9 +60,10 @@ def true_range(fr: Framed) -> F.Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
 
 
-def rsi_from(gain: str, loss: str) -> F.Column:
+def rsi_from(gain, loss) -> F.Column:
     """100 - 100/(1 + g/l) with the IEEE limits spelled out (no division by zero)."""
-    g, lo = F.col(gain), F.col(loss)
+    g = gain if isinstance(gain, F.Column) else F.col(gain)
+    lo = loss if isinstance(loss, F.Column) else F.col(loss)
     return (F.when(lo == 0, F.when(g == 0, F.lit(float("nan"))).otherwise(F.lit(100.0)))
              .otherwise(100.0 - 100.0 / (1.0 + g / lo)))
 
@@ -71,6 +74,23 @@ def last_rows(back: F.Column, n: int, x, agg) -> F.Column:
     return F.when(F.count(v) == n, agg(v))
 
 
+def ewm_at_latest(back: F.Column, x: F.Column, alpha: float) -> F.Column:
+    """The EWM (y0 = x0, yt = a xt + (1-a) y(t-1)) on the latest row, as one sum.
+
+    Unrolled, y_T = sum over t >= 1 of a (1-a)^(T-t) x_t, plus (1-a)^T x_0.
+    Rows more than ``ewm_lookback`` back weigh < 1e-32 and are left out, as
+    in the window form."""
+    if alpha >= 1.0:
+        return row_at(back, 0, x)
+    w = F.when(F.col(IDX) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    inside = (back >= 0) & (back < ewm_lookback(alpha))
+    return F.sum(F.when(inside, w * x * F.pow(F.lit(1.0 - alpha), back)))
+
+
+def previous_close_delta() -> F.Column:
+    return F.col("close") - F.col("_prev_close")
+
+
 def row_at(back: F.Column, k: int, x) -> F.Column:
     """The value of ``x`` ``k`` rows before ``back == 0`` (NULL if there is no such row)."""
     return F.max(F.when(back == k, x if isinstance(x, F.Column) else F.col(x)))
@@ -94,7 +114,8 @@ def ema(period: int, col: str = "close", name: str | None = None) -> Indicator:
         src = f"{out}__x"
         df = df.withColumn(src, F.col(col).cast("double"))
         return ewm(fr, df, src, alpha, out).drop(src)
-    return Indicator(out, ewm_lookback(alpha), apply)
+    return Indicator(out, ewm_lookback(alpha), apply,
+                     latest=lambda back: {out: ewm_at_latest(back, F.col(col).cast("double"), alpha)})
 
 
 def rsi(period: int = 14, col: str = "close", name: str | None = None) -> Indicator:
@@ -109,7 +130,13 @@ def rsi(period: int = 14, col: str = "close", name: str | None = None) -> Indica
         df = ewm(fr, df, g, alpha, ag)
         df = ewm(fr, df, lo, alpha, al)
         return df.withColumn(out, rsi_from(ag, al)).drop(g, lo, ag, al)
-    return Indicator(out, ewm_lookback(alpha) + 1, apply)
+
+    def latest(back: F.Column) -> dict:
+        delta = F.col(col) - F.col(f"_prev_{col}")
+        gain = F.when(delta > 0, delta).otherwise(F.lit(0.0))
+        loss = F.when(delta < 0, -delta).otherwise(F.lit(0.0))
+        return {out: rsi_from(ewm_at_latest(back, gain, alpha), ewm_at_latest(back, loss, alpha))}
+    return Indicator(out, ewm_lookback(alpha) + 1, apply, (), latest, (col,))
 
 
 def atr(period: int = 14, name: str | None = None) -> Indicator:
@@ -120,7 +147,12 @@ def atr(period: int = 14, name: str | None = None) -> Indicator:
         tr = f"{out}__tr"
         df = df.withColumn(tr, true_range(fr))
         return ewm(fr, df, tr, alpha, out).drop(tr)
-    return Indicator(out, ewm_lookback(alpha) + 1, apply)
+
+    def latest(back: F.Column) -> dict:
+        pc = F.col("_prev_close")
+        tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
+        return {out: ewm_at_latest(back, tr, alpha)}
+    return Indicator(out, ewm_lookback(alpha) + 1, apply, (), latest, ("close",))
 
 
 def adr(period: int = 20, name: str | None = None) -> Indicator:
@@ -192,7 +224,7 @@ def lagged(base: Indicator, k: int, name: str) -> Indicator:
         # the base's latest form, evaluated k rows earlier
         def latest(back: F.Column) -> dict:
             return {name: base.latest(back - k)[src]}
-    return Indicator(name, base.lookback + k, apply, (), latest)
+    return Indicator(name, base.lookback + k, apply, (), latest, base.latest_prev)
 
 
 def sma_200_1m_ago() -> Indicator:
@@ -248,14 +280,20 @@ def snapshot_with(bars: DataFrame, indicators, *, keys=("symbol",), order="date"
     is a conditional aggregate over them (``avg(close) over the last 50 rows``
     becomes ``avg(close) FILTER (back < 50)``), and the bar columns are taken
     with ``max_by(c, row index)``.  The aggregate runs in the framing's
-    partitions (no further exchange) inside whole-stage codegen.  Returns
-    None when an indicator has no latest form (EWM-based ones); callers then
-    use the window plan, which gives the same values."""
+    partitions (no further exchange) inside whole-stage codegen; EWMs are a
+    decay-weighted sum (``ewm_at_latest``), RSI and ATR read the previous
+    close from one ``lag``.  Returns None when an indicator has no latest
+    form; callers then use the window plan, which gives the same values."""
     inds = dedupe(indicators)
     if any(i.latest is None for i in inds):
         return None
     lookback = max([i.lookback for i in inds] + [1])
     fr = frame(bars, lookback, keys=tuple(keys), order=order, latest=True, width=width)
+    rows = fr.df
+    prev = sorted({c for i in inds for c in i.latest_prev})
+    if prev:
+        # one lag per column, in the row-index window operator (same partition and order)
+        rows = rows.withColumns({f"_prev_{c}": lag(fr, c, 1) for c in prev})
     back = F.col(TOTAL) - 1 - F.col(IDX)
     columns = [c for c in bars.columns if c not in keys]
     aggs = [F.max_by(c, IDX).alias(c) for c in columns]
@@ -265,7 +303,7 @@ def snapshot_with(bars: DataFrame, indicators, *, keys=("symbol",), order="date"
             if name not in seen:
                 seen.add(name)
                 aggs.append(col.alias(name))
-    return fr.df.groupBy(*keys, PART).agg(*aggs).drop(PART)
+    return rows.groupBy(*keys, PART).agg(*aggs).drop(PART)
 
 
 def add_indicators(bars: DataFrame, indicators, **kw) -> DataFrame:

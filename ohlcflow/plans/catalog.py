@@ -316,6 +316,25 @@ def q_ind_lag_diff(spark, sf):
     return r4(df.select("symbol", "date", "prev_high", "close_diff", "sma_200_1m_ago"), "sma_200_1m_ago")
 
 
+EWM_LATEST = P.Predicate("ewm_latest", (I.ema(20), I.rsi(14), I.atr(14)), lambda: F.lit(True))
+
+
+@register("scan_latest_ewm", with_bars(
+    "SELECT b.symbol, b.date, b.close, (round((em.y) * 10000) / 10000 + 0.0) AS ema_20, "
+    "(round((rsi.rsi) * 10000) / 10000 + 0.0) AS rsi_14, (round((a.y) * 10000) / 10000 + 0.0) AS atr_14 "
+    f"FROM (SELECT *, {LATEST} FROM bars) b "
+    "JOIN e ON e.symbol = b.symbol AND e.date = b.date JOIN em_rec em ON em.symbol = e.symbol AND em.i = e.i "
+    "JOIN rsi ON rsi.symbol = b.symbol AND rsi.date = b.date "
+    "JOIN n ON n.symbol = b.symbol AND n.date = b.date JOIN a_rec a ON a.symbol = n.symbol AND a.i = n.i "
+    "WHERE b.rn = 1 AND NOT isnan(rsi.rsi)",
+    *rsi_sql_ctes(14), numbered("e", "close"), *ewm_ctes(2.0 / 21.0, "e", "em"),
+    numbered("n", TR_SQL), *ewm_ctes(1.0 / 14.0, "n", "a"), recursive=True))
+def q_scan_latest_ewm(spark, sf):
+    """EMA / RSI / ATR on the latest bar (snapshot plan: decay-weighted sums over the tail)."""
+    df = scan(bars(spark, sf), [EWM_LATEST]).where(~F.isnan("rsi_14"))
+    return r4(df.select("symbol", "date", "close", "ema_20", "rsi_14", "atr_14"), "ema_20", "rsi_14", "atr_14")
+
+
 # ---------------------------------------------------------------------------
 # Resampling and chart data (A4, A5, R-D, R-I, R-P, R-M, P3, I12)
 # ---------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import make_bars, series
 from ohlcflow.operators import indicators as I
@@ -142,5 +143,15 @@ def test_latest_aggregate_form_short_and_null_histories(spark):
     _assert_same(I.snapshot_with(bars, inds), _latest_by_windows(bars, inds))
 
 
-def test_latest_aggregate_form_falls_back_for_ewm(small_bars):
-    assert I.snapshot_with(small_bars, [I.sma(20), I.rsi(14)]) is None
+def test_latest_aggregate_form_of_ewms_equals_windows(small_bars):
+    inds = [I.ema(20), I.ema(1), I.rsi(14), I.rsi(2), I.atr(14), I.atr(5),
+            I.lagged(I.ema(10, name="ema_10__base"), 3, "ema_10_3ago"), I.sma(50)]
+    a = I.snapshot_with(small_bars, inds).toPandas().sort_values("symbol").reset_index(drop=True)
+    b = _latest_by_windows(small_bars, inds).select(*a.columns).toPandas().sort_values("symbol").reset_index(drop=True)
+    for c in ("ema_20", "ema_1", "rsi_14", "rsi_2", "atr_14", "atr_5", "ema_10_3ago"):
+        assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-10, atol=1e-10, equal_nan=True), c
+
+
+def test_latest_aggregate_form_falls_back_without_one(small_bars):
+    plain = I.Indicator("close_copy", 0, lambda fr, df: df.withColumn("close_copy", F.col("close")))
+    assert I.snapshot_with(small_bars, [I.sma(20), plain]) is None
