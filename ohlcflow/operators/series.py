@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,15 +89,16 @@ class Framed:
     order: str
     lookback: int
 
-    @property
+    @cached_property
     def window(self) -> Window:
+        # built once: every indicator column reuses this spec
         return Window.partitionBy(*self.keys, PART).orderBy(self.order)
 
     def rows(self, n: int) -> Window:
         """Frame of the current row and the ``n - 1`` rows before it."""
         return self.window.rowsBetween(-(n - 1), 0)
 
-    @property
+    @cached_property
     def running(self) -> Window:
         return self.window.rowsBetween(Window.unboundedPreceding, 0)
 
