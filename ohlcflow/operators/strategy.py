@@ -97,28 +97,32 @@ def forward_trades(bars: DataFrame, horizons=(5,), n: int = 20) -> DataFrame:
 def performance(trades: DataFrame) -> DataFrame:
     """P-PM per strategy: trades, win rate, expectancy, total and annual growth, max drawdown.
 
-    The equity curve is built per (strategy, exit date) after a pre-aggregation,
-    so the running-maximum window holds one row per calendar day, not per trade."""
+    Trades are pre-aggregated per (strategy, exit date) (counts, wins, sum of
+    returns, sum of log growth), so the equity curve's running-maximum window
+    holds one row per calendar day, not per trade, and the per-strategy
+    figures are sums of those daily parts: one aggregation chain, no join."""
+    ret = F.col("ret")
     daily = (trades.groupBy("strategy", "exit_date")
-                   .agg(F.sum(F.log1p(F.col("ret"))).alias("_lr"), F.count(F.lit(1)).alias("_n")))
+                   .agg(F.sum(F.log1p(ret)).alias("_lr"), F.count(F.lit(1)).alias("_n"),
+                        F.sum(F.when(ret > 0, 1.0).otherwise(0.0)).alias("_wins"),
+                        F.sum(ret).alias("_sret"), F.count(ret).alias("_nret")))
     w = Window.partitionBy("strategy").orderBy("exit_date")
     curve = (daily.withColumn("_cum", F.sum("_lr").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                   .withColumn("_peak", F.greatest(F.lit(0.0), F.max("_cum").over(
                       w.rowsBetween(Window.unboundedPreceding, 0))))
                   .withColumn("_dd", F.exp(F.col("_cum") - F.col("_peak")) - 1.0))
-    dd = curve.groupBy("strategy").agg(
+    per = curve.groupBy("strategy").agg(
+        F.sum("_n").alias("n_trades"), F.sum("_wins").alias("_wins"),
+        F.sum("_sret").alias("_sret"), F.sum("_nret").alias("_nret"),
         F.min("_dd").alias("max_drawdown"), F.sum("_lr").alias("_total_lr"),
         F.min("exit_date").alias("_first"), F.max("exit_date").alias("_last"))
-    stats = trades.groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("n_trades"),
-        F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        F.avg("ret").alias("expectancy"))
     years = F.greatest(F.datediff("_last", "_first") / 365.25, F.lit(1.0 / 365.25))
-    return (stats.join(dd, "strategy")
-                 .select("strategy", "n_trades", "win_rate", "expectancy",
-                         (F.exp("_total_lr") - 1.0).alias("total_return"),
-                         (F.exp(F.col("_total_lr") / years) - 1.0).alias("cagr"),
-                         "max_drawdown"))
+    return per.select("strategy", "n_trades",
+                      F.try_divide(F.col("_wins"), F.col("n_trades").cast("double")).alias("win_rate"),
+                      F.try_divide(F.col("_sret"), F.col("_nret").cast("double")).alias("expectancy"),
+                      (F.exp("_total_lr") - 1.0).alias("total_return"),
+                      (F.exp(F.col("_total_lr") / years) - 1.0).alias("cagr"),
+                      "max_drawdown")
 
 
 def param_sweep(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, split_date: str = "1999-01-01") -> DataFrame:
