@@ -1,8 +1,9 @@
 """A1: latest bar of every symbol (optionally as of a date).
 
-A hash aggregate with ``max_by`` on a struct: the map side keeps one
-candidate per symbol per task, so even a symbol holding a third of all rows
-sends one row per map task through the shuffle.
+One aggregate with ``max_by`` on a struct (planned as a sort aggregate:
+struct buffers are not fixed-width).  Its partial step keeps one candidate
+per symbol per map task, so even a symbol holding a third of all rows sends
+one row per map task through the shuffle, and the input is read once.
 """
 
 from __future__ import annotations
