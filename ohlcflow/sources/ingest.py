@@ -2,10 +2,12 @@
 
 Landing layout: one CSV per symbol, ``<dir>/<SYMBOL>.csv``, with a header row
 and at least ``date, open, high, low, close, volume`` in any column order
-(extra columns are ignored).  Each file is read as one value (a daily
-history is a few MB at most), its header maps fields by name, and rows are
-typed with ``try_*`` casts.  A symbol with any unparseable date yields no
-bars at all (all-or-nothing, like a failed fetch); other symbols continue.
+(extra columns are ignored).  Files are read line by line with the text
+source, which splits large files over many tasks (no file is ever one row
+or one task).  Each file's header line is joined back to its data lines by
+file, so fields are matched by name; rows are typed with ``try_*`` casts.
+A symbol with any unparseable date yields no bars at all (all-or-nothing,
+like a failed fetch); other symbols continue.
 
 ``sync_status`` is the per-symbol result table of a bulk sync:
 (symbol, ok, message, dollar_volume) with the screener's messages.
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.liquidity import LOOKBACK_DAYS, VOLUME_THRESHOLD, dollar_volume
+from ..session import scratch_table
 from .store import canonical, save_bars
 
 # Status messages of a sync.
@@ -27,22 +30,26 @@ MSG_EMPTY = "Failed to fetch or empty data"
 FIELDS = ("date", "open", "high", "low", "close", "volume")
 
 
+def _symbol_of(path_col) -> F.Column:
+    return F.upper(F.regexp_extract(F.url_decode(path_col), r"([^/]+)\.csv$", 1))
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed landing rows: (symbol, line_no, date, open, high, low, close, volume, bad_date)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    files = raw.select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("value"))
-    # 0-byte files produce no split and hence no row; the file index (driver-side
-    # metadata Spark lists for any read) still names them, so they come back as "".
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string")
-    files = files.unionByName(listed.join(files.select("path"), "path", "left_anti")
-                                    .withColumn("value", F.lit("")))
-    lines = F.split(F.col("value"), r"\r?\n")
-    header = F.split(F.lower(F.trim(F.element_at(lines, 1))), r"\s*,\s*")
-    sym = F.upper(F.regexp_extract(F.url_decode(F.col("path")), r"([^/]+)\.csv$", 1))
-    per_file = files.select(sym.alias("symbol"), header.alias("_hdr"),
-                            F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))),
-                                     lambda x: F.trim(x) != "").alias("_rows"))
-    rows = per_file.select("symbol", "_hdr", F.posexplode_outer("_rows").alias("line_no", "_line"))
+    """Parsed landing rows: (symbol, date, open, high, low, close, volume, bad_date, _empty).
+
+    A file's header is its line naming a ``date`` column (data lines hold
+    values, never that name).  Headers are one row per file, written as a
+    small table (broadcast on its measured size, shuffle-joined beyond) and
+    joined to the data lines by file.  Lines of a file without a header
+    cannot be mapped and count as bad.  Files without any data line (0-byte
+    or header-only) come back as one ``_empty`` row of their symbol."""
+    raw = (spark.read.format("text").option("pathGlobFilter", "*.csv").load(path)
+                .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_line")))
+    tokens = F.split(F.lower(F.trim(F.col("_line"))), r"\s*,\s*")
+    is_header = F.array_contains(tokens, "date")
+    headers = scratch_table(raw.where(is_header).groupBy("_path").agg(F.min(tokens).alias("_hdr")),
+                            "landing-headers")
+    data = raw.where(~is_header & (F.trim(F.col("_line")) != "")).join(headers, "_path", "left")
     fields = F.split(F.col("_line"), ",")
     entries = F.transform(F.col("_hdr"), lambda h, i: F.struct(h.alias("k"), F.try_element_at(fields, i + 1).alias("v")))
     m = F.map_from_entries(F.filter(entries, lambda e: e["k"] != ""))
@@ -54,22 +61,35 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     date = F.try_to_date(date_txt, "yyyy-MM-dd")
     # strict %Y-%m-%d: the text must round-trip (rejects 2026-1-5 and trailing junk)
     strict = date.isNotNull() & (F.date_format(date, "yyyy-MM-dd") == date_txt)
-    return rows.select(
-        "symbol", "line_no",
+    rows = data.select(
+        _symbol_of(F.col("_path")).alias("symbol"),
         F.when(strict, date).alias("date"),
         *[val(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close")],
         F.floor(val("volume").try_cast("double")).cast("bigint").alias("volume"),
-        (F.col("_line").isNotNull() & ~strict).alias("bad_date"),
-        F.col("_line").isNull().alias("_empty"),
-    )
+        (~F.coalesce(strict, F.lit(False))).alias("bad_date"),
+        F.lit(False).alias("_empty"))
+    # every listed file (driver-side file index: names only, as for any read)
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string") \
+        .select(_symbol_of(F.col("path")).alias("symbol")).distinct()
+    # symbols with data: a partial (map-side) distinct, so a hot symbol sends
+    # one row per map task, not all its lines, into the anti join
+    present = rows.select("symbol").distinct()
+    empty = (listed.join(present, "symbol", "left_anti")
+                   .select("symbol", *[F.lit(None).cast(t).alias(c) for c, t in
+                                       (("date", "date"), ("open", "double"), ("high", "double"),
+                                        ("low", "double"), ("close", "double"), ("volume", "bigint"))],
+                           F.lit(False).alias("bad_date"), F.lit(True).alias("_empty")))
+    return rows.unionByName(empty)
 
 
 def landing_bars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good bars, rejected symbols).  A symbol with any bad date is rejected whole."""
     parsed = read_landing(spark, path)
-    per_symbol = parsed.groupBy("symbol").agg(
+    # one row per symbol, written: the semi join below broadcasts it on its
+    # measured size (shuffle join beyond) instead of shuffling every line
+    per_symbol = scratch_table(parsed.groupBy("symbol").agg(
         F.max(F.col("bad_date").cast("int")).alias("_bad"),
-        F.count(F.when(~F.col("_empty"), 1)).alias("_rows"))
+        F.count(F.when(~F.col("_empty"), 1)).alias("_rows")), "landing-symbols")
     good_syms = per_symbol.where((F.col("_bad") == 0) & (F.col("_rows") > 0)).select("symbol")
     good = canonical(parsed.where(~F.col("_empty")).join(good_syms, "symbol", "left_semi"))
     rejected = per_symbol.where((F.col("_bad") > 0) | (F.col("_rows") == 0)).select(
