@@ -86,3 +86,17 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/ohlcflow-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_scratch_tables(spark: SparkSession) -> bool:
+    """Delete every table ``scratch_table`` wrote under this session's checkpoint folder.
+
+    DataFrames built on them read those files lazily, so call this only after
+    the job's last action.  Returns whether the folder existed."""
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        return False
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/ohlcflow-tables")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))

@@ -108,3 +108,11 @@ def test_chunk_start_inverts_chunk_column(spark):
             start = df.select(chunk_start(df, col, int(k)).alias(col)).limit(1)
             row = start.select(chunk_column(start, col).alias("k"), F.col(col)).first()
             assert row["k"] == k and row[col] <= value
+
+
+def test_drop_scratch_tables(spark):
+    from ohlcflow.session import drop_scratch_tables, scratch_table
+    t = scratch_table(spark.range(3), "probe")
+    assert t.count() == 3
+    assert drop_scratch_tables(spark)
+    assert not drop_scratch_tables(spark)
