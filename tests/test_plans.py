@@ -116,3 +116,20 @@ def test_drop_scratch_tables(spark):
     assert t.count() == 3
     assert drop_scratch_tables(spark)
     assert not drop_scratch_tables(spark)
+
+
+FORBIDDEN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+                   "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def test_no_registered_query_plans_pairs_or_python(spark):
+    """Every registered query: no cross product, no nested-loop join, no Python evaluation."""
+    from conftest import SF_SMALL
+    from ohlcflow.plans import catalog
+    bad = {}
+    for name, fn in catalog.QUERIES.items():
+        text = _plan(fn(spark, SF_SMALL))
+        found = [n for n in FORBIDDEN_NODES if n in text]
+        if found:
+            bad[name] = found
+    assert not bad, bad
