@@ -10,6 +10,8 @@ max/min, sum), and partial aggregation runs before the state store shuffle.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,27 @@ def stream_resample(ticks: DataFrame, timeframe: str = "15 minutes", watermark:
                       "open", "high", "low", "close", "volume")
 
 
+def _checkpoint_for(spark: SparkSession, sink: str) -> str:
+    conf = spark.sparkContext.getConf()
+    root = (spark.conf.get("spark.sql.streaming.checkpointLocation", None)
+            or spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None))
+    if not root:
+        # local runs only: ensure_checkpoint_dir refuses a driver-local folder on a cluster
+        root = ensure_checkpoint_dir(spark)
+    # a stable name (Python's hash() of a string changes between processes)
+    return f"{root.rstrip('/')}/stream-resample-{hashlib.sha1(sink.encode()).hexdigest()[:16]}"
+
+
 def run_to_parquet(spark: SparkSession, source: str, sink: str, *, timeframe: str = "15 minutes",
                    watermark: str = "10 minutes", checkpoint: str | None = None) -> None:
     """Process everything available in ``source`` and append closed buckets to ``sink``.
 
-    The checkpoint lives under the session's shared checkpoint folder unless
-    given, so a restarted job resumes from committed offsets and state."""
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-resample-{abs(hash(sink))}"
+    Unless given, the checkpoint is a folder named after the sink below the
+    session's streaming checkpoint root (``spark.sql.streaming.checkpointLocation``)
+    or its shared ``spark.checkpoint.dir``: the same sink maps to the same
+    folder in every run, so a restarted job resumes from committed offsets
+    and state."""
+    ckpt = checkpoint or _checkpoint_for(spark, sink)
     q = (stream_resample(read_tick_stream(spark, source), timeframe, watermark)
          .writeStream.format("parquet").outputMode("append")
          .option("path", sink).option("checkpointLocation", ckpt)
