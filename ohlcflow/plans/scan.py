@@ -63,6 +63,19 @@ def scan(bars: DataFrame, criteria=None, *, plan: str = "snapshot", as_of=None,
     return fr.finish(df).where(cond)
 
 
+def scan_store(spark, path: str, criteria=None, *, plan: str = "snapshot", as_of=None,
+               history: bool = False) -> DataFrame:
+    """``scan`` over a bar store; a latest-bar scan reads the store's tail table when it has one."""
+    from ..sources.store import read_bars, snapshot_bars
+    preds = _preds(criteria)
+    if plan == "snapshot" and not history and as_of is None:
+        lookback = max([i.lookback for i in I.dedupe(P.required_indicators(preds))] + [1])
+        bars = snapshot_bars(spark, path, lookback)
+    else:
+        bars = read_bars(spark, path)
+    return scan(bars, preds, plan=plan, as_of=as_of, history=history)
+
+
 def sort_results(df: DataFrame, by: str = "symbol") -> DataFrame:
     """O2: sort by ``by`` if present (else unsorted); descending for the
     activity columns, NULLs first in both directions, symbol breaks ties."""

@@ -22,6 +22,9 @@ from ..schema import BAR_COLUMNS, BAR_SCHEMA
 BUCKET = "bucket"
 TIMEFRAME = "timeframe"
 DEFAULT_BUCKETS = 64
+# rows per symbol kept in the store's tail table (below the window-group limit
+# and above every snapshot lookback of the catalogue: trend 272, RSI(14) 995)
+TAIL_ROWS = 1000
 
 
 def bucket_of(symbol_col, buckets: int = DEFAULT_BUCKETS):
@@ -106,6 +109,53 @@ def save_bars(df: DataFrame, path: str, buckets: int = DEFAULT_BUCKETS, timefram
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts).parquet(path))
+    if _exists(spark, tail_path(path)):
+        # keep the tail table in step: the touched partitions' symbols are all in ``new``
+        (tail_of(new, keys=_tail_keys(new)).repartition(*parts).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*parts).parquet(tail_path(path)))
+
+
+# ---------------------------------------------------------------------------
+# Tail table: the last TAIL_ROWS bars of every symbol, for latest-bar scans
+# ---------------------------------------------------------------------------
+
+def tail_path(path: str) -> str:
+    # a leading underscore hides it from reads of the store itself
+    return f"{path.rstrip('/')}/_tail{TAIL_ROWS}"
+
+
+def _tail_keys(df: DataFrame) -> tuple[str, ...]:
+    return (TIMEFRAME, "symbol") if TIMEFRAME in df.columns else ("symbol",)
+
+
+def tail_of(bars: DataFrame, rows: int | None = None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """At least the last ``rows`` bars of every symbol (whole time chunks).
+
+    Chosen by the snapshot framing's chunk statistics and a broadcast join,
+    not by a per-symbol top-k over the history, so a hot symbol never meets
+    one task with its whole history."""
+    from ..operators.series import frame
+    fr = frame(bars, (rows or TAIL_ROWS) - 1, keys=keys, latest=True)
+    return fr.df.select(*bars.columns)
+
+
+def build_tail(spark: SparkSession, path: str) -> None:
+    """(Re)build the tail table of the store at ``path``; ``save_bars`` keeps it current after that."""
+    store = _read_store(spark, path)
+    parts = [TIMEFRAME, BUCKET] if TIMEFRAME in store.columns else [BUCKET]
+    (tail_of(store, keys=_tail_keys(store)).repartition(*parts).write.mode("overwrite")
+        .partitionBy(*parts).parquet(tail_path(path)))
+
+
+def snapshot_bars(spark: SparkSession, path: str, lookback: int) -> DataFrame:
+    """Bars for a latest-bar scan whose indicators look back ``lookback`` rows.
+
+    The tail table when it exists and covers the lookback (a scan over it
+    gives the same latest-bar values as over the whole store), else the store."""
+    if lookback < TAIL_ROWS and _exists(spark, tail_path(path)):
+        return canonical(_read_store(spark, tail_path(path)))
+    return read_bars(spark, path)
 
 
 def _read_store(spark: SparkSession, path: str) -> DataFrame:

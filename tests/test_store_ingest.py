@@ -91,3 +91,45 @@ def test_timeframe_store(spark):
     S.save_bars(make_bars(spark, series("AAA", "2024-03-01", [7.0])), path, buckets=2, timeframe="1d")
     assert S.read_timeframe(spark, path, "1d").count() == 1
     assert S.read_timeframe(spark, path, "1w").count() == 1
+
+
+def test_tail_table_scans_equal_full_store(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from conftest import SF_SMALL
+    from ohlcflow.operators import indicators as I
+    from ohlcflow.plans import predicates as P
+    from ohlcflow.plans.scan import scan, scan_store
+    from ohlcflow.sources.derived import bars_from_lineitem
+
+    monkeypatch.setattr(S, "TAIL_ROWS", 400)   # below the ~530 bars per symbol of the fixture
+    d = tempfile.mkdtemp(prefix="tail-")
+    path = os.path.join(d, "bars")
+    bars = bars_from_lineitem(spark, SF_SMALL)
+    S.save_bars(bars, path, buckets=4)
+    S.build_tail(spark, path)
+    full = S.read_bars(spark, path)
+    assert full.count() == bars.count()                      # the tail folder is hidden from the store
+    tail = S.snapshot_bars(spark, path, 350)
+    assert 0 < tail.count() < full.count()
+    crit = [P.Predicate("all", (I.sma(50), I.extrema(252), I.rsi(2), I.atr(5), I.sma_200_1m_ago()),
+                        lambda: F.lit(True))]
+
+    def same(a, b):
+        ra = sorted(a.collect(), key=lambda r: r.symbol)
+        rb = sorted(b.select(*a.columns).collect(), key=lambda r: r.symbol)
+        assert len(ra) == len(rb) == 10
+        for x, y in zip(ra, rb):
+            for c in a.columns:
+                u, v = x[c], y[c]
+                assert (u == v) or (isinstance(u, float) and abs(u - v) <= 1e-9 * max(1.0, abs(v))), (c, u, v)
+
+    same(scan_store(spark, path, crit), scan(full, crit))
+    # replacing one symbol's history (drop its last 30 bars) updates the tail too
+    s1 = bars.where(F.col("symbol") == "S1")
+    cut = s1.agg(F.max("date")).first()[0]
+    shorter = s1.where(F.col("date") <= F.date_sub(F.lit(cut), 60))
+    S.save_bars(shorter, path, buckets=4)
+    full = S.read_bars(spark, path)
+    same(scan_store(spark, path, crit), scan(full, crit))
+    # a lookback beyond the tail falls back to the whole store
+    assert S.snapshot_bars(spark, path, 5000).count() == full.count()
