@@ -133,3 +133,28 @@ def test_tail_table_scans_equal_full_store(spark, monkeypatch):
     same(scan_store(spark, path, crit), scan(full, crit))
     # a lookback beyond the tail falls back to the whole store
     assert S.snapshot_bars(spark, path, 5000).count() == full.count()
+
+
+def test_large_landing_file_is_split_and_parsed_whole(spark):
+    """A file larger than a split is read by several tasks; every line still gets its header."""
+    d = tempfile.mkdtemp(prefix="landing-big-")
+    start = dt.date(2000, 1, 1)
+    lines = ["volume,close,date,open,high,low"]          # header order differs from the schema
+    for i in range(3000):
+        day = (start + dt.timedelta(days=i)).isoformat()
+        lines.append(f"{100 + i},{10 + i % 7},{day},{9 + i % 7},{11 + i % 7},{8 + i % 7}")
+    with open(os.path.join(d, "big.csv"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        raw = spark.read.format("text").load(d)
+        assert raw.rdd.getNumPartitions() > 4
+        good, rejected = ingest.landing_bars(spark, d)
+        rows = good.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rejected.count() == 0
+    assert len(rows) == 3000
+    r = {x.date: x for x in rows}[start + dt.timedelta(days=10)]
+    assert (r.symbol, r.open, r.high, r.low, r.close, r.volume) == ("BIG", 12.0, 14.0, 11.0, 13.0, 110)
