@@ -19,7 +19,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import IDX, PART, TOTAL, Framed, ewm, ewm_lookback, frame, lag, roll, rolling
+from .series import IDX, PART, TOTAL, Framed, ewm, ewm_lookback, ewm_order, frame, lag, roll, rolling
 
 Apply = Callable[[Framed, DataFrame], DataFrame]
 
@@ -54,8 +54,8 @@ def range_pct() -> F.Column:
     return F.try_divide(F.col("high") - F.col("low"), F.col("low")) * 100.0
 
 
-def true_range(fr: Framed) -> F.Column:
-    pc = lag(fr, "close", 1)
+def true_range(fr: Framed, order=None) -> F.Column:
+    pc = F.lag("close", 1).over(order) if order is not None else lag(fr, "close", 1)
     # greatest() skips NULLs, so the first row falls back to high - low
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
 
@@ -124,7 +124,8 @@ def rsi(period: int = 14, col: str = "close", name: str | None = None) -> Indica
 
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
         g, lo, ag, al = f"{out}__g", f"{out}__l", f"{out}__ag", f"{out}__al"
-        delta = F.col(col) - lag(fr, col, 1)
+        df, order = ewm_order(fr, df, alpha)
+        delta = F.col(col) - F.lag(col, 1).over(order)
         df = (df.withColumn(g, F.when(delta > 0, delta).otherwise(F.lit(0.0)))
                 .withColumn(lo, F.when(delta < 0, -delta).otherwise(F.lit(0.0))))
         df = ewm(fr, df, g, alpha, ag)
@@ -145,7 +146,8 @@ def atr(period: int = 14, name: str | None = None) -> Indicator:
 
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
         tr = f"{out}__tr"
-        df = df.withColumn(tr, true_range(fr))
+        df, order = ewm_order(fr, df, alpha)
+        df = df.withColumn(tr, true_range(fr, order))
         return ewm(fr, df, tr, alpha, out).drop(tr)
 
     def latest(back: F.Column) -> dict:

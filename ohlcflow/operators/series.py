@@ -214,6 +214,21 @@ def ewm_lookback(alpha: float) -> int:
     return 2 * ewm_block(alpha)
 
 
+def ewm_order(fr: Framed, df: DataFrame, alpha: float) -> tuple[DataFrame, Window]:
+    """Add the block number / position columns of ``alpha``'s block size (shared by
+    every EWM with that size) and return the framed window ordered by (block, date).
+
+    That order is the date order, but it is also the order the block-local
+    sums need, so lags taken over it (RSI's and ATR's previous close) ride
+    on the same sort instead of forcing a re-sort to date order."""
+    b = ewm_block(alpha)
+    sub, j = f"{TABLE_PREFIX}ewsub{b}", f"{TABLE_PREFIX}ewj{b}"
+    if sub not in df.columns:
+        df = (df.withColumn(sub, F.floor(F.col(IDX) / b))
+                .withColumn(j, F.col(IDX) - F.col(sub) * b))
+    return df, Window.partitionBy(*fr.keys, PART).orderBy(sub, fr.order)
+
+
 def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
     """Non-adjusted exponential smoothing: y0 = x0, yt = a*xt + (1-a)*y(t-1).
 
@@ -228,18 +243,13 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
         return df.withColumn(out, F.col(x).cast("double"))
     d = 1.0 - alpha
     b = ewm_block(alpha)
-    # block number and position are shared by every EWM with the same block
-    # size (RSI's gain and loss), so their windows share one sort
+    df, order = ewm_order(fr, df, alpha)
     sub, j, part = f"{TABLE_PREFIX}ewsub{b}", f"{TABLE_PREFIX}ewj{b}", f"{out}__part"
-    if sub not in df.columns:
-        df = (df.withColumn(sub, F.floor(F.col(IDX) / b))
-                .withColumn(j, F.col(IDX) - F.col(sub) * b))
     w = F.when(F.col(IDX) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     local = F.pow(F.lit(d), F.col(j)) * F.sum(w * F.col(x) * F.pow(F.lit(d), -F.col(j))).over(fr.sub_window(sub))
     df = df.withColumn(part, local)
     # ordered by (block, date): the same sort as the block-local sums above
-    before = (Window.partitionBy(*fr.keys, PART).orderBy(sub, fr.order)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     carry = F.last(F.when(F.col(j) == b - 1, F.col(part)), ignorenulls=True).over(before)
     df = df.withColumn(out, F.col(part) + F.pow(F.lit(d), F.col(j) + 1) * F.coalesce(carry, F.lit(0.0)))
     return df.drop(part)
