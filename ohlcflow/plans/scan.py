@@ -64,15 +64,15 @@ def scan(bars: DataFrame, criteria=None, *, plan: str = "snapshot", as_of=None,
 
 
 def scan_store(spark, path: str, criteria=None, *, plan: str = "snapshot", as_of=None,
-               history: bool = False) -> DataFrame:
+               history: bool = False, timeframe: str | None = None) -> DataFrame:
     """``scan`` over a bar store; a latest-bar scan reads the store's tail table when it has one."""
-    from ..sources.store import read_bars, snapshot_bars
+    from ..sources.store import read_bars, read_timeframe, snapshot_bars
     preds = _preds(criteria)
     if plan == "snapshot" and not history and as_of is None:
         lookback = max([i.lookback for i in I.dedupe(P.required_indicators(preds))] + [1])
-        bars = snapshot_bars(spark, path, lookback)
+        bars = snapshot_bars(spark, path, lookback, timeframe)
     else:
-        bars = read_bars(spark, path)
+        bars = read_timeframe(spark, path, timeframe) if timeframe is not None else read_bars(spark, path)
     return scan(bars, preds, plan=plan, as_of=as_of, history=history)
 
 

@@ -148,14 +148,18 @@ def build_tail(spark: SparkSession, path: str) -> None:
         .partitionBy(*parts).parquet(tail_path(path)))
 
 
-def snapshot_bars(spark: SparkSession, path: str, lookback: int) -> DataFrame:
+def snapshot_bars(spark: SparkSession, path: str, lookback: int, timeframe: str | None = None) -> DataFrame:
     """Bars for a latest-bar scan whose indicators look back ``lookback`` rows.
 
     The tail table when it exists and covers the lookback (a scan over it
-    gives the same latest-bar values as over the whole store), else the store."""
+    gives the same latest-bar values as over the whole store), else the store.
+    ``timeframe`` picks one timeframe of a timeframe-partitioned store."""
     if lookback < TAIL_ROWS and _exists(spark, tail_path(path)):
-        return canonical(_read_store(spark, tail_path(path)))
-    return read_bars(spark, path)
+        tail = _read_store(spark, tail_path(path))
+        if timeframe is not None:
+            tail = tail.where(F.col(TIMEFRAME) == timeframe)
+        return canonical(tail)
+    return read_timeframe(spark, path, timeframe) if timeframe is not None else read_bars(spark, path)
 
 
 def _read_store(spark: SparkSession, path: str) -> DataFrame:

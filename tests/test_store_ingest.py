@@ -158,3 +158,22 @@ def test_large_landing_file_is_split_and_parsed_whole(spark):
     assert len(rows) == 3000
     r = {x.date: x for x in rows}[start + dt.timedelta(days=10)]
     assert (r.symbol, r.open, r.high, r.low, r.close, r.volume) == ("BIG", 12.0, 14.0, 11.0, 13.0, 110)
+
+
+def test_tail_table_of_a_timeframe_store(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from ohlcflow.plans import predicates as P
+    from ohlcflow.plans.scan import scan, scan_store
+    from ohlcflow.sources.derived import bars_from_lineitem
+    monkeypatch.setattr(S, "TAIL_ROWS", 400)
+    path = os.path.join(tempfile.mkdtemp(prefix="tail-tf-"), "bars")
+    bars = bars_from_lineitem(spark, SF_SMALL)
+    S.save_bars(bars, path, buckets=4, timeframe="1d")
+    S.save_bars(bars.limit(50), path, buckets=4, timeframe="1w")
+    S.build_tail(spark, path)
+    crit = [P.trend_template()]
+    a = sorted(r.symbol for r in scan_store(spark, path, crit, timeframe="1d").collect())
+    b = sorted(r.symbol for r in scan(S.read_timeframe(spark, path, "1d"), crit).collect())
+    assert a == b
+    assert S.snapshot_bars(spark, path, 300, "1d").select("symbol", "date").distinct().count() == \
+        S.snapshot_bars(spark, path, 300, "1d").count()
