@@ -33,3 +33,28 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """Remainder that assigns a document to a fold: crc32 of the id written in decimal."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+
+
+class RecentWords(dict):
+    """What is known of recent words: at most two generations of ``limit`` entries.
+
+    ``fill`` makes every word of a batch present, asking ``compute`` for the unknown
+    ones, and drops the older generation when the younger is full.  Memory is bounded
+    whatever the number of distinct words; only speed depends on what is kept."""
+
+    def __init__(self, compute, limit: int = 150_000):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def fill(self, words: list[str]) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        unknown = []
+        for w in set(words) - self.keys():
+            if (known := self.older.get(w)) is not None:
+                self[w] = known
+            else:
+                unknown.append(w)
+        if unknown:
+            self.update(zip(unknown, self.compute(unknown), strict=True))

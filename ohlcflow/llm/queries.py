@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import chat_format, license_scan, quality_rules
+from ohlcflow.llm import bpe, chat_format, license_scan, quality_rules, token_files
 from ohlcflow.llm.common import table
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = token_files.write(table(spark, sf_dir, "documents"), word_bpe(), by_piece=True)
+    return token_files.documents(spark, out)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -46,8 +61,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op7_bpe": op7_bpe,
     "op10_chat_format": op10_chat_format,
 }
 
