@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import bpe, chat_format, license_scan, quality_rules, token_files
-from ohlcflow.llm.common import table
+from ohlcflow.llm import bpe, chat_format, license_scan, quality_knn, quality_rules, token_files
+from ohlcflow.llm.common import crc_fold, table
 
 
 def word_bpe() -> str:
@@ -34,6 +34,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The classifier, fitted on label rows whose id's crc32 leaves a remainder other than 1 by 3."""
+    labels = table(spark, sf_dir, "labels").filter(crc_fold(F.col("doc_id"), 3) != 1)
+    return quality_knn.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_knn.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+                         F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -65,6 +79,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
+    "op9_quality_knn": op9_quality_knn,
     "op10_chat_format": op10_chat_format,
 }
 
