@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
 A document is kept if no rule rejects it.  Which rule is tried first changes the
-work, never the verdict, so the order is chosen from data: on a bounded sample one
-aggregate gives every rule's rejection rate and its mean cost (characters or words
-it has to touch), and rules are tried by rejection per cost.  The chain is one CASE
+work, never the verdict, so the order is chosen from data: on a bounded sample every
+rule's rejection rate and mean cost (characters or words it has to touch) are
+measured, and rules are tried by rejection per cost.  The chain is one CASE
 expression, so what a later rule needs is not computed for a document that an
 earlier rule has rejected.
 
@@ -117,11 +117,14 @@ RULES = (
 
 
 def order_rules(measured: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost, estimated in one aggregate over ``sample_rows`` rows."""
-    sample = measured.limit(sample_rows)
-    row = sample.agg(*[F.avg(r.reject().cast("double")).alias(f"s{i}") for i, r in enumerate(rules)],
-                     *[F.avg(r.cost().cast("double")).alias(f"c{i}") for i, r in enumerate(rules)]).first()
-    score = {r.name: (row[f"s{i}"] or 0.0) / max(row[f"c{i}"] or 0.0, 1.0) for i, r in enumerate(rules)}
+    """Rules by rejection per cost on the first ``sample_rows`` rows.
+
+    Only as many input splits are read as give these rows, and a flag and a number per
+    rule reach the driver, never a text."""
+    rows = measured.select(*[r.reject().cast("double") for r in rules],
+                           *[r.cost().cast("double") for r in rules]).take(sample_rows)
+    mean = [sum(x or 0.0 for x in column) / len(rows) for column in zip(*rows, strict=True)] or [0.0] * 2 * len(rules)
+    score = {r.name: mean[i] / max(mean[len(rules) + i], 1.0) for i, r in enumerate(rules)}
     return sorted(rules, key=lambda r: (-score[r.name], r.name))
 
 
@@ -136,5 +139,5 @@ def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Counts, ``base_failed``, ``failed_rule`` and ``kept`` for every document."""
-    # cost and selectivity are estimated on rows read from the input's first splits
-    return cascade(measure(docs), order_rules(measure(docs.limit(sample_rows)), rules, sample_rows))
+    measured = measure(docs)
+    return cascade(measured, order_rules(measured, rules, sample_rows))
