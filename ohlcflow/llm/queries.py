@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import bpe, chat_format, license_scan, quality_knn, quality_rules, token_files
+from ohlcflow.llm import bpe, chat_format, language_id, license_scan, quality_knn, quality_rules, token_files
 from ohlcflow.llm.common import crc_fold, table
 
 
@@ -15,6 +15,13 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    found = language_id.predict(docs, language_id.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = token_files.write(table(spark, sf_dir, "documents"), word_bpe(), by_piece=True)
     return token_files.documents(spark, out)
@@ -75,6 +82,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
