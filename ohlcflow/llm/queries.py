@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import bpe, chat_format, language_id, license_scan, quality_knn, quality_rules, token_files
+from ohlcflow.llm import bpe, chat_format, language_id, license_scan, quality_knn, quality_rules, simhash, token_files
 from ohlcflow.llm.common import crc_fold, table
 
 
@@ -27,6 +27,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, out)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op9_quality_knn": op9_quality_knn,
     "op10_chat_format": op10_chat_format,
