@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import bpe, chat_format, language_id, license_scan, quality_knn, quality_rules, simhash, token_files
+from ohlcflow.llm import bpe, chat_format, decontaminate, language_id, license_scan, quality_knn, quality_rules, simhash, token_files
 from ohlcflow.llm.common import crc_fold, table
 
 
@@ -46,6 +46,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     """The classifier, fitted on label rows whose id's crc32 leaves a remainder other than 1 by 3."""
     labels = table(spark, sf_dir, "labels").filter(crc_fold(F.col("doc_id"), 3) != 1)
@@ -93,6 +97,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality_knn": op9_quality_knn,
     "op10_chat_format": op10_chat_format,
 }
@@ -131,6 +136,32 @@ ORACLE = {
                     OR length(regexp_replace(text, '\P{{L}}', '', 'g')) * 2 < word_chars
                     OR length(regexp_replace(text, '[^!]', '', 'g')) * 10 > word_chars) AS kept
         FROM f""",
+    # 12 words with at most 2 substitutions have 4 equal words in a row: found by plain 4-grams here
+    "op8_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents GROUP BY doc_id, text),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        dg AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d),
+        bg AS (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM b WHERE len(w) >= 8),
+        hit AS (
+            SELECT DISTINCT dg.doc_id, bg.item_id, dg.w AS dw, bg.w AS bw, dg.p - bg.p AS shift, bg.p AS q
+            FROM dg JOIN bg ON dg.w[dg.p] = bg.w[bg.p] AND dg.w[dg.p + 1] = bg.w[bg.p + 1]
+                AND dg.w[dg.p + 2] = bg.w[bg.p + 2] AND dg.w[dg.p + 3] = bg.w[bg.p + 3]),
+        win AS (
+            SELECT DISTINCT doc_id, item_id, dw, bw, shift, unnest(range(greatest(1, q - 8), q + 1)) AS s,
+                   least(12, len(bw)) AS n FROM hit),
+        eq AS (
+            SELECT doc_id, item_id, s + shift - 1 AS place, n,
+                   list_sum(list_transform(range(0, n), lambda i: (dw[s + shift + i] = bw[s + i])::INT)) AS equal
+            FROM win WHERE s + n - 1 <= len(bw) AND s + shift >= 1 AND s + shift + n - 1 <= len(dw))
+        SELECT doc_id, item_id, count(DISTINCT place) AS n_windows, min(place) AS first_word, max(place) AS last_word,
+               max(equal)::BIGINT AS most_equal
+        FROM eq WHERE n - equal <= CASE WHEN n = 12 THEN 2 ELSE 0 END GROUP BY doc_id, item_id""",
     "op10_chat_format": r"""
         WITH m AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
