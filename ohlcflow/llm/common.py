@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import uuid
+
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohlcflow.session import ensure_checkpoint_dir
+
 #: Arrow batches handed to Python hold at most this many rows and about this many bytes,
 #: so a task's memory follows the batch, not the partition.
 ARROW_ROWS = 256
@@ -35,6 +42,15 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI or local path."""
+    if ":" not in uri.split("/", 1)[0]:
+        return pafs.LocalFileSystem(), uri
+    if re.match(r"file:/(?!//)", uri):
+        return pafs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
+    return pafs.FileSystem.from_uri(uri)
+
+
 class RecentWords(dict):
     """What is known of recent words: at most two generations of ``limit`` entries.
 
@@ -58,3 +74,25 @@ class RecentWords(dict):
                 unknown.append(w)
         if unknown:
             self.update(zip(unknown, self.compute(unknown), strict=True))
+
+
+class Workspace:
+    """A folder of one job's tables and files below the session's shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: cuts the lineage, survives lost executors."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark's context cleaner drop the shuffle files of steps that are over and written."""
+        gc.collect()
+        self.spark._jvm.System.gc()

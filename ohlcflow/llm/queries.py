@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import bpe, chat_format, decontaminate, language_id, license_scan, quality_knn, quality_rules, simhash, token_files
+from ohlcflow.llm import bpe, chat_format, decontaminate, language_id, license_scan, quality_knn, quality_rules, simhash, suffix_dedup, token_files
 from ohlcflow.llm.common import crc_fold, table
 
 
@@ -36,6 +36,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm.common import RecentWords, id_and_text, small_batches
+from ohlcflow.llm.common import RecentWords, file_system, id_and_text, small_batches
 from ohlcflow.session import ensure_checkpoint_dir
 
 NULL_ID = np.iinfo(np.int64).min
@@ -41,15 +41,6 @@ _PIECE = re.compile(r"[^ \t\n\r]+")
 MANIFEST = "shard int, name string, dtype string, n_docs long, n_tokens long"
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI or local path."""
-    if ":" not in uri.split("/", 1)[0]:
-        return pafs.LocalFileSystem(), uri
-    if re.match(r"file:/(?!//)", uri):
-        return pafs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
-    return pafs.FileSystem.from_uri(uri)
-
-
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
     from tokenizers import Tokenizer
