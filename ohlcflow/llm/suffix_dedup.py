@@ -5,16 +5,17 @@ starts anywhere else, in the same document or another; everything is judged on t
 input.  The suffixes are sorted by a distributed difference-cover algorithm, bounded by
 the length that matters, and adjacent suffixes of the sorted order are compared.
 
-1. Chunks.  Every text is cut where its content says so, and every chunk is known by the
-   hash of its bytes and the ``length - 1`` bytes behind it, which decide whether the
-   strings that start in it repeat.  Equal chunks are sorted once and count with their
-   number.
-2. Candidates.  Winnowing picks at least one anchor (a hash of ``GRAM`` bytes) inside any
-   ``length`` bytes, chosen by these bytes alone.  A string that repeats holds an anchor
-   that repeats, so only chunks near an anchor that occurs twice are sorted.  This loses
-   nothing and saves sorting what has no partner.
-3. Blocks.  Representative chunks, neighbours joined to strings, are packed into blocks
-   of about ``BLOCK`` bytes, kept as files in the shared folder.
+1. Segments.  Every string of ``length`` bytes has a canonical anchor: the gram (half as
+   many bytes) inside it with the smallest hash, the leftmost of equals.  It depends on the
+   string alone, so equal strings have equal grams at equal places.  A segment is a run of
+   starts whose strings share one anchor; it is known by the hashes of its gram and of its
+   bytes.
+2. Candidates.  Strings of a gram that occurs once do not repeat.  All strings of a segment
+   that occurs twice do repeat.  What is left to decide is the segments that occur once,
+   but whose gram occurs in other segments, too: these and one copy of each other segment
+   of their grams are sorted.
+3. Blocks.  The chosen segments' bytes, neighbours joined to strings, are packed into
+   blocks of about ``BLOCK`` bytes, kept as files in the shared folder.
 4. Down.  At each level the triples of symbols at positions 1 and 2 modulo 3 of every
    string are sorted globally and named by rank; the names form the strings of the next
    level, whose symbols cover three times as many bytes.  Names that cover ``length``
@@ -25,8 +26,7 @@ the length that matters, and adjacent suffixes of the sorted order are compared.
    and a rank against position 2.
 6. Adjacent prefixes.  In the final order equal ranks are equal strings; neighbours of
    different rank are compared on a 128-bit hash of their ``length`` bytes.  Strings that
-   occur at least twice are marked, carried back to every copy of their chunk and from
-   there to the documents.
+   occur at least twice are marked.
 
 A global sort sends every block's *distinct* keys, as one binary row per block and key
 range, to the range's task (ranges by sampled splitters) and gets one row back, so equal
@@ -41,7 +41,6 @@ with the same text, so its strings occur twice; a null id is an id like any othe
 
 from __future__ import annotations
 
-import hashlib
 import io
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,21 +57,20 @@ from ohlcflow.llm.common import Workspace, file_system, small_batches
 from ohlcflow.llm.words import _BASE, _INVERSE, mix, powers
 
 LENGTH = 200
-#: Bytes of an anchor, as a share of the length; half leaves as many places for the anchor.
+#: Bytes of a gram, as a share of the length: half leaves half the length for its place.
 GRAM_SHARE = 2
-#: One anchor in so many may end a chunk; a chunk has at least `length` and at most MOST bytes.
-CUT_EVERY, MOST = 6, 2048
 #: Bytes of a block of strings, and keys of a range.
 BLOCK = 2 << 20
 RANGE = 2 << 20
-#: Keys of a block that are looked at to place the splitters.
-SAMPLE = 512
+#: Blocks, and keys of each, that are looked at to place the splitters.  Documents come to
+#: blocks by hash, so a few blocks show the distribution of all.
+SAMPLE_BLOCKS, SAMPLE = 16, 2048
 
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
 
 
-# -- chunks and anchors ------------------------------------------------------------------
+# -- segments -------------------------------------------------------------------------
 
 
 def _sliding(x: np.ndarray, width: int, best: Callable) -> np.ndarray:
@@ -95,29 +93,31 @@ def gram_hashes(data: np.ndarray, width: int, base: int = _BASE, inverse: int =
     return mix((sums[width:] - sums[:-width]) * powers(inverse, n - width + 1))
 
 
-def cut_text(data: np.ndarray, length: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(chunk borders, anchor places, anchor hashes) of a text of at least ``length`` bytes."""
+def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, end of starts, gram hash, hash of the bytes) of every segment of a text of at
+    least ``length`` bytes."""
     gram = length // GRAM_SHARE
-    g = gram_hashes(data, gram)
-    short = (g >> np.uint64(32)).astype(np.uint32)
     width = length - gram + 1
-    least = _sliding(short, width, np.minimum)
+    g = gram_hashes(data, gram)
+    order = (g >> np.uint64(32)).astype(np.uint32)
+    least = _sliding(order, width, np.minimum)
     pad = np.zeros(width - 1, dtype=np.uint32)
-    # a gram is an anchor if it is the least of some window that holds it
-    places = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == short)
-    g = g[places]
-    cuts, end = [0], len(data) - length  # no cut behind `end`: the last chunk can hold a string, too
-    for p in [*places[(g >> np.uint64(3)) % np.uint64(CUT_EVERY) == 0].tolist(), len(data)]:
-        while p - cuts[-1] > MOST and cuts[-1] + MOST <= end:
-            cuts.append(cuts[-1] + MOST)
-        if length <= p - cuts[-1] and p <= end:
-            cuts.append(p)
-    return [*cuts, len(data)], places, g
-
-
-CHUNKS = ("k_id long, k_text long, start int, core int, whole int, h1 long, h2 long, "
-          "own array<long>, behind array<long>")
-_NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
+    # grams that are the least of some string; the canonical one is the first that equals the string's least
+    anchors = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == order)
+    at = np.searchsorted(anchors, np.arange(len(least)))
+    wrong = np.flatnonzero(order[anchors[at]] != least)
+    while len(wrong):
+        at[wrong] += 1
+        wrong = wrong[order[anchors[at[wrong]]] != least[wrong]]
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    end = np.append(begin[1:], len(least))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(data * powers(_SECOND, len(data)), out=sums[1:])
+    whole = (sums[end + length - 1] - sums[begin]) * powers(_SECOND_INVERSE, len(data))[begin]
+    return begin, end, g[anchors[at[begin]]], mix(whole + (end - begin).astype(np.uint64))
+
+
+PARSED = "k_id long, k_text long, begin array<int>, end array<int>, gram array<long>, seg array<long>"
 NO_ID = -(1 << 63)
 
 
@@ -128,46 +128,37 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("k_text"), text.cast("binary").alias("data"))
 
 
-def chunks_of(docs: DataFrame, length: int) -> DataFrame:
-    """Chunks of all texts of at least ``length`` bytes, with their anchors (own and behind them)."""
-    gram = length // GRAM_SHARE
+def parse(docs: DataFrame, length: int) -> DataFrame:
+    """The segments of every document of at least ``length`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for k_id, k_text, raw in zip(b.column("k_id").to_pylist(), b.column("k_text").to_pylist(),
-                                         b.column("data"), strict=True):
-                raw = raw.as_buffer()
-                if raw.size < length:
-                    continue
-                data = np.frombuffer(raw, dtype=np.uint8)
-                cuts, places, g = cut_text(data, length)
-                signed = g.view(np.int64)
-                at = np.searchsorted(places, cuts).tolist()
-                behind = np.searchsorted(places, np.array(cuts) + length - gram).tolist()
-                view = memoryview(raw)
-                for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    whole = min(z + length - 1, len(data)) - a
-                    digest = np.frombuffer(hashlib.blake2b(view[a:a + whole], digest_size=16).digest(), "<i8")
-                    rows.append((k_id, k_text, a, z - a, whole, int(digest[0]), int(digest[1]),
-                                 signed[at[i]:at[i + 1]], signed[at[i + 1]:behind[i + 1]]))
-            for i in range(0, len(rows), 8192):
-                c = list(zip(*rows[i:i + 8192], strict=True))
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()),
-                                                  pa.array(np.concatenate(x), pa.int64())) for x in c[7:]]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(x, k) for x, k in zip(c[:7], kinds, strict=True)], *lists], names=_NAMES)
-
-    return keyed(docs).mapInArrow(run, CHUNKS)
-
-
-def candidates(chunks: DataFrame) -> DataFrame:
-    """Chunks (``cid``, key, ``start``, ``core``, ``whole``, hashes) with a repeated anchor in or behind them."""
-    seen = chunks.select("cid", F.explode(F.array_distinct(F.concat("own", "behind"))).alias("a"))
-    counts = chunks.select(F.explode("own").alias("a")).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-    near = seen.join(counts, "a", "left_semi").select("cid").distinct()
-    return chunks.drop("own", "behind").join(near, "cid", "left_semi")
+            keep = [i for i, x in enumerate(b.column("data")) if x.as_buffer().size >= length]
+            found = [segments(np.frombuffer(b.column("data")[i].as_buffer(), dtype=np.uint8), length) for i in keep]
+            cuts = pa.array(np.cumsum([0, *[len(f[0]) for f in found]]), pa.int32())
+            flat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
+            arrays = [pa.array(x, pa.int32()) for x in flat[:2]] + [pa.array(x.view(np.int64), pa.int64())
+                                                                    for x in flat[2:]]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k_id").take(pa.array(keep, pa.int64())), b.column("k_text").take(pa.array(keep, pa.int64())),
+                 *[pa.ListArray.from_arrays(cuts, x) for x in arrays]],
+                names=["k_id", "k_text", "begin", "end", "gram", "seg"])
+
+    return keyed(docs).mapInArrow(run, PARSED)
+
+
+def occurrences(parsed: DataFrame, work: Workspace) -> DataFrame:
+    """Segments that repeat or are to be decided: key, ``begin``, ``end``, ``gram``, ``seg``,
+    ``copies``, ``open`` (its gram has undecided segments)."""
+    rows = parsed.select("k_id", "k_text", F.explode(F.arrays_zip("begin", "end", "gram", "seg")).alias("s"))
+    counts = work.table(parsed.select(F.explode(F.arrays_zip("gram", "seg")).alias("s")).groupBy(
+        F.col("s.gram").alias("gram"), F.col("s.seg").alias("seg")).agg(F.count("*").alias("copies")), "segment-counts")
+    grams = counts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"),
+                                       F.sum((F.col("copies") == 1).cast("int")).alias("once")).filter("all > 1")
+    kinds = counts.join(grams.select("gram", ((F.col("kinds") > 1) & (F.col("once") > 0)).alias("open")), "gram")
+    kinds = kinds.filter((F.col("copies") > 1) | F.col("open"))
+    rows = rows.select("k_id", "k_text", "s.*").join(kinds, ["gram", "seg"])
+    return rows.select("k_id", "k_text", "begin", "end", "gram", "seg", "copies", "open")
 
 
 # -- blocks ------------------------------------------------------------------------------
@@ -197,14 +188,15 @@ class Shelf:
             fs.delete_file(f"{folder}/{name}")
 
 
-#: Of a block's pieces (chunks): string, start in the string, core bytes, copies, chunk id.
-PIECE = [("string", "<i8"), ("start", "<i8"), ("core", "<i8"), ("copies", "<i8"), ("cid", "<i8")]
+#: Of a block's pieces (segments): string, first start in the string, starts, document, place in it, undecided.
+PIECE = [("string", "<i8"), ("start", "<i8"), ("n", "<i8"), ("k_id", "<i8"), ("k_text", "<i8"), ("at", "<i8"),
+         ("single", "?")]
 
 
-def make_blocks(docs: DataFrame, chosen: DataFrame, shelf: Shelf, most: int) -> DataFrame:
-    """Write the chosen chunks' bytes as blocks of strings; ``block``, ``n`` (bytes) of each."""
+def make_blocks(docs: DataFrame, chosen: DataFrame, shelf: Shelf, length: int, most: int) -> DataFrame:
+    """Write the chosen segments' bytes as blocks of strings; ``block``, ``n`` (bytes) of each."""
     wanted = chosen.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_list(F.struct(
-        "start", "core", "whole", "copies", "cid"))).alias("pieces"))
+        "begin", "end", (F.col("copies") == 1).alias("single")))).alias("pieces"))
     both = keyed(docs).join(wanted, ["k_id", "k_text"]).select("k_id", "k_text", "data", "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,20 +212,20 @@ def make_blocks(docs: DataFrame, chosen: DataFrame, shelf: Shelf, most: int) ->
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["block", "n"])
 
         for b in batches:
-            for k_id, k_text, raw, own in zip(*(b.column(c) for c in ("k_id", "k_text", "data", "pieces")),
-                                              strict=True):
-                key = (k_id.as_py(), k_text.as_py())
-                if key == before:  # a repeated row; its chunks' copies are counted already
+            for k_id, k_text, raw, own in zip(b.column("k_id").to_pylist(), b.column("k_text").to_pylist(),
+                                              b.column("data"), b.column("pieces").to_pylist(), strict=True):
+                if (k_id, k_text) == before:  # a repeated row: its segments are taken already
                     continue
-                before = key
+                before = (k_id, k_text)
                 view = memoryview(raw.as_buffer())
-                own = own.as_py()
+                begin = end = 0
                 for i, p in enumerate(own):
-                    if not i or p["start"] > end:  # noqa: F821
-                        begin = p["start"]
-                    end = p["start"] + p["whole"]
-                    pieces.append((len(strings), p["start"] - begin, p["core"], p["copies"], p["cid"]))
-                    if i + 1 == len(own) or own[i + 1]["start"] > end:
+                    if not i or p["begin"] > end:
+                        begin = p["begin"]
+                    end = p["end"] + length - 1
+                    pieces.append((len(strings), p["begin"] - begin, p["end"] - p["begin"], k_id, k_text, p["begin"],
+                                   p["single"]))
+                    if i + 1 == len(own) or own[i + 1]["begin"] > end:
                         strings.append(bytes(view[begin:end]))
                         size += end - begin
                         if size >= most:
@@ -339,62 +331,59 @@ def unsqueeze(body: pa.Scalar, n: int) -> np.ndarray:
 
 @dataclass
 class Round:
-    """One global sort of keys that the blocks have.
+    """One global sort of keys that the blocks have, in one or more families of their own order.
 
-    ``keys(get)`` gives a block's elements: key columns, columns carried along (a
+    ``keys(get, family)`` gives a block's elements: key columns, columns carried along (a
     function of the key), weight columns.  ``answer(columns, carried, weights)`` turns
     the distinct keys of a range, with summed weights, into answer columns by key and a
-    few numbers to tell.  ``apply(get, put, answers, which, tells)`` receives a block's
-    answers and range by element, and what the ranges told in their order."""
+    few numbers to tell.  ``apply(get, put, found)`` receives for every family a block's
+    answers and ranges by element, and what the ranges told, in their order."""
 
     keys: Callable
     answer: Callable
     apply: Callable
+    families: int = 1
 
 
 class Sorter:
     def __init__(self, work: Workspace, blocks: DataFrame, shelf: Shelf, n_blocks: int, total: int, keys: int):
         self.work, self.shelf = work, shelf
         self.blocks = blocks.select("block").repartition(n_blocks)
+        self.some = blocks.select("block").orderBy("block").limit(SAMPLE_BLOCKS)
         self.total = total
         self.ranges = max(1, -(-total // keys))
         self.number = 0
-        self.stale: list[str] = []
 
-    def _splitters(self, r: Round) -> list[tuple]:
-        """Keys that part the ranges, from evenly spaced elements of every block."""
-        shelf, stale = self.shelf, self.stale
-        each = max(8, min(SAMPLE, 64 * self.ranges))
+    def _splitters(self, r: Round) -> list[list[tuple]]:
+        """By family, keys that part the ranges: quantiles of evenly spaced elements of some blocks."""
+        shelf, each = self.shelf, max(8, min(SAMPLE, 64 * self.ranges))
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for name in b.column("block").to_pylist():
-                    for x in stale:
-                        shelf.drop(f"{name}.{x}")
-                    columns, _, _ = r.keys(lambda x, name=name: shelf.get(f"{name}.{x}"))
-                    n = len(columns[0])
-                    at = np.unique(np.linspace(0, n - 1, min(n, each)).astype(np.int64)) if n else []
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([[c[at].view(np.int64).tolist() for c in columns]],
-                                  pa.list_(pa.list_(pa.int64())))], names=["picked"])
-
-        rows: list[tuple] = []
-        for x in self.blocks.mapInArrow(sample, "picked array<array<long>>").toArrow()["picked"].to_pylist():
-            rows += zip(*[[v & 0xFFFFFFFFFFFFFFFF for v in c] for c in x], strict=True)
-        rows.sort()
-        self.stale = []
-        return sorted({rows[len(rows) * i // self.ranges] for i in range(1, self.ranges)}) if rows else []
-
-    def run(self, r: Round, stale: tuple[str, ...] = ()) -> list:
-        """Do a round; afterwards the blocks' files ``stale`` are no longer needed."""
-        shelf, splitters, work = self.shelf, self._splitters(r), self.work
+                    for f in range(r.families):
+                        columns, _, _ = r.keys(lambda x, name=name: shelf.get(f"{name}.{x}"), f)
+                        n = len(columns[0])
+                        at = np.unique(np.linspace(0, n - 1, min(n, each)).astype(np.int64)) if n else []
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([f], pa.int32()), pa.array([[c[at].view(np.int64).tolist() for c in columns]],
+                                                                 pa.list_(pa.list_(pa.int64())))],
+                            names=["family", "picked"])
+
+        if self.ranges == 1:
+            return [[] for _ in range(r.families)]
+        rows: list[list[tuple]] = [[] for _ in range(r.families)]
+        picked = self.some.repartition(SAMPLE_BLOCKS).mapInArrow(sample, "family int, picked array<array<long>>")
+        for x in picked.toArrow().to_pylist():
+            rows[x["family"]] += zip(*[[v & 0xFFFFFFFFFFFFFFFF for v in c] for c in x["picked"]], strict=True)
+        n = self.ranges
+        return [sorted({v[len(v) * i // n] for i in range(1, n)}) if v else [] for v in map(sorted, rows)]
+
+    def run(self, r: Round, stale: tuple[str, ...] = ()) -> list[list]:
+        """Do a round; afterwards the blocks' files ``stale`` go.  Returns the tells by family."""
+        shelf, splitters, work, ranges = self.shelf, self._splitters(r), self.work, self.ranges
         self.number += 1
-        number = self.number
-
-        def own_keys(name: str) -> tuple:
-            columns, carried, weights = r.keys(lambda x: shelf.get(f"{name}.{x}"))
-            own, back = distinct(columns)
-            return own, back, carried, weights, [0, *split_at(own, splitters), len(own[0])]
+        tag = f"round{self.number}"
 
         def merge(own: list, back: np.ndarray, carried: list, weights: list) -> tuple[list, list]:
             n = len(own[0])
@@ -406,16 +395,21 @@ class Sorter:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for name in b.column("block").to_pylist():
-                    own, back, carried, weights, cuts = own_keys(name)
-                    more, sums = merge(own, back, carried, weights)
-                    shape = [len(own), len(more), len(sums)]
-                    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if z > a:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([k], pa.int32()), pa.array([name]), pa.array([z - a], pa.int32()),
-                                 pa.array([shape], pa.list_(pa.int32())),
-                                 pa.array([squeeze([c[a:z] for c in [*own, *more, *sums]])], pa.binary())],
-                                names=["range", "block", "n", "shape", "body"])
+                    for f in range(r.families):
+                        columns, carried, weights = r.keys(lambda x, name=name: shelf.get(f"{name}.{x}"), f)
+                        own, back = distinct(columns)
+                        more, sums = merge(own, back, carried, weights)
+                        cuts = [0, *split_at(own, splitters[f]), len(own[0])]
+                        shelf.put(f"{name}.{tag}-{f}", back.astype(np.uint32))
+                        shelf.put(f"{name}.{tag}-{f}-cuts", np.array(cuts))
+                        shape = [len(own), len(more), len(sums)]
+                        for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                            if z > a:
+                                yield pa.RecordBatch.from_arrays(
+                                    [pa.array([f * ranges + k], pa.int32()), pa.array([name]),
+                                     pa.array([z - a], pa.int32()), pa.array([shape], pa.list_(pa.int32())),
+                                     pa.array([squeeze([c[a:z] for c in [*own, *more, *sums]])], pa.binary())],
+                                    names=["range", "block", "n", "shape", "body"])
 
         def rank(t: pa.Table) -> pa.Table:
             t = t.sort_by("block")
@@ -434,31 +428,48 @@ class Sorter:
 
         sent = self.blocks.mapInArrow(send, "range int, block string, n int, shape array<int>, body binary")
         replies = work.table(sent.groupBy("range").applyInArrow(
-            rank, "range int, block string, n int, body binary, tell array<long>"), f"replies-{number}")
-        tells = sorted((x["range"], x["tell"]) for x in replies.filter(F.col("tell").isNotNull()).select(
+            rank, "range int, block string, n int, body binary, tell array<long>"), f"replies-{tag}")
+        told = sorted((x["range"], x["tell"]) for x in replies.filter(F.col("tell").isNotNull()).select(
             "range", "tell").toArrow().to_pylist())  # one row per range
+        tells = [[(k % ranges, t) for k, t in told if k // ranges == f] for f in range(r.families)]
         del sent
         work.release()
 
         def take(t: pa.Table) -> pa.Table:
             name = t["block"][0].as_py()
-            _, back, _, _, cuts = own_keys(name)
             t = t.sort_by("range")
-            answers = np.concatenate([unsqueeze(x, n) for x, n in zip(t["body"], t["n"].to_pylist(), strict=True)],
-                                     axis=1).view(np.int64)
-            which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-            r.apply(lambda x: shelf.get(f"{name}.{x}"), lambda x, a: shelf.put(f"{name}.{x}", a),
-                    [x[back] for x in answers], which[back], tells)
+            rows = list(zip(t["range"].to_pylist(), t["body"], t["n"].to_pylist(), strict=True))
+            found = []
+            for f in range(r.families):
+                back, cuts = shelf.get(f"{name}.{tag}-{f}"), shelf.get(f"{name}.{tag}-{f}-cuts")
+                parts = [unsqueeze(x, n) for k, x, n in rows if k // ranges == f]
+                answers = np.concatenate(parts, axis=1).view(np.int64) if parts else np.zeros((2, 0), np.int64)
+                which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                found.append(([x[back] for x in answers], which[back], tells[f]))
+            r.apply(lambda x: shelf.get(f"{name}.{x}"), lambda x, a: shelf.put(f"{name}.{x}", a), found)
             return pa.table({"block": [name]})
 
         taken = replies.select("block", "range", "n", "body").groupBy("block").applyInArrow(take, "block string")
-        work.table(taken, f"taken-{number}")
+        work.table(taken, f"taken-{tag}")
         del replies, taken
-        work.drop(f"replies-{number}")
+        work.drop(f"replies-{tag}")
         work.release()
-        self.stale = list(stale)
+        self.drop([*stale, *[f"{tag}-{f}{x}" for f in range(r.families) for x in ("", "-cuts")]])
         return tells
 
+    def drop(self, names: list[str]) -> None:
+        """Delete files of every block."""
+        shelf = self.shelf
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for block in b.column("block").to_pylist():
+                    for x in names:
+                        shelf.drop(f"{block}.{x}")
+                yield b
+
+        self.blocks.mapInArrow(run, "block string").write.format("noop").mode("overwrite").save()
+
 
 def dense(columns: list, _, __) -> tuple[list, list[int]]:
     """Rank among the distinct keys."""
@@ -499,13 +510,14 @@ def suffix_ranks(sorter: Sorter, length: int) -> None:
         return get("s0").astype(np.uint32) + 1 if level == 0 else get(f"s{level}")
 
     def down(level: int, last: bool) -> Round:
-        def keys(get):
+        def keys(get, _):
             s, (at, left) = symbols(get, level), places(get(f"l{level}"))
             sample = at % 3 > 0
             columns = pack([s[sample], ahead(s, left, 1)[sample], ahead(s, left, 2)[sample]], [most[level]] * 3)
             return columns, [], [np.ones(len(columns[0]))]
 
-        def apply(get, put, answers, which, tells):
+        def apply(get, put, found):
+            answers, which, tells = found[0]
             lens = get(f"l{level}")
             name = answers[0] + bases(tells, ranges)[which, 0]
             next_level = np.empty(len(name), dtype=np.int64)
@@ -518,7 +530,7 @@ def suffix_ranks(sorter: Sorter, length: int) -> None:
 
     for level in range(depth):
         tells = sorter.run(down(level, level + 1 == depth))
-        most.append(sum(t[0] for _, t in tells) + 1)
+        most.append(sum(t[0] for _, t in tells[0]) + 1)
 
     def sample_ranks(get: Callable, level: int, lens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """By position: how many samples precede a sample, and 1; else 0."""
@@ -526,58 +538,58 @@ def suffix_ranks(sorter: Sorter, length: int) -> None:
         rank[at % 3 > 0] = get(f"r{level + 1}").astype(np.int64)[child_places(lens, at)] + 1
         return rank
 
-    def up(level: int, other: int) -> Round:
-        """Merge suffixes at places 0 modulo 3 with the samples at places ``other`` modulo 3."""
-        def keys(get):
+    def up(level: int) -> Round:
+        """Merge suffixes at places 0 modulo 3 with the samples at places 1 and at places 2."""
+        def keys(get, family):
+            other = family + 1
             lens, s = get(f"l{level}"), symbols(get, level)
             at, left = places(lens)
-            rank = sample_ranks(get, level, lens, at)
-            chosen = (at % 3 == 0) | (at % 3 == other)
+            rank = ahead(sample_ranks(get, level, lens, at), left, other)
+            residue = at % 3
+            chosen = (residue == 0) | (residue == other)
             columns, most_of = [s], [most[level]]
             if other == 2:  # the ranks of both stand two places on
                 columns, most_of = [s, ahead(s, left, 1)], [most[level]] * 2
-            columns = pack([c[chosen] for c in [*columns, ahead(rank, left, other)]], [*most_of, most_rank])
-            zero = (at[chosen] % 3 == 0).astype(np.float64)
+            columns = pack([c[chosen] for c in [*columns, rank]], [*most_of, most_rank])
+            zero = (residue[chosen] == 0).astype(np.float64)
             return columns, [], [zero, 1 - zero]
 
-        def apply(get, put, answers, which, tells):
+        def apply(get, put, found):
             lens = get(f"l{level}")
             at, _ = places(lens)
-            base = bases(tells, ranges)
-            zeros, others = answers[0] + base[which, 0], answers[1] + base[which, 1]
-            if other == 1:
-                rank = np.maximum(sample_ranks(get, level, lens, at) - 1, 0)
-            else:
-                rank = get(f"half{level}").astype(np.int64)
-            chosen = (at % 3 == 0) | (at % 3 == other)
-            # a merged suffix has the samples before it and, once, its own kind; a sample has the merged ones
-            rank[chosen] += np.where(at[chosen] % 3 == 0, others + (zeros if other == 1 else 0), zeros)
-            put(f"half{level}" if other == 1 else f"r{level}", small(rank))
-
-        return Round(keys, below, apply)
+            rank = np.maximum(sample_ranks(get, level, lens, at) - 1, 0)
+            for family, (answers, which, tells) in enumerate(found):
+                base = bases(tells, ranges)
+                zeros, others = answers[0] + base[which, 0], answers[1] + base[which, 1]
+                chosen = (at % 3 == 0) | (at % 3 == family + 1)
+                # a merged suffix has the samples before it and, once, its own kind; a sample the merged ones
+                rank[chosen] += np.where(at[chosen] % 3 == 0, others + (0 if family else zeros), zeros)
+            put(f"r{level}", small(rank))
+
+        return Round(keys, below, apply, families=2)
 
     for level in range(depth - 1, -1, -1):
-        sorter.run(up(level, 1))
-        sorter.run(up(level, 2), (f"half{level}", f"r{level + 1}", f"l{level + 1}", f"s{level + 1}"))
+        sorter.run(up(level), (f"r{level + 1}", f"l{level + 1}", f"s{level + 1}"))
 
 
-def window_starts(pieces: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the block, piece) of every start of ``length`` bytes in a piece's core."""
+def window_starts(pieces: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the block, piece, place in the piece) of every start."""
     first = np.cumsum(lens) - lens
-    n = np.minimum(pieces["core"], lens[pieces["string"]] - pieces["start"] - length + 1)
+    n = pieces["n"]
     piece = np.repeat(np.arange(len(pieces)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return (first[pieces["string"]] + pieces["start"])[piece] + at, piece
+    return (first[pieces["string"]] + pieces["start"])[piece] + at, piece, at
 
 
 def mark_repeats(sorter: Sorter, length: int) -> None:
-    """Compare adjacent prefixes: give every block ``dup``, one flag per window start."""
-    def keys(get):
-        pieces, data = get("pieces"), get("s0")
-        at, piece = window_starts(pieces, get("l0"), length)
-        rank = get("r0").astype(np.uint64)[at]
+    """Compare adjacent prefixes: give every block ``dup``, one flag per start."""
+    ranges = sorter.ranges
+
+    def keys(get, _):
+        data = get("s0")
+        at, _, _ = window_starts(get("pieces"), get("l0"))
         one, two = gram_hashes(data, length), gram_hashes(data, length, _SECOND, _SECOND_INVERSE)
-        return [rank], [one[at], two[at]], [pieces["copies"][piece].astype(np.float64)]
+        return [get("r0").astype(np.uint64)[at]], [one[at], two[at]], [np.ones(len(at))]
 
     def answer(columns, carried, weights):
         """1 if a prefix repeats within the range, 2 and 3 in its first and last run of equal prefixes."""
@@ -588,101 +600,86 @@ def mark_repeats(sorter: Sorter, length: int) -> None:
         out = (times > 1).astype(np.int64)[run]
         out[run == run[-1]] = 3
         out[run == 0] = 2
-        ends = [(one[0], two[0], times[0]), (one[-1], two[-1], times[-1])]
-        return [out], [*[int(np.uint64(x).view(np.int64)) for e in ends for x in e[:2]], int(times[0]), int(times[-1]),
-                       len(times)]
+        ends = [int(x[k].view(np.int64)) for k in (0, -1) for x in (one, two)]
+        return [out], [*ends, int(times[0]), int(times[-1]), len(times)]
 
-    def apply(get, put, answers, which, tells):
-        first, last = {}, {}
-        run: list[tuple] = []  # ends of ranges that are one run of equal prefixes
+    def apply(get, put, found):
+        answers, which, tells = found[0]
+        repeats = [np.zeros(ranges, dtype=bool), np.zeros(ranges, dtype=bool)]  # of first and last runs
+        run: list[tuple[int, int]] = []  # ends of neighbouring ranges that are one run
         times, prefix = 0, None
-        for k, (a1, a2, z1, z2, n_first, n_last, n_runs) in [(k, tuple(t)) for k, t in tells]:
-            if run and prefix != (a1, a2):
-                for side, j in run:
-                    side[j] = times > 1
+        for k, (a1, a2, z1, z2, n_first, n_last, n_runs) in tells:
+            if prefix != (a1, a2):
                 run, times = [], 0
-            run.append((first, k))
+            run.append((0, k))
             times, prefix = times + n_first, (a1, a2)
+            for side, j in run:
+                repeats[side][j] = times > 1
             if n_runs > 1:
-                for side, j in run:
-                    side[j] = times > 1
-                run, times, prefix = [(last, k)], n_last, (z1, z2)
-        for side, j in run:
-            side[j] = times > 1
-        n = sorter_ranges
-        first, last = (np.array([side.get(k, False) for k in range(n)]) for side in (first, last))
+                run, times, prefix = [(1, k)], n_last, (z1, z2)
+                repeats[1][k] = times > 1
         flag = answers[0]
-        put("dup", np.where(flag == 2, first[which], np.where(flag == 3, last[which], flag == 1)))
+        put("dup", np.where(flag == 2, repeats[0][which], np.where(flag == 3, repeats[1][which], flag == 1)))
 
-    sorter_ranges = sorter.ranges
     sorter.run(Round(keys, answer, apply))
 
 
-def marked_pieces(sorter: Sorter, length: int) -> DataFrame:
-    """``cid``, ``spans``: of every representative chunk the runs of marked starts, (from, to)."""
+def marked_spans(sorter: Sorter) -> DataFrame:
+    """``k_id``, ``k_text``, ``a``, ``z``: the runs of marked starts of undecided segments."""
     shelf = sorter.shelf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column("block").to_pylist():
-                pieces, dup = shelf.get(f"{name}.pieces"), shelf.get(f"{name}.dup").astype(np.int8)
-                at, piece = window_starts(pieces, shelf.get(f"{name}.l0"), length)
-                fresh = np.concatenate([[True], piece[1:] != piece[:-1]])[:len(piece)]
-                begin = np.flatnonzero((dup == 1) & (fresh | (np.concatenate([[0], dup[:-1]]) == 0)))
-                closes = np.concatenate([fresh[1:], [True]])[:len(piece)]
-                end = np.flatnonzero((dup == 1) & (closes | (np.concatenate([dup[1:], [0]]) == 0)))
-                if not len(begin):
-                    continue
-                own = piece[begin]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                place = at - at[np.searchsorted(piece, piece)]  # in the chunk: its starts follow one another
-                spans = pa.ListArray.from_arrays(
-                    pa.array(np.append(first, len(own)), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(place[begin], pa.int32()), pa.array(place[end] + 1, pa.int32())],
-                                               names=["a", "z"]))
-                yield pa.RecordBatch.from_arrays([pa.array(pieces["cid"][own[first]], pa.int64()), spans],
-                                                 names=["cid", "spans"])
+                pieces = shelf.get(f"{name}.pieces")
+                _, piece, at = window_starts(pieces, shelf.get(f"{name}.l0"))
+                dup = shelf.get(f"{name}.dup").astype(bool) & pieces["single"][piece]
+                edge = np.concatenate([[True], piece[1:] != piece[:-1], [True]])[:len(piece) + 1]
+                begin = np.flatnonzero(dup & (edge[:-1] | ~np.concatenate([[False], dup])[:-1]))
+                end = np.flatnonzero(dup & (edge[1:] | ~np.concatenate([dup, [False]])[1:]))
+                own = pieces[piece[begin]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own["k_id"], pa.int64()), pa.array(own["k_text"], pa.int64()),
+                     pa.array(own["at"] + at[begin], pa.int32()), pa.array(own["at"] + at[end] + 1, pa.int32())],
+                    names=["k_id", "k_text", "a", "z"])
 
-    return sorter.blocks.mapInArrow(run, "cid long, spans array<struct<a:int,z:int>>")
+    return sorter.blocks.mapInArrow(run, "k_id long, k_text long, a int, z int")
 
 
 # -- documents -----------------------------------------------------------------------------
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, keys: int = RANGE) -> DataFrame | None:
-    """``k_id``, ``k_text``, ``spans``: of every document the runs of starts of repeated strings.
+def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, keys: int = RANGE) -> DataFrame:
+    """``k_id``, ``k_text``, ``spans``: of every document the runs of starts of repeated strings, in order.
 
-    ``block`` (bytes) and ``keys`` size the tasks.  None if nothing repeats."""
+    ``block`` (bytes) and ``keys`` size the tasks."""
     spark = docs.sparkSession
     small_batches(spark)
     work = Workspace(spark, "suffix-dedup")
     shelf = Shelf(f"{work.folder}/blocks")
     fs, folder = file_system(shelf.folder)
     fs.create_dir(folder, recursive=True)
-    chunks = work.table(chunks_of(docs, length).withColumn("cid", F.monotonically_increasing_id()), "chunks")
-    near = work.table(candidates(chunks), "candidates")
+    near = work.table(occurrences(work.table(parse(docs, length), "parsed"), work), "occurrences")
     work.release()
-    work.drop("chunks")
-    same = ["h1", "h2", "core"]
-    chosen = near.groupBy(*same).agg(F.count("*").cast("int").alias("copies"), F.min(F.struct(
-        "cid", "k_id", "k_text", "start", "whole")).alias("one"))
-    chosen = work.table(chosen.select(*same, "copies", "one.*"), "chosen")
-    blocks = work.table(make_blocks(docs, chosen, shelf, block), "block-names")
+    work.drop("parsed")
+    work.drop("segment-counts")
+    spans = near.filter("copies > 1").select("k_id", "k_text", F.col("begin").alias("a"), F.col("end").alias("z"))
+    # of each segment that repeats, one copy: that of the smallest document, first in it
+    first = near.filter("open AND copies > 1").groupBy("gram", "seg").agg(F.min(F.struct(
+        "k_id", "k_text", "begin", "end", "copies")).alias("one")).select("one.*")
+    chosen = near.filter("open AND copies = 1").select(*first.columns).unionByName(first)
+    blocks = work.table(make_blocks(docs, chosen, shelf, length, block), "block-names")
     size = blocks.agg(F.count("*").alias("n"), F.sum("n").alias("total")).first()
     work.release()
-    if not size.n:
-        return None
-    sorter = Sorter(work, blocks, shelf, size.n, size.total, keys)
-    suffix_ranks(sorter, length)
-    mark_repeats(sorter, length)
-    marked = work.table(marked_pieces(sorter, length), "marked")
-    shown = marked.join(chosen.select("cid", *same), "cid").select(*same, "spans")
-    spans = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"),
-                                                    (s["z"] + F.col("start")).alias("z")))
-    by_text = near.join(shown, same).select("k_id", "k_text", spans.alias("spans")).groupBy("k_id", "k_text").agg(
-        F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
-    found = work.table(by_text, "spans")
-    work.drop("blocks")
+    if size.n:
+        sorter = Sorter(work, blocks, shelf, size.n, size.total, keys)
+        suffix_ranks(sorter, length)
+        mark_repeats(sorter, length)
+        spans = spans.unionByName(work.table(marked_spans(sorter), "marked"))
+    found = work.table(spans.groupBy("k_id", "k_text").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias(
+        "spans")), "spans")
+    for name in ("blocks", "occurrences"):
+        work.drop(name)
     work.release()
     return found
 
@@ -704,9 +701,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
     """``doc_id``, ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` for every row of ``docs``."""
     starts = repeated_starts(docs, length, block, keys)
     d = keyed(docs)
-    spans_type = "array<struct<a:int,z:int>>"
-    d = d.withColumn("spans", F.lit(None).cast(spans_type)) if starts is None else d.join(
-        starts, ["k_id", "k_text"], "left")
+    d = d.join(starts, ["k_id", "k_text"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -722,3 +717,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, ke
 
     return d.select("k_id", "data", "spans").mapInArrow(
         run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def rewrite(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, keys: int = RANGE) -> DataFrame:
+    """``docs`` with all columns and only what is left of ``text``.
+
+    Cut inside a character, its bytes go too; a text of which nothing is left becomes
+    null, null and empty texts stay as they are."""
+    starts = repeated_starts(docs, length, block, keys)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)
+                                                                         ).alias("k_id"), F.xxhash64(text).alias("k_text"))
+    rows = rows.join(starts, ["k_id", "k_text"], "left").select("row", "spans")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = pa.RecordBatch.from_struct_array(b.column("row"))
+            texts = []
+            for t, spans in zip(row.column(at).to_pylist(), b.column("spans"), strict=True):
+                if t and spans.is_valid:
+                    kept, _ = kept_bytes(memoryview(t.encode()), [(s["a"], s["z"]) for s in spans.as_py()], length)
+                    t = kept.decode("utf-8", "ignore") or None
+                texts.append(t)
+            columns = list(row.columns)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=row.schema.names)
+
+    return rows.mapInArrow(run, docs.schema)
