@@ -25,22 +25,25 @@ import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ohlcflow.llm.common import RecentWords, id_and_text, small_batches
+from ohlcflow.llm.common import RecentWords, id_and_text, pieces_of, small_batches
 
 NONE = np.int64(1) << 62  # a leaf without a mergeable pair
 _LOW = np.int64((1 << 32) - 1)
 
 #: Symbols that one numpy step may hold; longer lists of words are encoded in parts.
 STEP_SYMBOLS = 1 << 19
+#: Pieces of one of two generations that a worker remembers (about 400 bytes each).
+RECENT = 200_000
 
-_PIECE = re.compile(r"[^ \t\n\r]+")
 
 
 def byte_symbols() -> list[str]:
@@ -50,6 +53,24 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=1)
+def odd_characters() -> re.Pattern:
+    """Characters that Python's and the regex module's Unicode tables class differently (letter,
+    number or neither): those assigned between the two versions."""
+    import regex
+
+    every = "".join(map(chr, (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1))))
+    own = "".join(c if (c := unicodedata.category(x)[0]) in "LN" else "-" for x in every)
+    theirs = list("-" * len(every))
+    for kind in "LN":
+        for m in regex.finditer(rf"\p{{{kind}}}+", every):
+            theirs[m.start():m.end()] = kind * (m.end() - m.start())
+    odd = "".join("1" if a != b else "0" for a, b in zip(own, theirs, strict=True))
+    ranges = [(every[m.start()], every[m.end() - 1]) for m in re.finditer("1+", odd)]
+    return re.compile("[" + "".join(f"{re.escape(a)}-{re.escape(z)}" for a, z in ranges) + "]") if ranges \
+        else re.compile(r"(?!)")
+
+
 class Bpe:
     """Encoder of one vocabulary file."""
 
@@ -66,12 +87,14 @@ class Bpe:
             raise ValueError(f"{path}: a kind of tokenizer that this operator does not know")
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"] or ""
+        self.path = path
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         shown = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(shown)}
         self.inner = np.array([vocab[c] for c in shown], dtype=np.int64)
         self.final = np.array([vocab[c + end] for c in shown], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -158,18 +181,30 @@ class Bpe:
         so a sigma at a word's end is like any other."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def by_library(self, text: str) -> list[str]:
+        """Pre-tokens by the library's own normalizer and splitter: for characters younger than
+        one of the Unicode tables here."""
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "library"):
+            self.library = Tokenizer.from_file(self.path)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.byte_of[c] for c in w).decode("utf-8", "surrogatepass") for w, _ in cut]
+
     def pretokens(self, pieces: list[str]) -> list[list]:
         """Special token ids and pre-token texts of every piece, in order; no piece has a line end."""
         out: list[list] = []
-        plain = self.pattern.findall
-        if self.cut and any(s in p for s in self.special for p in pieces):
+        plain, together = self.pattern.findall, "\n".join(pieces)
+        odd = not together.isascii() and odd_characters().search(together)
+        if odd or self.cut and any(s in together for s in self.special):
             for p in pieces:
-                parts = self.cut.split(p)
+                parts = self.cut.split(p) if self.cut else [p]
                 out.append([w for part in parts for w in (
-                    [self.special[part]] if part in self.special else plain(self.folded(part)))])
+                    [self.special[part]] if part in self.special else self.by_library(part)
+                    if odd and odd_characters().search(part) else plain(self.folded(part)))])
             return out
         # one pass over all pieces; white space never matches the pattern, so line ends can part them
-        return [plain(p) for p in self.folded("\n".join(pieces)).split("\n")] if pieces else []
+        return [plain(p) for p in self.folded(together).split("\n")] if pieces else []
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         cut = self.pretokens(pieces)
@@ -181,7 +216,7 @@ class Bpe:
         return [known[c[0]] if len(c) == 1 else [i for w in c for i in known[w]] for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_pieces(_PIECE.findall(text)) for i in ids]
+        return [i for ids in self.encode_pieces(pieces_of(text)) for i in ids]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
@@ -189,29 +224,56 @@ class Bpe:
 
 @functools.lru_cache(maxsize=2)
 def remembered(path: str) -> tuple[Bpe, RecentWords]:
-    """The encoder of a file, and what recent pieces encode to: (count, ids, tokens) as texts."""
+    """The encoder of a file, and what recent pieces encode to: (count, ids, ids in decimal, tokens)."""
     bpe = Bpe(path)
 
-    def compute(pieces: list[str]) -> list[tuple[int, str, str]]:
-        return [(len(ids), " ".join(map(str, ids)), bpe.decode(ids)) for ids in bpe.encode_pieces(pieces)]
+    def compute(pieces: list[str]) -> list[tuple[int, bytes, str, str]]:
+        return [(len(ids), array("i", ids).tobytes(), " ".join(map(str, ids)), bpe.decode(ids))
+                for ids in bpe.encode_pieces(pieces)]
+
+    return bpe, RecentWords(compute, limit=RECENT)
 
-    return bpe, RecentWords(compute)
+
+def _sha(parts) -> str:
+    return hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``ids`` (array of int): every whole text encoded."""
+    """Every whole text encoded and decoded again: ``doc_id``, ``ids`` (array of int),
+    ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by blanks), ``decoded_sha256``."""
+    return _encode(docs, path, True)
+
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """``encode_documents`` without ``ids``."""
+    return _encode(docs, path, False)
+
+
+def _encode(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(path)[1]
         for b in batches:
-            cut = [_PIECE.findall(t) for t in b.column("text").to_pylist()]
-            known.fill([p for c in cut for p in c])
-            ids = [[int(i) for p in c for i in known[p][1].split()] for c in cut]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))],
-                                             names=["doc_id", "ids"])
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+            count, ids_sha, text_sha, raw = [], [], [], []
+            for found in known.of([pieces_of(t) for t in b.column("text").to_pylist()]):
+                numbers, ids, decimal, shown = zip(*found, strict=True) if found else ((),) * 4
+                if 0 in numbers:  # pieces without a token
+                    some = [f for f in found if f[0]]
+                    numbers, ids, decimal, shown = zip(*some, strict=True) if some else ((),) * 4
+                count.append(sum(numbers))
+                ids_sha.append(_sha(decimal))
+                text_sha.append(_sha(shown))
+                raw += ids if with_ids else ()
+            columns = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(count, pa.int64()),
+                       "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            if with_ids:
+                flat = pa.array(np.frombuffer(b"".join(raw), dtype=np.int32))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), flat)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return id_and_text(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -226,31 +288,3 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                                              names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
-
-
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every whole text.
-
-    Encodes and decodes piece by piece without holding all ids of a long text as objects."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = remembered(path)[1]
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
-        for b in batches:
-            cut = [_PIECE.findall(t) for t in b.column("text").to_pylist()]
-            known.fill([p for c in cut for p in c])
-            count, ids_sha, text_sha = [], [], []
-            for c in cut:
-                found = [known[p] for p in c]
-                if any(not f[0] for f in found):  # a piece of other white space only
-                    found = [f for f in found if f[0]]
-                count.append(sum(f[0] for f in found))
-                ids_sha.append(sha([f[1] for f in found]))
-                text_sha.append(sha([f[2] for f in found]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return id_and_text(docs).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

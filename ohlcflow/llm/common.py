@@ -54,26 +54,45 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class RecentWords(dict):
     """What is known of recent words: at most two generations of ``limit`` entries.
 
-    ``fill`` makes every word of a batch present, asking ``compute`` for the unknown
-    ones, and drops the older generation when the younger is full.  Memory is bounded
-    whatever the number of distinct words; only speed depends on what is kept."""
+    ``of`` looks up the words of a batch of texts and asks ``compute`` for the unknown
+    ones; the older generation goes when the younger is full.  Memory is bounded whatever
+    the number of distinct words; only speed depends on what is kept."""
 
     def __init__(self, compute, limit: int = 150_000):
         super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
+        self.compute, self.limit, self.older, self.unknown = compute, limit, {}, []
 
-    def fill(self, words: list[str]) -> None:
+    def __missing__(self, word: str):
+        if (known := self.older.get(word)) is not None:
+            self[word] = known
+        else:
+            self.unknown.append(word)
+        return known
+
+    def of(self, texts: list[list[str]]) -> list[list]:
+        """What is known of every word, in the order of the texts' words."""
         if len(self) > self.limit:
             self.older = dict(self)
             self.clear()
-        unknown = []
-        for w in set(words) - self.keys():
-            if (known := self.older.get(w)) is not None:
-                self[w] = known
-            else:
-                unknown.append(w)
-        if unknown:
-            self.update(zip(unknown, self.compute(unknown), strict=True))
+        find = self.__getitem__
+        found = [list(map(find, words)) for words in texts]
+        if self.unknown:
+            todo, self.unknown = list(dict.fromkeys(self.unknown)), []
+            self.update(zip(todo, self.compute(todo), strict=True))
+            for words, f in zip(texts, found, strict=True):
+                for i in [i for i, x in enumerate(f) if x is None] if None in f else ():
+                    f[i] = find(words[i])
+        return found
+
+
+_NOT_WHITE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_PIECE = re.compile(r"[^ \t\n\r]+")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut at white space: all of it, except that U+001C to U+001F, which Python
+    alone takes for white space, stay inside pieces (then only at blanks and line ends)."""
+    return _PIECE.findall(text) if any(c in text for c in _NOT_WHITE) else text.split()
 
 
 class Workspace:

@@ -20,7 +20,6 @@ Null or empty text has only the end id.  An empty table gives an empty manifest.
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm.common import RecentWords, file_system, id_and_text, small_batches
+from ohlcflow.llm.common import RecentWords, file_system, id_and_text, pieces_of, small_batches
 from ohlcflow.session import ensure_checkpoint_dir
 
+#: Pieces of one of two generations that a worker remembers (about 200 bytes each).
+RECENT = 300_000
 NULL_ID = np.iinfo(np.int64).min
-_PIECE = re.compile(r"[^ \t\n\r]+")
 
 MANIFEST = "shard int, name string, dtype string, n_docs long, n_tokens long"
 
@@ -53,10 +53,46 @@ def encoder(path: str):
 
 @functools.lru_cache(maxsize=2)
 def piece_ids(path: str, dtype: str) -> RecentWords:
-    """Ids (as bytes of ``dtype``) that the library gives to recent blank-separated pieces."""
+    """Ids (as bytes of ``dtype``) that the library gives to recent pieces between white space.
+
+    A letter and a stop behind it never share a pre-token, and case is folded, so pieces
+    that differ in an ASCII word's case or in stops at the end share the word's encoding.
+    A word of letters is one pre-token, so many words are encoded as one text, whose ids
+    are parted behind the tokens that end a word."""
     t = encoder(path)
-    return RecentWords(lambda pieces: [np.array(e.ids, dtype=dtype).tobytes() for e in t.encode_batch_fast(
-        pieces, add_special_tokens=False)])
+    ends = np.zeros(t.get_vocab_size(with_added_tokens=True), dtype=bool)
+    ends[[i for token, i in t.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
+    size = np.dtype(dtype).itemsize
+
+    def encode(words: list[str]) -> list[bytes]:
+        known: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha() and "\u0130" not in w]
+        for i in range(0, len(plain), 256):
+            part = plain[i:i + 256]
+            ids = np.array(t.encode(" ".join(part), add_special_tokens=False).ids, dtype=dtype)
+            cuts = (np.flatnonzero(ends[ids]) + 1) * size
+            if len(cuts) == len(part):  # else they are encoded one by one
+                raw, cuts = ids.tobytes(), cuts.tolist()
+                known.update(zip(part, [raw[a:z] for a, z in zip([0, *cuts], cuts, strict=False)], strict=True))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, [np.array(e.ids, dtype=dtype).tobytes() for e in t.encode_batch_fast(
+            rest, add_special_tokens=False)], strict=True))
+        return [known[w] for w in words]
+
+    recent = RecentWords(encode, limit=RECENT)
+
+    def compute(pieces: list[str]) -> list[bytes]:
+        words, stops = [], []
+        for p in pieces:
+            word = p.rstrip(".,;:!?")
+            stop = p[len(word):]
+            if not word or not word[-1].isalpha():
+                word, stop = p, ""
+            words.append(word.lower() if word.isascii() and "<|" not in word else word)
+            stops.append(stop)
+        return [w + s for w, s in zip(*recent.of([words, stops]), strict=True)]
+
+    return RecentWords(compute, limit=RECENT)
 
 
 def encode_texts(texts: list[str], path: str, dtype: str, by_piece: bool) -> list[bytes]:
@@ -64,9 +100,8 @@ def encode_texts(texts: list[str], path: str, dtype: str, by_piece: bool) -> lis
         return [np.array(e.ids, dtype=dtype).tobytes()
                 for e in encoder(path).encode_batch_fast(texts, add_special_tokens=False)]
     known = piece_ids(path, dtype)
-    cut = [_PIECE.findall(t) for t in texts]
-    known.fill([p for c in cut for p in c])
-    return [b"".join([known[p] for p in c]) for c in cut]
+    cut = [pieces_of(t) for t in texts]
+    return [b"".join(ids) for ids in known.of(cut)]
 
 
 def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 1, by_piece: bool = False,
@@ -74,8 +109,8 @@ def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int =
     """Write ``docs`` (``doc_id``, ``text``) as token files; (folder, manifest with bases).
 
     ``tokenizer`` is the path of a vocabulary file that every executor can read.
-    ``by_piece`` is for vocabularies that drop white space: blank-separated pieces are
-    then encoded by themselves, and recent ones remembered.  ``out`` is a shared folder
+    ``by_piece`` is for vocabularies that drop white space and fold case: pieces between
+    white space are then encoded by themselves, and recent ones remembered.  ``out`` is a shared folder
     (default: one below the session's checkpoint folder)."""
     spark = docs.sparkSession
     small_batches(spark)
