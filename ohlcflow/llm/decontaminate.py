@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ohlcflow.llm import bloom
 from ohlcflow.llm.common import small_batches
 from ohlcflow.llm.words import ALNUM, Words, find_words, mix, text_runs
 from ohlcflow.session import scratch_table
@@ -37,9 +38,8 @@ WINDOW = 12
 SUBSTITUTIONS = 2
 LEAST_WORDS = 8
 
-#: The Bloom filter has at least this many bits per seed, and at most 2^28 bits in all.
+#: Bits per seed of the Bloom filter, up to its largest size.
 FILTER_BITS_PER_SEED = 256
-FILTER_BITS = (1 << 20, 1 << 28)
 #: Seed rows up to which the benchmark side of the join is broadcast; above, both sides are shuffled.
 BROADCAST_SEEDS = 200_000
 
@@ -78,11 +78,6 @@ def _word_texts(w: Words, first: int, last: int) -> list[str]:
                                                                               strict=True)]
 
 
-def _probes(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return seed & mask, (seed >> np.uint64(32)) & mask
-
-
 SEED_ROWS = "item_id long, item_at int, n_words int, seed long, item_words array<string>"
 
 
@@ -117,33 +112,10 @@ def benchmark_seeds(items: DataFrame, window: int, substitutions: int, least_wor
     return texts.mapInArrow(run, SEED_ROWS)
 
 
-def seed_filter(found: DataFrame, n: int) -> np.ndarray:
-    """Bloom filter (bytes) of the seeds; at most ``FILTER_BITS[1]`` bits whatever their number."""
-    bits = 1 << max(FILTER_BITS[0] - 1, min(FILTER_BITS[1], n * FILTER_BITS_PER_SEED) - 1).bit_length()
-    place = F.explode(F.array(F.col("seed").bitwiseAND(F.lit(bits - 1)),
-                              F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(bits - 1))))
-    words = found.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(31)).cast("int"))
-                 ).alias("word"))
-    t = words.toArrow()  # at most bits / 32 rows
-    out = np.zeros(bits // 32, dtype="<u4")
-    out[t["at"].to_numpy()] = t["word"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
-
-
 def document_seeds(docs: DataFrame, table: np.ndarray, window: int, substitutions: int, least_words: int,
                    short_items: bool) -> DataFrame:
     """Seeds of the documents that the filter lets through, with the words of their window."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    bits = len(table) * 8
-
-    def let_through(seed: np.ndarray) -> np.ndarray:
-        t = shared.value
-        one, two = _probes(seed, bits)
-        hit = np.flatnonzero(t[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
-        two = two[hit]
-        return hit[(t[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
@@ -154,7 +126,7 @@ def document_seeds(docs: DataFrame, table: np.ndarray, window: int, substitution
                 if short_items:
                     kinds.append((window - 1, *whole_seeds(w, least_words)))
                 for length, place, seed in kinds:
-                    hit = let_through(seed)
+                    hit = bloom.might_hold(shared.value, seed)
                     if not len(hit):
                         continue
                     place, seed = place[hit], seed[hit]
@@ -181,7 +153,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, substituti
         raise ValueError("a window needs a word for each block")
     bench = scratch_table(benchmark_seeds(items, window, substitutions, least_words), "benchmark-seeds")
     size = bench.agg(F.count("*").alias("n"), F.sum((F.col("n_words") < window).cast("int")).alias("short")).first()
-    found = document_seeds(docs, seed_filter(bench, size.n), window, substitutions, least_words, bool(size.short))
+    found = document_seeds(docs, bloom.build(bench, "seed", size.n, FILTER_BITS_PER_SEED), window, substitutions, least_words, bool(size.short))
     side = F.broadcast(bench) if size.n <= BROADCAST_SEEDS else bench
     both = found.join(side, "seed").filter(F.size("doc_words") >= F.col("n_words"))
     equal = F.size(F.filter(F.zip_with("item_words", F.slice("doc_words", 1, F.col("n_words")), lambda a, b: a == b),

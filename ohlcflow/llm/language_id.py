@@ -84,7 +84,10 @@ def grams(w: Words, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(w.data) else np.zeros(0, np.uint64)
     c[place == 0] = 1
     c[place == size[word] - 1] = 2
-    at = np.flatnonzero(place + n <= size[word])
+    ok = place + n <= size[word]
+    if n == 1:  # a mark alone says nothing
+        ok &= (place > 0) & (place < size[word] - 1)
+    at = np.flatnonzero(ok)
     h = np.full(len(at), n, dtype=np.uint64)
     for k in range(n):
         h = mix(h * np.uint64(0x100000001B3) + c[at + k])

@@ -65,16 +65,18 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint's bits as a signed long)."""
+    """``doc_id``, ``text_hash``, ``fp`` (the fingerprint's bits as a signed long)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64), pa.int64())],
+                names=["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, text_hash long, fp long")
 
 
 def ball(width: int, radius: int) -> int:
@@ -123,12 +125,24 @@ def links(nodes: DataFrame, distance: int = DISTANCE, segments: int | None = Non
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` for every row of ``docs``."""
+    """``doc_id``, ``text_hash``, ``fp``, ``root`` (smallest fingerprint of the group) and
+    ``component_id`` (smallest doc_id of the group) for every row of ``docs``."""
     fps = scratch_table(fingerprints(docs, shingle, seed), "simhash-fp")
     nodes = scratch_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = scratch_table(connected_components(links(nodes, distance)), "simhash-roots")
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(roots.withColumnRenamed("node", "fp").join(least, "root").drop("root"), "fp", "left").select(
-        "fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    roots = scratch_table(connected_components(links(nodes, distance)), "simhash-roots").withColumnRenamed("node", "fp")
+    least = nodes.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.join(roots.join(least, "root"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for every group, with all its columns: that of the smallest doc_id
+    (ties: smallest text hash; null ids last); of rows equal in both, any one."""
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
+    chosen = near_duplicates(docs, **options).groupBy("root").agg(one).select(
+        F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"),
+                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    kept = row.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_text"]).select("row.*")

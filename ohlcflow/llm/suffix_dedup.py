@@ -42,6 +42,7 @@ with the same text, so its strings occur twice; a null id is an id like any othe
 from __future__ import annotations
 
 import io
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -53,18 +54,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ohlcflow.llm import bloom
 from ohlcflow.llm.common import Workspace, file_system, small_batches
 from ohlcflow.llm.words import _BASE, _INVERSE, mix, powers
 
 LENGTH = 200
 #: Bytes of a gram, as a share of the length: half leaves half the length for its place.
 GRAM_SHARE = 2
+#: Bits per repeated gram of the filter that spares segments before they are joined.
+GRAM_BITS = 16
 #: Bytes of a block of strings, and keys of a range.
 BLOCK = 2 << 20
 RANGE = 2 << 20
+#: Blocks that one task handles, one after the other.
+BLOCKS_PER_TASK = 4
 #: Blocks, and keys of each, that are looked at to place the splitters.  Documents come to
 #: blocks by hash, so a few blocks show the distribution of all.
-SAMPLE_BLOCKS, SAMPLE = 16, 2048
+SAMPLE_BLOCKS, SAMPLE = 8, 4096
 
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
@@ -93,28 +99,33 @@ def gram_hashes(data: np.ndarray, width: int, base: int = _BASE, inverse: int =
     return mix((sums[width:] - sums[:-width]) * powers(inverse, n - width + 1))
 
 
+def canonical(order: np.ndarray, width: int) -> np.ndarray:
+    """Of the ``width`` values from every place on, the place of the smallest, the first of equals."""
+    least = _sliding(order, width, np.minimum)
+    pad = np.zeros(width - 1, dtype=order.dtype)
+    # places that are the smallest of some run; a run's own is the first that equals its minimum
+    places = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == order)
+    at = np.searchsorted(places, np.arange(len(least)))
+    wrong = np.flatnonzero(order[places[at]] != least)
+    while len(wrong):
+        at[wrong] += 1
+        wrong = wrong[order[places[at[wrong]]] != least[wrong]]
+    return places[at]
+
+
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first start, end of starts, gram hash, hash of the bytes) of every segment of a text of at
     least ``length`` bytes."""
     gram = length // GRAM_SHARE
-    width = length - gram + 1
     g = gram_hashes(data, gram)
-    order = (g >> np.uint64(32)).astype(np.uint32)
-    least = _sliding(order, width, np.minimum)
-    pad = np.zeros(width - 1, dtype=np.uint32)
-    # grams that are the least of some string; the canonical one is the first that equals the string's least
-    anchors = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == order)
-    at = np.searchsorted(anchors, np.arange(len(least)))
-    wrong = np.flatnonzero(order[anchors[at]] != least)
-    while len(wrong):
-        at[wrong] += 1
-        wrong = wrong[order[anchors[at[wrong]]] != least[wrong]]
+    n = len(data) - length + 1
+    at = canonical((g >> np.uint64(32)).astype(np.uint32), length - gram + 1)
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    end = np.append(begin[1:], len(least))
+    end = np.append(begin[1:], n)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(data * powers(_SECOND, len(data)), out=sums[1:])
     whole = (sums[end + length - 1] - sums[begin]) * powers(_SECOND_INVERSE, len(data))[begin]
-    return begin, end, g[anchors[at[begin]]], mix(whole + (end - begin).astype(np.uint64))
+    return begin, end, g[at[begin]], mix(whole + (end - begin).astype(np.uint64))
 
 
 PARSED = "k_id long, k_text long, begin array<int>, end array<int>, gram array<long>, seg array<long>"
@@ -150,14 +161,30 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
 def occurrences(parsed: DataFrame, work: Workspace) -> DataFrame:
     """Segments that repeat or are to be decided: key, ``begin``, ``end``, ``gram``, ``seg``,
     ``copies``, ``open`` (its gram has undecided segments)."""
-    rows = parsed.select("k_id", "k_text", F.explode(F.arrays_zip("begin", "end", "gram", "seg")).alias("s"))
-    counts = work.table(parsed.select(F.explode(F.arrays_zip("gram", "seg")).alias("s")).groupBy(
-        F.col("s.gram").alias("gram"), F.col("s.seg").alias("seg")).agg(F.count("*").alias("copies")), "segment-counts")
+    twice = work.table(parsed.select(F.explode("gram").alias("gram")).groupBy("gram").agg(
+        F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    table = parsed.sparkSession.sparkContext.broadcast(bloom.build(twice, "gram", twice.count(), GRAM_BITS))
+
+    def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leave out segments whose gram the filter refutes: it occurs once."""
+        for b in batches:
+            lists = [b.column(c) for c in ("begin", "end", "gram", "seg")]
+            kept = bloom.might_hold(table.value, lists[2].flatten().to_numpy().view(np.uint64))
+            cuts = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy()))
+            cuts = pa.array(np.searchsorted(kept, cuts), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("k_id"), b.column("k_text"),
+                 *[pa.ListArray.from_arrays(cuts, x.flatten().take(pa.array(kept))) for x in lists]],
+                names=b.schema.names)
+
+    rows = work.table(parsed.mapInArrow(spare, PARSED).select("k_id", "k_text", F.explode(F.arrays_zip(
+        "begin", "end", "gram", "seg")).alias("s")).select("k_id", "k_text", "s.*"), "segments")
+    counts = work.table(rows.groupBy("gram", "seg").agg(F.count("*").alias("copies")), "segment-counts")
     grams = counts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"),
                                        F.sum((F.col("copies") == 1).cast("int")).alias("once")).filter("all > 1")
     kinds = counts.join(grams.select("gram", ((F.col("kinds") > 1) & (F.col("once") > 0)).alias("open")), "gram")
     kinds = kinds.filter((F.col("copies") > 1) | F.col("open"))
-    rows = rows.select("k_id", "k_text", "s.*").join(kinds, ["gram", "seg"])
+    rows = rows.join(kinds, ["gram", "seg"])
     return rows.select("k_id", "k_text", "begin", "end", "gram", "seg", "copies", "open")
 
 
@@ -243,8 +270,8 @@ def make_blocks(docs: DataFrame, chosen: DataFrame, shelf: Shelf, length: int, m
 
 def places(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in its string, symbols from there to the string's end) of every symbol."""
-    first = np.cumsum(lens) - lens
-    at = np.arange(int(lens.sum())) - np.repeat(first, lens)
+    lens = lens.astype(np.int32)  # a block is far smaller
+    at = np.arange(int(lens.sum()), dtype=np.int32) - np.repeat(np.cumsum(lens, dtype=np.int32) - lens, lens)
     return at, np.repeat(lens, lens) - at
 
 
@@ -289,18 +316,30 @@ def pack(columns: list[np.ndarray], most: list[int]) -> list[np.ndarray]:
     return out
 
 
+def sorted_values(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, place of every element among them)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.empty(len(x), dtype=bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    back = np.empty(len(x), dtype=np.uint32)
+    back[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return x[new], back
+
+
 def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """(distinct rows in lexicographic order, place of every row among them)."""
     if len(columns) == 1:
-        values, back = np.unique(columns[0], return_inverse=True)
+        values, back = sorted_values(columns[0])
         return [values], back
     head, rank = distinct(columns[:-1])
-    last, last_rank = np.unique(columns[-1], return_inverse=True)
-    # both sides by rank fit one number
-    both, back = np.unique((rank.astype(np.uint64) << np.uint64(32)) | last_rank.astype(np.uint64),
-                           return_inverse=True)
-    at = (both >> np.uint64(32)).astype(np.int64)
-    return [*[h[at] for h in head], last[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]], back
+    last, low = None, columns[-1]
+    if len(low) and int(low.max()) >> 32:  # by rank, too, so that both fit one number
+        last, low = sorted_values(low)
+    both, back = sorted_values((rank.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64))
+    at, low = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
+    return [*[h[at] for h in head], low if last is None else last[low.astype(np.int64)]], back
 
 
 def split_at(columns: list[np.ndarray], splitters: list[tuple]) -> list[int]:
@@ -337,26 +376,27 @@ class Round:
     function of the key), weight columns.  ``answer(columns, carried, weights)`` turns
     the distinct keys of a range, with summed weights, into answer columns by key and a
     few numbers to tell.  ``apply(get, put, found)`` receives for every family a block's
-    answers and ranges by element, and what the ranges told, in their order."""
+    answers and ranges by element, and what the ranges told, in their order.
+    ``elements`` is about how many a family has; it sets the number of ranges."""
 
     keys: Callable
     answer: Callable
     apply: Callable
+    elements: float
     families: int = 1
 
 
 class Sorter:
     def __init__(self, work: Workspace, blocks: DataFrame, shelf: Shelf, n_blocks: int, total: int, keys: int):
         self.work, self.shelf = work, shelf
-        self.blocks = blocks.select("block").repartition(n_blocks)
-        self.some = blocks.select("block").orderBy("block").limit(SAMPLE_BLOCKS)
-        self.total = total
-        self.ranges = max(1, -(-total // keys))
-        self.number = 0
+        self.blocks = blocks.select("block").repartition(-(-n_blocks // BLOCKS_PER_TASK))
+        self.some = blocks.select("block").orderBy("block").limit(SAMPLE_BLOCKS).repartition(2)
+        self.total, self.range_keys = total, keys
+        self.number, self.stale = 0, []
 
-    def _splitters(self, r: Round) -> list[list[tuple]]:
+    def _splitters(self, r: Round, ranges: int) -> list[list[tuple]]:
         """By family, keys that part the ranges: quantiles of evenly spaced elements of some blocks."""
-        shelf, each = self.shelf, max(8, min(SAMPLE, 64 * self.ranges))
+        shelf, each = self.shelf, max(8, min(SAMPLE, 64 * ranges))
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -370,18 +410,18 @@ class Sorter:
                                                                  pa.list_(pa.list_(pa.int64())))],
                             names=["family", "picked"])
 
-        if self.ranges == 1:
+        if ranges == 1:
             return [[] for _ in range(r.families)]
         rows: list[list[tuple]] = [[] for _ in range(r.families)]
-        picked = self.some.repartition(SAMPLE_BLOCKS).mapInArrow(sample, "family int, picked array<array<long>>")
+        picked = self.some.mapInArrow(sample, "family int, picked array<array<long>>")
         for x in picked.toArrow().to_pylist():
             rows[x["family"]] += zip(*[[v & 0xFFFFFFFFFFFFFFFF for v in c] for c in x["picked"]], strict=True)
-        n = self.ranges
-        return [sorted({v[len(v) * i // n] for i in range(1, n)}) if v else [] for v in map(sorted, rows)]
+        return [sorted({v[len(v) * i // ranges] for i in range(1, ranges)}) if v else [] for v in map(sorted, rows)]
 
     def run(self, r: Round, stale: tuple[str, ...] = ()) -> list[list]:
         """Do a round; afterwards the blocks' files ``stale`` go.  Returns the tells by family."""
-        shelf, splitters, work, ranges = self.shelf, self._splitters(r), self.work, self.ranges
+        ranges = max(1, math.ceil(r.elements / self.range_keys))
+        shelf, splitters, work, gone = self.shelf, self._splitters(r, ranges), self.work, self.stale
         self.number += 1
         tag = f"round{self.number}"
 
@@ -395,12 +435,14 @@ class Sorter:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for name in b.column("block").to_pylist():
+                    for x in gone:  # of rounds that are over
+                        shelf.drop(f"{name}.{x}")
                     for f in range(r.families):
                         columns, carried, weights = r.keys(lambda x, name=name: shelf.get(f"{name}.{x}"), f)
                         own, back = distinct(columns)
                         more, sums = merge(own, back, carried, weights)
                         cuts = [0, *split_at(own, splitters[f]), len(own[0])]
-                        shelf.put(f"{name}.{tag}-{f}", back.astype(np.uint32))
+                        shelf.put(f"{name}.{tag}-{f}", back)
                         shelf.put(f"{name}.{tag}-{f}-cuts", np.array(cuts))
                         shape = [len(own), len(more), len(sums)]
                         for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -445,7 +487,7 @@ class Sorter:
                 parts = [unsqueeze(x, n) for k, x, n in rows if k // ranges == f]
                 answers = np.concatenate(parts, axis=1).view(np.int64) if parts else np.zeros((2, 0), np.int64)
                 which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-                found.append(([x[back] for x in answers], which[back], tells[f]))
+                found.append(([x[back] for x in answers], which[back], tells[f] or [(0, [0, 0])]))
             r.apply(lambda x: shelf.get(f"{name}.{x}"), lambda x, a: shelf.put(f"{name}.{x}", a), found)
             return pa.table({"block": [name]})
 
@@ -454,22 +496,9 @@ class Sorter:
         del replies, taken
         work.drop(f"replies-{tag}")
         work.release()
-        self.drop([*stale, *[f"{tag}-{f}{x}" for f in range(r.families) for x in ("", "-cuts")]])
+        self.stale = [*stale, *[f"{tag}-{f}{x}" for f in range(r.families) for x in ("", "-cuts")]]
         return tells
 
-    def drop(self, names: list[str]) -> None:
-        """Delete files of every block."""
-        shelf = self.shelf
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block in b.column("block").to_pylist():
-                    for x in names:
-                        shelf.drop(f"{block}.{x}")
-                yield b
-
-        self.blocks.mapInArrow(run, "block string").write.format("noop").mode("overwrite").save()
-
 
 def dense(columns: list, _, __) -> tuple[list, list[int]]:
     """Rank among the distinct keys."""
@@ -481,9 +510,9 @@ def below(_, __, weights: list) -> tuple[list, list[int]]:
     return [np.cumsum(w) - w for w in weights], [int(w.sum()) for w in weights]
 
 
-def bases(tells: list, ranges: int) -> np.ndarray:
+def bases(tells: list) -> np.ndarray:
     """What all smaller ranges told, summed: one row per range."""
-    told = np.zeros((ranges + 1, len(tells[0][1])), dtype=np.int64)
+    told = np.zeros((tells[-1][0] + 2, len(tells[0][1])), dtype=np.int64)
     for k, t in tells:
         told[k + 1] = t
     return np.cumsum(told, axis=0)
@@ -500,7 +529,7 @@ def suffix_ranks(sorter: Sorter, length: int) -> None:
     """Give every block ``r0``: a rank for each of its suffixes.
 
     Suffixes that differ in their first ``length`` bytes are ranked in their order."""
-    ranges, most_rank = sorter.ranges, sorter.total + 1
+    most_rank = sorter.total + 1
     depth = 1
     while 3 ** depth < length:
         depth += 1
@@ -519,14 +548,14 @@ def suffix_ranks(sorter: Sorter, length: int) -> None:
         def apply(get, put, found):
             answers, which, tells = found[0]
             lens = get(f"l{level}")
-            name = answers[0] + bases(tells, ranges)[which, 0]
+            name = answers[0] + bases(tells)[which, 0]
             next_level = np.empty(len(name), dtype=np.int64)
             next_level[child_places(lens, places(lens)[0])] = name
             # the names of the last level serve as its ranks alone
             put(f"r{level + 1}" if last else f"s{level + 1}", small(next_level + (0 if last else 1)))
             put(f"l{level + 1}", child_lens(lens))
 
-        return Round(keys, below if last else dense, apply)
+        return Round(keys, below if last else dense, apply, sorter.total * (2 / 3) ** (level + 1))
 
     for level in range(depth):
         tells = sorter.run(down(level, level + 1 == depth))
@@ -559,14 +588,14 @@ def suffix_ranks(sorter: Sorter, length: int) -> None:
             at, _ = places(lens)
             rank = np.maximum(sample_ranks(get, level, lens, at) - 1, 0)
             for family, (answers, which, tells) in enumerate(found):
-                base = bases(tells, ranges)
+                base = bases(tells)
                 zeros, others = answers[0] + base[which, 0], answers[1] + base[which, 1]
                 chosen = (at % 3 == 0) | (at % 3 == family + 1)
                 # a merged suffix has the samples before it and, once, its own kind; a sample the merged ones
                 rank[chosen] += np.where(at[chosen] % 3 == 0, others + (0 if family else zeros), zeros)
             put(f"r{level}", small(rank))
 
-        return Round(keys, below, apply, families=2)
+        return Round(keys, below, apply, sorter.total * (2 / 3) ** (level + 1), families=2)
 
     for level in range(depth - 1, -1, -1):
         sorter.run(up(level), (f"r{level + 1}", f"l{level + 1}", f"s{level + 1}"))
@@ -583,8 +612,6 @@ def window_starts(pieces: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.
 
 def mark_repeats(sorter: Sorter, length: int) -> None:
     """Compare adjacent prefixes: give every block ``dup``, one flag per start."""
-    ranges = sorter.ranges
-
     def keys(get, _):
         data = get("s0")
         at, _, _ = window_starts(get("pieces"), get("l0"))
@@ -605,7 +632,7 @@ def mark_repeats(sorter: Sorter, length: int) -> None:
 
     def apply(get, put, found):
         answers, which, tells = found[0]
-        repeats = [np.zeros(ranges, dtype=bool), np.zeros(ranges, dtype=bool)]  # of first and last runs
+        repeats = np.zeros((2, tells[-1][0] + 1), dtype=bool)  # of the ranges' first and last runs
         run: list[tuple[int, int]] = []  # ends of neighbouring ranges that are one run
         times, prefix = 0, None
         for k, (a1, a2, z1, z2, n_first, n_last, n_runs) in tells:
@@ -621,7 +648,7 @@ def mark_repeats(sorter: Sorter, length: int) -> None:
         flag = answers[0]
         put("dup", np.where(flag == 2, repeats[0][which], np.where(flag == 3, repeats[1][which], flag == 1)))
 
-    sorter.run(Round(keys, answer, apply))
+    sorter.run(Round(keys, answer, apply, sorter.total))
 
 
 def marked_spans(sorter: Sorter) -> DataFrame:
@@ -661,8 +688,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, k
     fs.create_dir(folder, recursive=True)
     near = work.table(occurrences(work.table(parse(docs, length), "parsed"), work), "occurrences")
     work.release()
-    work.drop("parsed")
-    work.drop("segment-counts")
+    for name in ("parsed", "grams", "segments", "segment-counts"):
+        work.drop(name)
     spans = near.filter("copies > 1").select("k_id", "k_text", F.col("begin").alias("a"), F.col("end").alias("z"))
     # of each segment that repeats, one copy: that of the smallest document, first in it
     first = near.filter("open AND copies > 1").groupBy("gram", "seg").agg(F.min(F.struct(
