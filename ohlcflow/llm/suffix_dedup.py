@@ -53,10 +53,11 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ohlcflow.llm import bloom
 from ohlcflow.llm.common import Workspace, file_system, small_batches
-from ohlcflow.llm.words import _BASE, _INVERSE, mix, powers
+from ohlcflow.llm.words import _BASE, _INVERSE, mix, powers, text_runs
 
 LENGTH = 200
 #: Bytes of a gram, as a share of the length: half leaves half the length for its place.
@@ -113,19 +114,26 @@ def canonical(order: np.ndarray, width: int) -> np.ndarray:
     return places[at]
 
 
-def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, end of starts, gram hash, hash of the bytes) of every segment of a text of at
-    least ``length`` bytes."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts that stand one after the other in ``data``: (text, first start, end of starts, gram
+    hash, hash of the bytes) of every segment, in order."""
+    if len(data) < length:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     gram = length // GRAM_SHARE
     g = gram_hashes(data, gram)
-    n = len(data) - length + 1
     at = canonical((g >> np.uint64(32)).astype(np.uint32), length - gram + 1)
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    end = np.append(begin[1:], n)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = text[:len(at)] == text[length - 1:]  # strings that do not cross into the next text
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]) | (text[1:len(at)] != text[:len(at) - 1])])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(at))
+    kept = inside[begin]
+    begin, end = begin[kept], end[kept]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(data * powers(_SECOND, len(data)), out=sums[1:])
     whole = (sums[end + length - 1] - sums[begin]) * powers(_SECOND_INVERSE, len(data))[begin]
-    return begin, end, g[at[begin]], mix(whole + (end - begin).astype(np.uint64))
+    first = offsets[text[begin]]
+    return text[begin], begin - first, end - first, g[at[begin]], mix(whole + (end - begin).astype(np.uint64))
 
 
 PARSED = "k_id long, k_text long, begin array<int>, end array<int>, gram array<long>, seg array<long>"
@@ -144,16 +152,17 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [i for i, x in enumerate(b.column("data")) if x.as_buffer().size >= length]
-            found = [segments(np.frombuffer(b.column("data")[i].as_buffer(), dtype=np.uint8), length) for i in keep]
-            cuts = pa.array(np.cumsum([0, *[len(f[0]) for f in found]]), pa.int32())
-            flat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
-            arrays = [pa.array(x, pa.int32()) for x in flat[:2]] + [pa.array(x.view(np.int64), pa.int64())
-                                                                    for x in flat[2:]]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k_id").take(pa.array(keep, pa.int64())), b.column("k_text").take(pa.array(keep, pa.int64())),
-                 *[pa.ListArray.from_arrays(cuts, x) for x in arrays]],
-                names=["k_id", "k_text", "begin", "end", "gram", "seg"])
+            for at, data, offsets in text_runs(b.column("data")):
+                text, *flat = segments(data, offsets, length)
+                own, count = np.unique(text, return_counts=True)
+                cuts = pa.array(np.append(0, np.cumsum(count)), pa.int32())
+                arrays = [pa.array(x, pa.int32()) for x in flat[:2]] + [pa.array(x.view(np.int64), pa.int64())
+                                                                        for x in flat[2:]]
+                place = pa.array(at + own, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("k_id").take(place), b.column("k_text").take(place),
+                     *[pa.ListArray.from_arrays(cuts, x) for x in arrays]],
+                    names=["k_id", "k_text", "begin", "end", "gram", "seg"])
 
     return keyed(docs).mapInArrow(run, PARSED)
 
@@ -355,17 +364,32 @@ def split_at(columns: list[np.ndarray], splitters: list[tuple]) -> list[int]:
 
 
 def squeeze(columns: list[np.ndarray]) -> bytes:
-    """64-bit columns as bytes: differences, byte planes, compressed (sorted columns become small)."""
-    n = len(columns[0])
-    planes = [np.diff(c.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(n, 8).T for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.stack(planes)).tobytes())
+    """64-bit columns as compressed byte planes; of a rising column the differences."""
+    n, head, body = len(columns[0]), [len(columns)], []
+    for c in columns:
+        c = c.view(np.uint64)
+        rising = bool((c[1:] >= c[:-1]).all())
+        if rising:
+            c = np.diff(c, prepend=np.uint64(0))
+        width = max(1, (int(c.max()).bit_length() + 7) // 8)
+        head += [rising, width]
+        body.append(np.ascontiguousarray(c.view(np.uint8).reshape(n, 8)[:, :width].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(bytes(head) + b"".join(body))
 
 
 def unsqueeze(body: pa.Scalar, n: int) -> np.ndarray:
     """The columns of ``squeeze`` as rows of a uint64 array."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_buffer()), dtype=np.uint8).reshape(-1, 8, n)
-    return np.cumsum(np.ascontiguousarray(raw.transpose(0, 2, 1)).view(np.uint64).reshape(-1, n), axis=1,
-                     dtype=np.uint64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_buffer()), dtype=np.uint8)
+    count = int(raw[0])
+    out = np.zeros((count, n), dtype=np.uint64)
+    at = 1 + 2 * count
+    for k in range(count):
+        rising, width = raw[1 + 2 * k], int(raw[2 + 2 * k])
+        out[k].view(np.uint8).reshape(n, 8)[:, :width] = raw[at:at + width * n].reshape(width, n).T
+        at += width * n
+        if rising:
+            np.cumsum(out[k], out=out[k])
+    return out
 
 
 @dataclass
@@ -771,4 +795,5 @@ def rewrite(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, keys: int
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=row.schema.names)
 
-    return rows.mapInArrow(run, docs.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable or f.name == "text") for f in docs.schema])
+    return rows.mapInArrow(run, schema)

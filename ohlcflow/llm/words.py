@@ -17,8 +17,8 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-#: Texts are taken in runs of about this many bytes (a longer text alone), which bounds the arrays.
-RUN_BYTES = 1 << 20
+#: Texts are taken in runs of about this many bytes (a longer text alone): the arrays stay in the cache.
+RUN_BYTES = 1 << 16
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -72,8 +72,8 @@ class Words:
 
 
 def text_runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, bytes, offsets) of runs of a string array without nulls."""
-    texts = texts.cast(pa.large_string()).cast(pa.large_binary())
+    """(number of the first text, bytes, offsets) of runs of a string or binary array without nulls."""
+    texts = texts.cast(pa.large_binary())
     n = len(texts)
     off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, int)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if n and texts.buffers()[2] else np.zeros(0, np.uint8)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from ohlcflow.llm import decontaminate, graph, simhash, suffix_dedup
@@ -53,9 +54,20 @@ def test_suffix_dedup_edges(edge_docs, no_docs):
 
 
 def test_window_minimum_of_equal_hashes():
-    data = np.frombuffer(b"ab" * 300, dtype=np.uint8)
-    begin, end, gram, seg = suffix_dedup.segments(data, 20)
-    assert begin[0] == 0 and end[-1] == len(data) - 19 and (begin[1:] == end[:-1]).all()
+    data = np.frombuffer(b"ab" * 300 + b"short" + b"ab" * 30, dtype=np.uint8)
+    text, begin, end, _, _ = suffix_dedup.segments(data, np.array([0, 600, 605, 665]), 20)
+    assert set(text) == {0, 2}
+    for t, size in ((0, 600), (2, 60)):
+        b, e = begin[text == t], end[text == t]
+        assert b[0] == 0 and e[-1] == size - 19 and (b[1:] == e[:-1]).all()
+
+
+def test_squeeze():
+    rng = np.random.default_rng(1)
+    columns = [np.sort(rng.integers(0, 1 << 62, 999)).astype(np.uint64), rng.integers(0, 1 << 63, 999).astype(np.uint64) * 2,
+               np.ones(999, dtype=np.uint64), np.zeros(999, dtype=np.uint64)]
+    body = pa.scalar(suffix_dedup.squeeze(columns), pa.binary())
+    assert (suffix_dedup.unsqueeze(body, 999) == np.stack(columns)).all()
 
 
 def brute_fingerprint(text):
@@ -159,3 +171,12 @@ def test_decontamination(spark, edge_docs):
     assert clean.columns == d.columns
     assert {r.doc_id for r in clean.collect()} == {x for x, _ in docs} - {g[0] for g in got}
     assert decontaminate.overlaps(d, b.limit(0)).collect() == [] and decontaminate.overlaps(d.limit(0), b).collect() == []
+
+
+def test_rewrite_of_a_text_that_goes_whole(spark):
+    """Nothing left: null, also where the column was declared to hold none."""
+    text = "all of this goes " * 20
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "stays")], "doc_id long, text string")
+    left = suffix_dedup.rewrite(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, None), (2, None), (3, "stays")}
+    assert left.filter("text IS NOT NULL").withColumn("n", F.length("text")).count() == 1
