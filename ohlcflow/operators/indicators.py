@@ -16,10 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import IDX, PART, TOTAL, Framed, ewm, ewm_lookback, ewm_order, frame, lag, roll, rolling
+from ..session import scratch_table
+from .series import IDX, OWN, PART, TOTAL, Framed, ewm, ewm_lookback, ewm_order, frame, lag, roll, rolling
 
 Apply = Callable[[Framed, DataFrame], DataFrame]
 
@@ -39,6 +40,8 @@ class Indicator:
     latest: Latest | None = field(default=None, compare=False, repr=False)
     # columns whose previous-row value the latest form reads as ``_prev_<col>``
     latest_prev: tuple[str, ...] = ()
+    # column whose long standstills the framing must tell (see ``frame``)
+    flat: str | None = None
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -84,7 +87,9 @@ def ewm_at_latest(back: F.Column, x: F.Column, alpha: float) -> F.Column:
         return row_at(back, 0, x)
     w = F.when(F.col(IDX) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     inside = (back >= 0) & (back < ewm_lookback(alpha))
-    return F.sum(F.when(inside, w * x * F.pow(F.lit(1.0 - alpha), back)))
+    value = F.sum(F.when(inside, w * x * F.pow(F.lit(1.0 - alpha), back)))
+    # a NULL input has no defined weight (as in the window form)
+    return F.when(F.count_if(inside & x.isNull()) == 0, value)
 
 
 def previous_close_delta() -> F.Column:
@@ -130,14 +135,38 @@ def rsi(period: int = 14, col: str = "close", name: str | None = None) -> Indica
                 .withColumn(lo, F.when(delta < 0, -delta).otherwise(F.lit(0.0))))
         df = ewm(fr, df, g, alpha, ag)
         df = ewm(fr, df, lo, alpha, al)
-        return df.withColumn(out, rsi_from(ag, al)).drop(g, lo, ag, al)
+        df = df.withColumn(out, rsi_from(ag, al)).drop(g, lo, ag, al)
+        return stand_still(fr, df, out, order)
 
     def latest(back: F.Column) -> dict:
         delta = F.col(col) - F.col(f"_prev_{col}")
         gain = F.when(delta > 0, delta).otherwise(F.lit(0.0))
         loss = F.when(delta < 0, -delta).otherwise(F.lit(0.0))
-        return {out: rsi_from(ewm_at_latest(back, gain, alpha), ewm_at_latest(back, loss, alpha))}
-    return Indicator(out, ewm_lookback(alpha) + 1, apply, (), latest, (col,))
+        # without a change the value stays, so it is taken at the last change (``_still`` rows back)
+        at = back - F.col(f"_still_{col}")
+        return {out: rsi_from(ewm_at_latest(at, gain, alpha), ewm_at_latest(at, loss, alpha))}
+    return Indicator(out, ewm_lookback(alpha) + 1, apply, (), latest, (col,), col)
+
+
+def stand_still(fr: Framed, df: DataFrame, out: str, order) -> DataFrame:
+    """Carry ``out`` over rows where it is NaN because nothing has changed for so long that
+    both averages are 0.  On a zero change both decay alike, so their ratio, and with it
+    the RSI, is that of the last change.  Inside a partition that is the last number
+    before; for symbols that stand still over a whole halo, the last numbers of the
+    partitions before come from a small written table."""
+    number = F.when(~F.isnan(out), F.col(out))
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(f"{out}__last", F.last(number, ignorenulls=True).over(before))
+    known = F.coalesce(F.col(f"{out}__last"), F.col(out))
+    if fr.flat is not None:
+        own = df.join(fr.flat, list(fr.keys), "left_semi").where(OWN)
+        ends = own.groupBy(*fr.keys, PART).agg(F.max_by(number, F.when(~F.isnan(out), F.col(IDX))).alias("_end"))
+        w = Window.partitionBy(*fr.keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        ends = scratch_table(ends.withColumn(f"{out}__carry", F.last("_end", ignorenulls=True).over(w)).drop("_end"),
+                             "series-still")
+        df = df.join(ends, [*fr.keys, PART], "left")
+        known = F.coalesce(F.col(f"{out}__last"), F.col(f"{out}__carry"), F.col(out))
+    return df.withColumn(out, F.when(F.isnan(out), known).otherwise(F.col(out))).drop(f"{out}__last", f"{out}__carry")
 
 
 def atr(period: int = 14, name: str | None = None) -> Indicator:
@@ -220,7 +249,7 @@ def lagged(base: Indicator, k: int, name: str) -> Indicator:
 
     def apply(fr: Framed, df: DataFrame) -> DataFrame:
         df = base.apply(fr, df)
-        return df.withColumn(name, lag(fr, src, k)).drop(*base.columns)
+        return df.withColumn(name, lag(fr, src, k, base.lookback)).drop(*base.columns)
     latest = None
     if base.latest is not None:
         # the base's latest form, evaluated k rows earlier
@@ -261,11 +290,14 @@ def dedupe(indicators) -> list[Indicator]:
 
 
 def frame_with(bars: DataFrame, indicators, *, keys=("symbol",), order="date", latest=False,
-               width: int | None = None, span: int | None = None) -> Framed:
-    """Frame ``bars`` for the given indicators and add their columns (helpers kept)."""
+               width: int | None = None, span: int | None = None, extra_lookback: int = 0) -> Framed:
+    """Frame ``bars`` for the given indicators and add their columns (helpers kept).
+
+    ``extra_lookback`` is how many rows further back the caller reads those columns."""
     inds = dedupe(indicators)
-    lookback = max([i.lookback for i in inds] + [1])
-    fr = frame(bars, lookback, keys=tuple(keys), order=order, latest=latest, width=width, span=span)
+    lookback = max([i.lookback for i in inds] + [1]) + extra_lookback
+    flat = next((i.flat for i in inds if i.flat), None)
+    fr = frame(bars, lookback, keys=tuple(keys), order=order, latest=latest, width=width, span=span, flat=flat)
     df = fr.df
     for ind in inds:
         df = ind.apply(fr, df)
@@ -290,12 +322,17 @@ def snapshot_with(bars: DataFrame, indicators, *, keys=("symbol",), order="date"
     if any(i.latest is None for i in inds):
         return None
     lookback = max([i.lookback for i in inds] + [1])
-    fr = frame(bars, lookback, keys=tuple(keys), order=order, latest=True, width=width)
+    flats = sorted({i.flat for i in inds if i.flat})
+    fr = frame(bars, lookback, keys=tuple(keys), order=order, latest=True, width=width, flat=next(iter(flats), None))
     rows = fr.df
     prev = sorted({c for i in inds for c in i.latest_prev})
     if prev:
         # one lag per column, in the row-index window operator (same partition and order)
         rows = rows.withColumns({f"_prev_{c}": lag(fr, c, 1) for c in prev})
+    if flats:
+        whole = Window.partitionBy(*keys, PART)
+        rows = rows.withColumns({f"_still_{c}": F.coalesce(F.col(TOTAL) - 1 - F.max(F.when(
+            F.col(c) != F.col(f"_prev_{c}"), F.col(IDX))).over(whole), F.lit(0)) for c in flats})
     back = F.col(TOTAL) - 1 - F.col(IDX)
     columns = [c for c in bars.columns if c not in keys]
     aggs = [F.max_by(c, IDX).alias(c) for c in columns]

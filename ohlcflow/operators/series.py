@@ -88,6 +88,8 @@ class Framed:
     keys: tuple[str, ...]
     order: str
     lookback: int
+    # symbols (one row each) whose ``flat`` column is constant over a whole halo, or None
+    flat: DataFrame | None = None
 
     @cached_property
     def window(self) -> Window:
@@ -107,7 +109,7 @@ class Framed:
                 .rowsBetween(Window.unboundedPreceding, 0))
 
     def with_df(self, df: DataFrame) -> "Framed":
-        return Framed(df, self.keys, self.order, self.lookback)
+        return Framed(df, self.keys, self.order, self.lookback, self.flat)
 
     @staticmethod
     def is_latest() -> Column:
@@ -127,9 +129,13 @@ def _has_shuffle(df: DataFrame) -> bool:
 
 def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
           order: str = "date", width: int | None = None, span: int | None = None,
-          latest: bool = False, materialize: bool | None = None) -> Framed:
+          latest: bool = False, materialize: bool | None = None, flat: str | None = None) -> Framed:
     """Frame ``df`` so that windows with up to ``lookback`` preceding rows are exact.
 
+    With ``flat`` (a column) the chunk statistics also tell where that column stands
+    still for a whole lookback: a ``latest`` frame then reaches back to ``lookback`` rows
+    before its last change, another frame lists the symbols concerned (``Framed.flat``).
+
     The input is read twice (chunk statistics, then the rows).  If it is
     itself the result of a shuffle (bars aggregated from trades, say) it is
     written once to the checkpoint folder first (``materialize=None`` decides
@@ -142,26 +148,49 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
         df = scratch_table(df, "series-input")
     base = df.withColumn(CHUNK, chunk_column(df, order, width))
 
-    counts = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    still = [] if flat is None else [F.min(flat).alias("_low"), F.max(flat).alias("_high"),
+                                     F.count(flat).alias("_known")]
+    counts = base.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"), *still)
     wk = Window.partitionBy(*keys).orderBy(CHUNK)
     stats = (counts
              .withColumn(END, F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn(START, F.col(END) - F.col("_n"))
              .withColumn(TOTAL, F.sum("_n").over(Window.partitionBy(*keys))))
+    moved = F.lit(True)
+    if flat is not None:
+        # a chunk in which the column changes, or whose value is not that of the chunk before
+        moved = ~(F.col("_low").eqNullSafe(F.col("_high")) & (F.col("_known") == F.col("_n"))
+                  & F.col("_low").eqNullSafe(F.lag("_high").over(wk)))
+        stats = stats.withColumn("_moved", moved)
+        moved = F.col("_moved")
     if latest:
         last_start = F.max(START).over(Window.partitionBy(*keys))
+        last_moved = F.max(F.when(moved, F.col(START))).over(Window.partitionBy(*keys))
         stats = (stats.withColumn("_last_start", last_start)
-                 .where(F.col(END) + F.lit(h) > F.col("_last_start"))
+                 .withColumn("_reach", F.least(last_start, F.coalesce(last_moved, last_start)))
+                 .where(F.col(END) + F.lit(h) > F.col("_reach"))
                  .select(*keys, CHUNK, START, TOTAL,
                          F.lit(0).cast("long").alias(_P_LO), F.lit(0).cast("long").alias(_P_HI),
                          (F.col(START) == F.col("_last_start")).alias("_own_chunk")))
     else:
         s = int(span or max(8 * h, MIN_SPAN_ROWS))
+        if flat is not None:
+            # rows since the start of the last chunk that moved; a long stretch may cross a partition
+            since = F.max(F.when(moved, F.col(END))).over(wk.rowsBetween(Window.unboundedPreceding, 0))
+            stats = stats.withColumn("_stretch", F.col(END) - since)
         p = F.floor(F.col(START) / s)
         p_hi = F.greatest(p, F.floor((F.col(END) - 1 + F.lit(h)) / s))
         stats = stats.select(*keys, CHUNK, START, TOTAL, p.cast("long").alias(_P_LO),
-                             p_hi.cast("long").alias(_P_HI), F.lit(True).alias("_own_chunk"))
+                             p_hi.cast("long").alias(_P_HI), F.lit(True).alias("_own_chunk"),
+                             *([] if flat is None else ["_stretch"]))
     stats = scratch_table(stats, "series-chunks")
+    flat_keys = None
+    if flat is not None and not latest:
+        # a stretch may span chunks only in part: half a lookback of whole chunks is the least sign of one
+        long = stats.where(F.col("_stretch") * 2 >= h).select(*keys).distinct()
+        stats = stats.drop("_stretch")
+        if not long.isEmpty():
+            flat_keys = long
     if latest:
         # No kept chunk starts before the earliest kept chunk, so this bound
         # drops no needed row.  It folds to a literal of the ordering column's
@@ -182,7 +211,7 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
     # first() and row_number() share one window spec -> one sort, one Window operator
     wo = Window.partitionBy(*keys, PART).orderBy(order)
     joined = joined.withColumn(IDX, F.first(START).over(wo) + F.row_number().over(wo) - 1)
-    return Framed(joined, keys, order, h)
+    return Framed(joined, keys, order, h, flat_keys)
 
 
 # ---------------------------------------------------------------------------
@@ -196,7 +225,13 @@ def roll(fr: Framed, agg, col: Column | str, n: int) -> Column:
     return F.when(F.count(c).over(w) == n, agg(c).over(w))
 
 
-def lag(fr: Framed, col: Column | str, k: int = 1) -> Column:
+def lag(fr: Framed, col: Column | str, k: int = 1, depth: int = 0) -> Column:
+    """``col`` ``k`` rows earlier; ``depth`` is the number of rows ``col`` itself looks back.
+
+    A partition holds ``fr.lookback`` rows before its first own row, so a deeper
+    value would silently be NULL there: it is refused instead."""
+    if k + depth > fr.lookback:
+        raise ValueError(f"a lag of {k} over {depth} rows needs more than the {fr.lookback} framed rows")
     return F.lag(col, k).over(fr.window)
 
 
@@ -238,6 +273,9 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
     with weight ``d^(j+1)``.  Terms older than one block weigh < 1e-16, so the
     result equals the full recursion to double precision while every sum
     stays bounded.  Needs ``2B`` rows of lookback (``ewm_lookback``).
+
+    A NULL input has no defined weight: results are NULL from it on, until it
+    lies behind the block before the current one and weighs nothing.
     """
     if alpha >= 1.0:
         return df.withColumn(out, F.col(x).cast("double"))
@@ -247,12 +285,15 @@ def ewm(fr: Framed, df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
     sub, j, part = f"{TABLE_PREFIX}ewsub{b}", f"{TABLE_PREFIX}ewj{b}", f"{out}__part"
     w = F.when(F.col(IDX) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     local = F.pow(F.lit(d), F.col(j)) * F.sum(w * F.col(x) * F.pow(F.lit(d), -F.col(j))).over(fr.sub_window(sub))
-    df = df.withColumn(part, local)
+    whole = F.count_if(F.col(x).isNull()).over(fr.sub_window(sub)) == 0
+    df = df.withColumn(part, F.struct(local.alias("y"), whole.alias("whole")))
     # ordered by (block, date): the same sort as the block-local sums above
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     carry = F.last(F.when(F.col(j) == b - 1, F.col(part)), ignorenulls=True).over(before)
-    df = df.withColumn(out, F.col(part) + F.pow(F.lit(d), F.col(j) + 1) * F.coalesce(carry, F.lit(0.0)))
-    return df.drop(part)
+    df = df.withColumn(f"{part}_carry", carry)
+    value = F.col(f"{part}.y") + F.pow(F.lit(d), F.col(j) + 1) * F.coalesce(F.col(f"{part}_carry.y"), F.lit(0.0))
+    valid = F.col(f"{part}.whole") & F.coalesce(F.col(f"{part}_carry.whole"), F.lit(True))
+    return df.withColumn(out, F.when(valid, value)).drop(part, f"{part}_carry")
 
 
 # Spark evaluates a sliding ROWS frame by re-aggregating the whole frame for
@@ -310,7 +351,8 @@ def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out:
     df = df.withColumns(parts)
 
     def at(name: str, offset: int) -> Column:
-        return F.col(name) if offset == 0 else lag(fr, name, offset)
+        # the running count is read one row before the frame (0 where that is no row)
+        return F.col(name) if offset == 0 else F.lag(name, offset).over(fr.window)
 
     terms = [at(block, skip + j * b) for j in range(q)] + ([F.col(rest)] if r else [])
     if part_agg == "sum":

@@ -16,6 +16,8 @@ from .series import Framed, lag
 # (ours) defaults
 STOP_ATR_MULT = 2.0
 RISK_BUDGET = 1000.0
+ATR_YEAR = 252
+ATR_HIGH = 0.8
 
 
 def next_bar_signals(bars: DataFrame, n: int = 20, atr_period: int = 14,
@@ -23,75 +25,92 @@ def next_bar_signals(bars: DataFrame, n: int = 20, atr_period: int = 14,
     """P-SIG: a 20-row breakout on bar t is entered at the open of bar t+1.
 
     stop = close(t) - k * atr(t); size = floor(risk / (close(t) - stop));
-    ``rank`` orders the signals of one day by relative volume (ties: symbol)."""
+    ``rank`` orders the signals of one day by relative volume (ties: symbol).  A signal
+    of a symbol's newest bar is there too, with NULL entry_date and entry: its entry is
+    the next session's open."""
     inds = [prior_high(n), I.atr(atr_period), I.rvol(20)]
-    fr = I.frame_with(bars, inds)
-    df = fr.df
-    atr_c = f"atr_{atr_period}"
-    sig = F.col("close") > F.col(f"prior_high_{n}")
-    df = (df.withColumn("_sig", sig)
-            .withColumn("_prev_sig", lag(fr, "_sig", 1))
-            .withColumn("signal_date", lag(fr, "date", 1))
-            .withColumn("_sig_close", lag(fr, "close", 1))
-            .withColumn("_sig_atr", lag(fr, atr_c, 1))
-            .withColumn("_sig_rvol", lag(fr, "rvol_20", 1)))
-    out = fr.finish(df.where(F.col("_prev_sig")))
-    stop = F.col("_sig_close") - F.lit(k) * F.col("_sig_atr")
-    per_share = F.col("_sig_close") - stop
+    fr = I.frame_with(bars, inds, extra_lookback=1)
+    depth = fr.lookback - 1
+    sig = {"signal_date": "date", "close": "close", "atr": f"atr_{atr_period}", "rvol_20": "rvol_20"}
+    df = fr.df.withColumn("_sig", F.col("close") > F.col(f"prior_high_{n}"))
+    df = df.withColumns({"_prev_sig": lag(fr, "_sig", 1, depth),
+                         **{f"_sig_{a}": lag(fr, c, 1, depth) for a, c in sig.items()}})
+    # both events of a bar in one pass: the entry of the bar before, the signal of the newest bar
+    entered = F.struct(F.col("date").alias("entry_date"), F.col("open").alias("entry"),
+                       *[F.col(f"_sig_{a}").alias(a) for a in sig])
+    newest = F.struct(F.lit(None).cast(df.schema["date"].dataType).alias("entry_date"),
+                      F.lit(None).cast(df.schema["open"].dataType).alias("entry"),
+                      *[F.col(c).alias(a) for a, c in sig.items()])
+    events = F.array_compact(F.array(F.when(F.col("_prev_sig"), entered),
+                                     F.when(F.col("_sig") & Framed.is_latest(), newest)))
+    out = fr.finish(df.withColumn("_events", events).where(F.size("_events") > 0))
+    out = out.select("symbol", F.inline("_events"))
+    stop = F.col("close") - F.lit(k) * F.col("atr")
+    per_share = F.col("close") - stop
     out = out.select(
-        "symbol", "signal_date", F.col("date").alias("entry_date"), F.col("open").alias("entry"),
-        stop.alias("stop"),
+        "symbol", "signal_date", "entry_date", "entry", stop.alias("stop"),
         F.floor(F.try_divide(F.lit(risk), per_share)).cast("bigint").alias("size"),
-        F.col("_sig_rvol").alias("rvol_20"))
+        "rvol_20")
     w = Window.partitionBy("signal_date").orderBy(F.col("rvol_20").desc_nulls_last(), "symbol")
     return out.withColumn("rank", F.rank().over(w))
 
 
 def relative_strength(bars: DataFrame, benchmark: str, k: int = 20) -> DataFrame:
-    """P-RS: (1 + k-row return) / (1 + benchmark's k-row return), percent-ranked per date."""
+    """P-RS: (1 + k-row return) / (1 + benchmark's k-row return), percent-ranked per date.
+
+    On a date without a benchmark return the row stays, with NULL rs and rank."""
     ret = I.Indicator(f"ret_{k}", k, lambda fr, df: df.withColumn(
         f"ret_{k}", F.try_divide(F.col("close"), lag(fr, "close", k)) - 1.0))
     df = I.add_indicators(bars, [ret]).where(F.col(f"ret_{k}").isNotNull())
     bench = (df.where(F.col("symbol") == benchmark)
                .select("date", F.col(f"ret_{k}").alias(f"bench_ret_{k}")))
-    out = (df.join(bench, "date")
+    out = (df.join(bench, "date", "left")
              .select("symbol", "date", f"ret_{k}", f"bench_ret_{k}",
                      F.try_divide(1.0 + F.col(f"ret_{k}"), 1.0 + F.col(f"bench_ret_{k}")).alias("rs")))
-    w = Window.partitionBy("date").orderBy("rs")
-    return out.withColumn("rs_rank", F.percent_rank().over(w))
+    w = Window.partitionBy("date", F.col("rs").isNull()).orderBy("rs")
+    return out.withColumn("rs_rank", F.when(F.col("rs").isNotNull(), F.percent_rank().over(w)))
 
 
 def regime(bars: DataFrame, benchmark: str) -> DataFrame:
-    """P-REG: benchmark regime per date from close, sma_50 and sma_200 *(cut-offs: ours)*."""
+    """P-REG: the benchmark's regime per date, and the policy it stands for.
+
+    ``atr_percentile`` is the share of the last ``ATR_YEAR`` rows whose atr_14 / close is
+    at most today's.  Above the 200-row average: ``trend_on`` (gate 1.0), or
+    ``trend_caution`` (gate 0.5) while volatility is above ``ATR_HIGH``; below it
+    ``trend_off`` (gate 0.0, no new entries); ``unknown`` (no gate) during warm-up
+    *(cut-offs and gates: ours)*."""
     b = bars.where(F.col("symbol") == benchmark)
-    df = I.add_indicators(b, [I.sma(50), I.sma(200)])
-    state = (F.when(F.col("sma_200").isNull() | F.col("sma_50").isNull(), "unknown")
-              .when((F.col("close") > F.col("sma_200")) & (F.col("sma_50") > F.col("sma_200")), "trend_on")
-              .when(F.col("close") > F.col("sma_200"), "caution")
-              .otherwise("trend_off"))
-    return df.select("date", state.alias("regime"))
+    fr = I.frame_with(b, [I.sma(200), I.atr(14)], extra_lookback=ATR_YEAR - 1)
+    df = fr.df.withColumn("_vol", F.try_divide(F.col("atr_14"), F.col("close")))
+    year = F.collect_list("_vol").over(fr.rows(ATR_YEAR))
+    share = F.size(F.filter("_year", lambda x: x <= F.col("_vol"))) / F.lit(float(ATR_YEAR))
+    df = fr.finish(df.withColumn("_year", year))
+    df = df.withColumn("atr_percentile", F.when(F.size("_year") == ATR_YEAR, share))
+    state = (F.when(F.col("sma_200").isNull() | F.col("atr_percentile").isNull(), "unknown")
+              .when(F.col("close") <= F.col("sma_200"), "trend_off")
+              .when(F.col("atr_percentile") > ATR_HIGH, "trend_caution").otherwise("trend_on"))
+    gate = F.when(F.col("regime") == "trend_on", 1.0).when(F.col("regime") == "trend_caution", 0.5).when(
+        F.col("regime") == "trend_off", 0.0)
+    return df.select("date", "atr_percentile", state.alias("regime")).withColumn("gate", gate)
 
 
 def forward_trades(bars: DataFrame, horizons=(5,), n: int = 20) -> DataFrame:
     """Trades of the breakout signal: entry at open of t+1, exit at close of t+1+h-1.
 
     Emitted on the exit bar, so only past rows are read."""
-    inds = [prior_high(n)]
-    fr = I.frame_with(bars, inds)
+    fr = I.frame_with(bars, [prior_high(n)], extra_lookback=max(horizons))
     df = fr.df.withColumn("_sig", F.col("close") > F.col(f"prior_high_{n}"))
-    parts = []
+    # every horizon is a column of the one framed pass; fired ones are exploded
     for h in horizons:
-        d = (df.withColumn("_fired", lag(fr, "_sig", h))
-               .withColumn("_entry", lag(fr, "open", h - 1) if h > 1 else F.col("open"))
-               .withColumn("entry_date", lag(fr, "date", h - 1) if h > 1 else F.col("date")))
-        d = fr.finish(d.where(F.col("_fired")))
-        parts.append(d.select(F.lit(f"breakout_{n}_h{h}").alias("strategy"), "symbol", "entry_date",
-                              F.col("date").alias("exit_date"),
-                              (F.try_divide(F.col("close"), F.col("_entry")) - 1.0).alias("ret")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        df = df.withColumns({f"_fired_{h}": lag(fr, "_sig", h, n),
+                             f"_entry_{h}": lag(fr, "open", h - 1) if h > 1 else F.col("open"),
+                             f"_date_{h}": lag(fr, "date", h - 1) if h > 1 else F.col("date")})
+    trades = F.array_compact(F.array(*[F.when(F.col(f"_fired_{h}"), F.struct(
+        F.lit(f"breakout_{n}_h{h}").alias("strategy"), F.col(f"_date_{h}").alias("entry_date"),
+        (F.try_divide(F.col("close"), F.col(f"_entry_{h}")) - 1.0).alias("ret"))) for h in horizons]))
+    d = fr.finish(df.withColumn("_trades", trades).where(F.size("_trades") > 0))
+    return d.select("symbol", F.col("date").alias("exit_date"), F.inline("_trades")).select(
+        "strategy", "symbol", "entry_date", "exit_date", "ret")
 
 
 def performance(trades: DataFrame) -> DataFrame:
@@ -130,12 +149,11 @@ def param_sweep(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, split_d
 
     Every parameter is a column of the same framed pass; only fired signals
     are exploded into rows (no product of grid and bars is materialized)."""
-    inds = [prior_high(n) for n in lengths]
-    fr = I.frame_with(bars, inds)
+    fr = I.frame_with(bars, [prior_high(n) for n in lengths], extra_lookback=horizon)
     df = fr.df
     for n in lengths:
         df = df.withColumn(f"_sig_{n}", F.col("close") > F.col(f"prior_high_{n}"))
-    fired = [F.when(lag(fr, f"_sig_{n}", horizon), F.lit(n)) for n in lengths]
+    fired = [F.when(lag(fr, f"_sig_{n}", horizon, n), F.lit(n)) for n in lengths]
     df = (df.withColumn("_fired", F.array_compact(F.array(*fired)))
             .withColumn("_base", lag(fr, "close", horizon))
             .withColumn("_sig_date", lag(fr, "date", horizon)))
