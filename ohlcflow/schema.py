@@ -31,12 +31,6 @@ TICK_SCHEMA = T.StructType([
     T.StructField("size", T.LongType(), True),
 ])
 
-# CSV landing files: every column read as text, typed by ingest with try_* casts.
-LANDING_SCHEMA = T.StructType([
-    T.StructField(c, T.StringType(), True)
-    for c in ("date", "open", "high", "low", "close", "volume")
-])
-
 RECIPE_SCHEMA = T.StructType([
     T.StructField("recipe", T.StringType(), False),
     T.StructField("min_price", T.DoubleType(), True),

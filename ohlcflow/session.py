@@ -9,6 +9,7 @@ local (tests, the local benchmark); a cluster session without it is an error.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -64,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             # a driver-local folder is invisible to executors on other machines
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="ohlcflow-ckpt-")

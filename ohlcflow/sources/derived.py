@@ -46,6 +46,23 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sum("l_quantity").cast("bigint").alias("volume")))
 
 
+def _trend(date, key) -> F.Column:
+    """A drift with a triangular 160-day wave whose phase depends on the supplier."""
+    days = F.unix_date(date)
+    wave = F.abs(F.pmod(days + F.lit(37) * key, F.lit(160)) - F.lit(80)) / F.lit(80.0)
+    return (F.lit(1.0) + F.lit(0.0006) * (days - F.lit(8000))) * (F.lit(0.85) + F.lit(0.3) * wave)
+
+
+def trending_bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars with every price p as 100 * trend * (0.985 + p / 100000): series that
+    rise and fall for long enough to meet the trend screens."""
+    bars = bars_from_lineitem(spark, sf_dir)
+    trend = _trend(F.col("date"), F.substring("symbol", 2, 18).cast("bigint"))
+    return bars.select("symbol", "date", *[
+        (F.lit(100.0) * trend * (F.lit(0.985) + F.col(c) / F.lit(100000.0))).alias(c)
+        for c in ("open", "high", "low", "close")], "volume")
+
+
 def ticks_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks: symbol = 'U' || user_id, ts, price = value, size = 1."""
     ev = table(spark, sf_dir, "events")
@@ -74,6 +91,12 @@ SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date,
 FROM lineitem GROUP BY 1, 2
 """
 
+_TREND_SQL = ("(1.0 + 0.0006 * ((date - DATE '1970-01-01') - 8000)) * (0.85 + 0.3 * "
+              "(abs(((date - DATE '1970-01-01') + 37 * CAST(substr(symbol, 2) AS BIGINT)) % 160 - 80) / 80.0::DOUBLE))")
+TRENDING_BARS_SQL = "SELECT symbol, date, " + ", ".join(
+    f"100.0::DOUBLE * ({_TREND_SQL}) * (0.985::DOUBLE + {c} / 100000.0::DOUBLE) AS {c}"
+    for c in ("open", "high", "low", "close")) + f", volume FROM ({BARS_SQL})"
+
 TICKS_SQL = """
 SELECT 'U' || user_id AS symbol, ts, value AS price, CAST(1 AS BIGINT) AS size FROM events
 """

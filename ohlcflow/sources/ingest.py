@@ -2,12 +2,13 @@
 
 Landing layout: one CSV per symbol, ``<dir>/<SYMBOL>.csv``, with a header row
 and at least ``date, open, high, low, close, volume`` in any column order
-(extra columns are ignored).  Files are read line by line with the text
-source, which splits large files over many tasks (no file is ever one row
-or one task).  Each file's header line is joined back to its data lines by
-file, so fields are matched by name; rows are typed with ``try_*`` casts.
-A symbol with any unparseable date yields no bars at all (all-or-nothing,
-like a failed fetch); other symbols continue.
+(extra columns are ignored; fields may be quoted).  Files are read line by
+line with the text source, which splits large files over many tasks (no file
+is ever one row or one task), and every line is parsed by Spark's own CSV
+parser (``from_csv``).  Each file's header line is joined back to its data
+lines by file, so fields are matched by name.  A symbol with a date or number
+that does not parse yields no bars at all (all-or-nothing, like a failed
+fetch); other symbols continue.
 
 ``sync_status`` is the per-symbol result table of a bulk sync:
 (symbol, ok, message, dollar_volume) with the screener's messages.
@@ -34,73 +35,86 @@ def _symbol_of(path_col) -> F.Column:
     return F.upper(F.regexp_extract(F.url_decode(path_col), r"([^/]+)\.csv$", 1))
 
 
+#: Most columns a landing file may have.
+MAX_COLUMNS = 64
+
+
+def _fields(line: F.Column) -> F.Column:
+    """A line's CSV fields as an array of strings (NULL behind the last)."""
+    names = [f"c{i}" for i in range(MAX_COLUMNS)]
+    row = F.from_csv(line, ", ".join(f"{n} string" for n in names),
+                     {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return F.transform(F.array(row), lambda r: F.array(*[r[n] for n in names]))[0]
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed landing rows: (symbol, date, open, high, low, close, volume, bad_date, _empty).
+    """Parsed landing rows: (symbol, date, open, high, low, close, volume, bad, _empty).
 
     A file's header is its line naming a ``date`` column (data lines hold
     values, never that name).  Headers are one row per file, written as a
     small table (broadcast on its measured size, shuffle-joined beyond) and
     joined to the data lines by file.  Lines of a file without a header
-    cannot be mapped and count as bad.  Files without any data line (0-byte
-    or header-only) come back as one ``_empty`` row of their symbol."""
+    cannot be mapped and count as bad; ``bad`` names the first field that does
+    not parse.  Files without any data line (0-byte or header-only) come back
+    as one ``_empty`` row of their symbol."""
     raw = (spark.read.format("text").option("pathGlobFilter", "*.csv").load(path)
                 .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_line")))
-    tokens = F.split(F.lower(F.trim(F.col("_line"))), r"\s*,\s*")
-    is_header = F.array_contains(tokens, "date")
-    headers = scratch_table(raw.where(is_header).groupBy("_path").agg(F.min(tokens).alias("_hdr")),
-                            "landing-headers")
-    data = raw.where(~is_header & (F.trim(F.col("_line")) != "")).join(headers, "_path", "left")
-    fields = F.split(F.col("_line"), ",")
-    entries = F.transform(F.col("_hdr"), lambda h, i: F.struct(h.alias("k"), F.try_element_at(fields, i + 1).alias("v")))
-    m = F.map_from_entries(F.filter(entries, lambda e: e["k"] != ""))
+    raw = raw.where(F.trim(F.col("_line")) != "").withColumn("_f", _fields(F.col("_line")))
+    names = F.transform("_f", lambda x: F.lower(x))
+    is_header = F.array_contains(F.coalesce(names, F.array(F.lit(""))), "date")
+    headers = scratch_table(raw.where(is_header).groupBy("_path").agg(F.min(names).alias("_hdr")), "landing-headers")
+    data = raw.where(~F.coalesce(is_header, F.lit(False))).join(headers, "_path", "left")
 
     def val(name):
-        return F.trim(F.try_element_at(m, F.lit(name)))
+        return F.get("_f", (F.array_position("_hdr", name) - 1).cast("int"))
 
-    date_txt = val("date")
-    date = F.try_to_date(date_txt, "yyyy-MM-dd")
+    date = F.try_to_date(val("date"), "yyyy-MM-dd")
     # strict %Y-%m-%d: the text must round-trip (rejects 2026-1-5 and trailing junk)
-    strict = date.isNotNull() & (F.date_format(date, "yyyy-MM-dd") == date_txt)
+    strict = F.coalesce(date.isNotNull() & (F.date_format(date, "yyyy-MM-dd") == val("date")), F.lit(False))
+    numbers = ("open", "high", "low", "close", "volume")
+    bad = F.when(~strict, "date")
+    for c in numbers:
+        missing = F.coalesce(F.array_position("_hdr", c), F.lit(0)) == 0
+        bad = bad.when(missing | (val(c).isNotNull() & val(c).try_cast("double").isNull()), c)
     rows = data.select(
-        _symbol_of(F.col("_path")).alias("symbol"),
-        F.when(strict, date).alias("date"),
-        *[val(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close")],
+        _symbol_of(F.col("_path")).alias("symbol"), F.when(strict, date).alias("date"),
+        *[val(c).try_cast("double").alias(c) for c in numbers[:-1]],
         F.floor(val("volume").try_cast("double")).cast("bigint").alias("volume"),
-        (~F.coalesce(strict, F.lit(False))).alias("bad_date"),
-        F.lit(False).alias("_empty"))
-    # every listed file (driver-side file index: names only, as for any read)
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string") \
-        .select(_symbol_of(F.col("path")).alias("symbol")).distinct()
+        bad.alias("bad"), F.lit(False).alias("_empty"))
+    # every file by name, also those of 0 bytes, which no source reads: the scan's own file
+    # index, which the driver holds for any read of this folder
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(
+        _symbol_of(F.col("path")).alias("symbol")).distinct()
     # symbols with data: a partial (map-side) distinct, so a hot symbol sends
     # one row per map task, not all its lines, into the anti join
     present = rows.select("symbol").distinct()
     empty = (listed.join(present, "symbol", "left_anti")
                    .select("symbol", *[F.lit(None).cast(t).alias(c) for c, t in
-                                       (("date", "date"), ("open", "double"), ("high", "double"),
-                                        ("low", "double"), ("close", "double"), ("volume", "bigint"))],
-                           F.lit(False).alias("bad_date"), F.lit(True).alias("_empty")))
+                                       (("date", "date"), ("open", "double"), ("high", "double"), ("low", "double"),
+                                        ("close", "double"), ("volume", "bigint"), ("bad", "string"))],
+                           F.lit(True).alias("_empty")))
     return rows.unionByName(empty)
 
 
 def landing_bars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good bars, rejected symbols).  A symbol with any bad date is rejected whole."""
-    parsed = read_landing(spark, path)
+    """(good bars, rejected symbols).  A symbol with any field that does not parse is rejected whole.
+
+    The lines are parsed once, into a written table that both results read."""
+    parsed = scratch_table(read_landing(spark, path), "landing-rows")
     # one row per symbol, written: the semi join below broadcasts it on its
     # measured size (shuffle join beyond) instead of shuffling every line
     per_symbol = scratch_table(parsed.groupBy("symbol").agg(
-        F.max(F.col("bad_date").cast("int")).alias("_bad"),
-        F.count(F.when(~F.col("_empty"), 1)).alias("_rows")), "landing-symbols")
-    good_syms = per_symbol.where((F.col("_bad") == 0) & (F.col("_rows") > 0)).select("symbol")
+        F.min("bad").alias("_bad"), F.count(F.when(~F.col("_empty"), 1)).alias("_rows")), "landing-symbols")
+    good_syms = per_symbol.where(F.col("_bad").isNull() & (F.col("_rows") > 0)).select("symbol")
     good = canonical(parsed.where(~F.col("_empty")).join(good_syms, "symbol", "left_semi"))
-    rejected = per_symbol.where((F.col("_bad") > 0) | (F.col("_rows") == 0)).select(
-        "symbol", F.when(F.col("_rows") == 0, "empty").otherwise("bad_date").alias("reason"))
+    rejected = per_symbol.where(F.col("_bad").isNotNull() | (F.col("_rows") == 0)).select(
+        "symbol", F.when(F.col("_rows") == 0, "empty").otherwise(F.concat(F.lit("bad_"), "_bad")).alias("reason"))
     return good, rejected
 
 
-def sync_status(spark: SparkSession, landing: str, threshold: float = VOLUME_THRESHOLD,
-                lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
-    """R3 status rows for every symbol in the landing folder."""
-    good, rejected = landing_bars(spark, landing)
+def status_of(good: DataFrame, rejected: DataFrame, threshold: float = VOLUME_THRESHOLD,
+              lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """R3 status rows for the symbols of a landing folder."""
     dv = dollar_volume(good, lookback_days)
     ok = dv.select(
         "symbol", F.lit(True).alias("ok"),
@@ -113,11 +127,17 @@ def sync_status(spark: SparkSession, landing: str, threshold: float = VOLUME_THR
     return ok.unionByName(failed)
 
 
+def sync_status(spark: SparkSession, landing: str, threshold: float = VOLUME_THRESHOLD,
+                lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """R3 status rows for every symbol in the landing folder, without saving."""
+    return status_of(*landing_bars(spark, landing), threshold, lookback_days)
+
+
 def sync(spark: SparkSession, landing: str, store_path: str, threshold: float = VOLUME_THRESHOLD) -> DataFrame:
-    """Save every good symbol (before any threshold test), return the status table."""
-    good, _ = landing_bars(spark, landing)
+    """Save every good symbol (before any threshold test), return the status table of the same rows."""
+    good, rejected = landing_bars(spark, landing)
     save_bars(good, store_path)
-    return sync_status(spark, landing, threshold)
+    return status_of(good, rejected, threshold)
 
 
 def eligible_summary(status: DataFrame, threshold: float = VOLUME_THRESHOLD) -> DataFrame:
@@ -130,12 +150,12 @@ def eligible_summary(status: DataFrame, threshold: float = VOLUME_THRESHOLD) ->
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """One symbol per line, stripped (all whitespace) and upper-cased; blank and '#' lines dropped.
 
-    Order and duplicates are kept (``line`` gives the position within its file)."""
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split("value", r"\n")).alias("line", "value"))
+    Files are read by line and split over tasks; duplicates are kept, and ``line`` ascends
+    with the place in the file (it is not dense)."""
+    raw = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     sym = F.upper(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    return (lines.select("line", sym.alias("symbol"))
-                 .where((F.col("symbol") != "") & ~F.col("symbol").startswith("#")))
+    return (raw.select("line", sym.alias("symbol"))
+               .where((F.col("symbol") != "") & ~F.col("symbol").startswith("#")))
 
 
-__all__ = ["read_landing", "landing_bars", "sync_status", "sync", "eligible_summary", "read_universe"]
+__all__ = ["read_landing", "landing_bars", "status_of", "sync_status", "sync", "eligible_summary", "read_universe"]

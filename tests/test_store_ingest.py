@@ -4,6 +4,7 @@ import tempfile
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from conftest import make_bars, series
 from ohlcflow.sources import ingest
@@ -21,9 +22,10 @@ def test_save_load_list_overwrite(spark):
     assert [r.symbol for r in S.list_symbols(bars).collect()] == ["AAA", "BBB"]
     # overwrite AAA only: BBB (same bucket) must survive
     S.save_bars(make_bars(spark, series("AAA", "2024-02-01", [9.0])), path, buckets=1)
-    bars = spark.read.parquet(path)
-    assert S.load_symbol(bars, " aaa", buckets=1).count() == 1
-    assert S.load_symbol(bars, "BBB", buckets=1).count() == 2
+    bars = S.read_bars(spark, path)
+    assert S.load_symbol(bars, " aaa").count() == 1
+    assert S.load_symbol(bars, "BBB").count() == 2
+    assert S.read_symbol(spark, path, "bbb").count() == 2
     assert [r.date for r in S.head(bars, "BBB", 1).collect()] == [dt.date(2024, 1, 1)]
     req = spark.createDataFrame([("AAA",), ("ZZZ",)], "symbol string")
     assert [r.symbol for r in S.symbols_present(req, bars).collect()] == ["AAA"]
@@ -177,3 +179,70 @@ def test_tail_table_of_a_timeframe_store(spark, monkeypatch):
     assert a == b
     assert S.snapshot_bars(spark, path, 300, "1d").select("symbol", "date").distinct().count() == \
         S.snapshot_bars(spark, path, 300, "1d").count()
+
+
+def test_store_names_buckets_and_missing_symbols(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="store-"), "bars")
+    S.save_bars(make_bars(spark, series("aapl ", "2024-01-01", [1.0, 2.0]) + series("MSFT", "2024-01-01", [5.0])),
+                path, buckets=8)
+    # the count is remembered, another one refused, and a symbol's history never doubles
+    S.save_bars(make_bars(spark, series("AAPL", "2024-03-01", [3.0])), path)
+    with pytest.raises(ValueError):
+        S.save_bars(make_bars(spark, series("AAPL", "2024-03-01", [3.0])), path, buckets=64)
+    assert [r.close for r in S.read_symbol(spark, path, "aapl").collect()] == [3.0]
+    plan = S.read_symbol(spark, path, "AAPL")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    with pytest.raises(KeyError):
+        S.read_symbol(spark, path, "NONE")
+    with pytest.raises(FileNotFoundError):
+        S.read_symbol(spark, path + "-none", "AAPL")
+    assert S.read_symbol_files(spark, path + "-none").count() == 0
+
+
+def test_timeframe_must_be_named(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tf-"), "bars")
+    S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [1.0, 2.0])), path, buckets=2, timeframe="1d")
+    for read in (lambda: S.read_bars(spark, path), lambda: S.read_symbol(spark, path, "AAA"),
+                 lambda: S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [1.0])), path)):
+        with pytest.raises(ValueError):
+            read()
+
+
+def test_intraday_store_keeps_the_time(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="intraday-"), "bars")
+    rows = [("AAA", dt.datetime(2024, 1, 2, 9, 30 + 15 * i % 60 if i < 2 else 0 if i == 2 else 15), 1.0, 2.0, 0.5, 1.5, 10)
+            for i in range(2)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, "
+                                       "close double, volume long")
+    S.save_bars(bars, path, buckets=2, timeframe="15min")
+    got = S.read_symbol(spark, path, "AAA", "15min").collect()
+    assert [r.ts for r in got] == [r[1] for r in rows]
+    S.build_tail(spark, path)
+    assert S.snapshot_bars(spark, path, 5, "15min").count() == 2
+
+
+def test_stale_tail_is_not_read(spark, monkeypatch):
+    path = os.path.join(tempfile.mkdtemp(prefix="stale-"), "bars")
+    S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [1.0] * 30)), path, buckets=2)
+    S.build_tail(spark, path)
+    # a save that dies after the store and before the tail
+    def fail(*_):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(S, "tail_of", lambda *a, **k: fail())
+    with pytest.raises(RuntimeError):
+        S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [2.0] * 31)), path)
+    assert {r.close for r in S.snapshot_bars(spark, path, 5).collect()} == {2.0}
+
+
+def test_quoted_fields_and_bad_numbers(spark):
+    d = tempfile.mkdtemp(prefix="landing-")
+    files = {"q.csv": '"date","open","high","low","close","volume","note"\n"2024-01-02","1","2","0.5","1.5","10","a, b"\n',
+             "bad.csv": "date,open,high,low,close,volume\n2024-01-02,1,2,0.5,abc,10\n2024-01-03,1,2,0.5,1,10\n",
+             "part.csv": "date,open,high,low,close\n2024-01-02,1,2,0.5,1\n",
+             "none.csv": "date,open,high,low,close,volume\n2024-01-02,1,2,0.5,,10\n"}
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    good, rejected = ingest.landing_bars(spark, d)
+    assert sorted((r.symbol, r.close) for r in good.collect()) == [("NONE", None), ("Q", 1.5)]
+    assert {(r.symbol, r.reason) for r in rejected.collect()} == {("BAD", "bad_close"), ("PART", "bad_volume")}
