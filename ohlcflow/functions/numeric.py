@@ -16,8 +16,3 @@ def round_to(c: Column, digits: int) -> Column:
     scale = float(10 ** digits)
     # + 0.0 turns a negative zero into 0.0
     return F.round(c * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, NULL when b is 0 or NULL (no ANSI division error, no infinities)."""
-    return F.try_divide(a, b)

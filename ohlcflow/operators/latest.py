@@ -1,9 +1,10 @@
 """A1: latest bar of every symbol (optionally as of a date).
 
-One aggregate with ``max_by`` on a struct (planned as a sort aggregate:
-struct buffers are not fixed-width).  Its partial step keeps one candidate
-per symbol per map task, so even a symbol holding a third of all rows sends
-one row per map task through the shuffle, and the input is read once.
+Two steps, both hash aggregates or joins on small sides: ``max(date)`` per symbol is a
+fixed-width aggregate (one row per symbol and map task is shuffled, nothing is sorted)
+and is written as a small table; its smallest date is a literal bound that the scan of
+the second step gets pushed.  Bars on a symbol's last date are then found by an
+equi-join, and only these - duplicates of one day - meet a row-ordering aggregate.
 """
 
 from __future__ import annotations
@@ -11,13 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_table
+
 
 def latest_bars(bars: DataFrame, as_of=None, key: str = "symbol", order: str = "date") -> DataFrame:
+    """The latest bar per ``key``; of several on one date the greatest by all other columns."""
     if as_of is not None:
         bars = bars.where(F.col(order) <= F.lit(as_of))
+    last = scratch_table(bars.groupBy(key).agg(F.max(order).alias("_last")), "latest-dates")
+    first = last.agg(F.min("_last")).first()[0]
+    if first is not None:
+        bars = bars.where(F.col(order) >= F.lit(first))
+    own = last.withColumnRenamed(key, "_key")
+    rows = bars.join(own, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_last"))).select(*bars.columns)
     cols = [c for c in bars.columns if c != key]
-    # order by (date, every other column): deterministic even with duplicate dates
-    ordering = F.struct(F.col(order), *[F.col(c) for c in cols if c != order])
-    return (bars.groupBy(key)
-                .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("_r"))
+    return (rows.groupBy(key).agg(F.max(F.struct(order, *[c for c in cols if c != order])).alias("_r"))
                 .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))

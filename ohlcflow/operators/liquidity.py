@@ -1,10 +1,12 @@
 """A2/A3: trailing dollar volume and the liquidity flag.
 
-Dollar volume of a symbol = sum(close * volume) over bars dated on or after
-(its own last date - 60 calendar days).  A symbol with nothing in range has
-0.0.  The per-symbol last date is a small written table joined back (size
-checked broadcast; a shuffle join with AQE skew splitting beyond it), so no
-task ever holds a whole symbol's history.
+Dollar volume of a symbol = sum(close * volume) in double over bars dated on or after
+(its own last date - 60 calendar days).  A symbol with nothing in range has 0.0.
+
+Two aggregates, no join of bars: the per-symbol last date is a small written table, whose
+smallest last date bounds the days that can count, as a literal that reaches the scan.
+Bars since then are summed per (symbol, date), partially before the shuffle, so what
+meets the last dates is one row per symbol and day.
 """
 
 from __future__ import annotations
@@ -19,31 +21,23 @@ LOOKBACK_DAYS = 60
 VOLUME_THRESHOLD = 150_000_000.0
 
 
-# close as DECIMAL(18,7) times volume as DECIMAL(18,0) is exact in DECIMAL(37,7),
-# so the sum does not depend on the order rows arrive in.
-EXACT_TYPE = "decimal(38,7)"
-
-
-def dollar_volume(bars: DataFrame, lookback_days: int = LOOKBACK_DAYS, *, exact: bool = False) -> DataFrame:
-    """(symbol, dollar_volume); ``exact=True`` keeps the DECIMAL sum instead of a double."""
-    mx = symbol_max_dates(bars)
+def dollar_volume(bars: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(symbol, dollar_volume); NULL products count as 0, a NaN close gives NaN."""
+    last = symbol_max_dates(bars)
+    first = last.agg(F.min("_max_date")).first()[0]
+    if first is not None:
+        bars = bars.where(F.col("date") >= F.date_sub(F.lit(first), lookback_days))
+    days = bars.groupBy("symbol", "date").agg(F.sum(F.col("close") * F.col("volume").cast("double")).alias("_value"))
     in_range = F.col("date") >= F.date_sub(F.col("_max_date"), lookback_days)
-    value = F.when(in_range, F.col("close").cast("decimal(18,7)") * F.col("volume").cast("decimal(18,0)"))
-    total = F.coalesce(F.sum(value), F.lit(0).cast(EXACT_TYPE)).cast(EXACT_TYPE)
-    out = bars.join(mx, "symbol").groupBy("symbol").agg(total.alias("dollar_volume"))
-    if not exact:
-        out = out.withColumn("dollar_volume", F.col("dollar_volume").cast("double"))
-    return out
+    sums = days.join(last, "symbol").where(in_range).groupBy("symbol").agg(F.sum("_value").alias("_total"))
+    return last.select("symbol").join(sums, "symbol", "left").select(
+        "symbol", F.coalesce("_total", F.lit(0.0)).alias("dollar_volume"))
 
 
-def liquidity(bars: DataFrame, threshold: float = VOLUME_THRESHOLD,
-              lookback_days: int = LOOKBACK_DAYS, *, exact: bool = False) -> DataFrame:
+def liquidity(bars: DataFrame, threshold: float = VOLUME_THRESHOLD, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """A3: (symbol, dollar_volume, eligible)."""
-    dv = dollar_volume(bars, lookback_days, exact=True)
-    dv = dv.withColumn("eligible", F.col("dollar_volume") >= F.lit(threshold).cast(EXACT_TYPE))
-    if not exact:
-        dv = dv.withColumn("dollar_volume", F.col("dollar_volume").cast("double"))
-    return dv
+    dv = dollar_volume(bars, lookback_days)
+    return dv.withColumn("eligible", F.col("dollar_volume") >= F.lit(float(threshold)))
 
 
 def eligible_count(bars: DataFrame, threshold: float = VOLUME_THRESHOLD,

@@ -5,16 +5,19 @@
 * duplicate bars: more than one row per (symbol, date) — a hash aggregate
   with map-side partial counts;
 * missing bars: market dates (dates on which any symbol traded) inside a
-  symbol's first..last span on which the symbol has no bar.  Each span is
-  expanded to its calendar days (linear in the span, no pairs), kept where
-  the market traded (equi-join on date) and anti-joined with the bars.
+  symbol's first..last span on which the symbol has no bar.  Market dates
+  are numbered; a bar whose number is not the previous bar's plus one closes
+  a gap, and only gaps are expanded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_table
+from .series import frame, lag
+
 
 def stale_symbols(bars: DataFrame, max_age_days: int = 7) -> DataFrame:
     """(symbol, last_date, days_behind) for symbols more than ``max_age_days`` behind."""
@@ -32,9 +35,10 @@ def duplicate_bars(bars: DataFrame, keys=("symbol", "date")) -> DataFrame:
 
 def missing_bars(bars: DataFrame) -> DataFrame:
     """(symbol, date) market dates missing from a symbol inside its own span."""
-    market = bars.select("date").distinct()
-    spans = bars.groupBy("symbol").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
-    days = spans.select("symbol", F.explode(F.sequence("_first", "_last")).alias("date"))
-    return (days.join(market, "date", "left_semi")
-                .join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
-                .select("symbol", "date"))
+    # the market's calendar: one row per date that was traded, numbered in order
+    market = scratch_table(bars.select("date").distinct().withColumn(
+        "_k", F.row_number().over(Window.orderBy("date")).cast("long")), "market-dates")
+    fr = frame(bars.select("symbol", "date").distinct().join(market, "date"), 1)
+    gaps = fr.finish(fr.df.withColumn("_before", lag(fr, "_k", 1)).where(F.col("_k") > F.col("_before") + 1))
+    missing = gaps.select("symbol", F.explode(F.sequence(F.col("_before") + 1, F.col("_k") - 1)).alias("_k"))
+    return missing.join(market, "_k").select("symbol", "date")

@@ -19,7 +19,8 @@ from .series import Framed
 
 
 def _fold(df: DataFrame, keys, time_col: str, skip_null_open: bool = False) -> DataFrame:
-    t = F.col(time_col)
+    # equal times are ordered by the bar's other columns, so open and close are defined
+    t = F.struct(F.col(time_col), F.col("high"), F.col("low"), F.col("open"), F.col("close"), F.col("volume"))
     open_ = (F.min_by(F.col("open"), F.when(F.col("open").isNotNull(), t)) if skip_null_open
              else F.min_by(F.col("open"), t))
     close = (F.max_by(F.col("close"), F.when(F.col("close").isNotNull(), t)) if skip_null_open
@@ -66,6 +67,9 @@ def period_filter(bars: DataFrame, period: str | None) -> DataFrame:
         return bars
     days = period_to_days(period)
     mx = symbol_max_dates(bars)
+    first = mx.agg(F.min("_max_date")).first()[0]
+    if first is not None:  # no symbol keeps an older bar: a literal bound that reaches the scan
+        bars = bars.where(F.col("date") >= F.date_sub(F.lit(first), days))
     return (bars.join(mx, "symbol")
                 .where(F.col("date") >= F.date_sub(F.col("_max_date"), days))
                 .drop("_max_date"))
@@ -90,17 +94,12 @@ def overlay_sma(bars: DataFrame, *, resample: str = "1d", period: str | None = N
     length; warm-up rows (NULL) are dropped."""
     prepared = resample_daily(period_filter(bars, period), resample)
     fr = I.frame_with(prepared, [I.sma(n) for n in lengths])
-    df = fr.df
-    parts = []
-    for n in lengths:
-        c = f"sma_{n}"
-        parts.append(df.where(F.col(c).isNotNull() & (F.col("_total") > n))
-                       .select(F.col("_own"), "symbol", F.col("date").cast("timestamp_ntz").alias("time"),
-                               F.lit(c).alias("series"), F.col(c).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("_own")).drop("_own")
+    # all lengths from one pass, exploded
+    shown = F.array_compact(F.array(*[F.when(
+        F.col(f"sma_{n}").isNotNull() & (F.col("_total") > n),
+        F.struct(F.lit(f"sma_{n}").alias("series"), F.col(f"sma_{n}").alias("value"))) for n in lengths]))
+    df = fr.finish(fr.df.withColumn("_shown", shown).where(F.size("_shown") > 0))
+    return df.select("symbol", F.col("date").cast("timestamp_ntz").alias("time"), F.inline("_shown"))
 
 
 __all__ = ["resample_daily", "resample_intraday", "ticks_to_bars", "period_filter", "chart_bars",

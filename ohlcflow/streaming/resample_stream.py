@@ -29,11 +29,13 @@ def read_tick_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 def stream_resample(ticks: DataFrame, timeframe: str = "15 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Streaming OHLCV bars per (symbol, bucket) in append mode."""
     t = ticks.withColumn("_ts", F.col("ts").cast("timestamp"))
+    at = F.when(F.col("price").isNotNull(), F.struct("_ts", "price", "size"))
     agg = (t.withWatermark("_ts", watermark)
             .groupBy("symbol", F.window("_ts", timeframe).alias("_w"))
-            .agg(F.min_by("price", "_ts").alias("open"), F.max("price").alias("high"),
-                 F.min("price").alias("low"), F.max_by("price", "_ts").alias("close"),
-                 F.sum("size").cast("bigint").alias("volume")))
+            # as in the batch fold: NULL prices are skipped, equal times ordered by price and size
+            .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"),
+                 F.min("price").alias("low"), F.max_by("price", at).alias("close"),
+                 F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("volume")))
     return agg.select("symbol", F.col("_w.start").cast("timestamp_ntz").alias("ts"),
                       F.col("_w.end").cast("timestamp_ntz").alias("bucket_end"),
                       "open", "high", "low", "close", "volume")

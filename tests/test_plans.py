@@ -1,11 +1,13 @@
 """Plan shape: one shuffle of the bars for any mix of indicators; pruned scan; partial top-k."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from ohlcflow.operators import indicators as I
 from ohlcflow.plans import predicates as P
 from ohlcflow.plans.scan import scan
 from ohlcflow.sources.derived import bars_from_lineitem
@@ -37,9 +39,10 @@ def test_scan_shuffles_bars_once(spark):
 
 def test_scan_reads_only_needed_columns(spark):
     bars = _stored(spark)
-    text = _plan(scan(bars, [P.min_price(10.0)]).select("symbol", "close"))
-    assert "ReadSchema: struct<symbol:string,date:date,open:double,high:double,low:double,close:double,volume:bigint>" \
-        not in text or "PartialAggregate" not in text
+    # an average of closes over the last rows reads no volume and no open
+    text = _plan(scan(bars, [P.Predicate("close", (I.sma(20),), lambda: F.col("sma_20") > 0)]).select("symbol", "sma_20"))
+    scans = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert scans and all("volume" not in s and "open" not in s for s in scans), scans
 
 
 def test_head_each_uses_partial_group_limit(spark):
@@ -51,7 +54,23 @@ def test_head_each_uses_partial_group_limit(spark):
 def test_latest_bar_is_partial_aggregate(spark):
     from ohlcflow.operators.latest import latest_bars
     text = _plan(latest_bars(_stored(spark)))
-    assert "partial_max_by" in text
+    # no sort of the history: the rows of the last dates are found by a join, with a pushed date bound
+    assert "GreaterThanOrEqual(date," in text, text
+    assert "BroadcastHashJoin" in text, text
+
+
+def test_trailing_questions_push_a_date_bound(spark):
+    from ohlcflow.operators import liquidity, resample
+    bars = _stored(spark)
+    for df in (liquidity.dollar_volume(bars), resample.period_filter(bars, "6mo")):
+        assert "GreaterThanOrEqual(date," in _plan(df)
+
+
+def test_overlays_and_trades_frame_once(spark):
+    from ohlcflow.operators import resample, strategy
+    bars = _stored(spark)
+    for df in (resample.overlay_sma(bars, lengths=(20, 50)), strategy.forward_trades(bars, (3, 5))):
+        assert "Union" not in _plan(df)
 
 
 def test_wide_windows_share_one_sort(spark):
@@ -62,7 +81,6 @@ def test_wide_windows_share_one_sort(spark):
 
 
 def test_rsi_gain_and_loss_share_the_block_sort(spark):
-    from ohlcflow.operators import indicators as I
     text = _plan(I.add_indicators(_stored(spark), [I.rsi(14)]))
     assert text.count("Sort [") == 2, text
 
