@@ -8,24 +8,29 @@ rounded to 4 decimals on both sides; raw prices are compared unrounded
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..functions.numeric import round_to
+from ..functions.periods import period_days_col
 from ..operators.latest import latest_bars
-from ..sources.derived import BARS_SQL, TICKS_SQL, bars_from_lineitem, ticks_from_events
+from ..sources.derived import (BARS_SQL, TICKS_SQL, TRENDING_BARS_SQL, bars_from_lineitem,
+                               intraday_bars_from_events, ticks_from_events, trending_bars_from_lineitem)
 from ..operators import liquidity as L
 from ..operators import quality as Q
 from ..operators import screens as SC
 from ..operators import strategy as ST
 from ..operators import resample as R
+from ..session import ensure_checkpoint_dir, scratch_table
+from ..sources import ingest as IN
 from ..sources import store as S
 from . import predicates as P
 from .batch import batch_scan
-from .scan import report, scan, sort_results, top_k, trend_scorecard
+from .scan import report, run_spec, scan, sort_results, top_k, trend_scorecard
 from .spec import ScanSpec
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +67,11 @@ def with_bars(body: str, *ctes: str, recursive: bool = False) -> str:
     return head + ",\n".join(parts) + "\n" + body
 
 
+def trending(body: str, *ctes: str, recursive: bool = False) -> str:
+    """``with_bars`` over the trending series."""
+    return with_bars(body, *ctes, recursive=recursive).replace(f"bars AS ({BARS_SQL})", f"bars AS ({TRENDING_BARS_SQL})", 1)
+
+
 def w(n: int, order: str = "date") -> str:
     return f"(PARTITION BY symbol ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -162,10 +172,10 @@ TREND_OUT = ", ".join(f"(round(({c}) * 10000) / 10000 + 0.0) AS {c}" for c in ["
 TREND_R4 = ("sma_50", "sma_150", "sma_200", "sma_200_1m_ago")
 
 
-@register("scan_trend_template", with_bars(
+@register("scan_trend_template", trending(
     f"SELECT {BASE_SQL}, {TREND_OUT} FROM t WHERE rn = 1 AND {TREND_COND}", TREND_CTE, TREND_CTE2))
 def q_scan_trend_template(spark, sf):
-    return r4(scan(bars(spark, sf), [P.trend_template()]), *TREND_R4)
+    return r4(scan(trending_bars_from_lineitem(spark, sf), [P.trend_template()]), *TREND_R4)
 
 
 @register("trend_history", with_bars(
@@ -257,10 +267,10 @@ def rsi_sql_ctes(period: int) -> list[str]:
 
 
 @register("ind_rsi", with_bars(
-    "SELECT symbol, date, (round((rsi) * 10000) / 10000 + 0.0) AS rsi_14 FROM rsi WHERE NOT isnan(rsi)",
+    "SELECT symbol, date, (round((rsi) * 10000) / 10000 + 0.0) AS rsi_14 FROM rsi",
     *rsi_sql_ctes(14), recursive=True))
 def q_ind_rsi(spark, sf):
-    df = I.add_indicators(bars(spark, sf), [I.rsi(14)]).where(~F.isnan("rsi_14"))
+    df = I.add_indicators(bars(spark, sf), [I.rsi(14)])
     return r4(df.select("symbol", "date", "rsi_14"), "rsi_14")
 
 
@@ -299,11 +309,10 @@ def q_ind_extrema(spark, sf):
 
 @register("ind_common", with_bars(
     "SELECT i.symbol, i.date, (round((sma_50) * 10000) / 10000 + 0.0) AS sma_50, (round((sma_200) * 10000) / 10000 + 0.0) AS sma_200, "
-    "(round((rsi.rsi) * 10000) / 10000 + 0.0) AS rsi_14 FROM i JOIN rsi ON rsi.symbol = i.symbol AND rsi.date = i.date "
-    "WHERE NOT isnan(rsi.rsi)",
+    "(round((rsi.rsi) * 10000) / 10000 + 0.0) AS rsi_14 FROM i JOIN rsi ON rsi.symbol = i.symbol AND rsi.date = i.date",
     *rsi_sql_ctes(14), ind_cte("i", ["sma_50", "sma_200"]), recursive=True))
 def q_ind_common(spark, sf):
-    df = I.add_indicators(bars(spark, sf), I.common_suite()).where(~F.isnan("rsi_14"))
+    df = I.add_indicators(bars(spark, sf), I.common_suite())
     return r4(df.select("symbol", "date", "sma_50", "sma_200", "rsi_14"), "sma_50", "sma_200", "rsi_14")
 
 
@@ -326,12 +335,12 @@ EWM_LATEST = P.Predicate("ewm_latest", (I.ema(20), I.rsi(14), I.atr(14)), lambda
     "JOIN e ON e.symbol = b.symbol AND e.date = b.date JOIN em_rec em ON em.symbol = e.symbol AND em.i = e.i "
     "JOIN rsi ON rsi.symbol = b.symbol AND rsi.date = b.date "
     "JOIN n ON n.symbol = b.symbol AND n.date = b.date JOIN a_rec a ON a.symbol = n.symbol AND a.i = n.i "
-    "WHERE b.rn = 1 AND NOT isnan(rsi.rsi)",
+    "WHERE b.rn = 1",
     *rsi_sql_ctes(14), numbered("e", "close"), *ewm_ctes(2.0 / 21.0, "e", "em"),
     numbered("n", TR_SQL), *ewm_ctes(1.0 / 14.0, "n", "a"), recursive=True))
 def q_scan_latest_ewm(spark, sf):
     """EMA / RSI / ATR on the latest bar (snapshot plan: decay-weighted sums over the tail)."""
-    df = scan(bars(spark, sf), [EWM_LATEST]).where(~F.isnan("rsi_14"))
+    df = scan(bars(spark, sf), [EWM_LATEST])
     return r4(df.select("symbol", "date", "close", "ema_20", "rsi_14", "atr_14"), "ema_20", "rsi_14", "atr_14")
 
 
@@ -384,11 +393,9 @@ def q_resample_intraday(spark, sf):
           "arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, "
           "CAST(count(*) AS BIGINT) AS volume FROM events GROUP BY 1, 2")
 def q_resample_hourly_by_type(spark, sf):
-    ev = ticks_from_events(spark, sf).drop("symbol")
     t = (spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
          .select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"),
                  F.lit(1).cast("bigint").alias("size")))
-    del ev
     return R.ticks_to_bars(t, "1 hour")
 
 
@@ -425,20 +432,20 @@ def q_overlay_sma(spark, sf):
 # Liquidity (A2, A3)
 # ---------------------------------------------------------------------------
 
-DV_SQL = ("dv AS (SELECT symbol, coalesce(sum(CASE WHEN date >= m - 60 THEN "
-          "CAST(close AS DECIMAL(18,7)) * CAST(volume AS DECIMAL(18,0)) END), 0) AS dollar_volume "
-          "FROM bars JOIN mx USING (symbol) GROUP BY 1)")
-DV_OUT = "CAST(round(dollar_volume, 4) AS DOUBLE) AS dollar_volume"
+DV_SQL = ("dv AS (SELECT symbol, coalesce(sum(CASE WHEN date >= m - 60 THEN close * CAST(volume AS DOUBLE) END), "
+          "0.0) AS dollar_volume FROM bars JOIN mx USING (symbol) GROUP BY 1)")
+DV_OUT = "(round(dollar_volume * 100) / 100 + 0.0) AS dollar_volume"
 
 
-def dv4(df: DataFrame) -> DataFrame:
-    return df.withColumn("dollar_volume", F.round(F.col("dollar_volume"), 4).cast("double"))
+def dv2(df: DataFrame) -> DataFrame:
+    # sums of doubles depend on their order in the last digits
+    return df.withColumn("dollar_volume", round_to(F.col("dollar_volume"), 2))
 
 
 @register("dollar_volume", with_bars(
     f"SELECT symbol, {DV_OUT} FROM dv", MAXD, DV_SQL))
 def q_dollar_volume(spark, sf):
-    return dv4(L.dollar_volume(bars(spark, sf), exact=True))
+    return dv2(L.dollar_volume(bars(spark, sf)))
 
 
 LIQ_THRESHOLD = 1_500_000.0
@@ -447,7 +454,7 @@ LIQ_THRESHOLD = 1_500_000.0
 @register("liquidity_flag", with_bars(
     f"SELECT symbol, {DV_OUT}, dollar_volume >= 1500000 AS eligible FROM dv", MAXD, DV_SQL))
 def q_liquidity_flag(spark, sf):
-    return dv4(L.liquidity(bars(spark, sf), LIQ_THRESHOLD, exact=True))
+    return dv2(L.liquidity(bars(spark, sf), LIQ_THRESHOLD))
 
 
 @register("eligible_count", with_bars(
@@ -461,12 +468,13 @@ def q_eligible_count(spark, sf):
 # Store surface
 # ---------------------------------------------------------------------------
 
-REQUESTED_SQL = "req AS (SELECT 'S' || s_suppkey AS symbol FROM supplier)"
+# more names than there are symbols, so some are stored and some are not
+REQUESTED_SQL = "req AS (SELECT 'S' || c_custkey AS symbol FROM customer)"
 
 
 def requested(spark, sf):
-    sup = spark.read.parquet(f"{sf.rstrip('/')}/supplier.parquet")
-    return sup.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"))
+    names = spark.read.parquet(f"{sf.rstrip('/')}/customer.parquet")
+    return names.select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("symbol"))
 
 
 @register("symbol_list", with_bars("SELECT DISTINCT symbol FROM bars"))
@@ -556,6 +564,10 @@ def history(screen, spark, sf) -> DataFrame:
     return scan(bars(spark, sf), [screen], history=True)
 
 
+def trending_history(screen, spark, sf) -> DataFrame:
+    return scan(trending_bars_from_lineitem(spark, sf), [screen], history=True)
+
+
 @register("breakout_n", with_bars(
     "SELECT symbol, date, close, prior_high_20 FROM i WHERE close > prior_high_20", ind_cte("i", ["prior_high_20"])))
 def q_breakout_n(spark, sf):
@@ -608,24 +620,24 @@ def rsi_named_ctes(period: int, tag: str) -> list[str]:
     ]
 
 
-@register("rsi_oversold", with_bars(
+@register("rsi_oversold", trending(
     "SELECT i.symbol, i.date, (round((sma_200) * 10000) / 10000 + 0.0) AS sma_200, "
     "(round((a.rsi) * 10000) / 10000 + 0.0) AS rsi_14, (round((b.rsi) * 10000) / 10000 + 0.0) AS rsi_2 "
     "FROM i JOIN rsi14 a USING (symbol, date) JOIN rsi2 b USING (symbol, date) "
     "WHERE close > sma_200 AND (a.rsi < 30 OR b.rsi < 10)",
     *rsi_named_ctes(14, "14"), *rsi_named_ctes(2, "2"), ind_cte("i", ["sma_200"]), recursive=True))
 def q_rsi_oversold(spark, sf):
-    df = history(SC.rsi_oversold(), spark, sf).select("symbol", "date", "sma_200", "rsi_14", "rsi_2")
+    df = trending_history(SC.rsi_oversold(), spark, sf).select("symbol", "date", "sma_200", "rsi_14", "rsi_2")
     return r4(df, "sma_200", "rsi_14", "rsi_2")
 
 
-@register("bollinger_snapback", with_bars(
+@register("bollinger_snapback", trending(
     "SELECT i.symbol, i.date, (round((sma_20) * 10000) / 10000 + 0.0) AS sma_20, "
     "(round((std_20) * 10000) / 10000 + 0.0) AS std_20, (round((a.rsi) * 10000) / 10000 + 0.0) AS rsi_14 "
     "FROM i JOIN rsi14 a USING (symbol, date) WHERE close < sma_20 - 2 * std_20 AND a.rsi < 30",
     *rsi_named_ctes(14, "14"), ind_cte("i", ["sma_20", "std_20"]), recursive=True))
 def q_bollinger_snapback(spark, sf):
-    df = history(SC.bollinger_snapback(), spark, sf).select("symbol", "date", "sma_20", "std_20", "rsi_14")
+    df = trending_history(SC.bollinger_snapback(), spark, sf).select("symbol", "date", "sma_20", "std_20", "rsi_14")
     return r4(df, "sma_20", "std_20", "rsi_14")
 
 
@@ -635,13 +647,13 @@ def atr_named_ctes(period: int) -> list[str]:
             f"ON r.symbol = n.symbol AND r.i = n.i)"]
 
 
-@register("consolidation_breakout", with_bars(
+@register("consolidation_breakout", trending(
     "SELECT t.symbol, t.date FROM t JOIN atr5 a USING (symbol, date) JOIN atr20 b USING (symbol, date) "
     f"WHERE {TREND_COND} AND close >= 0.95 * high_20 AND a.atr < b.atr AND volume < avg_volume_50",
     *atr_named_ctes(5), *atr_named_ctes(20),
     ind_cte("t0", TREND_COLS + ["high_20", "avg_volume_50"], extra=f", {LATEST}"), TREND_CTE2, recursive=True))
 def q_consolidation_breakout(spark, sf):
-    return history(SC.consolidation_breakout(), spark, sf).select("symbol", "date")
+    return trending_history(SC.consolidation_breakout(), spark, sf).select("symbol", "date")
 
 
 # ---------------------------------------------------------------------------
@@ -658,9 +670,13 @@ BENCHMARK = "S1"
     "SELECT symbol, lag(date) OVER w AS signal_date, date AS entry_date, open AS entry, "
     "lag(close) OVER w - 2.0 * lag(atr) OVER w AS stop, "
     "CAST(floor(1000.0 / (lag(close) OVER w - (lag(close) OVER w - 2.0 * lag(atr) OVER w))) AS BIGINT) AS size, "
-    "lag(volume / avg_volume_20) OVER w AS rvol_20, lag(close > prior_high_20) OVER w AS prev_sig "
-    "FROM i JOIN atr14 USING (symbol, date) WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE prev_sig",
-    *atr_named_ctes(14), ind_cte("i", ["prior_high_20", "avg_volume_20"]), recursive=True))
+    "lag(volume / avg_volume_20) OVER w AS rvol_20 "
+    "FROM i JOIN atr14 USING (symbol, date) WINDOW w AS (PARTITION BY symbol ORDER BY date) "
+    "QUALIFY lag(close > prior_high_20) OVER w "
+    "UNION ALL SELECT symbol, date, NULL, NULL, close - 2.0 * atr, "
+    "CAST(floor(1000.0 / (close - (close - 2.0 * atr))) AS BIGINT), volume / avg_volume_20 "
+    "FROM i JOIN atr14 USING (symbol, date) WHERE rn = 1 AND close > prior_high_20)",
+    *atr_named_ctes(14), ind_cte("i", ["prior_high_20", "avg_volume_20"], extra=f", {LATEST}"), recursive=True))
 def q_signals_next_bar(spark, sf):
     df = ST.next_bar_signals(bars(spark, sf))
     return r4(df, "stop", "rvol_20")
@@ -669,9 +685,10 @@ def q_signals_next_bar(spark, sf):
 @register("relative_strength", with_bars(
     "SELECT symbol, date, (round((ret_20) * 10000) / 10000 + 0.0) AS ret_20, "
     "(round((bench_ret_20) * 10000) / 10000 + 0.0) AS bench_ret_20, (round((rs) * 10000) / 10000 + 0.0) AS rs, "
-    "(round((percent_rank() OVER (PARTITION BY date ORDER BY rs)) * 10000) / 10000 + 0.0) AS rs_rank FROM ("
+    "CASE WHEN rs IS NOT NULL THEN (round((percent_rank() OVER (PARTITION BY date, rs IS NULL ORDER BY rs)) * 10000)"
+    " / 10000 + 0.0) END AS rs_rank FROM ("
     "SELECT r.symbol, r.date, r.ret_20, b.ret_20 AS bench_ret_20, (1.0 + r.ret_20) / (1.0 + b.ret_20) AS rs "
-    f"FROM r JOIN (SELECT date, ret_20 FROM r WHERE symbol = '{BENCHMARK}') b USING (date))",
+    f"FROM r LEFT JOIN (SELECT date, ret_20 FROM r WHERE symbol = '{BENCHMARK}') b USING (date))",
     "r AS (SELECT * FROM (SELECT symbol, date, close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) - 1.0"
     " AS ret_20 FROM bars) WHERE ret_20 IS NOT NULL)"))
 def q_relative_strength(spark, sf):
@@ -680,12 +697,16 @@ def q_relative_strength(spark, sf):
 
 
 @register("regime", with_bars(
-    "SELECT date, CASE WHEN sma_200 IS NULL OR sma_50 IS NULL THEN 'unknown' "
-    "WHEN close > sma_200 AND sma_50 > sma_200 THEN 'trend_on' WHEN close > sma_200 THEN 'caution' "
-    "ELSE 'trend_off' END AS regime FROM i",
-    ind_cte("i", ["sma_50", "sma_200"], src=f"(SELECT * FROM bars WHERE symbol = '{BENCHMARK}')")))
+    "SELECT date, (round((pct) * 10000) / 10000 + 0.0) AS atr_percentile, regime, CASE regime WHEN 'trend_on' THEN 1.0 "
+    "WHEN 'trend_caution' THEN 0.5 WHEN 'trend_off' THEN 0.0 END::DOUBLE AS gate FROM ("
+    "SELECT date, pct, CASE WHEN sma_200 IS NULL OR pct IS NULL THEN 'unknown' WHEN close <= sma_200 THEN 'trend_off' "
+    "WHEN pct > 0.8 THEN 'trend_caution' ELSE 'trend_on' END AS regime FROM (SELECT *, CASE WHEN len(year) = 252 THEN "
+    "len(list_filter(year, lambda x: x <= vol)) / 252.0 END AS pct FROM (SELECT *, list(vol) OVER "
+    "(ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS year FROM (SELECT i.*, atr / close AS vol "
+    f"FROM i JOIN atr14 USING (symbol, date) WHERE symbol = '{BENCHMARK}'))))",
+    *atr_named_ctes(14), ind_cte("i", ["sma_200"]), recursive=True))
 def q_regime(spark, sf):
-    return ST.regime(bars(spark, sf), BENCHMARK)
+    return r4(ST.regime(bars(spark, sf), BENCHMARK), "atr_percentile")
 
 
 TRADES_SQL = ("tr AS (SELECT 'breakout_20_h5' AS strategy, symbol, entry_date, date AS exit_date, "
@@ -757,3 +778,136 @@ def q_dq_duplicates(spark, sf):
     "WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = s.symbol AND b.date = m.date)"))
 def q_dq_missing(spark, sf):
     return Q.missing_bars(bars(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Store round trips (S1, S3, S4, Q4), landing files (S7, R3), as-of, recipes, O3, X6
+# ---------------------------------------------------------------------------
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ohlcflow-tables/{name}-{uuid.uuid4().hex}"
+
+
+@register("store_roundtrip", with_bars(f"SELECT {BASE_SQL} FROM bars"))
+def q_store_roundtrip(spark, sf):
+    """Saved under lower-case names, read back."""
+    path = scratch_path(spark, "store")
+    S.save_bars(bars(spark, sf).withColumn("symbol", F.lower("symbol")), path)
+    return S.read_bars(spark, path)
+
+
+@register("store_overwrite", with_bars(
+    "SELECT symbol, date, open, high, low, close, CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 3 = 0 "
+    "THEN volume + 1 ELSE volume END AS volume FROM bars "
+    "WHERE CAST(substr(symbol, 2) AS BIGINT) % 3 <> 0 OR date >= DATE '1995-01-01'"))
+def q_store_overwrite(spark, sf):
+    """A second save replaces the whole history of the symbols in it, and no other's."""
+    path, all_bars = scratch_path(spark, "store"), bars(spark, sf)
+    S.save_bars(all_bars, path, buckets=8)
+    third = (F.substring("symbol", 2, 18).cast("bigint") % 3 == 0) & (F.col("date") >= F.to_date(F.lit("1995-01-01")))
+    S.save_bars(all_bars.where(third).withColumn("volume", F.col("volume") + 1), path)
+    return S.read_bars(spark, path)
+
+
+@register("timeframe_roundtrip", f"SELECT symbol, ts, price AS open, price AS high, price AS low, price AS close, "
+          f"size AS volume FROM ({TICKS_SQL})")
+def q_timeframe_roundtrip(spark, sf):
+    """Intraday bars keep their time, and the timeframes of a store stay apart."""
+    path, ticks = scratch_path(spark, "store"), intraday_bars_from_events(spark, sf)
+    S.save_bars(ticks, path, buckets=8, timeframe="tick")
+    S.save_bars(R.resample_intraday(ticks, "15 minutes"), path, timeframe="15min")
+    return S.read_timeframe(spark, path, "tick")
+
+
+def landing_folder(spark, sf) -> str:
+    """The bars as one CSV file per symbol with a quoted header, and a bad number in every tenth symbol."""
+    path = scratch_path(spark, "landing")
+    named = bars(spark, sf).withColumn("file", F.col("symbol"))
+    bad = (F.substring("symbol", 2, 18).cast("bigint") % 10 == 0) & (F.col("date") < F.to_date(F.lit("1992-03-01")))
+    lines = named.select("file", F.concat_ws(
+        ",", F.concat(F.lit('"'), F.col("date").cast("string"), F.lit('"')),
+        *[F.when(bad & F.lit(c == "low"), "n/a").otherwise(F.col(c).cast("string")) for c in ("close", "low", "high", "open")],
+        F.col("volume").cast("string"), F.lit("x")).alias("value"))
+    head = named.select("file").distinct().withColumn("value", F.lit('"date","close","low","high","open","volume","note"'))
+    # one folder per symbol is how Spark names files; the reader takes the symbol from the file name
+    lines.unionByName(head).repartition("file").sortWithinPartitions("file", F.col("value").startswith('"date"').cast(
+        "int").desc()).write.partitionBy("file").text(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("file="):
+            part = fs.listStatus(folder.getPath())[0].getPath()
+            fs.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.removeprefix("file=") + ".csv"))
+            fs.delete(folder.getPath(), True)
+    return path
+
+
+BAD_SYMBOLS = "bad AS (SELECT DISTINCT symbol FROM bars WHERE CAST(substr(symbol, 2) AS BIGINT) % 10 = 0 " \
+              "AND date < DATE '1992-03-01')"
+
+
+@register("landing_bars", with_bars(
+    f"SELECT {BASE_SQL} FROM bars WHERE symbol NOT IN (SELECT symbol FROM bad)", BAD_SYMBOLS))
+def q_landing_bars(spark, sf):
+    return IN.landing_bars(spark, landing_folder(spark, sf))[0]
+
+
+@register("sync_status", with_bars(
+    "SELECT symbol, symbol NOT IN (SELECT symbol FROM bad) AS ok, CASE WHEN symbol IN (SELECT symbol FROM bad) "
+    "THEN 'Failed to fetch or empty data' WHEN dollar_volume >= 1500000 THEN 'Synced' ELSE "
+    "'Synced (below threshold: $' || format('{:,}', CAST(round_even(dollar_volume, 0) AS BIGINT)) || ')' END AS message, "
+    f"CASE WHEN symbol IN (SELECT symbol FROM bad) THEN 0.0 ELSE {DV_OUT.removesuffix(' AS dollar_volume')} END "
+    "AS dollar_volume FROM dv", MAXD, DV_SQL, BAD_SYMBOLS))
+def q_sync_status(spark, sf):
+    return dv2(IN.sync(spark, landing_folder(spark, sf), scratch_path(spark, "store"), LIQ_THRESHOLD))
+
+
+@register("scan_as_of", with_bars(
+    f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000 + 0.0) AS avg_volume_20, "
+    "(round((rvol_20) * 10000) / 10000 + 0.0) AS rvol_20 "
+    "FROM (SELECT *, volume / avg_volume_20 AS rvol_20 FROM i) WHERE rn = 1 AND rvol_20 >= 1.2",
+    ind_cte("i", ["avg_volume_20"], src="(SELECT * FROM bars WHERE date <= DATE '1996-06-30')", extra=f", {LATEST}")))
+def q_scan_as_of(spark, sf):
+    """The scan as it would have run on a past date."""
+    return r4(scan(bars(spark, sf), [P.min_rvol(1.2)], as_of="1996-06-30"), "avg_volume_20", "rvol_20")
+
+
+@register("recipe_run", ORACLE["scan_report"])
+def q_recipe_run(spark, sf):
+    """A recipe map -> spec -> scan -> sort -> report."""
+    recipe = {"min_price": 1500.0, "min_relative_volume": 1.0, "trend_template": False, "sort": "rvol_20"}
+    return run_spec(bars(spark, sf), ScanSpec.from_map(recipe))
+
+
+@register("chart_sorted", with_bars(
+    "SELECT *, row_number() OVER (ORDER BY symbol, time) AS place FROM ("
+    "SELECT symbol, CAST(date_trunc('month', date) AS TIMESTAMP) AS time, arg_max(close, date) AS close "
+    "FROM bars JOIN mx USING (symbol) WHERE date >= CAST(m - INTERVAL 365 DAY AS DATE) GROUP BY 1, 2)", MAXD))
+def q_chart_sorted(spark, sf):
+    """O3: chart rows in (symbol, time) order; ``place`` is read off the sorted partitions."""
+    rows = R.chart_bars(bars(spark, sf), resample="1mo", period="1y", sort=True).select("symbol", "time", "close")
+    rows = scratch_table(rows.select("*", F.monotonically_increasing_id().alias("_at")), "chart-sorted")
+    parts = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    first = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    return rows.withColumn("_part", F.shiftright("_at", 33)).join(first, "_part").select(
+        "symbol", "time", "close", (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+
+
+@register("period_column", with_bars(
+    "SELECT symbol, period, count(*) AS n FROM (SELECT bars.*, period, m, CASE substr(period, -1) WHEN 'd' THEN 1 "
+    "WHEN 'w' THEN 7 WHEN 'o' THEN 30 ELSE 365 END * CAST(regexp_extract(period, '[0-9]+') AS INTEGER) AS days "
+    "FROM bars JOIN mx USING (symbol) JOIN p USING (symbol)) WHERE date >= CAST(m - to_days(CAST(days AS INTEGER)) AS DATE) "
+    "GROUP BY 1, 2", MAXD,
+    "p AS (SELECT DISTINCT symbol, CASE CAST(substr(symbol, 2) AS BIGINT) % 4 WHEN 0 THEN '90d' WHEN 1 THEN '10w' "
+    "WHEN 2 THEN '6mo' ELSE '2y' END AS period FROM bars)"))
+def q_period_column(spark, sf):
+    """X6 as a column: every symbol with a period of its own."""
+    k = F.substring("symbol", 2, 18).cast("bigint") % 4
+    period = F.when(k == 0, "90d").when(k == 1, "10w").when(k == 2, "6mo").otherwise("2y")
+    b = bars(spark, sf)
+    b = b.join(R.symbol_max_dates(b), "symbol").withColumn("period", period)
+    kept = b.where(F.col("date") >= F.date_sub(F.col("_max_date"), period_days_col(F.col("period")).cast("int")))
+    return kept.groupBy("symbol", "period").agg(F.count("*").alias("n"))

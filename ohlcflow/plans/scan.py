@@ -26,7 +26,6 @@ from ..functions.numeric import round_to
 from ..operators import indicators as I
 from ..operators.latest import latest_bars
 from ..operators.series import Framed
-from ..schema import BAR_COLUMNS
 from . import predicates as P
 from .spec import ScanSpec
 
@@ -122,7 +121,3 @@ def trend_scorecard(bars: DataFrame, *, plan: str = "snapshot") -> DataFrame:
     checks = [f().alias(name) for name, f in P.TREND_CHECKS.items()]
     passed = P.trend_template().condition
     return df.select("symbol", "date", *checks, F.coalesce(passed, F.lit(False)).alias("passes"))
-
-
-def base_columns() -> tuple[str, ...]:
-    return BAR_COLUMNS
