@@ -42,7 +42,7 @@ _LOW = np.int64((1 << 32) - 1)
 #: Symbols that one numpy step may hold; longer lists of words are encoded in parts.
 STEP_SYMBOLS = 1 << 19
 #: Pieces of one of two generations that a worker remembers (about 400 bytes each).
-RECENT = 200_000
+RECENT = 350_000
 
 
 

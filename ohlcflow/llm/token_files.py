@@ -35,7 +35,7 @@ from ohlcflow.llm.common import RecentWords, file_system, id_and_text, pieces_of
 from ohlcflow.session import ensure_checkpoint_dir
 
 #: Pieces of one of two generations that a worker remembers (about 200 bytes each).
-RECENT = 300_000
+RECENT = 600_000
 NULL_ID = np.iinfo(np.int64).min
 
 MANIFEST = "shard int, name string, dtype string, n_docs long, n_tokens long"
