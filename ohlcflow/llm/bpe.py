@@ -41,8 +41,9 @@ _LOW = np.int64((1 << 32) - 1)
 
 #: Symbols that one numpy step may hold; longer lists of words are encoded in parts.
 STEP_SYMBOLS = 1 << 19
-#: Pieces of one of two generations that a worker remembers (about 400 bytes each).
-RECENT = 350_000
+#: Pieces of one of two generations that a worker remembers (about 400 bytes each): for
+#: digests alone, and where ids are returned beside the memory of other steps.
+RECENT, RECENT_WITH_IDS = 350_000, 100_000
 
 
 
@@ -223,7 +224,7 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def remembered(path: str) -> tuple[Bpe, RecentWords]:
+def remembered(path: str, limit: int = RECENT) -> tuple[Bpe, RecentWords]:
     """The encoder of a file, and what recent pieces encode to: (count, ids, ids in decimal, tokens)."""
     bpe = Bpe(path)
 
@@ -231,7 +232,7 @@ def remembered(path: str) -> tuple[Bpe, RecentWords]:
         return [(len(ids), array("i", ids).tobytes(), " ".join(map(str, ids)), bpe.decode(ids))
                 for ids in bpe.encode_pieces(pieces)]
 
-    return bpe, RecentWords(compute, limit=RECENT)
+    return bpe, RecentWords(compute, limit=limit)
 
 
 def _sha(parts) -> str:
@@ -253,7 +254,7 @@ def _encode(docs: DataFrame, path: str, with_ids: bool) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = remembered(path)[1]
+        known = remembered(path, RECENT_WITH_IDS if with_ids else RECENT)[1]
         for b in batches:
             count, ids_sha, text_sha, raw = [], [], [], []
             for found in known.of([pieces_of(t) for t in b.column("text").to_pylist()]):
@@ -281,7 +282,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = remembered(path)[0]
+        bpe = remembered(path, RECENT_WITH_IDS)[0]
         for b in batches:
             texts = [bpe.decode(ids or []) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())],

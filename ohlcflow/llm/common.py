@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +97,15 @@ def pieces_of(text: str) -> list[str]:
     return _PIECE.findall(text) if any(c in text for c in _NOT_WHITE) else text.split()
 
 
+def give_back_memory() -> None:
+    """Hand a Python worker's freed memory to the system: workers live on for the next step."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which has no such call
+        pass
+
+
 class Workspace:
     """A folder of one job's tables and files below the session's shared checkpoint folder."""
 

@@ -40,8 +40,9 @@ LEAST_WORDS = 8
 
 #: Bits per seed of the Bloom filter, up to its largest size.
 FILTER_BITS_PER_SEED = 256
-#: Seed rows up to which the benchmark side of the join is broadcast; above, both sides are shuffled.
-BROADCAST_SEEDS = 200_000
+#: Seed rows and bytes of their words up to which the benchmark side of the join is broadcast;
+#: above, both sides are shuffled.
+BROADCAST_SEEDS = (200_000, 64 << 20)
 
 _ODD = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)  # a multiplier per window place
 
@@ -84,29 +85,31 @@ SEED_ROWS = "item_id long, item_at int, n_words int, seed long, item_words array
 def benchmark_seeds(items: DataFrame, window: int, substitutions: int, least_words: int) -> DataFrame:
     """Every seed of the benchmark with the words of its window (of the whole item if it is short)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("item_id").to_pylist()
-            rows: list[tuple] = []
-            for at, data, offsets in text_runs(b.column("text")):
-                w = find_words(data, offsets, ALNUM)
-                first = w.first
-                size = np.diff(first)
-                for place, seed in seeds(w, window, substitutions):
-                    for p, s in zip(place.tolist(), seed.view(np.int64).tolist(), strict=True):
-                        d = int(w.doc[p])
-                        rows.append((ids[at + d], p - int(first[d]), window, s, _word_texts(w, p, p + window)))
-                place, seed = whole_seeds(w, least_words)
+    def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+        ids = b.column("item_id").to_pylist()
+        for at, data, offsets in text_runs(b.column("text")):
+            w = find_words(data, offsets, ALNUM)
+            first = w.first
+            size = np.diff(first)
+            for place, seed in seeds(w, window, substitutions):
                 for p, s in zip(place.tolist(), seed.view(np.int64).tolist(), strict=True):
                     d = int(w.doc[p])
-                    if size[d] < window and p == first[d]:
-                        rows.append((ids[at + d], 0, int(size[d]), s, _word_texts(w, p, p + int(size[d]))))
-            for i in range(0, len(rows), 4096):
-                cols = list(zip(*rows[i:i + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(),
-                                                           pa.list_(pa.string())), strict=True)],
-                    names=["item_id", "item_at", "n_words", "seed", "item_words"])
+                    yield ids[at + d], p - int(first[d]), window, s, _word_texts(w, p, p + window)
+            place, seed = whole_seeds(w, least_words)
+            for p, s in zip(place.tolist(), seed.view(np.int64).tolist(), strict=True):
+                d = int(w.doc[p])
+                if size[d] < window and p == first[d]:
+                    yield ids[at + d], 0, int(size[d]), s, _word_texts(w, p, p + int(size[d]))
+
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = rows_of(b)
+            while some := list(itertools.islice(rows, 4096)):
+                cols = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                                 names=["item_id", "item_at", "n_words", "seed", "item_words"])
 
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, SEED_ROWS)
@@ -152,9 +155,12 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, substituti
     if not 0 <= substitutions < window - 1 or window // (substitutions + 2) < 1:
         raise ValueError("a window needs a word for each block")
     bench = scratch_table(benchmark_seeds(items, window, substitutions, least_words), "benchmark-seeds")
-    size = bench.agg(F.count("*").alias("n"), F.sum((F.col("n_words") < window).cast("int")).alias("short")).first()
-    found = document_seeds(docs, bloom.build(bench, "seed", size.n, FILTER_BITS_PER_SEED), window, substitutions, least_words, bool(size.short))
-    side = F.broadcast(bench) if size.n <= BROADCAST_SEEDS else bench
+    size = bench.agg(F.count("*").alias("n"), F.sum((F.col("n_words") < window).cast("int")).alias("short"),
+                     F.sum(F.octet_length(F.array_join("item_words", " "))).alias("bytes")).first()
+    table = bloom.build(bench, "seed", size.n, FILTER_BITS_PER_SEED)
+    found = document_seeds(docs, table, window, substitutions, least_words, bool(size.short))
+    small = size.n <= BROADCAST_SEEDS[0] and (size.bytes or 0) <= BROADCAST_SEEDS[1]
+    side = F.broadcast(bench) if small else bench
     both = found.join(side, "seed").filter(F.size("doc_words") >= F.col("n_words"))
     equal = F.size(F.filter(F.zip_with("item_words", F.slice("doc_words", 1, F.col("n_words")), lambda a, b: a == b),
                             lambda x: x))

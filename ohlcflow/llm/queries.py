@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import bpe, chat_format, decontaminate, language_id, license_scan, quality_knn, quality_rules, simhash, suffix_dedup, token_files
+from ohlcflow.llm import (bpe, chat_format, decontaminate, language_id, license_scan, quality_knn, quality_rules, simhash,
+                          suffix_dedup, token_files)
 from ohlcflow.llm.common import crc_fold, table
 
 

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ohlcflow.llm import bloom
-from ohlcflow.llm.common import Workspace, file_system, small_batches
+from ohlcflow.llm.common import Workspace, file_system, give_back_memory, small_batches
 from ohlcflow.llm.words import _BASE, _INVERSE, mix, powers, text_runs
 
 LENGTH = 200
@@ -66,7 +66,7 @@ GRAM_SHARE = 2
 GRAM_BITS = 16
 #: Bytes of a block of strings, and keys of a range.
 BLOCK = 2 << 20
-RANGE = 2 << 20
+RANGE = 1 << 20
 #: Blocks that one task handles, one after the other.
 BLOCKS_PER_TASK = 4
 #: Blocks, and keys of each, that are looked at to place the splitters.  Documents come to
@@ -124,8 +124,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     at = canonical((g >> np.uint64(32)).astype(np.uint32), length - gram + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = text[:len(at)] == text[length - 1:]  # strings that do not cross into the next text
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]) | (text[1:len(at)] != text[:len(at) - 1])])
-    begin = np.flatnonzero(new)
+    change = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]) | (text[1:len(at)] != text[:len(at) - 1])
+    begin = np.flatnonzero(np.concatenate([[True], change]))
     end = np.append(begin[1:], len(at))
     kept = inside[begin]
     begin, end = begin[kept], end[kept]
@@ -476,19 +476,25 @@ class Sorter:
                                      pa.array([z - a], pa.int32()), pa.array([shape], pa.list_(pa.int32())),
                                      pa.array([squeeze([c[a:z] for c in [*own, *more, *sums]])], pa.binary())],
                                     names=["range", "block", "n", "shape", "body"])
+                        del columns, own, back, more, sums, carried, weights
+                    give_back_memory()
 
         def rank(t: pa.Table) -> pa.Table:
             t = t.sort_by("block")
             n_key, n_more, _ = t["shape"][0].as_py()
             sizes = t["n"].to_pylist()
-            merged = np.concatenate([unsqueeze(x, n) for x, n in zip(t["body"], sizes, strict=True)], axis=1)
+            parts = np.cumsum([0, *sizes])
+            merged = np.empty((sum(t["shape"][0].as_py()), parts[-1]), dtype=np.uint64)
+            for x, n, a in zip(t["body"], sizes, parts.tolist(), strict=False):
+                merged[:, a:a + n] = unsqueeze(x, n)
             own, back = distinct(list(merged[:n_key]))
-            more, sums = merge(own, back, list(merged[n_key:n_key + n_more]),
-                               [w.astype(np.float64) for w in merged[n_key + n_more:]])
+            more, sums = merge(own, back, list(merged[n_key:n_key + n_more]), merged[n_key + n_more:])
+            del merged
             answers, tell = r.answer(own, more, [x.astype(np.int64) for x in sums])
-            parts = np.cumsum([0, *sizes])
             out = [squeeze([x[back[a:z]].astype(np.int64) for x in answers])
                    for a, z in zip(parts, parts[1:], strict=False)]
+            del own, back, more, sums, answers
+            give_back_memory()
             return pa.table({"range": t["range"], "block": t["block"], "n": t["n"], "body": pa.array(out, pa.binary()),
                              "tell": pa.array([tell] + [None] * (len(out) - 1), pa.list_(pa.int64()))})
 
@@ -513,6 +519,8 @@ class Sorter:
                 which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
                 found.append(([x[back] for x in answers], which[back], tells[f] or [(0, [0, 0])]))
             r.apply(lambda x: shelf.get(f"{name}.{x}"), lambda x, a: shelf.put(f"{name}.{x}", a), found)
+            del found, rows
+            give_back_memory()
             return pa.table({"block": [name]})
 
         taken = replies.select("block", "range", "n", "body").groupBy("block").applyInArrow(take, "block string")
