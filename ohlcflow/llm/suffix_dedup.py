@@ -477,7 +477,7 @@ class Sorter:
                                      pa.array([squeeze([c[a:z] for c in [*own, *more, *sums]])], pa.binary())],
                                     names=["range", "block", "n", "shape", "body"])
                         del columns, own, back, more, sums, carried, weights
-                    give_back_memory()
+            give_back_memory()
 
         def rank(t: pa.Table) -> pa.Table:
             t = t.sort_by("block")
@@ -519,8 +519,6 @@ class Sorter:
                 which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
                 found.append(([x[back] for x in answers], which[back], tells[f] or [(0, [0, 0])]))
             r.apply(lambda x: shelf.get(f"{name}.{x}"), lambda x, a: shelf.put(f"{name}.{x}", a), found)
-            del found, rows
-            give_back_memory()
             return pa.table({"block": [name]})
 
         taken = replies.select("block", "range", "n", "body").groupBy("block").applyInArrow(take, "block string")
