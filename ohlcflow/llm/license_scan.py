@@ -3,8 +3,9 @@ shunting-yard parser for licence expressions.
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters, after
 lower-casing A-Z.  One Aho-Corasick pass over a text's words, joined by single spaces,
-finds every phrase and tag; phrases may overlap.  Behind an identifier tag the rest of
-the line is read as a licence expression (``MIT OR (Apache-2.0 AND BSD-3-Clause)``,
+finds every phrase and tag; phrases may overlap.  Behind every identifier tag, from the
+next word or parenthesis (on a later line if the tag ends its own) up to the next tag or
+the end of that line, a licence expression is read (``MIT OR (Apache-2.0 AND BSD-3-Clause)``,
 ``GPL-2.0-only WITH Classpath-exception-2.0``): a shunting-yard pass puts it into
 postfix order, whose evaluation gives the licences named, the alternatives and whether
 a permissive choice is open.  An expression that does not parse names the licences its
@@ -63,8 +64,8 @@ SCORES = {"expression": 1.0, "base": 0.9, "notice": 0.8, "tag": 0.6}
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
     for b in range(256))
-_TAG_LINE = re.compile(r"spdx[^0-9a-z\n\x80-\U0010ffff]*license[^0-9a-z\n\x80-\U0010ffff]*identifier"
-                       r"[^0-9a-z(\n\x80-\U0010ffff]*([^\n]*)", re.IGNORECASE | re.ASCII)
+_WORD = re.compile(rb"[^ ]+")
+_EXPRESSION = re.compile(r"[0-9A-Za-z(\x80-\U0010ffff][^\n]*")
 _TOKEN = re.compile(r"[()]|[0-9A-Za-z][0-9A-Za-z.+:-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -74,6 +75,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
+def expressions(text: str, tags: list[tuple[int, int]]) -> Iterator[str]:
+    """What stands behind each tag, given as (number of its first word, number of the word behind it)."""
+    data = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in _WORD.finditer(data.translate(_WORD_BYTES))]
+    until = [spans[first][0] for first, _ in tags[1:]] + [len(data)]
+    for (_, behind), end in zip(tags, until, strict=True):
+        m = _EXPRESSION.search(data[spans[behind - 1][1]:end].decode("utf-8", "surrogatepass"))
+        if m:
+            yield m[0]
+
+
 def family(identifier: str) -> str | None:
     """Label of a licence identifier: that of the longest known prefix."""
     low = identifier.lower()
@@ -191,18 +203,18 @@ def scan_text(automaton, text: str) -> tuple:
     labels: set[str] = set()
     score, permissive = 0.0, False
     hits = list(automaton.iter(joined))
-    tagged = False
+    tags = []
     before = 0  # spaces up to `at`: a phrase's word number, kept up as the hits advance
     at = 0
     starts = []
     for end, (size, what) in hits:
-        starts.append((end - size + 1, what))
-    for start, what in sorted(starts, key=lambda x: x[0]):
+        starts.append((end - size + 1, end, what))
+    for start, end, what in sorted(starts, key=lambda x: x[0]):
         before += joined.count(" ", at, start)
         at = start
         for kind, label in what:
             if kind == "tag":
-                tagged = True
+                tags.append((before, before + joined.count(" ", start, end)))
                 continue
             labels.add(label)
             score = max(score, SCORES[kind])
@@ -212,9 +224,9 @@ def scan_text(automaton, text: str) -> tuple:
                 base.add(label)
                 first = before if first is None else first
                 last = before
-    if tagged:
-        for m in _TAG_LINE.finditer(text):
-            names, free, parsed = read_expression(m[1])
+    if tags:
+        for expression in expressions(text, tags):
+            names, free, parsed = read_expression(expression)
             labels |= names
             permissive |= free
             if names:

@@ -84,6 +84,17 @@ def test_license_scan(spark, edge_docs):
     assert license_scan.scan_text(auto, "")[5:] == ("", 0.0, False)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("SPDX-License-Identifier: MIT foo bar SPDX-License-Identifier: GPL-2.0-only", ("gpl,mit", 1.0, True)),
+    ("é SPDX-License-Identifier: nothing known SPDX-License-Identifier: ISC\nzlib", ("isc", 1.0, True)),
+    ("SPDX-License-\n * Identifier: MIT", ("mit", 1.0, True)),
+    ("## SPDX-License-Identifier\r\n\r\n(MIT AND GPL-2.0-only)\r\nISC", ("gpl,mit", 1.0, False)),
+    ("SPDX-License-Identifier: \nSPDX-License-Identifier: ZLIB\nSPDX-License-Identifier:", ("zlib", 1.0, True)),
+    ("SPDX-License-Identifier: \u672a\u77e5\nMIT", ("", 0.0, False))])
+def test_every_tag_is_read(text, found):
+    assert license_scan.scan_text(license_scan.build_automaton(), text)[5:] == found
+
+
 NASTY = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "<\\\\/s>", "[IMG]", "[\\IMG]", "<", "[", "a\nb%0A%25", "", "</", "s>",
          "[INST", "</s", "<<s>>", "[[INST]]"]
 
