@@ -9,7 +9,7 @@ the end of that line, a licence expression is read (``MIT OR (Apache-2.0 AND BSD
 ``GPL-2.0-only WITH Classpath-exception-2.0``): a shunting-yard pass puts it into
 postfix order, whose evaluation gives the licences named, the alternatives and whether
 a permissive choice is open.  An expression that does not parse names the licences its
-known identifiers name.
+known identifiers name, all of them up to the next tag or the end of the line.
 
 Score: the strength of the best evidence, 1.0 for a parsed tag expression, 0.9 for a
 base phrase, 0.8 for another notice phrase, 0.6 for a tag whose expression does not
@@ -155,23 +155,20 @@ def read_expression(line: str) -> tuple[set[str], bool, bool]:
 
     Comment closers behind the expression end it, so the longest parsing run of tokens counts."""
     tokens = _TOKEN.findall(line)
-    best: list[str] | None = None
-    # the expression is the longest prefix of tokens that parses; operands alternate with operators,
-    # so scanning stops at the second operand in a row
-    end, operands = 0, 0
-    for tok in tokens:
-        if tok.lower() in _PRECEDENCE:
-            operands = 0
-        elif tok not in "()":
-            operands += 1
-            if operands == 2:
-                break
-        end += 1
-    while end and best is None:
-        best = postfix(tokens[:end])
-        end -= 1 if best is None else 0
+    # the expression is the longest prefix of tokens that parses: found in one pass, which ends at the
+    # first token that no longer prefix can mend
+    end, depth, operand_next = 0, 0, True
+    for at, tok in enumerate(tokens, 1):
+        operator = tok.lower() in _PRECEDENCE
+        if (operator or tok == ")") == operand_next or (tok == ")" and not depth):
+            break
+        depth += (tok == "(") - (tok == ")")
+        operand_next = operator or tok == "("
+        if not depth and not operand_next:
+            end = at
+    best = postfix(tokens[:end])
     if best is None or not any(family(t) for t in best if t not in _PRECEDENCE):
-        return {x for t in tokens[:8] if (x := family(t))}, False, False
+        return {x for t in tokens if (x := family(t))}, False, False
     names, permissive = evaluate(best)
     return names, permissive, True
 

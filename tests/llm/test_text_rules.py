@@ -60,6 +60,13 @@ def test_expressions(line, names, free, parsed):
     assert license_scan.read_expression(line) == (names, free, parsed)
 
 
+def test_broken_expression_names_all_its_licences():
+    line = "(MIT OR Apache-2.0 OR BSD-3-Clause OR GPL-2.0-only OR ISC"
+    assert license_scan.read_expression(line) == ({"mit", "apache-2", "bsd", "gpl", "isc"}, False, False)
+    assert license_scan.read_expression("a b c d e f g h i zlib") == ({"zlib"}, False, False)
+    assert license_scan.read_expression("(" * 200_000 + "MIT") == ({"mit"}, False, False)
+
+
 def brute_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = sorted((i, label) for phrase, label in license_scan.BASE_PHRASES.items() for i in range(len(words))
