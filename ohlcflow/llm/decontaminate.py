@@ -17,6 +17,7 @@ Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  Result: one row per document and item that overlap.  Defined results:
 null and empty texts overlap with nothing; items with equal texts each get their rows;
 rows of documents with one id count as one document; a null id is an id like any other.
+``clean`` judges every row by its own text, also where rows share an id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohlcflow.llm import bloom
-from ohlcflow.llm.common import small_batches
+from ohlcflow.llm.common import id_and_text, small_batches
 from ohlcflow.llm.words import ALNUM, Words, find_words, mix, text_runs
 from ohlcflow.session import scratch_table
 
@@ -121,7 +122,7 @@ def document_seeds(docs: DataFrame, table: np.ndarray, window: int, substitution
     shared = docs.sparkSession.sparkContext.broadcast(table)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
+            ids, texts_hash = b.column("doc_id"), b.column("text_hash")
             for at, data, offsets in text_runs(b.column("text")):
                 w = find_words(data, offsets, ALNUM)
                 first = w.first
@@ -136,20 +137,20 @@ def document_seeds(docs: DataFrame, table: np.ndarray, window: int, substitution
                     d = w.doc[place]
                     texts = [_word_texts(w, p, min(p + length, int(first[k + 1])))
                              for p, k in zip(place.tolist(), d.tolist(), strict=True)]
+                    row = pa.array(at + d)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(at + d)), pa.array((place - first[d]).astype(np.int32), pa.int32()),
+                        [ids.take(row), texts_hash.take(row), pa.array((place - first[d]).astype(np.int32), pa.int32()),
                          pa.array(seed.view(np.int64), pa.int64()), pa.array(texts, pa.list_(pa.string()))],
-                        names=["doc_id", "doc_at", "seed", "doc_words"])
+                        names=["doc_id", "text_hash", "doc_at", "seed", "doc_words"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, doc_at int, seed long, doc_words array<string>")
+    texts = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, doc_at int, seed long, doc_words array<string>")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS,
-             least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``n_windows`` (starts of overlapping windows in the document),
-    ``first_word``, ``last_word`` (smallest and largest start) and ``most_equal`` (words that
-    agree in the best window), one row per document and item that overlap."""
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS,
+            least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``item_id``, ``doc_at`` and ``equal`` (words that agree) of every
+    window of a document that overlaps with one of an item, once for each mask that sees it."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     if not 0 <= substitutions < window - 1 or window // (substitutions + 2) < 1:
@@ -166,12 +167,23 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, substituti
                             lambda x: x))
     allowed = F.when(F.col("n_words") == window, substitutions).otherwise(0)
     both = both.withColumn("equal", equal).filter(F.col("n_words") - F.col("equal") <= allowed)
-    return both.groupBy("doc_id", "item_id").agg(
+    return both.select("doc_id", "text_hash", "item_id", "doc_at", "equal")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``doc_id``, ``item_id``, ``n_windows`` (starts of overlapping windows in the document),
+    ``first_word``, ``last_word`` (smallest and largest start) and ``most_equal`` (words that
+    agree in the best window), one row per document and item that overlap; options as in ``matches``."""
+    return matches(docs, items, **options).groupBy("doc_id", "item_id").agg(
         F.count_distinct("doc_at").alias("n_windows"), F.min("doc_at").cast("long").alias("first_word"),
         F.max("doc_at").cast("long").alias("last_word"), F.max("equal").cast("long").alias("most_equal"))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document overlaps with no item, all columns kept."""
-    leaked = overlaps(docs, items, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of ``docs`` whose text overlaps with no item, all columns kept; rows are told
+    apart by id and text."""
+    leaked = matches(docs, items, **options).select(
+        F.col("doc_id").alias("_leaked"), F.col("text_hash").alias("_leaked_text")).distinct()
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked"))
+    text = F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_leaked_text")
+    return docs.join(leaked, own & text, "left_anti")

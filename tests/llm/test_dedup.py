@@ -173,6 +173,15 @@ def test_decontamination(spark, edge_docs):
     assert decontaminate.overlaps(d, b.limit(0)).collect() == [] and decontaminate.overlaps(d.limit(0), b).collect() == []
 
 
+def test_clean_rows_stay_beside_leaked_rows_of_their_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, "see " + item), (None, "clean"), (None, None), (1, item.upper()), (1, "clean"), (1, "clean"), (2, item),
+            (2, item), (3, "clean")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.clean(d, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted((r for r in rows if "0" not in (r[1] or "")), key=repr)
+
+
 def test_rewrite_of_a_text_that_goes_whole(spark):
     """Nothing left: null, also where the column was declared to hold none."""
     text = "all of this goes " * 20
