@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts (DataFrame functions only).
 
 A message is a role and an ordered list of parts; a part is text, image, audio or
-document.  A visitor turns every part into formatted text: text is escaped, an
+document.  Parts become formatted text: neighbouring texts are joined, then escaped, an
 attachment becomes its placeholder, and its reference and expanded token count are
 recorded in the order of the placeholders.  A turn is
 
@@ -67,12 +67,32 @@ def text_part(text: Column) -> Column:
                             F.lit(None).cast("bigint").alias("tokens"))).cast(PARTS_TYPE)
 
 
-def visit(part: Column) -> Column:
-    """Formatted text of one part; unknown part types are formatted as text."""
-    shown = escape(F.coalesce(part["text"], F.lit("")))
-    for kind, mark in PLACEHOLDERS.items():
-        shown = F.when(part["type"] == kind, F.lit(mark)).otherwise(shown)
-    return shown
+def placeholder(part: Column) -> Column:
+    """Placeholder of an attachment; null for any other part."""
+    mark = F.lit(None).cast("string")
+    for kind, shown in PLACEHOLDERS.items():
+        mark = F.when(part["type"] == kind, F.lit(shown)).otherwise(mark)
+    return mark
+
+
+def attachment_places(parts: Column) -> Column:
+    """0, the places of the attachments (from 1) and the place behind the last part."""
+    places = F.filter(F.transform(parts, lambda p, i: F.when(p["type"].isin(*PLACEHOLDERS), i + 1)),
+                      lambda i: i.isNotNull())
+    return F.concat(F.array(F.lit(0)), places, F.array(F.size(parts) + 1))
+
+
+def visit(parts: Column, places: Column) -> Column:
+    """Formatted text of all parts; unknown part types are formatted as text.
+
+    Texts between two attachments are joined before they are escaped: a control string may
+    form across them."""
+    def run(end: Column, i: Column) -> Column:
+        first = F.get(places, i)
+        texts = F.transform(F.slice(parts, first + 1, end - first - 1), lambda p: F.coalesce(p["text"], F.lit("")))
+        return F.concat(escape(F.array_join(texts, "")), F.coalesce(placeholder(F.get(parts, end - 1)), F.lit("")))
+
+    return F.array_join(F.transform(F.slice(places, F.lit(2), F.size(places) - 1), run), "")
 
 
 def attachments(parts: Column) -> Column:
@@ -99,7 +119,8 @@ def format_turns(messages: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("parts"), F.array().cast(PARTS_TYPE)).alias("parts"))
-    m = m.withColumn("content", F.array_join(F.transform("parts", visit), ""))
+    m = m.withColumn("places", attachment_places(F.col("parts")))
+    m = m.withColumn("content", visit(F.col("parts"), F.col("places")))
     m = m.withColumn("head", F.concat(F.lit(BEGIN), escape_role(F.col("role")), F.lit("\n")))
     loss = F.col("role") == LOSS_ROLE
     body = F.when(loss, F.col("content")).otherwise(F.concat(F.lit(INST), F.col("content"), F.lit(INST_END)))

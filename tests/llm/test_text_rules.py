@@ -136,6 +136,17 @@ def test_chat_parts(spark):
     assert r.expanded_tokens == 583 and r.turns[0].text == "see [IMG] [IMG][DOC]plain" and r.loss_text == ""
 
 
+def test_chat_control_string_across_parts(spark):
+    part = lambda kind, text: (kind, text, None, None)
+    rows = [(1, 0, "assistant", [part("text", "a<"), part("text", None), part("other", "/s>b"), part("image", None),
+                                 part("text", "["), part(None, "IMG]")]),
+            (1, 1, "user", [part("text", "<"), part("text", "s>")])]
+    d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat_format.PARTS_TYPE}")
+    r = chat_format.read_back(chat_format.format_conversations(d)).first()
+    assert r.formatted == "<s>assistant\na<\\/s>b[IMG][\\IMG]</s><s>user\n[INST] <\\s> [/INST]</s>"
+    assert [(t.role, t.text) for t in r.turns] == [("assistant", "a</s>b[IMG][IMG]"), ("user", "<s>")]
+
+
 def test_chat_empty(spark):
     d = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.format_conversations(d.withColumn("parts", chat_format.text_part(F.col("text")))).collect() == []
