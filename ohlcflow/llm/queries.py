@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.llm import (bpe, chat_format, decontaminate, language_id, license_scan, quality_knn, quality_rules, simhash,
-                          suffix_dedup, token_files)
+from ohlcflow.llm import (bpe, centroid_cluster, chat_format, decontaminate, html_text, language_id, license_scan,
+                          periodic_runs, quality_knn, quality_rules, simhash, suffix_dedup, token_files)
 from ohlcflow.llm.common import crc_fold, table
 
 
@@ -96,6 +96,47 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; where the crc32 of the id is divisible by ten, the words from one
+    place on repeat with a period, both set by the crc32."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                          h.alias("h"))
+    g = F.floor(F.col("h") / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, a = F.size("w"), F.col("a")
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    repeats = F.ceil((n - a) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", a + 1, F.col("p")), repeats))
+    text = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), a), tail), F.lit(1), n), " ")
+    planted = planted.withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    planted = planted.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", F.when(n > 0, period))
+    return planted.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_centroid_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_cluster.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -107,8 +148,44 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_knn": op9_quality_knn,
     "op10_chat_format": op10_chat_format,
+    "op11_html_text": op11_html_text,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_cluster": op13_centroid_cluster,
 }
 
+def _clustering_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and floored means, one CTE each (rows numbered, as ids may repeat)."""
+    steps = [f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        d AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(e) AS x FROM v),
+        s AS (
+            SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS c FROM v
+            QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), e) <= {k}),
+        c0 AS MATERIALIZED (SELECT c, i, x FROM s JOIN d USING (r))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} AS MATERIALIZED (
+            SELECT r, arg_min(c, (dist, c)) AS c, min(dist) AS dist
+            FROM (SELECT r, c, sum((d.x - q.x) * (d.x - q.x))::BIGINT AS dist
+                  FROM d JOIN c{n} q USING (i) GROUP BY r, c) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+        c{n + 1} AS MATERIALIZED (
+            SELECT q.c, q.i, coalesce(m.x, q.x) AS x FROM c{n} q LEFT JOIN (
+                SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+                FROM d JOIN a{n} USING (r) GROUP BY c, i) m USING (c, i))""")
+    return ",".join(steps) + f"""
+        SELECT vec_id, a.c::INT AS cluster, a.dist AS distance,
+               sum(a.dist) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.dist) OVER ()::BIGINT AS inertia,
+               h.sha AS centroid_sha256
+        FROM v JOIN a{rounds} a USING (r)
+        JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM c{rounds} GROUP BY c) h ON h.c = a.c"""
+
+
 _SPACES = r"[\x20\x09-\x0D]+"
 
 ORACLE = {
@@ -186,4 +263,18 @@ ORACLE = {
                sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    # the given pages all carry the label element; the operator finds the same stretch by its weights
+    "op11_html_text": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+        b AS (
+            SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x:
+                trim(regexp_replace(replace(replace(replace(replace(replace(
+                    regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+                    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(160), ' '),
+                    '[\x09-\x0D\x1C-\x1F\x20]+', ' ', 'g'))) AS blocks FROM a),
+        t AS (
+            SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
+    "op13_centroid_cluster": _clustering_sql(centroid_cluster.CLUSTERS, centroid_cluster.ROUNDS),
 }
