@@ -1,11 +1,13 @@
 """R2: batch scan — many recipes over one snapshot in a single job.
 
-The recipes are configuration (a list the user wrote), so each becomes a
-conditional literal in one projection: every snapshot row carries the array
-of recipe names it satisfies, and ``explode`` yields (recipe, symbol) rows.
-No join, no pairs: the per-row work is one comparison chain per recipe and
-only matches are emitted.  Indicators are the union over all recipes, so the
-bars are framed and shuffled once no matter how many recipes run.
+A short list of recipes (configuration the user wrote) becomes conditional
+literals in one projection: every snapshot row carries the array of recipe
+names it satisfies, and ``explode`` yields (recipe, symbol) rows.  No join, no
+pairs: the per-row work is one comparison chain per recipe and only matches
+are emitted.  A list longer than ``LITERAL_RECIPES`` is handled as a recipe
+table by the predicate index (``recipe_index``), whose expressions do not grow
+with the recipes.  Indicators are the union over all recipes, so the bars are
+framed and shuffled once no matter how many recipes run.
 """
 
 from __future__ import annotations
@@ -15,9 +17,14 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..operators.series import Framed
+from ..schema import RECIPE_SCHEMA
 from . import predicates as P
+from .recipe_index import CRITERIA, batch_scan_table
 from .spec import ScanSpec
 
+#: Recipes up to which a list is planned as literals.
+LITERAL_RECIPES = 16
+
 
 def recipes_from_rows(rows) -> list[tuple[str, ScanSpec]]:
     """Recipe table rows (recipe, min_price, ..., trend_template) -> specs; NULL = not applied."""
@@ -31,6 +38,9 @@ def recipes_from_rows(rows) -> list[tuple[str, ScanSpec]]:
 
 def batch_scan(bars: DataFrame, recipes: list[tuple[str, ScanSpec]], *, plan: str = "snapshot") -> DataFrame:
     """(recipe, symbol, date, close, volume) for every recipe match on the latest bars."""
+    if plan == "snapshot" and len(recipes) > LITERAL_RECIPES:
+        rows = [(name, *[getattr(spec, c) for c in CRITERIA]) for name, spec in dict(recipes).items()]
+        return batch_scan_table(bars, bars.sparkSession.createDataFrame(rows, RECIPE_SCHEMA))
     preds = {name: spec.predicates() for name, spec in recipes}
     inds = P.required_indicators(p for ps in preds.values() for p in ps)
     if not inds:

@@ -19,7 +19,7 @@ from ..functions.numeric import round_to
 from ..functions.periods import period_days_col
 from ..operators.latest import latest_bars
 from ..sources.derived import (BARS_SQL, TICKS_SQL, TRENDING_BARS_SQL, bars_from_lineitem,
-                               intraday_bars_from_events, ticks_from_events, trending_bars_from_lineitem)
+                               intraday_bars_from_events, table, ticks_from_events, trending_bars_from_lineitem)
 from ..operators import liquidity as L
 from ..operators import quality as Q
 from ..operators import screens as SC
@@ -30,6 +30,7 @@ from ..sources import ingest as IN
 from ..sources import store as S
 from . import predicates as P
 from .batch import batch_scan
+from .recipe_index import batch_scan_table
 from .scan import report, run_spec, scan, sort_results, top_k, trend_scorecard
 from .spec import ScanSpec
 
@@ -513,7 +514,7 @@ RECIPES = [
 ]
 
 
-def _batch_sql() -> str:
+def _batch_sql(body: str | None = None) -> str:
     conds = {
         "momentum": "close >= 1000.0 AND rvol_20 >= 1.2",
         "volatile": "adr_20 >= 3.0 AND volume >= 20.0",
@@ -524,7 +525,7 @@ def _batch_sql() -> str:
     unions = " UNION ALL ".join(
         f"SELECT '{name}' AS recipe, symbol, date, close, volume FROM s WHERE {c}" for name, c in conds.items())
     return with_bars(
-        unions,
+        body or unions,
         ind_cte("t0", TREND_COLS + ["avg_volume_20", "adr_20", "prev_high"], extra=f", {LATEST}"),
         "s AS (SELECT *, volume / avg_volume_20 AS rvol_20, "
         "lag(sma_200, 20) OVER (PARTITION BY symbol ORDER BY date) AS sma_200_1m_ago FROM t0 QUALIFY rn = 1)")
@@ -537,6 +538,41 @@ def q_batch_scan(spark, sf):
 
 ORACLE["batch_scan"] = _batch_sql()
 
+RECIPE_TABLE_SQL = """
+SELECT 'R' || o_orderkey AS recipe,
+       CASE WHEN o_orderkey % 10 <> 0 THEN 1700 + o_totalprice % 500 END AS min_price,
+       CASE WHEN o_custkey % 5 = 0 THEN 30 + o_totalprice % 20 END AS min_volume,
+       CASE WHEN o_orderkey % 9 <> 0 THEN 1.5 + (o_totalprice % 100) / 100 END AS min_relative_volume,
+       CASE WHEN o_custkey % 7 = 0 THEN o_totalprice % 11 END AS min_adr,
+       CASE WHEN o_custkey % 3 = 0 OR o_orderkey % 90 = 0 THEN 10 + o_totalprice % 50 END AS gap_up,
+       o_orderkey % 50 = 0 AS trend_template
+FROM orders
+"""
+
+
+def recipe_table(spark, sf) -> DataFrame:
+    """A recipe of every order, its criteria set by the order's keys and price."""
+    rest = lambda n: F.col("o_totalprice") % n
+    every = lambda key, n: F.col(key) % n == 0
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("recipe"),
+        F.when(~every("o_orderkey", 10), 1700 + rest(500)).alias("min_price"),
+        F.when(every("o_custkey", 5), 30 + rest(20)).alias("min_volume"),
+        F.when(~every("o_orderkey", 9), 1.5 + rest(100) / 100).alias("min_relative_volume"),
+        F.when(every("o_custkey", 7), rest(11)).alias("min_adr"),
+        F.when(every("o_custkey", 3) | every("o_orderkey", 90), 10 + rest(50)).alias("gap_up"),
+        every("o_orderkey", 50).alias("trend_template"))
+
+
+@register("batch_scan_table", _batch_sql(f"""
+    SELECT recipe, symbol, date, close, volume FROM s JOIN ({RECIPE_TABLE_SQL}) r ON
+    (min_price IS NULL OR close >= min_price) AND (min_volume IS NULL OR volume >= min_volume)
+    AND (min_relative_volume IS NULL OR rvol_20 >= min_relative_volume) AND (min_adr IS NULL OR adr_20 >= min_adr)
+    AND (gap_up IS NULL OR open > prev_high * (1.0 + gap_up / 100.0)) AND (NOT trend_template OR ({TREND_COND}))"""))
+def q_batch_scan_table(spark, sf):
+    """R2 with the recipes as a table: one of every order."""
+    return batch_scan_table(bars(spark, sf), recipe_table(spark, sf))
+
 
 # ---------------------------------------------------------------------------
 # T2 screens (P-BO, P-ID, P-NR, P-DS, P-VS, P-RO, P-BB, P-CB)

@@ -50,3 +50,69 @@ def test_recipes_from_rows(spark):
     df = spark.createDataFrame([("x", 10.0, None, None, None, None, True)], RECIPE_SCHEMA)
     [(name, spec)] = recipes_from_rows(df.collect())
     assert name == "x" and spec.min_price == 10.0 and spec.trend_template and spec.min_volume is None
+
+
+def _random_recipes(n, seed):
+    import random
+    rng = random.Random(seed)
+    some = lambda p, lo, hi: round(rng.uniform(lo, hi), rng.choice([0, 2])) if rng.random() < p else None
+    rows = [(f"r{i}", some(.7, 900, 2200), some(.4, 0, 50), some(.5, 0, 2), some(.3, 0, 9), some(.4, -20, 90),
+             rng.choice([True, False, None])) for i in range(n)]
+    return rows + [("all", None, None, None, None, None, None), ("twice", 1000.0, None, None, None, None, False),
+                   ("twice", 1000.0, None, None, None, None, False), ("none", float("nan"), None, None, None, None, False),
+                   ("any volume", None, 1.0, None, None, None, None)]
+
+
+def test_recipe_table_equals_loop(small_bars, spark, monkeypatch):
+    """Thresholds of every kind, copies, several blocks: as one scan per recipe."""
+    from ohlcflow.plans import recipe_index
+    from ohlcflow.schema import RECIPE_SCHEMA
+    monkeypatch.setattr(recipe_index, "BLOCK", 100)
+    monkeypatch.setattr(recipe_index, "BUCKETS", 8)
+    rows = _random_recipes(400, 3)
+    got = sorted(map(str, recipe_index.batch_scan_table(small_bars, spark.createDataFrame(rows, RECIPE_SCHEMA)).select(
+        "recipe", "symbol").collect()))
+    snap = recipe_index.I.snapshot_with(small_bars, recipe_index.INDICATORS)
+    trend = recipe_index.P.trend_template().condition
+    bars = [r.asDict() for r in snap.withColumn("trend", trend).collect()]
+    nan = lambda x: x != x
+
+    def ge(v, t):
+        return t is None or (v is not None and (nan(v) or (not nan(t) and v >= t)))
+
+    want = []
+    for name, price, volume, rvol, adr, gap, template in rows:
+        for b in bars:
+            if (ge(b["close"], price) and ge(b["volume"], volume) and ge(b["rvol_20"], rvol) and ge(b["adr_20"], adr)
+                    and (gap is None or b["open"] > b["prev_high"] * (1.0 + gap / 100.0))
+                    and (not template or b["trend"])):
+                want.append(str((name, b["symbol"])))
+    assert len(want) > 200
+    assert got == sorted(f"Row(recipe={x.split(', ')[0][1:]}, symbol={x.split(', ')[1][:-1]})" for x in want)
+
+
+def test_recipe_table_of_long_list_and_of_nothing(small_bars, spark):
+    from ohlcflow.plans.recipe_index import batch_scan_table
+    from ohlcflow.schema import RECIPE_SCHEMA
+    recipes = [(f"r{i}", ScanSpec(min_price=900.0 + 60 * i, min_adr=float(i % 5), trend_template=i % 7 == 0))
+               for i in range(20)]
+    got = {(r.recipe, r.symbol) for r in batch_scan(small_bars, recipes).collect()}
+    want = {(r.recipe, r.symbol) for r in batch_scan(small_bars, recipes[:10]).collect()}
+    want |= {(r.recipe, r.symbol) for r in batch_scan(small_bars, recipes[10:]).collect()}
+    assert got == want and got
+    assert batch_scan_table(small_bars, spark.createDataFrame([], RECIPE_SCHEMA)).collect() == []
+    assert batch_scan_table(small_bars.limit(0), spark.createDataFrame([("x", *[None] * 6)], RECIPE_SCHEMA)).collect() == []
+
+
+def test_recipe_table_plan_does_not_grow(small_bars, spark):
+    """The plan of 50 recipes and of 5,000 has the same operators and joins no table pairwise."""
+    import re
+    from ohlcflow.plans.recipe_index import batch_scan_table
+    from ohlcflow.schema import RECIPE_SCHEMA
+    texts = []
+    for n in (50, 5000):
+        df = batch_scan_table(small_bars, spark.createDataFrame(_random_recipes(n, 1), RECIPE_SCHEMA))
+        texts.append(df._jdf.queryExecution().optimizedPlan().toString())
+    nodes = [re.findall(r"^[ :+-]*([A-Z]\w+)", t, re.M) for t in texts]
+    assert nodes[0] == nodes[1]
+    assert abs(len(texts[0]) - len(texts[1])) < 0.1 * len(texts[0])
