@@ -29,6 +29,7 @@ from ..session import ensure_checkpoint_dir, scratch_table
 from ..sources import ingest as IN
 from ..sources import store as S
 from . import predicates as P
+from ..streaming.resample_stream import read_stream_store, run_to_store
 from .batch import batch_scan
 from .recipe_index import batch_scan_table
 from .scan import report, run_spec, scan, sort_results, top_k, trend_scorecard
@@ -901,6 +902,46 @@ def q_sync_status(spark, sf):
     return dv2(IN.sync(spark, landing_folder(spark, sf), scratch_path(spark, "store"), LIQ_THRESHOLD))
 
 
+# ---------------------------------------------------------------------------
+# Streaming resample
+# ---------------------------------------------------------------------------
+
+ARRIVALS = 4
+
+STREAM_SQL = """
+WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+t AS (SELECT 'U' || user_id AS symbol, ts, value AS price, hi FROM events, r
+      WHERE NOT (event_id % 97 = 0 AND epoch_us(ts) < (lo + hi) // 2)),
+b AS (SELECT symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, arg_min(price, ts) AS open, max(price) AS high,
+             min(price) AS low, arg_max(price, ts) AS close, count(*) AS volume, any_value(hi) AS hi
+      FROM t GROUP BY 1, 2)
+SELECT symbol, ts, open, high, low, close, volume FROM b
+WHERE epoch_us(ts + INTERVAL 15 MINUTE) <= hi - 600000000
+"""
+
+
+@register("stream_resample", STREAM_SQL)
+def q_stream_resample(spark, sf):
+    """Ticks land in four deliveries by arrival, and a streaming job runs after each.
+
+    Every eleventh tick arrives seven minutes after its time, which the watermark of ten
+    minutes covers, though it may come with the next delivery; every 97th of the first half
+    comes half the whole range late, and is discarded."""
+    ev = table(spark, sf, "events").withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    lo, hi = ev.agg(F.min("_us"), F.max("_us")).first()
+    path, store = scratch_path(spark, "ticks"), scratch_path(spark, "stream-store")
+    width = (hi - lo) // ARRIVALS + 1
+    late = F.when((F.col("event_id") % 97 == 0) & (F.col("_us") < (lo + hi) // 2), 2 * width).when(
+        F.col("event_id") % 11 == 0, 7 * 60 * 1_000_000).otherwise(0)
+    arrival = F.least(F.floor((F.col("_us") + late - lo) / width), F.lit(ARRIVALS - 1))
+    ticks = ev.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), "ts",
+                      F.col("value").alias("price"), F.lit(1).cast("bigint").alias("size"), arrival.alias("_arrival"))
+    for k in range(ARRIVALS):
+        ticks.where(F.col("_arrival") == k).drop("_arrival").write.parquet(f"{path}/delivery={k}")
+        run_to_store(spark, f"{path}/*", store, checkpoint=f"{store}-checkpoint")
+    return read_stream_store(spark, store).drop("bucket_end")
+
+
 @register("scan_as_of", with_bars(
     f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000 + 0.0) AS avg_volume_20, "
     "(round((rvol_20) * 10000) / 10000 + 0.0) AS rvol_20 "

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from ohlcflow.operators.resample import ticks_to_bars
 from ohlcflow.sources.derived import ticks_from_events
+from ohlcflow.streaming import resample_stream as RS
 from ohlcflow.streaming.resample_stream import run_to_parquet
 
 
@@ -47,3 +48,35 @@ def test_restarted_stream_resumes_from_its_default_checkpoint(spark):
     max_ts = ticks.agg(F.max("ts")).first()[0]
     closed = batch.where(F.col("ts") + F.expr("INTERVAL 15 MINUTES") <= F.lit(max_ts) - F.expr("INTERVAL 10 MINUTES"))
     assert got.exceptAll(closed).count() == 0 and closed.exceptAll(got).count() == 0
+
+
+def test_killed_batch_leaves_the_same_store(spark):
+    """A job that dies after its write and before its commit, then runs again: no bucket twice, none lost."""
+    import pytest
+    ticks = ticks_from_events(spark, SF_SMALL)
+    root = tempfile.mkdtemp(prefix="stream-killed-")
+    src = os.path.join(root, "in")
+    ticks.repartition(3).write.parquet(os.path.join(src, "delivery=0"))
+    stores = {name: os.path.join(root, name) for name in ("killed", "whole")}
+
+    def dying(df, batch_id):
+        RS.write_batch(stores["killed"])(df, batch_id)
+        raise RuntimeError("lost before the commit")
+
+    run = lambda name, **kw: RS.run_to_store(
+        spark, os.path.join(src, "*"), stores[name], checkpoint=os.path.join(root, f"ckpt-{name}"),
+        max_files_per_trigger=1, **kw)
+    for _ in range(2):
+        with pytest.raises(Exception):
+            run("killed", write=dying)
+    run("killed")
+    run("whole")
+    # a second delivery: both jobs go on
+    ticks.withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAYS")).limit(200).coalesce(1).write.parquet(
+        os.path.join(src, "delivery=1"))
+    for name in stores:
+        run(name)
+    killed, whole = (RS.read_stream_store(spark, stores[n]) for n in ("killed", "whole"))
+    assert whole.count() > 100
+    assert killed.exceptAll(whole).count() == 0 and whole.exceptAll(killed).count() == 0
+    assert killed.groupBy("symbol", "ts").count().where("count > 1").count() == 0
