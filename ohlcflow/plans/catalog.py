@@ -847,29 +847,22 @@ def q_store_overwrite(spark, sf):
     return S.read_bars(spark, path)
 
 
-@register("timeframe_roundtrip", f"SELECT symbol, ts, price AS open, price AS high, price AS low, price AS close, "
-          f"size AS volume FROM ({TICKS_SQL})")
+@register("timeframe_roundtrip", f"SELECT 'tick' AS timeframe, symbol, ts, price AS open, price AS high, price AS low, "
+          f"price AS close, size AS volume FROM ({TICKS_SQL}) UNION ALL SELECT '15min', * FROM ({ORACLE['resample_intraday']})")
 def q_timeframe_roundtrip(spark, sf):
     """Intraday bars keep their time, and the timeframes of a store stay apart."""
     path, ticks = scratch_path(spark, "store"), intraday_bars_from_events(spark, sf)
     S.save_bars(ticks, path, buckets=8, timeframe="tick")
     S.save_bars(R.resample_intraday(ticks, "15 minutes"), path, timeframe="15min")
-    return S.read_timeframe(spark, path, "tick")
+    both = [S.read_timeframe(spark, path, t).withColumn("timeframe", F.lit(t)) for t in ("tick", "15min")]
+    return both[0].unionByName(both[1])
 
 
-def landing_folder(spark, sf) -> str:
-    """The bars as one CSV file per symbol with a quoted header, and a bad number in every tenth symbol."""
-    path = scratch_path(spark, "landing")
-    named = bars(spark, sf).withColumn("file", F.col("symbol"))
-    bad = (F.substring("symbol", 2, 18).cast("bigint") % 10 == 0) & (F.col("date") < F.to_date(F.lit("1992-03-01")))
-    lines = named.select("file", F.concat_ws(
-        ",", F.concat(F.lit('"'), F.col("date").cast("string"), F.lit('"')),
-        *[F.when(bad & F.lit(c == "low"), "n/a").otherwise(F.col(c).cast("string")) for c in ("close", "low", "high", "open")],
-        F.col("volume").cast("string"), F.lit("x")).alias("value"))
-    head = named.select("file").distinct().withColumn("value", F.lit('"date","close","low","high","open","volume","note"'))
-    # one folder per symbol is how Spark names files; the reader takes the symbol from the file name
-    lines.unionByName(head).repartition("file").sortWithinPartitions("file", F.col("value").startswith('"date"').cast(
-        "int").desc()).write.partitionBy("file").text(path)
+def one_file_each(df: DataFrame, path: str, suffix: str) -> str:
+    """Write the rows of every ``file`` as ``<file><suffix>``; Spark itself names files by task, in a folder each."""
+    spark = df.sparkSession
+    writer = df.write.mode("append").partitionBy("file")
+    writer.text(path) if suffix == ".csv" else writer.parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
@@ -877,11 +870,33 @@ def landing_folder(spark, sf) -> str:
         name = folder.getPath().getName()
         if name.startswith("file="):
             part = fs.listStatus(folder.getPath())[0].getPath()
-            fs.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.removeprefix("file=") + ".csv"))
+            fs.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.removeprefix("file=") + suffix))
             fs.delete(folder.getPath(), True)
     return path
 
 
+PRICES = ("close", "low", "high", "open")
+
+
+def landing_folder(spark, sf, path=None, where=None, note=("note",), text="x") -> str:
+    """The bars as one CSV file per symbol with a quoted header, and a bad number in every tenth symbol.
+
+    The columns ``note`` stand before ``volume``; the last of them holds ``text``."""
+    path = path or scratch_path(spark, "landing")
+    named = bars(spark, sf).withColumn("file", F.col("symbol"))
+    if where is not None:
+        named = named.where(where)
+    bad = (F.substring("symbol", 2, 18).cast("bigint") % 10 == 0) & (F.col("date") < F.to_date(F.lit("1992-03-01")))
+    lines = named.select("file", F.concat_ws(
+        ",", F.concat(F.lit('"'), F.col("date").cast("string"), F.lit('"')),
+        *[F.when(bad & F.lit(c == "low"), "n/a").otherwise(F.col(c).cast("string")) for c in PRICES],
+        *[F.lit("x") for _ in note[1:]], F.lit(text), F.col("volume").cast("string")).alias("value"))
+    header = ",".join(f'"{c}"' for c in ("date", *PRICES, *note, "volume"))
+    head = named.select("file").distinct().withColumn("value", F.lit(header))
+    return one_file_each(lines.unionByName(head).repartition("file").sortWithinPartitions(
+        "file", F.col("value").startswith('"date"').cast("int").desc()), path, ".csv")
+
+
 BAD_SYMBOLS = "bad AS (SELECT DISTINCT symbol FROM bars WHERE CAST(substr(symbol, 2) AS BIGINT) % 10 = 0 " \
               "AND date < DATE '1992-03-01')"
 
@@ -892,6 +907,13 @@ def q_landing_bars(spark, sf):
     return IN.landing_bars(spark, landing_folder(spark, sf))[0]
 
 
+@register("landing_multiline", ORACLE["landing_bars"])
+def q_landing_multiline(spark, sf):
+    """Eighty further columns before the volume, the last with line ends, commas and quotes inside quotes."""
+    note = tuple(f"n{i}" for i in range(80))
+    return IN.landing_bars(spark, landing_folder(spark, sf, note=note, text='"one, ""two""\n\nthree\n4"'))[0]
+
+
 @register("sync_status", with_bars(
     "SELECT symbol, symbol NOT IN (SELECT symbol FROM bad) AS ok, CASE WHEN symbol IN (SELECT symbol FROM bad) "
     "THEN 'Failed to fetch or empty data' WHEN dollar_volume >= 1500000 THEN 'Synced' ELSE "
@@ -942,6 +964,45 @@ def q_stream_resample(spark, sf):
     return read_stream_store(spark, store).drop("bucket_end")
 
 
+SYNC_SQL = ORACLE["sync_status"]
+
+
+@register("sync_increment", f"SELECT CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS call, s.* "
+          f"FROM ({SYNC_SQL}) s")
+def q_sync_increment(spark, sf):
+    """Two deliveries into one landing folder; each call reports the files that came since the one before."""
+    landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
+    third = F.substring("symbol", 2, 18).cast("bigint") % 3 == 0
+    calls = []
+    for call, part in ((1, ~third), (2, third)):
+        landing_folder(spark, sf, landing, part)
+        status = IN.sync_increment(spark, landing, store, LIQ_THRESHOLD)
+        calls.append(dv2(status).withColumn("call", F.lit(call)))
+    return calls[0].unionByName(calls[1])
+
+
+@register("symbol_files", with_bars(f"SELECT {BASE_SQL} FROM bars"))
+def q_symbol_files(spark, sf):
+    """One Parquet file a symbol, the symbol read off its name."""
+    files = bars(spark, sf).withColumnRenamed("symbol", "file").repartition("file")
+    return S.read_symbol_files(spark, one_file_each(files, scratch_path(spark, "symbol-files"), ".parquet"))
+
+
+@register("universe_list", with_bars(
+    "SELECT symbol, count(*) AS n FROM (SELECT DISTINCT symbol, unnest(range(1 + CAST(substr(symbol, 2) AS BIGINT) % 2)) "
+    "FROM bars WHERE CAST(substr(symbol, 2) AS BIGINT) % 4 <> 0) GROUP BY 1"))
+def q_universe_list(spark, sf):
+    """Symbols in mixed case with white space around them, between blank and comment lines; every odd one twice."""
+    path = scratch_path(spark, "universe")
+    key = F.substring("symbol", 2, 18).cast("bigint")
+    line = F.when(key % 4 == 0, F.concat(F.lit(" # "), "symbol")).otherwise(
+        F.concat(F.lit("\u2003\t "), F.lower("symbol"), F.lit("\u00a0")))
+    copies = F.explode(F.sequence(F.lit(0), key % 2))
+    lines = bars(spark, sf).select("symbol").distinct().select(line.alias("value"), copies.alias("_copy")).drop("_copy")
+    lines.unionByName(spark.range(3).select(F.lit(" \t").alias("value"))).write.text(path)
+    return IN.read_universe(spark, path).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
 @register("scan_as_of", with_bars(
     f"SELECT {BASE_SQL}, (round((avg_volume_20) * 10000) / 10000 + 0.0) AS avg_volume_20, "
     "(round((rvol_20) * 10000) / 10000 + 0.0) AS rvol_20 "

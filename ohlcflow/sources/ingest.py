@@ -1,17 +1,18 @@
 """CSV landing files -> canonical bars, universe lists, bulk sync status.
 
-Landing layout: one CSV per symbol, ``<dir>/<SYMBOL>.csv``, with a header row
-and at least ``date, open, high, low, close, volume`` in any column order
-(extra columns are ignored; fields may be quoted).  Files are read line by
-line with the text source, which splits large files over many tasks (no file
-is ever one row or one task), and every line is parsed by Spark's own CSV
-parser (``from_csv``).  Each file's header line is joined back to its data
-lines by file, so fields are matched by name.  A symbol with a date or number
-that does not parse yields no bars at all (all-or-nothing, like a failed
-fetch); other symbols continue.
+Landing layout: one CSV per symbol, ``<dir>/<SYMBOL>.csv``, whose first record is a
+header with at least ``date, open, high, low, close, volume`` in any column order
+(extra columns are ignored, however many; fields may be quoted, hold line ends and
+doubled quotes).  Files are read line by line with the text source, which splits large
+files over many tasks (no file is ever one row or one task); ``records`` joins the lines
+of a record, and every record is parsed by Spark's own CSV parser (``from_csv``).  Each
+file's header is joined back to its records by file, so fields are matched by name.  A
+symbol with a date or number that does not parse yields no bars at all (all-or-nothing,
+like a failed fetch); other symbols continue.
 
 ``sync_status`` is the per-symbol result table of a bulk sync:
-(symbol, ok, message, dollar_volume) with the screener's messages.
+(symbol, ok, message, dollar_volume) with the screener's messages.  ``sync_increment``
+does the same for the files that are new or changed since its last call.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..operators.liquidity import LOOKBACK_DAYS, VOLUME_THRESHOLD, dollar_volume
 from ..session import scratch_table
-from .store import canonical, save_bars
+from .records import list_files, read_lines, records
+from .store import _exists, canonical, save_bars
 
 # Status messages of a sync.
 MSG_OK = "Synced"
@@ -32,38 +34,45 @@ FIELDS = ("date", "open", "high", "low", "close", "volume")
 
 
 def _symbol_of(path_col) -> F.Column:
-    return F.upper(F.regexp_extract(F.url_decode(path_col), r"([^/]+)\.csv$", 1))
+    return F.upper(F.regexp_extract(path_col, r"([^/]+)\.csv$", 1))
 
 
-#: Most columns a landing file may have.
-MAX_COLUMNS = 64
+def _fields(record: F.Column, columns: int) -> F.Column:
+    """A record's CSV fields as an array of ``columns`` strings (NULL behind the last)."""
+    names = [f"c{i}" for i in range(columns)]
+    row = F.from_csv(record, ", ".join(f"{n} string" for n in names),
+                     {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "escape": '"',
+                      "maxColumns": str(columns + 1)})
+    return F.transform(F.array(row), lambda r: F.array(*[r[n] for n in names]))[0]
 
 
-def _fields(line: F.Column) -> F.Column:
-    """A line's CSV fields as an array of strings (NULL behind the last)."""
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    row = F.from_csv(line, ", ".join(f"{n} string" for n in names),
-                     {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    return F.transform(F.array(row), lambda r: F.array(*[r[n] for n in names]))[0]
+GLOB = "*.csv"
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
+def read_landing(spark: SparkSession, path: str, fresh: DataFrame | None = None,
+                 modified_after: str | None = None) -> DataFrame:
     """Parsed landing rows: (symbol, date, open, high, low, close, volume, bad, _empty).
 
-    A file's header is its line naming a ``date`` column (data lines hold
-    values, never that name).  Headers are one row per file, written as a
-    small table (broadcast on its measured size, shuffle-joined beyond) and
-    joined to the data lines by file.  Lines of a file without a header
-    cannot be mapped and count as bad; ``bad`` names the first field that does
-    not parse.  Files without any data line (0-byte or header-only) come back
-    as one ``_empty`` row of their symbol."""
-    raw = (spark.read.format("text").option("pathGlobFilter", "*.csv").load(path)
-                .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("_line")))
-    raw = raw.where(F.trim(F.col("_line")) != "").withColumn("_f", _fields(F.col("_line")))
-    names = F.transform("_f", lambda x: F.lower(x))
-    is_header = F.array_contains(F.coalesce(names, F.array(F.lit(""))), "date")
-    headers = scratch_table(raw.where(is_header).groupBy("_path").agg(F.min(names).alias("_hdr")), "landing-headers")
-    data = raw.where(~F.coalesce(is_header, F.lit(False))).join(headers, "_path", "left")
+    A file's first record is its header.  Headers are one row per file, written as a small
+    table (broadcast on its measured size, shuffle-joined beyond) and joined to the other
+    records by file; the widest header gives the number of columns to parse.  ``bad`` names
+    the first field that does not parse (``date`` for a record whose quotes do not close).
+    Files without any data record (0-byte or header-only) come back as one ``_empty`` row of
+    their symbol.  ``fresh`` (``_path``) limits the work to those files, ``modified_after`` the
+    listing."""
+    lines = read_lines(spark, path, GLOB, modified_after)
+    files = list_files(spark, path, GLOB, modified_after).select("_path")
+    if fresh is not None:
+        lines, files = lines.join(fresh, "_path", "left_semi"), fresh.select("_path")
+    rows = records(lines)
+    headers = scratch_table(rows.groupBy("_path").agg(F.min("_at").alias("_head_at"), F.min_by("_text", "_at").alias(
+        "_head")), "landing-headers")
+    # fields of the widest header, at most: commas inside its quotes count, too
+    widest = headers.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1
+    headers = headers.select("_path", "_head_at", F.transform(
+        _fields(F.col("_head"), widest), lambda x: F.lower(x)).alias("_hdr"))
+    data = rows.join(headers, "_path").where(F.col("_at") != F.col("_head_at")).withColumn(
+        "_f", _fields(F.col("_text"), widest))
 
     def val(name):
         return F.get("_f", (F.array_position("_hdr", name) - 1).cast("int"))
@@ -72,7 +81,7 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     # strict %Y-%m-%d: the text must round-trip (rejects 2026-1-5 and trailing junk)
     strict = F.coalesce(date.isNotNull() & (F.date_format(date, "yyyy-MM-dd") == val("date")), F.lit(False))
     numbers = ("open", "high", "low", "close", "volume")
-    bad = F.when(~strict, "date")
+    bad = F.when(~strict | F.col("_broken"), "date")
     for c in numbers:
         missing = F.coalesce(F.array_position("_hdr", c), F.lit(0)) == 0
         bad = bad.when(missing | (val(c).isNotNull() & val(c).try_cast("double").isNull()), c)
@@ -81,10 +90,7 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
         *[val(c).try_cast("double").alias(c) for c in numbers[:-1]],
         F.floor(val("volume").try_cast("double")).cast("bigint").alias("volume"),
         bad.alias("bad"), F.lit(False).alias("_empty"))
-    # every file by name, also those of 0 bytes, which no source reads: the scan's own file
-    # index, which the driver holds for any read of this folder
-    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(
-        _symbol_of(F.col("path")).alias("symbol")).distinct()
+    listed = files.select(_symbol_of(F.col("_path")).alias("symbol")).distinct()
     # symbols with data: a partial (map-side) distinct, so a hot symbol sends
     # one row per map task, not all its lines, into the anti join
     present = rows.select("symbol").distinct()
@@ -96,11 +102,13 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return rows.unionByName(empty)
 
 
-def landing_bars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def landing_bars(spark: SparkSession, path: str, fresh: DataFrame | None = None,
+                 modified_after: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good bars, rejected symbols).  A symbol with any field that does not parse is rejected whole.
 
-    The lines are parsed once, into a written table that both results read."""
-    parsed = scratch_table(read_landing(spark, path), "landing-rows")
+    The records are parsed once, into a written table that both results read; ``fresh`` and
+    ``modified_after`` as in ``read_landing``."""
+    parsed = scratch_table(read_landing(spark, path, fresh, modified_after), "landing-rows")
     # one row per symbol, written: the semi join below broadcasts it on its
     # measured size (shuffle join beyond) instead of shuffling every line
     per_symbol = scratch_table(parsed.groupBy("symbol").agg(
@@ -140,6 +148,33 @@ def sync(spark: SparkSession, landing: str, store_path: str, threshold: float =
     return status_of(good, rejected, threshold)
 
 
+LANDED = "_path string, modified timestamp, length long"
+
+
+def sync_increment(spark: SparkSession, landing: str, store_path: str,
+                   threshold: float = VOLUME_THRESHOLD) -> DataFrame:
+    """R3 by increments: sync the files that are new or changed since the last call, and return their status.
+
+    The store remembers the files it took (``_landed``: path, modification time, length).  Only
+    files modified since shortly before the newest of them are listed, and of these only the
+    unknown ones are read.  They are remembered after the save, so a call that dies in between
+    is repeated by the next one, which replaces the same histories."""
+    landed = f"{store_path.rstrip('/')}/_landed"
+    known = spark.read.schema(LANDED).parquet(landed) if _exists(spark, landed) else None
+    newest = known.agg(F.max("modified")).select(F.date_format(
+        F.col("max(modified)") - F.expr("INTERVAL 2 SECONDS"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0] if known else None
+    files = list_files(spark, landing, GLOB, newest)
+    if known is not None:
+        seen = known.select(*[F.col(c).alias(f"_known_{c}") for c in known.columns])
+        files = files.join(seen, (F.col("_path") == F.col("_known__path")) & (F.col("length") == F.col("_known_length"))
+                           & F.col("modified").eqNullSafe(F.col("_known_modified")), "left_anti")
+    files = scratch_table(files, "landing-fresh")
+    good, rejected = landing_bars(spark, landing, files, newest)
+    save_bars(good, store_path)
+    files.write.mode("append").parquet(landed)
+    return status_of(good, rejected, threshold)
+
+
 def eligible_summary(status: DataFrame, threshold: float = VOLUME_THRESHOLD) -> DataFrame:
     """A3 over a status table: (n_synced, n_failed, n_eligible)."""
     return status.agg(F.count_if(F.col("ok")).alias("n_synced"),
@@ -153,9 +188,10 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     Files are read by line and split over tasks; duplicates are kept, and ``line`` ascends
     with the place in the file (it is not dense)."""
     raw = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    sym = F.upper(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    white = r"[\s\x1c-\x1f\x85\p{Z}]+"  # of any script, as the list's readers strip it
+    sym = F.upper(F.regexp_replace("value", f"^{white}|{white}$", ""))
     return (raw.select("line", sym.alias("symbol"))
                .where((F.col("symbol") != "") & ~F.col("symbol").startswith("#")))
 
 
-__all__ = ["read_landing", "landing_bars", "status_of", "sync_status", "sync", "eligible_summary", "read_universe"]
+__all__ = ["read_landing", "landing_bars", "status_of", "sync_status", "sync", "sync_increment", "eligible_summary", "read_universe"]
