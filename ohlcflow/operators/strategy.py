@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_table
 from . import indicators as I
+from .asof import asof_join
 from .screens import prior_high
-from .series import Framed, lag
+from .series import CHUNK, Framed, chunk_column, lag
 
 # (ours) defaults
 STOP_ATR_MULT = 2.0
@@ -55,18 +57,19 @@ def next_bar_signals(bars: DataFrame, n: int = 20, atr_period: int = 14,
     return out.withColumn("rank", F.rank().over(w))
 
 
-def relative_strength(bars: DataFrame, benchmark: str, k: int = 20) -> DataFrame:
+def relative_strength(bars: DataFrame, benchmark: str, k: int = 20, as_of: bool = False) -> DataFrame:
     """P-RS: (1 + k-row return) / (1 + benchmark's k-row return), percent-ranked per date.
 
-    On a date without a benchmark return the row stays, with NULL rs and rank."""
+    On a date without a benchmark return the row stays, with NULL rs and rank; with ``as_of``
+    it takes the benchmark's last return before that date."""
     ret = I.Indicator(f"ret_{k}", k, lambda fr, df: df.withColumn(
         f"ret_{k}", F.try_divide(F.col("close"), lag(fr, "close", k)) - 1.0))
     df = I.add_indicators(bars, [ret]).where(F.col(f"ret_{k}").isNotNull())
     bench = (df.where(F.col("symbol") == benchmark)
                .select("date", F.col(f"ret_{k}").alias(f"bench_ret_{k}")))
-    out = (df.join(bench, "date", "left")
-             .select("symbol", "date", f"ret_{k}", f"bench_ret_{k}",
-                     F.try_divide(1.0 + F.col(f"ret_{k}"), 1.0 + F.col(f"bench_ret_{k}")).alias("rs")))
+    df = asof_join(df, bench, [f"bench_ret_{k}"]) if as_of else df.join(bench, "date", "left")
+    out = df.select("symbol", "date", f"ret_{k}", f"bench_ret_{k}",
+                    F.try_divide(1.0 + F.col(f"ret_{k}"), 1.0 + F.col(f"bench_ret_{k}")).alias("rs"))
     w = Window.partitionBy("date", F.col("rs").isNull()).orderBy("rs")
     return out.withColumn("rs_rank", F.when(F.col("rs").isNotNull(), F.percent_rank().over(w)))
 
@@ -144,8 +147,60 @@ def performance(trades: DataFrame) -> DataFrame:
                       "max_drawdown")
 
 
-def param_sweep(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, split_date: str = "1999-01-01") -> DataFrame:
-    """P-SW: breakout length grid x bars -> forward returns per (param, split).
+#: Chunks that one level of ``equity_metrics`` combines.
+FAN_IN = 64
+
+
+def equity_metrics(equity: DataFrame) -> DataFrame:
+    """P-PM over equity curves (strategy, date, equity): points, win rate and expectancy of the day's
+    return, total and annual growth, max drawdown.
+
+    A stretch of a curve is summed up by its first and last value, its top and low, its
+    deepest fall and its returns; two neighbouring stretches make one of the same form, with
+    the fall from the first one's top to the second one's low and the return across the seam.
+    That is associative, so time chunks are summed up one by one, then ``FAN_IN`` of them at a
+    time until one is left: no window holds a whole curve.  NULL values are left out; points of
+    one day are ordered by value; where the top is not positive there is no fall."""
+    rows = equity.where(F.col("equity").isNotNull() & F.col("date").isNotNull())
+    rows = rows.select("strategy", "date", "equity", chunk_column(equity, "date").alias(CHUNK))
+    here = Window.partitionBy("strategy", CHUNK).orderBy("date", "equity")
+    fall = lambda low, top: F.when(top > 0, low / top - 1.0)
+    step = lambda now, before: F.when(before != 0, now / before - 1.0)
+    rows = rows.withColumns({
+        "_top": F.max("equity").over(here.rowsBetween(Window.unboundedPreceding, 0)),
+        "_ret": step(F.col("equity"), F.lag("equity").over(here))})
+    at = F.struct("date", "equity")
+    parts = rows.groupBy("strategy", CHUNK).agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.max("equity").alias("top"),
+        F.min("equity").alias("low"), F.min(fall(F.col("equity"), F.col("_top"))).alias("fall"),
+        F.sum((F.col("_ret") > 0).cast("long")).alias("ups"), F.sum("_ret").alias("sum_ret"),
+        F.count("_ret").alias("n_ret"))
+    parts = scratch_table(parts, "equity-parts")
+    lo, hi = parts.agg(F.min(CHUNK), F.max(CHUNK)).first()
+    while lo is not None and lo != hi:
+        lo, hi = lo // FAN_IN, hi // FAN_IN
+        here = Window.partitionBy("strategy", "_group").orderBy(CHUNK)
+        parts = parts.withColumn("_group", F.floor(F.col(CHUNK) / FAN_IN)).withColumns({
+            "_before": F.max("top").over(here.rowsBetween(Window.unboundedPreceding, -1)),
+            "_seam": step(F.col("first.equity"), F.lag("last.equity").over(here))})
+        parts = parts.groupBy("strategy", F.col("_group").alias(CHUNK)).agg(
+            F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("top").alias("top"),
+            F.min("low").alias("low"), F.min(F.least("fall", fall(F.col("low"), F.col("_before")))).alias("fall"),
+            (F.coalesce(F.sum("ups"), F.lit(0)) + F.count_if(F.col("_seam") > 0)).alias("ups"),
+            F.sum(F.coalesce("sum_ret", F.lit(0.0)) + F.coalesce("_seam", F.lit(0.0))).alias("sum_ret"),
+            (F.sum("n_ret") + F.count("_seam")).alias("n_ret"))
+    growth = F.when(F.col("first.equity") > 0, F.col("last.equity") / F.col("first.equity"))
+    years = F.greatest(F.datediff("last.date", "first.date") / 365.25, F.lit(1.0 / 365.25))
+    return parts.select(
+        "strategy", F.col("n").alias("n_points"),
+        F.try_divide(F.coalesce("ups", F.lit(0)).cast("double"), F.col("n_ret")).alias("win_rate"),
+        F.try_divide(F.col("sum_ret"), F.col("n_ret").cast("double")).alias("expectancy"),
+        (growth - 1.0).alias("total_return"), (F.pow(growth, 1.0 / years) - 1.0).alias("cagr"),
+        F.col("fall").alias("max_drawdown"))
+
+
+def _sweep(bars: DataFrame, lengths, horizon: int) -> DataFrame:
+    """Fired breakouts of every length: ``param``, ``symbol``, ``_sig_date``, ``_exit_date`` and ``fwd_ret``.
 
     Every parameter is a column of the same framed pass; only fired signals
     are exploded into rows (no product of grid and bars is materialized)."""
@@ -158,8 +213,13 @@ def param_sweep(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, split_d
             .withColumn("_base", lag(fr, "close", horizon))
             .withColumn("_sig_date", lag(fr, "date", horizon)))
     d = fr.finish(df.where(F.size("_fired") > 0))
-    d = d.select(F.explode("_fired").alias("param"), "symbol", "_sig_date",
-                 (F.try_divide(F.col("close"), F.col("_base")) - 1.0).alias("fwd_ret"))
+    return d.select(F.explode("_fired").alias("param"), "symbol", "_sig_date", F.col("date").alias("_exit_date"),
+                    (F.try_divide(F.col("close"), F.col("_base")) - 1.0).alias("fwd_ret"))
+
+
+def param_sweep(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, split_date: str = "1999-01-01") -> DataFrame:
+    """P-SW: breakout length grid x bars -> forward returns per (param, split)."""
+    d = _sweep(bars, lengths, horizon)
     split = F.when(F.col("_sig_date") < F.to_date(F.lit(split_date)), "in_sample").otherwise("out_of_sample")
     return (d.withColumn("split", split)
              .groupBy("param", "split")
@@ -167,5 +227,35 @@ def param_sweep(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, split_d
                   F.avg(F.when(F.col("fwd_ret") > 0, 1.0).otherwise(0.0)).alias("hit_rate")))
 
 
-__all__ = ["next_bar_signals", "relative_strength", "regime", "forward_trades", "performance",
-           "param_sweep", "Framed"]
+def walk_forward(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, *, start: str = "1992-01-01",
+                 train_days: int = 730, test_days: int = 182, step_days: int = 182) -> DataFrame:
+    """P-SW by folds: choose the parameter on each fold's first part, report it on the second.
+
+    Fold f begins ``f * step_days`` after ``start``; folds overlap, and a signal fans out to the
+    folds that hold its day by arithmetic on the day.  A signal counts for training only if its
+    exit is known before the test part begins.  The parameter with the largest mean training
+    return wins (to nine digits; ties: the smaller parameter); folds without a training signal
+    are left out, and a winner without a test signal reports none."""
+    day = F.datediff("_sig_date", F.to_date(F.lit(start)))
+    exit_day = F.datediff("_exit_date", F.to_date(F.lit(start)))
+    whole = train_days + test_days
+    d = _sweep(bars, lengths, horizon).withColumns({"_day": day, "_exit": exit_day}).where("_day >= 0")
+    first = F.greatest(F.lit(0), F.floor((F.col("_day") - whole) / step_days) + 1)
+    d = d.withColumn("fold", F.explode(F.sequence(first, F.floor(F.col("_day") / step_days))))
+    begin = F.col("fold") * step_days
+    train = (F.col("_day") - begin < train_days) & (F.col("_exit") - begin < train_days)
+    test = F.col("_day") - begin >= train_days
+    part = lambda c: F.when(c, F.col("fwd_ret"))
+    stats = d.groupBy("fold", "param").agg(
+        F.count(part(train)).alias("n_train"), F.avg(part(train)).alias("train_ret"),
+        F.count(part(test)).alias("n_test"), F.avg(part(test)).alias("test_ret"),
+        F.avg(F.when(part(test) > 0, 1.0).when(part(test).isNotNull(), 0.0)).alias("test_hit_rate"))
+    best = F.struct(F.round("train_ret", 9).alias("ret"), (-F.col("param")).alias("param"))
+    row = F.struct("param", "n_train", "train_ret", "n_test", "test_ret", "test_hit_rate")
+    won = stats.where(F.col("n_train") > 0).groupBy("fold").agg(F.max_by(row, best).alias("_row"))
+    return won.select("fold", F.date_add(F.to_date(F.lit(start)), (F.col("fold") * step_days + train_days).cast("int"))
+                      .alias("test_start"), "_row.*")
+
+
+__all__ = ["next_bar_signals", "relative_strength", "regime", "forward_trades", "performance", "equity_metrics",
+           "param_sweep", "walk_forward", "Framed"]

@@ -733,6 +733,19 @@ def q_relative_strength(spark, sf):
     return r4(df, "ret_20", "bench_ret_20", "rs", "rs_rank")
 
 
+HELD_SQL = f"bars AS (SELECT * FROM ({BARS_SQL}) WHERE symbol <> '{BENCHMARK}' OR (date - DATE '1970-01-01') % 5 <> 0)"
+
+
+@register("relative_strength_asof", ORACLE["relative_strength"].replace(f"bars AS ({BARS_SQL})", HELD_SQL, 1).replace(
+    "FROM r LEFT JOIN (SELECT date, ret_20 FROM r WHERE symbol = 'S1') b USING (date)",
+    "FROM r ASOF LEFT JOIN (SELECT date, ret_20 FROM r WHERE symbol = 'S1') b ON r.date >= b.date"))
+def q_relative_strength_asof(spark, sf):
+    """The benchmark has no bar on every fifth day: its last return counts."""
+    held = bars(spark, sf).where((F.col("symbol") != BENCHMARK) | (F.unix_date("date") % 5 != 0))
+    df = ST.relative_strength(held, BENCHMARK, 20, as_of=True)
+    return r4(df, "ret_20", "bench_ret_20", "rs", "rs_rank")
+
+
 @register("regime", with_bars(
     "SELECT date, (round((pct) * 10000) / 10000 + 0.0) AS atr_percentile, regime, CASE regime WHEN 'trend_on' THEN 1.0 "
     "WHEN 'trend_caution' THEN 0.5 WHEN 'trend_off' THEN 0.0 END::DOUBLE AS gate FROM ("
@@ -772,6 +785,45 @@ def q_perf_metrics(spark, sf):
     return r4(df, "win_rate", "expectancy", "total_return", "cagr", "max_drawdown")
 
 
+@register("equity_metrics", with_bars(
+    "SELECT strategy, count(*) AS n_points, (round((avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END)) "
+    "* 10000) / 10000 + 0.0) AS win_rate, (round((avg(ret)) * 10000) / 10000 + 0.0) AS expectancy, "
+    "(round((arg_max(equity, date) / arg_min(equity, date) - 1.0) * 10000) / 10000 + 0.0) AS total_return, "
+    "(round((pow(arg_max(equity, date) / arg_min(equity, date), 1.0 / greatest(date_diff('day', min(date), max(date)) "
+    "/ 365.25, 1.0 / 365.25)) - 1.0) * 10000) / 10000 + 0.0) AS cagr, "
+    "(round((min(equity / top - 1.0)) * 10000) / 10000 + 0.0) AS max_drawdown FROM ("
+    "SELECT symbol AS strategy, date, close AS equity, close / lag(close) OVER w - 1.0 AS ret, max(close) OVER "
+    "(PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top "
+    "FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) GROUP BY 1"))
+def q_equity_metrics(spark, sf):
+    """P-PM over a table of equity curves: every symbol bought and held."""
+    curves = bars(spark, sf).select(F.col("symbol").alias("strategy"), "date", F.col("close").alias("equity"))
+    return r4(ST.equity_metrics(curves), "win_rate", "expectancy", "total_return", "cagr", "max_drawdown")
+
+
+@register("walk_forward", with_bars(
+    "SELECT fold, DATE '1992-01-01' + CAST(fold * 182 + 730 AS INTEGER) AS test_start, param, n_train, "
+    "(round((train_ret) * 10000) / 10000 + 0.0) AS train_ret, n_test, (round((test_ret) * 10000) / 10000 + 0.0) AS test_ret, "
+    "(round((test_hit_rate) * 10000) / 10000 + 0.0) AS test_hit_rate FROM ("
+    "SELECT fold, param, count(*) FILTER (train) AS n_train, avg(fwd) FILTER (train) AS train_ret, "
+    "count(*) FILTER (test) AS n_test, avg(fwd) FILTER (test) AS test_ret, "
+    "avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END) FILTER (test) AS test_hit_rate FROM ("
+    "SELECT f.fold, s.param, s.fwd, s.d < f.fold * 182 + 730 AND s.e < f.fold * 182 + 730 AS train, "
+    "s.d >= f.fold * 182 + 730 AS test FROM sig s JOIN (SELECT unnest(range(200)) AS fold) f "
+    "ON s.d >= f.fold * 182 AND s.d < f.fold * 182 + 912) GROUP BY 1, 2) WHERE n_train > 0 "
+    "QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(train_ret, 9) DESC, param) = 1",
+    ind_cte("i", ["prior_high_10", "prior_high_20", "prior_high_50"]),
+    "sig AS (SELECT p.param, date_diff('day', DATE '1992-01-01', sig_date) AS d, date_diff('day', DATE '1992-01-01', date)"
+    " AS e, fwd FROM (SELECT *, lag(close > prior_high_10, 5) OVER w AS s10, lag(close > prior_high_20, 5) OVER w AS s20, "
+    "lag(close > prior_high_50, 5) OVER w AS s50, close / lag(close, 5) OVER w - 1.0 AS fwd, "
+    "lag(date, 5) OVER w AS sig_date FROM i WINDOW w AS (PARTITION BY symbol ORDER BY date)) x "
+    "JOIN (SELECT 10 AS param UNION ALL SELECT 20 UNION ALL SELECT 50) p "
+    "ON (p.param = 10 AND s10) OR (p.param = 20 AND s20) OR (p.param = 50 AND s50))"))
+def q_walk_forward(spark, sf):
+    """P-SW by overlapping folds of two years and half a year."""
+    return r4(ST.walk_forward(bars(spark, sf)), "train_ret", "test_ret", "test_hit_rate")
+
+
 @register("param_sweep", with_bars(
     "SELECT param, split, count(*) AS n_signals, (round((avg(fwd)) * 10000) / 10000 + 0.0) AS avg_fwd_ret, "
     "(round((avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END)) * 10000) / 10000 + 0.0) AS hit_rate FROM ("
