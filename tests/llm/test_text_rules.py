@@ -102,6 +102,67 @@ def test_every_tag_is_read(text, found):
     assert license_scan.scan_text(license_scan.build_automaton(), text)[5:] == found
 
 
+@pytest.mark.parametrize("text, found", [
+    ("SPDX-License-Identifier: CC-BY-ND-4.0", ("cc-by-nd", 1.0, False)),
+    # the words of the base phrase "cc by nc" stand in these: its label stays
+    ("SPDX-License-Identifier: CC-BY-NC-ND-4.0", ("cc-by-nc,cc-by-nc-nd", 1.0, False)),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-3.0-DE", ("cc-by-nc,cc-by-nc-sa", 1.0, False)),
+    ("SPDX-License-Identifier: BUSL-1.1", ("busl", 1.0, False)),
+    ("Creative Commons Attribution-NonCommercial", ("cc-by-nc", 0.8, False)),
+    ("Creative Commons Attribution-NoDerivatives 4.0", ("cc-by-nd", 0.8, False)),
+    ("Creative Commons Attribution. Creative Commons Attribution-ShareAlike", ("cc-by,cc-by-sa", 0.8, True)),
+    ("SPDX-License-Identifier: EUPL-1.2", ("eupl", 1.0, False)), ("SPDX-License-Identifier: 0BSD", ("0bsd", 1.0, True)),
+    ("SPDX-License-Identifier: MIT AND EUPL-1.2", ("eupl,mit", 1.0, False)),
+    ("SPDX-License-Identifier: MIT AND LicenseRef-House-2", ("licenseref-house-2,mit", 1.0, False)),
+    ("SPDX-License-Identifier: Foo-1.0 OR MIT", ("foo-1.0,mit", 1.0, True)),
+    ("SPDX-License-Identifier: MITRE-9", ("mitre-9", 1.0, False)),
+    ("# License: Apache-2.0\nName: x", ("apache-2", 1.0, True)), ('{"license": "MIT", "v": 1}', ("mit", 1.0, True)),
+    ("License: see the file", ("", 0.0, False)), ("the license: MIT", ("", 0.0, False)), ("License\nMIT", ("", 0.0, False)),
+    ("Licence : (MIT OR foo-bar)", ("mit", 1.0, True)), ("cc by nc nd", ("cc-by-nc", 0.9, False))])
+def test_labels(text, found):
+    assert license_scan.scan_text(license_scan.build_automaton(), text)[5:] == found
+
+
+def brute_labels(text):
+    """Labels of the phrases and of plain tags: every phrase at every word, shorter ones at one start dropped."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    phrases = [(p.split(), x, b) for t, b in ((license_scan.BASE_PHRASES, True), (license_scan.NOTICE_PHRASES, False))
+               for p, x in t.items()]
+    labels = set()
+    for i in range(len(words)):
+        here = [(len(p), x, b) for p, x, b in phrases if words[i:i + len(p)] == p]
+        labels |= {x for n, x, b in here if b or n == max(h[0] for h in here)}
+    for tag in re.finditer(r"SPDX-License-Identifier: ([^\n]*)", text):
+        for name in re.split(r" OR | AND ", tag[1]):
+            known = [f for f in license_scan.FAMILIES if name.lower() == f or name.lower().startswith((f + "-", f + "."))]
+            labels.add(max(known, key=len) if known else name.lower())
+    return ",".join(sorted(labels))
+
+
+def test_labels_by_brute_force(spark):
+    import random
+    rng = random.Random(7)
+    phrases = [*license_scan.BASE_PHRASES, *license_scan.NOTICE_PHRASES]
+    names = ["MIT", "GPL-2.0-only", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "EUPL-1.2", "0BSD", "X-Own-1", "BSD-3-Clause"]
+    texts = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            p = rng.choice(phrases)
+            parts.append(rng.choice([p, p.title(), p.replace(" ", "-"), " ".join(p.split()[:-1]), "plain words"]))
+            if rng.random() < .3:
+                parts.append("\n// SPDX-License-Identifier: " + rng.choice([" OR ", " AND "]).join(
+                    rng.sample(names, rng.randint(1, 3))) + "\n")
+        texts.append(rng.choice([" ", ", ", "\n"]).join(parts))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(d).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+
+
+def test_license_empty(no_docs):
+    assert license_scan.scan(no_docs).collect() == []
+
+
 NASTY = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "<\\\\/s>", "[IMG]", "[\\IMG]", "<", "[", "a\nb%0A%25", "", "</", "s>",
          "[INST", "</s", "<<s>>", "[[INST]]"]
 
