@@ -10,8 +10,10 @@ posterior with equal priors.
 Words are maximal runs of letters and marks of the lower-cased text.  Fitting uses a
 bounded sample (about ``per_language`` documents of each language, chosen by a hash of
 the id), counted by Spark; of each kind (words, n-grams of each length) a language keeps
-at most ``keep`` entries, the most frequent by a count threshold, and over all
-languages at most ``KEEP_ALL``, which bounds the model that is broadcast.
+at most ``keep`` entries, the most frequent by a count threshold.  The model that is
+broadcast holds the kept entries only (16 bytes each, so at most some 4 MB a language) and
+one score a language and kind for what a language does not have; there may be any number
+of languages.
 
 Defined results: null text or text without a letter is ``und`` with score 0; so is every
 text if there is nothing to learn from; equal sums go to the language that sorts first;
@@ -29,18 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ohlcflow.llm.common import small_batches
 from ohlcflow.llm.words import RUN_BYTES, Words, find_words, mix
+from ohlcflow.session import scratch_table
 
 PER_LANGUAGE = 1000
 KEEP = 40_000
 LONGEST = 5
-#: Entries of one kind over all languages: `keep` shrinks when there are many languages.
-KEEP_ALL = 160_000
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -117,36 +117,103 @@ def count_entries(texts: list[str], language: np.ndarray) -> tuple[np.ndarray, .
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
+@dataclass
+class Kind:
+    """The entries of one kind: for each known hash a score in some of the languages.
+
+    Row r of ``keys`` has the entries ``[first[r], first[r + 1])``: languages and how far their log
+    frequency lies above ``unseen``, that of an entry which a language does not have."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    above: np.ndarray
+    unseen: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``rows``, place among the entries) of all entries of the rows."""
+        n = self.first[rows + 1] - self.first[rows]
+        which = np.repeat(np.arange(len(rows)), n)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + self.first[rows][which]
+
+
 @dataclass
 class Model:
     languages: list[str]
-    keys: list[np.ndarray]  # by kind: sorted hashes
-    scores: list[np.ndarray]  # by kind: log frequency of each hash in each language
+    kinds: list[Kind]
 
     def find(self, kind: int, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash in the kind's table, -1 if unknown."""
-        keys = self.keys[kind]
-        if not len(keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return np.where(keys[at] == hashes, at, -1)
+        return self.kinds[kind].find(hashes)
 
-    def word_scores(self, w: Words, which: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(which), len(self.languages)), dtype=np.float64)
-        row = self.find(0, w.hash[which])
-        out[row >= 0] = self.scores[0][row[row >= 0]]
-        left = np.flatnonzero(row < 0)
-        for n in range(LONGEST, 0, -1):
+    @property
+    def scores(self) -> list[np.ndarray]:
+        """By kind: log frequency of each key in each language, as a whole matrix."""
+        out = []
+        for k in self.kinds:
+            m = np.tile(k.unseen, (len(k.keys), 1))
+            row, at = k.entries(np.arange(len(k.keys)))
+            m[row, k.language[at]] += k.above[at]
+            out.append(m)
+        return out
+
+    def word_parts(self, w: Words, which: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Of the chosen words: the kind that each is scored by (-1: none knows it), and the scores above
+        that kind's unseen ones as (word, language, value)."""
+        kind = np.full(len(which), -1)
+        parts = []
+        left = np.arange(len(which))
+        for n in (0, *range(LONGEST, 0, -1)):
             if not len(left):
                 break
-            h, word = grams(w, which[left], n)
-            row = self.find(n, h)
+            k = self.kinds[n]
+            h, word = (w.hash[which[left]], np.arange(len(left))) if n == 0 else grams(w, which[left], n)
+            row = k.find(h)
             known = row >= 0
             hits = np.bincount(word[known], minlength=len(left))
-            for k in range(len(self.languages)):
-                total = np.bincount(word[known], weights=self.scores[n][row[known], k], minlength=len(left))
-                out[left, k] = np.where(hits > 0, total / np.maximum(hits, 1), 0.0)
+            at, entry = k.entries(row[known])
+            own = word[known][at]
+            parts.append((left[own], k.language[entry], k.above[entry] / hits[own]))
+            kind[left[hits > 0]] = n
             left = left[hits == 0]
+        return kind, tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else ((), (), ())
+
+    def word_scores(self, w: Words, which: np.ndarray) -> np.ndarray:
+        """Score of each chosen word in each language."""
+        kind, (word, language, value) = self.word_parts(w, which)
+        out = np.zeros((len(which), len(self.languages)))
+        for n, k in enumerate(self.kinds):
+            out[kind == n] = k.unseen
+        np.add.at(out, (word, language), value)
+        return out
+
+    def totals(self, w: Words, n_docs: int) -> np.ndarray:
+        """Sum of the scores of each text's words, by language."""
+        _, which, back, times = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+        kind, (word, language, value) = self.word_parts(w, which)
+        width = len(self.languages)
+        out = np.zeros(n_docs * width)
+        # the words' entries, met at every occurrence of the word
+        by_word = np.argsort(word, kind="stable")
+        n = np.bincount(word, minlength=len(which))
+        first = np.cumsum(n) - n
+        order = np.argsort(back, kind="stable")
+        step = max(1, (1 << 22) // max(1, int(n.max(initial=0))))
+        for a in range(0, len(order), step):  # bounded portions of occurrences
+            some = order[a:a + step]
+            own = back[some]
+            at = np.repeat(np.arange(len(some)), n[own])
+            entry = by_word[np.arange(len(at)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + first[own][at]]
+            out += np.bincount(w.doc[some][at] * width + language[entry], weights=value[entry], minlength=len(out))
+        out = out.reshape(n_docs, width)
+        for k, entries in enumerate(self.kinds):
+            out += np.bincount(w.doc[kind[back] == k], minlength=n_docs)[:, None] * entries.unseen
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -159,18 +226,12 @@ class Model:
             if len(letters):
                 seen = np.concatenate([[0], np.cumsum(letters)])
                 has = seen[w.offsets[1:]] > seen[w.offsets[:-1]]
-            _, which, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            if not self.languages or not len(which):
+            if not self.languages or not len(w.hash):
                 continue
-            per_word = self.word_scores(w, which)
-            first = w.first
-            some = np.flatnonzero(first[1:] > first[:-1])
-            total = np.add.reduceat(per_word[back], first[:-1][some], axis=0)
-            top = total.argmax(axis=1)
+            total = self.totals(w, n)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            ok = has[some]
-            best[at + some[ok]] = top[ok]
-            score[at + some[ok]] = share[ok]
+            best[at:at + n][has] = total.argmax(axis=1)[has]
+            score[at:at + n][has] = share[has]
         return [self.languages[i] if i >= 0 else UNKNOWN for i in best], score
 
 
@@ -179,20 +240,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep: int = KEEP) ->
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"),
                     F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in d.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    languages = sorted(sizes)
-    keep = min(keep, KEEP_ALL // max(1, len(languages)))
-    if not languages:
-        return Model([], [np.zeros(0, np.uint64)] * (LONGEST + 1), [np.zeros((0, 0))] * (LONGEST + 1))
-    number = F.lit(None).cast("int")
-    rate = F.lit(0.0)
-    for i, name in enumerate(languages):
-        number = F.when(F.col("lang") == name, i).otherwise(number)
-        rate = F.when(F.col("lang") == name, min(1.0, per_language / sizes[name])).otherwise(rate)
+    sizes = d.groupBy("lang").agg(F.count("*").alias("size"))
+    # written, so that the planner knows its size: no text is shuffled for it
+    numbered = scratch_table(sizes.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).alias("language"),
+                            F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size")).alias("rate")), "languages")
+    languages = [r.lang for r in numbered.orderBy("language").select("lang").collect()]  # the model's own names
     u = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(0))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = d.filter(u < rate).select("text", number.alias("language"))
+    some = d.join(numbered, "lang").filter(u < F.col("rate")).select("text", "language")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,29 +258,27 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep: int = KEEP) ->
     entries = some.mapInArrow(run, "language int, kind int, h long, n long").groupBy("language", "kind", "h").agg(
         F.sum("n").alias("n")).checkpoint()
     # a count threshold for each language and kind: the smallest that keeps at most `keep` entries
-    sizes_by_count = entries.groupBy("language", "kind", F.least("n", F.lit(1000)).alias("n")).agg(
-        F.count("*").alias("entries"), F.sum(F.col("n")).alias("total")).toPandas()  # languages x kinds x 1000 rows
-    least, totals = {}, {}
-    for (lang, kind), g in sizes_by_count.groupby(["language", "kind"]):
-        g = g.sort_values("n", ascending=False)
-        fits = g["n"][g["entries"].cumsum() <= keep]
-        least[lang, kind] = int(fits.min()) if len(fits) else 1000
-        totals[lang, kind] = int(g["total"].sum())
-    limit = F.lit(1 << 60)
-    for (lang, kind), n in least.items():
-        limit = F.when((F.col("language") == int(lang)) & (F.col("kind") == int(kind)), n).otherwise(limit)
-    frequent = entries.filter(F.col("n") >= limit).select("language", "kind", "h", "n").toArrow()
+    by_count = entries.groupBy("language", "kind", F.least("n", F.lit(1000)).alias("at")).agg(
+        F.count("*").alias("entries"), F.sum("n").alias("total"))
+    down = Window.partitionBy("language", "kind").orderBy(F.desc("at"))
+    least = scratch_table(by_count.withColumn("kept", F.sum("entries").over(down)).groupBy("language", "kind").agg(
+        F.coalesce(F.min(F.when(F.col("kept") <= keep, F.col("at"))), F.lit(1000)).alias("least"),
+        F.sum("total").alias("total")), "language-thresholds")
+    frequent = entries.join(least, ["language", "kind"]).filter("n >= least").select("language", "kind", "h", "n").toArrow()
+    totals = {(r.language, r.kind): r.total for r in least.collect()}  # languages x kinds
     language, kind, h, n = (frequent[c].to_numpy() for c in ("language", "kind", "h", "n"))
-    keys, scores = [], []
+    kinds = []
     for k in range(LONGEST + 1):
         own = kind == k
-        key, row = np.unique(h[own].view(np.uint64), return_inverse=True)
-        counts = np.zeros((len(key), len(languages)))
-        counts[row, language[own]] = n[own]
-        total = np.array([totals.get((i, k), 0) for i in range(len(languages))])
-        keys.append(key)
-        scores.append(np.log((counts + 0.5) / (total + len(key) + 1.0)).astype(np.float32))
-    return Model(languages, keys, scores)
+        keys, row = np.unique(h[own].view(np.uint64), return_inverse=True)
+        order = np.lexsort((language[own], row))
+        total = np.array([totals.get((i, k), 0) for i in range(len(languages))], dtype=np.float64) + len(keys) + 1.0
+        unseen = np.log(0.5 / total)
+        lang = language[own][order]
+        above = np.log((n[own][order] + 0.5) / total[lang]) - unseen[lang] if len(lang) else np.zeros(0)
+        first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(keys)))]).astype(np.int64)
+        kinds.append(Kind(keys, first, lang.astype(np.int32), above.astype(np.float32), unseen))
+    return Model(languages, kinds)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

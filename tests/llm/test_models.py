@@ -43,6 +43,62 @@ def test_backoff_takes_longest_known(spark):
     assert np.allclose(scores[0], m.scores[5][row[row >= 0]].mean(axis=0))
 
 
+def plain_model(rows):
+    """Counts of words and marked n-grams by language, as the module's text says them."""
+    import collections
+    import unicodedata
+    counts = collections.defaultdict(collections.Counter)
+
+    def words(text):
+        return "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+
+    def parts(word, n):
+        marked = "<" + word + ">"
+        return list(word) if n == 1 else [marked[i:i + n] for i in range(len(marked) - n + 1)]
+
+    for text, lang in rows:
+        for word in words(text or ""):
+            counts[lang, 0][word] += 1
+            for n in range(1, 6):
+                counts[lang, n].update(parts(word, n))
+    langs = sorted({lang for _, lang in rows})
+    known = [set().union(*(counts[x, k] for x in langs)) for k in range(6)]
+    log = lambda lang, k, x: np.log((counts[lang, k][x] + .5) / (sum(counts[lang, k].values()) + len(known[k]) + 1))
+
+    def predict(text):
+        total = np.zeros(len(langs))
+        for word in words(text):
+            for k in (0, 5, 4, 3, 2, 1):
+                have = [x for x in ([word] if k == 0 else parts(word, k)) if x in known[k]]
+                if have:
+                    total += [np.mean([log(lang, k, x) for x in have]) for lang in langs]
+                    break
+        share = np.exp(total - total.max())
+        return langs[int(total.argmax())], float(1 / share.sum())
+    return predict
+
+
+def test_language_predictions_by_brute_force(spark):
+    """A hundred languages, each with words of its own and shared ones: every prediction from plain counts."""
+    rng = np.random.default_rng(4)
+    stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéß"), rng.integers(1, 7))) for _ in range(400)]
+    langs = [f"l{i:03d}-{'AB'[i % 2]}" for i in range(100)]
+    own = {lang: rng.choice(stems, 25) for lang in langs}
+    text = lambda lang, n: " ".join(rng.choice(own[lang], n))
+    rows = [(text(lang, rng.integers(3, 30)), lang) for lang in langs for _ in range(4)]
+    learn = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(learn.repartition(5))
+    assert model.languages == langs
+    ask = [text(lang, n) for lang in langs[::3] for n in (1, 4, 40)] + ["zzqx bcd éé", "Aß, aß!", "q" * 50, "日本 abc"]
+    plain = plain_model(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(
+        spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string").repartition(3), model).collect()}
+    for i, t in enumerate(ask):
+        lang, score = plain(t)
+        assert abs(got[i][1] - score) < 1e-4, (t, got[i], lang, score)
+        assert got[i][0] == lang or abs(score - 0.5) < 1e-3, t
+
+
 def test_quality_held_out(spark):
     got = QUERIES["op9_quality_knn"](spark, SF_MID)
     labels = spark.read.parquet(f"{SF_MID}/labels.parquet")
