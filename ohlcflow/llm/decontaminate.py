@@ -9,9 +9,12 @@ stay untouched, so one mask at least sees equal words in both texts: no overlap
 Seeds (hashes of the words under a mask) of benchmark and documents are joined, and the
 windows around every joined hit are compared word by word.  Before the join a Bloom
 filter of the benchmark's seeds, of bounded size, is broadcast, and document seeds that
-it refutes are not emitted; what it lets through by chance fails the comparison.  An
-item with fewer words than a window (but ``least_words``) must occur whole; shorter
-items are too short to tell and match nothing.
+it refutes are not emitted; what it lets through by chance fails the comparison.
+
+An item with fewer words than a window is a window of its own length, with substitutions
+in proportion (of 12 words 2, so of 6 to 11 one, of fewer none).  One of fewer than
+``least_words`` words, which any text may hold by chance, overlaps only with a document that
+has the same words and no others.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  Result: one row per document and item that overlap.  Defined results:
@@ -37,7 +40,7 @@ from ohlcflow.session import scratch_table
 
 WINDOW = 12
 SUBSTITUTIONS = 2
-LEAST_WORDS = 8
+LEAST_WORDS = 5
 
 #: Bits per seed of the Bloom filter, up to its largest size.
 FILTER_BITS_PER_SEED = 256
@@ -50,29 +53,39 @@ _ODD = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)  # a multiplier p
 
 def blocks(window: int, substitutions: int) -> list[range]:
     n = substitutions + 2
-    cuts = [window * i // n for i in range(n + 1)]
+    cuts = [window * i // n for i in range(n + 1)]  # of a single word one block is empty
     return [range(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def seeds(w: Words, window: int, substitutions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(number of the window's first word, seed) under every mask, for windows inside one text."""
+    """(number of the window's first word, seed) under every mask, for windows inside one text.
+
+    Windows of other lengths have other seeds."""
     n = len(w.hash) - window + 1
     if n <= 0:
         return
     at = np.flatnonzero(w.doc[:n] == w.doc[window - 1:])
     parts = [sum(w.hash[j:j + n] * _ODD[j] for j in block) for block in blocks(window, substitutions)]
     for k, (a, b) in enumerate(itertools.combinations(range(len(parts)), 2)):
-        yield at, mix((parts[a] + parts[b])[at] + np.uint64(k + 1))
+        yield at, mix((parts[a] + parts[b])[at] + np.uint64(window << 16 | k + 1))
 
 
-def whole_seeds(w: Words, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, seed) of ``least_words`` words in a row: how short items are looked up."""
-    n = len(w.hash) - least_words + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(w.doc[:n] == w.doc[least_words - 1:])
-    total = sum(w.hash[j:j + n] * _ODD[512 + j] for j in range(least_words))
-    return at, mix(total[at])
+def allowed(n_words: int, window: int, substitutions: int, least_words: int) -> int:
+    """Substitutions that a window of ``n_words`` tolerates."""
+    return 0 if n_words < least_words else min(substitutions * n_words // window, max(n_words - 2, 0))
+
+
+def short_seeds(w: Words, n: int, window: int, substitutions: int, least_words: int,
+                items: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``seeds`` of the windows of ``n`` words that short items are looked up by: of items those that are
+    whole texts, of documents all, but below ``least_words`` whole texts, too."""
+    first = w.first
+    size = np.diff(first)[w.doc] if len(w.doc) else w.doc
+    for at, seed in seeds(w, n, allowed(n, window, substitutions, least_words)):
+        if items or n < least_words:
+            whole = (size[at] == n) & (at == first[w.doc[at]])
+            at, seed = at[whole], seed[whole]
+        yield at, seed
 
 
 def _word_texts(w: Words, first: int, last: int) -> list[str]:
@@ -96,11 +109,10 @@ def benchmark_seeds(items: DataFrame, window: int, substitutions: int, least_wor
                 for p, s in zip(place.tolist(), seed.view(np.int64).tolist(), strict=True):
                     d = int(w.doc[p])
                     yield ids[at + d], p - int(first[d]), window, s, _word_texts(w, p, p + window)
-            place, seed = whole_seeds(w, least_words)
-            for p, s in zip(place.tolist(), seed.view(np.int64).tolist(), strict=True):
-                d = int(w.doc[p])
-                if size[d] < window and p == first[d]:
-                    yield ids[at + d], 0, int(size[d]), s, _word_texts(w, p, p + int(size[d]))
+            for n in np.unique(size[(size > 0) & (size < window)]).tolist():
+                for place, seed in short_seeds(w, n, window, substitutions, least_words, True):
+                    for p, s in zip(place.tolist(), seed.view(np.int64).tolist(), strict=True):
+                        yield ids[at + int(w.doc[p])], 0, n, s, _word_texts(w, p, p + n)
 
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
@@ -117,9 +129,11 @@ def benchmark_seeds(items: DataFrame, window: int, substitutions: int, least_wor
 
 
 def document_seeds(docs: DataFrame, table: np.ndarray, window: int, substitutions: int, least_words: int,
-                   short_items: bool) -> DataFrame:
-    """Seeds of the documents that the filter lets through, with the words of their window."""
+                   short: list[int]) -> DataFrame:
+    """Seeds of the documents that the filter lets through, with the words of their window; ``short``
+    lists the lengths of short items."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts_hash = b.column("doc_id"), b.column("text_hash")
@@ -127,8 +141,8 @@ def document_seeds(docs: DataFrame, table: np.ndarray, window: int, substitution
                 w = find_words(data, offsets, ALNUM)
                 first = w.first
                 kinds = [(window, *x) for x in seeds(w, window, substitutions)]
-                if short_items:
-                    kinds.append((window - 1, *whole_seeds(w, least_words)))
+                for n in short:
+                    kinds += [(n, *x) for x in short_seeds(w, n, window, substitutions, least_words, False)]
                 for length, place, seed in kinds:
                     hit = bloom.might_hold(shared.value, seed)
                     if not len(hit):
@@ -156,17 +170,17 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, substitutio
     if not 0 <= substitutions < window - 1 or window // (substitutions + 2) < 1:
         raise ValueError("a window needs a word for each block")
     bench = scratch_table(benchmark_seeds(items, window, substitutions, least_words), "benchmark-seeds")
-    size = bench.agg(F.count("*").alias("n"), F.sum((F.col("n_words") < window).cast("int")).alias("short"),
+    size = bench.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("n_words") < window, F.col("n_words"))).alias("short"),
                      F.sum(F.octet_length(F.array_join("item_words", " "))).alias("bytes")).first()
     table = bloom.build(bench, "seed", size.n, FILTER_BITS_PER_SEED)
-    found = document_seeds(docs, table, window, substitutions, least_words, bool(size.short))
+    found = document_seeds(docs, table, window, substitutions, least_words, sorted(size.short))
     small = size.n <= BROADCAST_SEEDS[0] and (size.bytes or 0) <= BROADCAST_SEEDS[1]
     side = F.broadcast(bench) if small else bench
-    both = found.join(side, "seed").filter(F.size("doc_words") >= F.col("n_words"))
-    equal = F.size(F.filter(F.zip_with("item_words", F.slice("doc_words", 1, F.col("n_words")), lambda a, b: a == b),
-                            lambda x: x))
-    allowed = F.when(F.col("n_words") == window, substitutions).otherwise(0)
-    both = both.withColumn("equal", equal).filter(F.col("n_words") - F.col("equal") <= allowed)
+    both = found.join(side, "seed").filter(F.size("doc_words") == F.col("n_words"))
+    equal = F.size(F.filter(F.zip_with("item_words", "doc_words", lambda a, b: a == b), lambda x: x))
+    most = F.element_at(F.array(*[F.lit(allowed(n, window, substitutions, least_words)) for n in range(1, window + 1)]),
+                        F.col("n_words"))
+    both = both.withColumn("equal", equal).filter(F.col("n_words") - F.col("equal") <= most)
     return both.select("doc_id", "text_hash", "item_id", "doc_at", "equal")
 
 

@@ -220,7 +220,8 @@ ORACLE = {
                     OR length(regexp_replace(text, '\P{{L}}', '', 'g')) * 2 < word_chars
                     OR length(regexp_replace(text, '[^!]', '', 'g')) * 10 > word_chars) AS kept
         FROM f""",
-    # 12 words with at most 2 substitutions have 4 equal words in a row: found by plain 4-grams here
+    # 12 words with at most 2 substitutions have 4 equal words in a row, 6 to 11 with one (5 with none) 3: found by
+    # plain 4-grams and 3-grams here; items of 1 to 4 words are compared with whole texts
     "op8_decontaminate": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -231,21 +232,29 @@ ORACLE = {
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         dg AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d),
-        bg AS (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM b WHERE len(w) >= 8),
+        bg AS (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS p FROM b WHERE len(w) >= 12),
+        d3 AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d),
+        b3 AS (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS p FROM b WHERE len(w) BETWEEN 5 AND 11),
         hit AS (
             SELECT DISTINCT dg.doc_id, bg.item_id, dg.w AS dw, bg.w AS bw, dg.p - bg.p AS shift, bg.p AS q
             FROM dg JOIN bg ON dg.w[dg.p] = bg.w[bg.p] AND dg.w[dg.p + 1] = bg.w[bg.p + 1]
                 AND dg.w[dg.p + 2] = bg.w[bg.p + 2] AND dg.w[dg.p + 3] = bg.w[bg.p + 3]),
+        short AS (
+            SELECT DISTINCT d3.doc_id, b3.item_id, d3.w AS dw, b3.w AS bw, d3.p - b3.p AS shift
+            FROM d3 JOIN b3 ON d3.w[d3.p] = b3.w[b3.p] AND d3.w[d3.p + 1] = b3.w[b3.p + 1]
+                AND d3.w[d3.p + 2] = b3.w[b3.p + 2]),
         win AS (
-            SELECT DISTINCT doc_id, item_id, dw, bw, shift, unnest(range(greatest(1, q - 8), q + 1)) AS s,
-                   least(12, len(bw)) AS n FROM hit),
+            SELECT DISTINCT doc_id, item_id, dw, bw, shift, unnest(range(greatest(1, q - 8), q + 1)) AS s, 12 AS n FROM hit
+            UNION ALL SELECT doc_id, item_id, dw, bw, shift, 1, len(bw) FROM short
+            UNION ALL SELECT doc_id, item_id, d.w, b.w, 0, 1, len(b.w) FROM d JOIN b ON d.w = b.w
+                      WHERE len(b.w) BETWEEN 1 AND 4),
         eq AS (
             SELECT doc_id, item_id, s + shift - 1 AS place, n,
                    list_sum(list_transform(range(0, n), lambda i: (dw[s + shift + i] = bw[s + i])::INT)) AS equal
             FROM win WHERE s + n - 1 <= len(bw) AND s + shift >= 1 AND s + shift + n - 1 <= len(dw))
         SELECT doc_id, item_id, count(DISTINCT place) AS n_windows, min(place) AS first_word, max(place) AS last_word,
                max(equal)::BIGINT AS most_equal
-        FROM eq WHERE n - equal <= CASE WHEN n = 12 THEN 2 ELSE 0 END GROUP BY doc_id, item_id""",
+        FROM eq WHERE n - equal <= 2 * n // 12 GROUP BY doc_id, item_id""",
     "op10_chat_format": r"""
         WITH m AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from ohlcflow.llm import decontaminate, graph, simhash, suffix_dedup
+from ohlcflow.llm import decontaminate, graph, queries, simhash, suffix_dedup
 from pyspark.sql import functions as F
 from llm_cases import edge_docs, no_docs  # noqa: F401
 
@@ -139,8 +139,10 @@ def brute_overlaps(docs, items, window, substitutions, least):
             iw = words(x)
             n = min(window, len(iw))
             if n < least:
+                if n and dw == iw:
+                    found[d, item] = ({0}, [n])
                 continue
-            allowed = substitutions if n == window else 0
+            allowed = min(substitutions * n // window, n - 2)
             for p in range(len(dw) - n + 1):
                 for q in range(len(iw) - n + 1):
                     equal = sum(a == b for a, b in zip(dw[p:p + n], iw[q:q + n], strict=True))
@@ -154,19 +156,32 @@ def brute_overlaps(docs, items, window, substitutions, least):
 def test_decontamination(spark, edge_docs):
     rng = random.Random(2)
     voc = [f"w{i}" for i in range(30)]
-    items = [(i, " ".join(rng.choice(voc) for _ in range(n))) for i, n in enumerate((40, 13, 12, 11, 8, 7, 25, 25))]
+    items = [(i, " ".join(rng.choice(voc) for _ in range(n))) for i, n in enumerate((40, 13, 12, 11, 8, 6, 5, 25, 25))]
+    items += [(30, "w1 w2 w3 w4"), (31, "yes"), (32, "w7 w8")]
     items += [(20, None), (21, ""), (22, items[0][1])]
     docs = [(r.doc_id, r.text if len(r.text or "") < 2000 else "long") for r in edge_docs.collect()]
     for i in range(40):
-        text = items[rng.randrange(8)][1].split()
+        text = items[rng.randrange(9)][1].split()
         for _ in range(rng.randrange(4)):
             text[rng.randrange(len(text))] = rng.choice(voc)
         text = text[rng.randrange(3):]
         docs.append((100 + i, " ".join(rng.choice(voc) for _ in range(9)) + ", " + " ".join(text).upper() + "!"))
+    docs += [(200, "say: " + items[5][1] + "."), (201, items[6][1]), (202, "W1 w2, w3 w4!"), (203, "w1 w2 w3 w4 w5"),
+             (204, "Yes."), (205, "yes yes"), (206, "w7-w8")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r) for r in decontaminate.overlaps(d, b).collect()}
-    assert got == brute_overlaps(docs, items, 12, 2, 8)
+    assert got == brute_overlaps(docs, items, 12, 2, 5)
+    assert {(200, 5, 1, 1, 1, 6), (201, 6, 1, 0, 0, 5), (202, 30, 1, 0, 0, 4), (204, 31, 1, 0, 0, 1), (206, 32, 1, 0, 0, 2)
+            } <= got and not {203, 205} & {g[0] for g in got if g[1] >= 30}
+    # the registered SQL says the same
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert set(con.execute(queries.ORACLE["op8_decontaminate"]).fetchall()) == got
     clean = decontaminate.clean(d, b)
     assert clean.columns == d.columns
     assert {r.doc_id for r in clean.collect()} == {x for x, _ in docs} - {g[0] for g in got}

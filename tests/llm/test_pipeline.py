@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark):
     assert {hashlib.sha256(t.encode()).hexdigest() for _, t in rows(d3)} & {x[4] for x in left if not x[2]}
     assert all(r.n_chars == len(r.text) for r in d3.collect())
     d4 = scratch_table(clean(spark, d3, SF_SMALL), "t4")
-    leaked = {x[0] for x in brute_overlaps(rows(d3), items, 12, 2, 8)}
+    leaked = {x[0] for x in brute_overlaps(rows(d3), items, 12, 2, 5)}
     assert [d for d, _ in rows(d4)] == [d for d, _ in rows(d3) if d not in leaked]
     for d in (d1, d2, d3, d4):
         assert d.columns == docs.columns
