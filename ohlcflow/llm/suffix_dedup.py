@@ -49,6 +49,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame
@@ -69,9 +70,10 @@ BLOCK = 2 << 20
 RANGE = 1 << 20
 #: Blocks that one task handles, one after the other.
 BLOCKS_PER_TASK = 4
-#: Blocks, and keys of each, that are looked at to place the splitters.  Documents come to
-#: blocks by hash, so a few blocks show the distribution of all.
-SAMPLE_BLOCKS, SAMPLE = 8, 4096
+#: Least number of blocks, most keys of each, and keys for each range that are looked at to place
+#: the splitters.  Documents come to blocks by hash, so a few blocks show the distribution of
+#: all; more ranges look at more blocks, so the ranges stay even however many there are.
+SAMPLE_BLOCKS, SAMPLE, SAMPLE_PER_RANGE = 8, 4096, 32
 
 _SECOND = 0xD6E8FEB86659FD93
 _SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
@@ -136,7 +138,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return text[begin], begin - first, end - first, g[at[begin]], mix(whole + (end - begin).astype(np.uint64))
 
 
-PARSED = "k_id long, k_text long, begin array<int>, end array<int>, gram array<long>, seg array<long>"
+#: Of a document's segments, as they stand in the ``packed`` bytes.
+SEGMENT = np.dtype([("gram", "<i8"), ("seg", "<i8"), ("begin", "<i4"), ("end", "<i4")])
+PARSED = "k_id long, k_text long, packed binary"
 NO_ID = -(1 << 63)
 
 
@@ -153,41 +157,50 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, data, offsets in text_runs(b.column("data")):
-                text, *flat = segments(data, offsets, length)
+                text, begin, end, gram, seg = segments(data, offsets, length)
                 own, count = np.unique(text, return_counts=True)
-                cuts = pa.array(np.append(0, np.cumsum(count)), pa.int32())
-                arrays = [pa.array(x, pa.int32()) for x in flat[:2]] + [pa.array(x.view(np.int64), pa.int64())
-                                                                        for x in flat[2:]]
+                rows = np.empty(len(text), dtype=SEGMENT)
+                rows["gram"], rows["seg"], rows["begin"], rows["end"] = gram.view(np.int64), seg.view(np.int64), begin, end
+                cuts = (np.append(0, np.cumsum(count)) * SEGMENT.itemsize).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts), pa.py_buffer(rows)])
                 place = pa.array(at + own, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("k_id").take(place), b.column("k_text").take(place),
-                     *[pa.ListArray.from_arrays(cuts, x) for x in arrays]],
-                    names=["k_id", "k_text", "begin", "end", "gram", "seg"])
+                yield pa.RecordBatch.from_arrays([b.column("k_id").take(place), b.column("k_text").take(place), packed],
+                                                 names=["k_id", "k_text", "packed"])
 
     return keyed(docs).mapInArrow(run, PARSED)
 
 
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(segments, number of the row that each is of) of a batch of ``parse``."""
+    packed = b.column("packed")
+    sizes = pa.compute.binary_length(packed).to_numpy() // SEGMENT.itemsize
+    return np.frombuffer(b"".join(packed.to_pylist()), dtype=SEGMENT), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def occurrences(parsed: DataFrame, work: Workspace) -> DataFrame:
     """Segments that repeat or are to be decided: key, ``begin``, ``end``, ``gram``, ``seg``,
     ``copies``, ``open`` (its gram has undecided segments)."""
-    twice = work.table(parsed.select(F.explode("gram").alias("gram")).groupBy("gram").agg(
-        F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram, n = np.unique(unpacked(b)[0]["gram"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    twice = work.table(parsed.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(
+        F.sum("n").alias("n")).filter("n > 1").select("gram"), "grams")
     table = parsed.sparkSession.sparkContext.broadcast(bloom.build(twice, "gram", twice.count(), GRAM_BITS))
 
     def spare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leave out segments whose gram the filter refutes: it occurs once."""
         for b in batches:
-            lists = [b.column(c) for c in ("begin", "end", "gram", "seg")]
-            kept = bloom.might_hold(table.value, lists[2].flatten().to_numpy().view(np.uint64))
-            cuts = np.append(0, np.cumsum(lists[0].value_lengths().to_numpy()))
-            cuts = pa.array(np.searchsorted(kept, cuts), pa.int32())
+            segs, row = unpacked(b)
+            kept = bloom.might_hold(table.value, segs["gram"].view(np.uint64))
+            segs, row = segs[kept], pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
-                [b.column("k_id"), b.column("k_text"),
-                 *[pa.ListArray.from_arrays(cuts, x.flatten().take(pa.array(kept))) for x in lists]],
-                names=b.schema.names)
+                [b.column("k_id").take(row), b.column("k_text").take(row),
+                 *[pa.array(np.ascontiguousarray(segs[c])) for c in ("begin", "end", "gram", "seg")]],
+                names=["k_id", "k_text", "begin", "end", "gram", "seg"])
 
-    rows = work.table(parsed.mapInArrow(spare, PARSED).select("k_id", "k_text", F.explode(F.arrays_zip(
-        "begin", "end", "gram", "seg")).alias("s")).select("k_id", "k_text", "s.*"), "segments")
+    rows = work.table(parsed.mapInArrow(spare, "k_id long, k_text long, begin int, end int, gram long, seg long"), "segments")
     counts = work.table(rows.groupBy("gram", "seg").agg(F.count("*").alias("copies")), "segment-counts")
     grams = counts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"),
                                        F.sum((F.col("copies") == 1).cast("int")).alias("once")).filter("all > 1")
@@ -414,13 +427,15 @@ class Sorter:
     def __init__(self, work: Workspace, blocks: DataFrame, shelf: Shelf, n_blocks: int, total: int, keys: int):
         self.work, self.shelf = work, shelf
         self.blocks = blocks.select("block").repartition(-(-n_blocks // BLOCKS_PER_TASK))
-        self.some = blocks.select("block").orderBy("block").limit(SAMPLE_BLOCKS).repartition(2)
+        self.names = blocks.select("block")
         self.total, self.range_keys = total, keys
         self.number, self.stale = 0, []
 
     def _splitters(self, r: Round, ranges: int) -> list[list[tuple]]:
         """By family, keys that part the ranges: quantiles of evenly spaced elements of some blocks."""
         shelf, each = self.shelf, max(8, min(SAMPLE, 64 * ranges))
+        looked_at = max(SAMPLE_BLOCKS, -(-SAMPLE_PER_RANGE * ranges // SAMPLE))
+        some = self.names.orderBy("block").limit(looked_at).repartition(max(2, looked_at // BLOCKS_PER_TASK))
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -437,7 +452,7 @@ class Sorter:
         if ranges == 1:
             return [[] for _ in range(r.families)]
         rows: list[list[tuple]] = [[] for _ in range(r.families)]
-        picked = self.some.mapInArrow(sample, "family int, picked array<array<long>>")
+        picked = some.mapInArrow(sample, "family int, picked array<array<long>>")
         for x in picked.toArrow().to_pylist():
             rows[x["family"]] += zip(*[[v & 0xFFFFFFFFFFFFFFFF for v in c] for c in x["picked"]], strict=True)
         return [sorted({v[len(v) * i // ranges] for i in range(1, ranges)}) if v else [] for v in map(sorted, rows)]
@@ -505,7 +520,6 @@ class Sorter:
             "range", "tell").toArrow().to_pylist())  # one row per range
         tells = [[(k % ranges, t) for k, t in told if k // ranges == f] for f in range(r.families)]
         del sent
-        work.release()
 
         def take(t: pa.Table) -> pa.Table:
             name = t["block"][0].as_py()
