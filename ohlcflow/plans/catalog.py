@@ -959,6 +959,29 @@ def q_landing_bars(spark, sf):
     return IN.landing_bars(spark, landing_folder(spark, sf))[0]
 
 
+@register("symbols_semi_store", ORACLE["symbols_semi"])
+def q_symbols_semi_store(spark, sf):
+    """S6 against a written store: only the requested symbols' buckets are read."""
+    path = scratch_path(spark, "store")
+    S.save_bars(bars(spark, sf), path)
+    return S.store_has(spark, path, requested(spark, sf))
+
+
+@register("symbols_anti_store", ORACLE["symbols_anti"])
+def q_symbols_anti_store(spark, sf):
+    path = scratch_path(spark, "store")
+    S.save_bars(bars(spark, sf), path)
+    return S.store_lacks(spark, path, requested(spark, sf))
+
+
+@register("scan_bucketed_store", ORACLE["scan_combined"])
+def q_scan_bucketed_store(spark, sf):
+    """R0 over a table that Spark buckets by symbol: no exchange of the bars."""
+    name = f"bars_{uuid.uuid4().hex}"
+    S.save_bucketed(bars(spark, sf), name, scratch_path(spark, name), buckets=8)
+    return r4(scan(S.read_bucketed(spark, name), COMBINED), "avg_volume_20", "rvol_20", "adr_20")
+
+
 @register("landing_multiline", ORACLE["landing_bars"])
 def q_landing_multiline(spark, sf):
     """Eighty further columns before the volume, the last with line ends, commas and quotes inside quotes."""

@@ -269,6 +269,60 @@ def symbols_missing(requested: DataFrame, bars: DataFrame) -> DataFrame:
     return requested.join(bars.select("symbol").distinct(), "symbol", "left_anti")
 
 
+def _requested(spark: SparkSession, path: str, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requested symbols with their bucket, the store's symbols of those buckets)."""
+    meta = store_meta(spark, path)
+    if meta is None:
+        raise FileNotFoundError(f"no store at {path}")
+    # written, so that its size decides about the broadcast that prunes the store's buckets while it runs
+    asked = scratch_table(requested.withColumn("_name", symbol_name(F.col("symbol"))).withColumn(
+        "_bucket", bucket_of(F.col("_name"), meta.buckets)), "store-requested")
+    # the planner prunes partitions dynamically only for a side that has a filter
+    wanted = asked.where(F.col("_bucket") >= 0).select("_bucket").distinct()
+    store = _read_store(spark, path, meta).join(wanted, F.col(BUCKET) == F.col("_bucket"), "left_semi")
+    return asked, store.select(F.col("symbol").alias("_stored"), F.col(BUCKET).alias("_in")).distinct()
+
+
+def store_has(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
+    """S6 against a store: the rows of ``requested`` whose ``symbol`` (any case, trimmed) is stored.
+
+    The buckets of the requested symbols prune the store's partitions at run time, so only
+    those buckets are read."""
+    asked, stored = _requested(spark, path, requested)
+    return asked.join(stored, (F.col("_bucket") == F.col("_in")) & (F.col("_name") == F.col("_stored")),
+                      "left_semi").select(*requested.columns)
+
+
+def store_lacks(spark: SparkSession, path: str, requested: DataFrame) -> DataFrame:
+    """S6 against a store: the rows of ``requested`` whose ``symbol`` is not stored (a NULL symbol is not)."""
+    asked, stored = _requested(spark, path, requested)
+    return asked.join(stored, (F.col("_bucket") == F.col("_in")) & (F.col("_name") == F.col("_stored")),
+                      "left_anti").select(*requested.columns)
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, buckets: int = DEFAULT_BUCKETS) -> None:
+    """S4 as a table that Spark itself buckets by symbol and sorts by date (files below ``path``).
+
+    Windows and aggregations by symbol over it need no exchange of the bars.  A symbol lives
+    in one bucket, so this is for stores whose symbols are small beside a bucket; others keep
+    ``save_bars`` and its framing by (symbol, time)."""
+    rows = canonical(df).withColumn("symbol", symbol_name(F.col("symbol")))
+    time = "ts" if "ts" in rows.columns else "date"
+    (rows.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", time)
+         .option("path", path).format("parquet").saveAsTable(table))
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """S1 over a table of ``save_bucketed``."""
+    return canonical_columns(spark.table(table))
+
+
+def canonical_columns(df: DataFrame) -> DataFrame:
+    """The bar columns as they are: a cast or rename would hide the table's bucketing from the planner."""
+    schema = INTRADAY_SCHEMA if "ts" in df.columns and "date" not in df.columns else BAR_SCHEMA
+    return df.select(*[f.name for f in schema.fields])
+
+
 def head(bars: DataFrame, symbol: str, n: int = 10) -> DataFrame:
     """First ``n`` bars of a symbol in date order."""
     return load_symbol(bars, symbol).limit(n)

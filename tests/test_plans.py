@@ -128,6 +128,31 @@ def test_chunk_start_inverts_chunk_column(spark):
             assert row["k"] == k and row[col] <= value
 
 
+def test_bucketed_store_scans_without_an_exchange_of_bars(spark):
+    from ohlcflow.sources.store import read_bucketed, save_bucketed
+    path = tempfile.mkdtemp(prefix="bucketed-")
+    save_bucketed(bars_from_lineitem(spark, SF_SMALL), "bars_bucketed", os.path.join(path, "bars"), buckets=4)
+    bars = read_bucketed(spark, "bars_bucketed")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for plan in ("snapshot", "rolling"):
+            text = _plan(scan(bars, [P.min_rvol(1.0), P.trend_template(), P.gap_up(1.0)], plan=plan))
+            assert "Exchange hashpartitioning" not in text and "BroadcastHashJoin" in text, text
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE bars_bucketed")
+
+
+def test_symbols_against_a_store_prune_its_buckets(spark):
+    from ohlcflow.sources.store import store_has, store_lacks
+    path = os.path.join(tempfile.mkdtemp(prefix="pruned-"), "bars")
+    save_bars(bars_from_lineitem(spark, SF_SMALL), path, buckets=16)
+    asked = spark.createDataFrame([(" s1",), ("S2",), ("NONE",), (None,)], "symbol string")
+    assert sorted(r.symbol for r in store_has(spark, path, asked).collect()) == [" s1", "S2"]
+    assert {r.symbol for r in store_lacks(spark, path, asked).collect()} == {"NONE", None}
+    assert "dynamicpruning" in _plan(store_has(spark, path, asked))
+
+
 def test_drop_scratch_tables(spark):
     from ohlcflow.session import drop_scratch_tables, scratch_table
     t = scratch_table(spark.range(3), "probe")
