@@ -29,6 +29,7 @@ the whole history.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 from functools import cached_property
@@ -365,3 +366,57 @@ def rolling(fr: Framed, df: DataFrame, agg: str, col: Column | str, n: int, out:
         value = (F.greatest if agg == "max" else F.least)(*terms)
     full = (at(cnt, skip) - F.coalesce(at(cnt, skip + n), F.lit(0))) == n
     return df.withColumn(out, F.when(full, value)).drop(rest)
+
+
+#: Rows of a sub-block of ``sliding_share``.
+SUB_BLOCK = 16
+
+
+def sliding_share(fr: Framed, df: DataFrame, col: str, n: int, out: str) -> DataFrame:
+    """Add ``out``: the share of the last ``n`` rows (this one included) whose ``col`` is at most this row's.
+
+    A sliding rank without an array a row.  Rows are cut into blocks of ``n``, so the window of
+    a row is the beginning of its own block and the rest of the block before.  Two
+    neighbouring blocks are sorted together by value, once paired (0, 1), (2, 3) ... and once
+    (1, 2), (3, 4) ...; running counts by sub-block of ``SUB_BLOCK`` rows then tell every row how
+    many smaller values each sub-block of either block holds.  Whole sub-blocks inside the
+    window are added up, and of the two that the window cuts the rows are compared one by one.
+    A row costs two sorts and some ``3 n / SUB_BLOCK + 2 SUB_BLOCK`` updates.  NULL until all ``n`` rows
+    hold a value."""
+    p = f"{TABLE_PREFIX}{out}_"
+    x = F.col(col)
+    subs = range(-(-n // SUB_BLOCK))
+    block, pos, sub = F.col(f"{p}block"), F.col(f"{p}pos"), F.col(f"{p}sub")
+    df = df.withColumn(f"{p}block", F.floor(F.col(IDX) / n)).withColumn(f"{p}pos", (F.col(IDX) - block * n).cast("int"))
+    df = df.withColumn(f"{p}sub", F.floor(pos / SUB_BLOCK).cast("int"))
+    counts, pairs = {}, {}
+    for shift in (0, 1):
+        pairs[f"{p}pair{shift}"] = F.floor((block + shift) / 2)
+    df = df.withColumns(pairs)
+    for shift in (0, 1):
+        w = Window.partitionBy(*fr.keys, PART, f"{p}pair{shift}").orderBy(col)  # a range: equal values count
+        late = (block + shift) % 2 == 1
+        for t in subs:
+            counts[f"{p}a{shift}_{t}"] = F.count(F.when(~late & (sub == t), x)).over(w)
+            if not shift:
+                counts[f"{p}b_{t}"] = F.count(F.when(late & (sub == t), x)).over(w)
+    counted = df.withColumns(counts)
+    odd = block % 2 == 1
+
+    def total(names, inside) -> Column:
+        terms = [F.when(inside(t), F.col(f"{p}{names}_{t}")).otherwise(0) for t in subs]
+        return functools.reduce(lambda a, b: a + b, terms)
+
+    own = F.when(odd, total("b", lambda t: sub > t)).otherwise(total("a0", lambda t: sub > t))
+    before = F.when(odd, total("a0", lambda t: sub < t)).otherwise(total("a1", lambda t: sub < t))
+    counted = counted.withColumn(f"{p}whole", own + before).drop(*counts, *pairs)
+    rest = pos % SUB_BLOCK
+    below = lambda k, inside: F.when(inside & (F.lag(col, k).over(fr.window) <= x), 1).otherwise(0)
+    cut = [below(k, rest >= k) for k in range(1, SUB_BLOCK)]
+    cut += [below(n - d, (rest + d < SUB_BLOCK) & (pos + d < n)) for d in range(1, min(SUB_BLOCK, n))]
+    known = F.count(col).over(fr.running)
+    counted = counted.withColumn(f"{p}known", known).withColumn(
+        f"{p}cut", functools.reduce(lambda a, b: a + b, cut, F.lit(1)))
+    full = F.col(f"{p}known") - F.coalesce(F.lag(f"{p}known", n).over(fr.window), F.lit(0)) == n
+    share = (F.col(f"{p}whole") + F.col(f"{p}cut")) / F.lit(float(n))
+    return counted.withColumn(out, F.when(full, share))

@@ -13,7 +13,7 @@ from ..session import scratch_table
 from . import indicators as I
 from .asof import asof_join
 from .screens import prior_high
-from .series import CHUNK, Framed, chunk_column, lag
+from .series import CHUNK, Framed, chunk_column, lag, sliding_share
 
 # (ours) defaults
 STOP_ATR_MULT = 2.0
@@ -74,21 +74,29 @@ def relative_strength(bars: DataFrame, benchmark: str, k: int = 20, as_of: bool
     return out.withColumn("rs_rank", F.when(F.col("rs").isNotNull(), F.percent_rank().over(w)))
 
 
+def _volatility(bars: DataFrame, indicators) -> tuple[Framed, DataFrame]:
+    """Framed bars with the indicators and ``atr_percentile``."""
+    fr = I.frame_with(bars, [*indicators, I.atr(14)], extra_lookback=ATR_YEAR - 1)
+    df = fr.df.withColumn("_vol", F.try_divide(F.col("atr_14"), F.col("close")))
+    return fr, sliding_share(fr, df, "_vol", ATR_YEAR, "atr_percentile")
+
+
+def atr_percentile(bars: DataFrame) -> DataFrame:
+    """P-REG's volatility measure for every symbol and date: the share of the symbol's last ``ATR_YEAR``
+    rows whose atr_14 / close is at most that row's; NULL during warm-up."""
+    fr, df = _volatility(bars, [])
+    return fr.finish(df).select("symbol", "date", "atr_percentile")
+
+
 def regime(bars: DataFrame, benchmark: str) -> DataFrame:
     """P-REG: the benchmark's regime per date, and the policy it stands for.
 
-    ``atr_percentile`` is the share of the last ``ATR_YEAR`` rows whose atr_14 / close is
-    at most today's.  Above the 200-row average: ``trend_on`` (gate 1.0), or
-    ``trend_caution`` (gate 0.5) while volatility is above ``ATR_HIGH``; below it
+    Above the 200-row average: ``trend_on`` (gate 1.0), or
+    ``trend_caution`` (gate 0.5) while ``atr_percentile`` is above ``ATR_HIGH``; below it
     ``trend_off`` (gate 0.0, no new entries); ``unknown`` (no gate) during warm-up
     *(cut-offs and gates: ours)*."""
-    b = bars.where(F.col("symbol") == benchmark)
-    fr = I.frame_with(b, [I.sma(200), I.atr(14)], extra_lookback=ATR_YEAR - 1)
-    df = fr.df.withColumn("_vol", F.try_divide(F.col("atr_14"), F.col("close")))
-    year = F.collect_list("_vol").over(fr.rows(ATR_YEAR))
-    share = F.size(F.filter("_year", lambda x: x <= F.col("_vol"))) / F.lit(float(ATR_YEAR))
-    df = fr.finish(df.withColumn("_year", year))
-    df = df.withColumn("atr_percentile", F.when(F.size("_year") == ATR_YEAR, share))
+    fr, df = _volatility(bars.where(F.col("symbol") == benchmark), [I.sma(200)])
+    df = fr.finish(df)
     state = (F.when(F.col("sma_200").isNull() | F.col("atr_percentile").isNull(), "unknown")
               .when(F.col("close") <= F.col("sma_200"), "trend_off")
               .when(F.col("atr_percentile") > ATR_HIGH, "trend_caution").otherwise("trend_on"))
@@ -258,4 +266,4 @@ def walk_forward(bars: DataFrame, lengths=(10, 20, 50), horizon: int = 5, *, sta
 
 
 __all__ = ["next_bar_signals", "relative_strength", "regime", "forward_trades", "performance", "equity_metrics",
-           "param_sweep", "walk_forward", "Framed"]
+           "param_sweep", "walk_forward", "atr_percentile", "Framed"]

@@ -765,6 +765,16 @@ TRADES_SQL = ("tr AS (SELECT 'breakout_20_h5' AS strategy, symbol, entry_date, d
               "WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE fired)")
 
 
+@register("atr_percentile", with_bars(
+    "SELECT symbol, date, (round((CASE WHEN len(year) = 252 THEN len(list_filter(year, lambda x: x <= vol)) / 252.0 END) "
+    "* 10000) / 10000 + 0.0) AS atr_percentile FROM (SELECT *, list(vol) OVER (PARTITION BY symbol ORDER BY date "
+    "ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS year FROM (SELECT b.symbol, b.date, atr / close AS vol "
+    "FROM bars b JOIN atr14 USING (symbol, date)))", *atr_named_ctes(14), recursive=True))
+def q_atr_percentile(spark, sf):
+    """P-REG's measure for every symbol."""
+    return r4(ST.atr_percentile(bars(spark, sf)), "atr_percentile")
+
+
 @register("perf_metrics", with_bars(
     "SELECT s.strategy, n_trades, (round((win_rate) * 10000) / 10000 + 0.0) AS win_rate, "
     "(round((expectancy) * 10000) / 10000 + 0.0) AS expectancy, "

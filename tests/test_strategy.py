@@ -127,3 +127,36 @@ def test_relative_strength_as_of_fills_only_missing_days(spark):
         if ("AAA", d) in asof:
             assert asof[("AAA", d)] == last
     assert any(v is None for v in plain.values())
+
+
+@pytest.mark.parametrize("n", [2, 5, 16, 33, 70])
+def test_sliding_share_by_brute_force(spark, n):
+    """Ties, nulls, NaN and several partitions of a symbol: every rank from the plain window."""
+    from ohlcflow.operators.series import frame, sliding_share
+    rng = random.Random(n)
+    rows = []
+    for s, size in (("A", 700), ("B", 40), ("C", n), ("D", 1)):
+        for i in range(size):
+            rows.append((s, D0 + dt.timedelta(days=2 * i), rng.choice([None] * (s == "A" and 300 < i < 305) + [
+                float(rng.randint(0, 9)), rng.random() * 9, float("nan")][:3])))
+    df = spark.createDataFrame(rows, "symbol string, date date, x double").repartition(5)
+    fr = frame(df, n - 1, width=8, span=64)
+    got = {(r.symbol, r.date): r.share for r in fr.finish(sliding_share(fr, fr.df, "x", n, "share")).collect()}
+    key = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731  (NaN is largest and equals itself)
+    assert len(got) == len(rows)
+    by = {}
+    for s, d, x in rows:
+        by.setdefault(s, []).append((d, x))
+    for s, seen in by.items():
+        for i, (d, x) in enumerate(seen):
+            last = [v for _, v in seen[max(0, i - n + 1):i + 1]]
+            if len(last) < n or None in last:
+                assert got[s, d] is None
+            else:
+                assert got[s, d] == sum(key(v) <= key(x) for v in last) / n
+
+
+def test_atr_percentile_collects_no_list(spark):
+    bars = make_bars(spark, series("AAA", "2020-01-01", [100.0 + i % 9 for i in range(400)]))
+    text = _plan(ST.atr_percentile(bars))
+    assert "collect_list" not in text and text.count("Exchange hashpartitioning(symbol") <= 2
