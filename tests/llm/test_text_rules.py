@@ -39,6 +39,15 @@ def test_rule_order_changes_no_verdict(edge_docs):
     assert {r.name for r in quality_rules.order_rules(measured)} == {r.name for r in rules}
 
 
+def test_rule_order_does_not_follow_the_table(spark):
+    """Rows sorted by quality and shuffled rows: the same sample, so the same order of rules."""
+    good, bad = "plain words of a text " * 20, "!!! AAAA BBBB ### " * 30
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 < 3, bad).otherwise(good).alias("text"))
+    orders = [[r.name for r in quality_rules.order_rules(quality_rules.measure(d), sample_rows=300)]
+              for d in (docs.orderBy("text", "doc_id"), docs.orderBy(F.xxhash64("doc_id")), docs.repartition(7))]
+    assert orders[0] == orders[1] == orders[2]
+
+
 def test_quality_empty(no_docs):
     assert quality_rules.judge(no_docs).collect() == []
 
