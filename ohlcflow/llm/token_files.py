@@ -104,17 +104,28 @@ def encode_texts(texts: list[str], path: str, dtype: str, by_piece: bool) -> lis
     return [b"".join(ids) for ids in known.of(cut)]
 
 
+def encodes_by_piece(tokenizer: str) -> bool:
+    """Whether the vocabulary encodes pieces between white space by themselves and drops the white space."""
+    probes = ["a", "The", "don't", "x1,y2.", "ÉTÉ", "日本", "<|endoftext|>", "word", "''", "\U0001F600z"]
+    ids = lambda t: encoder(tokenizer).encode(t, add_special_tokens=False).ids
+    apart = [i for p in probes for i in ids(p)]
+    return all(ids(edge + gap.join(probes) + edge) == apart for gap in (" ", "\n", " \t\r\n ") for edge in ("", " "))
+
+
 def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 1, by_piece: bool = False,
           shards: int | None = None) -> tuple[str, DataFrame]:
     """Write ``docs`` (``doc_id``, ``text``) as token files; (folder, manifest with bases).
 
     ``tokenizer`` is the path of a vocabulary file that every executor can read.
     ``by_piece`` is for vocabularies that drop white space and fold case: pieces between
-    white space are then encoded by themselves, and recent ones remembered.  ``out`` is a shared folder
+    white space are then encoded by themselves, and recent ones remembered; another one is
+    refused.  ``out`` is a shared folder
     (default: one below the session's checkpoint folder)."""
     spark = docs.sparkSession
     small_batches(spark)
     out = out or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    if by_piece and not encodes_by_piece(tokenizer):
+        raise ValueError(f"{tokenizer} does not encode pieces between white space by themselves")
     dtype = "<u2" if max(encoder(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, folder = file_system(out)
@@ -163,13 +174,20 @@ def manifest_of(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/manifest")
 
 
-def open_flat(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: memory-mapped where the folder is mounted, else read."""
-    fs, path = file_system(f"{folder}/{name}")
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r")
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+class FlatFile:
+    """A flat file that slices like an array: memory-mapped where the folder is mounted, else read by ranges."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        fs, path = file_system(f"{folder}/{name}")
+        self.dtype = np.dtype(dtype)
+        self.mapped = np.memmap(path, dtype=dtype, mode="r") if isinstance(fs, pafs.LocalFileSystem) else None
+        self.file = None if self.mapped is not None else fs.open_input_file(path)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return np.asarray(self.mapped[part])
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((part.stop - part.start) * size, part.start * size), dtype=self.dtype)
 
 
 def documents(spark: SparkSession, out: str, rows: int = 256) -> DataFrame:
@@ -180,13 +198,13 @@ def documents(spark: SparkSession, out: str, rows: int = 256) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for m in b.to_pylist():
-                off = open_flat(out, f"{m['name']}.off", "<i8")
-                doc = open_flat(out, f"{m['name']}.doc", "<i8")
-                ids = open_flat(out, f"{m['name']}.bin", m["dtype"])
+                off = FlatFile(out, f"{m['name']}.off", "<i8")
+                doc = FlatFile(out, f"{m['name']}.doc", "<i8")
+                ids = FlatFile(out, f"{m['name']}.bin", m["dtype"])
                 for i in range(0, m["n_docs"], rows):
-                    o = np.asarray(off[i:i + rows + 1])
-                    crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(o, o[1:], strict=False)]
-                    d = np.asarray(doc[i:i + rows])
+                    z = min(i + rows, m["n_docs"])
+                    o, d = off[i:z + 1], doc[i:z]
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(o, o[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(d, pa.int64(), mask=d == NULL_ID), pa.array(m["token_base"] + o[:-1], pa.int64()),
                          pa.array(np.diff(o), pa.int64()), pa.array(crc, pa.int64())],

@@ -89,3 +89,27 @@ def test_empty_tables(spark, no_docs):
     assert bpe.digests(no_docs, word_bpe()).collect() == []
     out, _ = token_files.write(no_docs, word_bpe())
     assert token_files.documents(spark, out).collect() == []
+
+
+def test_by_piece_refuses_other_vocabularies(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, "Ġ": 2, "Ġa": 3}, [("Ġ", "a")]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other = str(tmp_path / "other.json")
+    t.save(other)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert token_files.encodes_by_piece(word_bpe()) and not token_files.encodes_by_piece(other)
+    with pytest.raises(ValueError):
+        token_files.write(docs, other, by_piece=True)
+
+
+def test_flat_file_reads_ranges(tmp_path, monkeypatch):
+    import pyarrow.fs as pafs
+    data = np.arange(1000, dtype="<u4")
+    (tmp_path / "x.bin").write_bytes(data.tobytes())
+    mapped = token_files.FlatFile(str(tmp_path), "x.bin", "<u4")
+    monkeypatch.setattr(token_files, "file_system", lambda p: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), p))
+    ranged = token_files.FlatFile(str(tmp_path), "x.bin", "<u4")
+    assert ranged.mapped is None
+    for a, z in ((0, 1000), (5, 5), (990, 1000)):
+        assert (mapped[a:z] == ranged[a:z]).all() and len(ranged[a:z]) == z - a
