@@ -25,7 +25,7 @@ from ..operators import quality as Q
 from ..operators import screens as SC
 from ..operators import strategy as ST
 from ..operators import resample as R
-from ..session import ensure_checkpoint_dir, scratch_table
+from ..session import scratch_folder, scratch_table
 from ..sources import ingest as IN
 from ..sources import store as S
 from . import predicates as P
@@ -883,15 +883,10 @@ def q_dq_missing(spark, sf):
 # Store round trips (S1, S3, S4, Q4), landing files (S7, R3), as-of, recipes, O3, X6
 # ---------------------------------------------------------------------------
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ohlcflow-tables/{name}-{uuid.uuid4().hex}"
-
-
 @register("store_roundtrip", with_bars(f"SELECT {BASE_SQL} FROM bars"))
 def q_store_roundtrip(spark, sf):
     """Saved under lower-case names, read back."""
-    path = scratch_path(spark, "store")
+    path = scratch_folder(spark, "store")
     S.save_bars(bars(spark, sf).withColumn("symbol", F.lower("symbol")), path)
     return S.read_bars(spark, path)
 
@@ -902,7 +897,7 @@ def q_store_roundtrip(spark, sf):
     "WHERE CAST(substr(symbol, 2) AS BIGINT) % 3 <> 0 OR date >= DATE '1995-01-01'"))
 def q_store_overwrite(spark, sf):
     """A second save replaces the whole history of the symbols in it, and no other's."""
-    path, all_bars = scratch_path(spark, "store"), bars(spark, sf)
+    path, all_bars = scratch_folder(spark, "store"), bars(spark, sf)
     S.save_bars(all_bars, path, buckets=8)
     third = (F.substring("symbol", 2, 18).cast("bigint") % 3 == 0) & (F.col("date") >= F.to_date(F.lit("1995-01-01")))
     S.save_bars(all_bars.where(third).withColumn("volume", F.col("volume") + 1), path)
@@ -913,7 +908,7 @@ def q_store_overwrite(spark, sf):
           f"price AS close, size AS volume FROM ({TICKS_SQL}) UNION ALL SELECT '15min', * FROM ({ORACLE['resample_intraday']})")
 def q_timeframe_roundtrip(spark, sf):
     """Intraday bars keep their time, and the timeframes of a store stay apart."""
-    path, ticks = scratch_path(spark, "store"), intraday_bars_from_events(spark, sf)
+    path, ticks = scratch_folder(spark, "store"), intraday_bars_from_events(spark, sf)
     S.save_bars(ticks, path, buckets=8, timeframe="tick")
     S.save_bars(R.resample_intraday(ticks, "15 minutes"), path, timeframe="15min")
     both = [S.read_timeframe(spark, path, t).withColumn("timeframe", F.lit(t)) for t in ("tick", "15min")]
@@ -944,7 +939,7 @@ def landing_folder(spark, sf, path=None, where=None, note=("note",), text="x") -
     """The bars as one CSV file per symbol with a quoted header, and a bad number in every tenth symbol.
 
     The columns ``note`` stand before ``volume``; the last of them holds ``text``."""
-    path = path or scratch_path(spark, "landing")
+    path = path or scratch_folder(spark, "landing")
     named = bars(spark, sf).withColumn("file", F.col("symbol"))
     if where is not None:
         named = named.where(where)
@@ -972,14 +967,14 @@ def q_landing_bars(spark, sf):
 @register("symbols_semi_store", ORACLE["symbols_semi"])
 def q_symbols_semi_store(spark, sf):
     """S6 against a written store: only the requested symbols' buckets are read."""
-    path = scratch_path(spark, "store")
+    path = scratch_folder(spark, "store")
     S.save_bars(bars(spark, sf), path)
     return S.store_has(spark, path, requested(spark, sf))
 
 
 @register("symbols_anti_store", ORACLE["symbols_anti"])
 def q_symbols_anti_store(spark, sf):
-    path = scratch_path(spark, "store")
+    path = scratch_folder(spark, "store")
     S.save_bars(bars(spark, sf), path)
     return S.store_lacks(spark, path, requested(spark, sf))
 
@@ -988,7 +983,7 @@ def q_symbols_anti_store(spark, sf):
 def q_scan_bucketed_store(spark, sf):
     """R0 over a table that Spark buckets by symbol: no exchange of the bars."""
     name = f"bars_{uuid.uuid4().hex}"
-    S.save_bucketed(bars(spark, sf), name, scratch_path(spark, name), buckets=8)
+    S.save_bucketed(bars(spark, sf), name, scratch_folder(spark, name), buckets=8)
     return r4(scan(S.read_bucketed(spark, name), COMBINED), "avg_volume_20", "rvol_20", "adr_20")
 
 
@@ -1006,7 +1001,7 @@ def q_landing_multiline(spark, sf):
     f"CASE WHEN symbol IN (SELECT symbol FROM bad) THEN 0.0 ELSE {DV_OUT.removesuffix(' AS dollar_volume')} END "
     "AS dollar_volume FROM dv", MAXD, DV_SQL, BAD_SYMBOLS))
 def q_sync_status(spark, sf):
-    return dv2(IN.sync(spark, landing_folder(spark, sf), scratch_path(spark, "store"), LIQ_THRESHOLD))
+    return dv2(IN.sync(spark, landing_folder(spark, sf), scratch_folder(spark, "store"), LIQ_THRESHOLD))
 
 
 # ---------------------------------------------------------------------------
@@ -1036,7 +1031,7 @@ def q_stream_resample(spark, sf):
     comes half the whole range late, and is discarded."""
     ev = table(spark, sf, "events").withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     lo, hi = ev.agg(F.min("_us"), F.max("_us")).first()
-    path, store = scratch_path(spark, "ticks"), scratch_path(spark, "stream-store")
+    path, store = scratch_folder(spark, "ticks"), scratch_folder(spark, "stream-store")
     width = (hi - lo) // ARRIVALS + 1
     late = F.when((F.col("event_id") % 97 == 0) & (F.col("_us") < (lo + hi) // 2), 2 * width).when(
         F.col("event_id") % 11 == 0, 7 * 60 * 1_000_000).otherwise(0)
@@ -1056,7 +1051,7 @@ SYNC_SQL = ORACLE["sync_status"]
           f"FROM ({SYNC_SQL}) s")
 def q_sync_increment(spark, sf):
     """Two deliveries into one landing folder; each call reports the files that came since the one before."""
-    landing, store = scratch_path(spark, "landing"), scratch_path(spark, "store")
+    landing, store = scratch_folder(spark, "landing"), scratch_folder(spark, "store")
     third = F.substring("symbol", 2, 18).cast("bigint") % 3 == 0
     calls = []
     for call, part in ((1, ~third), (2, third)):
@@ -1070,7 +1065,7 @@ def q_sync_increment(spark, sf):
 def q_symbol_files(spark, sf):
     """One Parquet file a symbol, the symbol read off its name."""
     files = bars(spark, sf).withColumnRenamed("symbol", "file").repartition("file")
-    return S.read_symbol_files(spark, one_file_each(files, scratch_path(spark, "symbol-files"), ".parquet"))
+    return S.read_symbol_files(spark, one_file_each(files, scratch_folder(spark, "symbol-files"), ".parquet"))
 
 
 @register("universe_list", with_bars(
@@ -1078,7 +1073,7 @@ def q_symbol_files(spark, sf):
     "FROM bars WHERE CAST(substr(symbol, 2) AS BIGINT) % 4 <> 0) GROUP BY 1"))
 def q_universe_list(spark, sf):
     """Symbols in mixed case with white space around them, between blank and comment lines; every odd one twice."""
-    path = scratch_path(spark, "universe")
+    path = scratch_folder(spark, "universe")
     key = F.substring("symbol", 2, 18).cast("bigint")
     line = F.when(key % 4 == 0, F.concat(F.lit(" # "), "symbol")).otherwise(
         F.concat(F.lit("\u2003\t "), F.lower("symbol"), F.lit("\u00a0")))

@@ -73,6 +73,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the checkpoint folder, among what ``drop_scratch_tables`` deletes."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ohlcflow-tables/{name}-{uuid.uuid4().hex}"
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it back.
 
@@ -83,14 +88,13 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     shuffle join is used beyond it.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/ohlcflow-tables/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def drop_scratch_tables(spark: SparkSession) -> bool:
-    """Delete every table ``scratch_table`` wrote under this session's checkpoint folder.
+    """Delete every table and folder written as scratch under this session's checkpoint folder.
 
     DataFrames built on them read those files lazily, so call this only after
     the job's last action.  Returns whether the folder existed."""

@@ -129,6 +129,7 @@ def save_bars(df: DataFrame, path: str, buckets: int | None = None, timeframe: s
     (``1d``, ``15min`` ...) the store is partitioned by timeframe first, so
     several histories of a symbol live side by side and each prunes to itself.
     Bars with a ``ts`` column make an intraday store, which keeps the time.
+    A store has one writer at a time: two simultaneous saves replace each other's version.
     """
     spark = df.sparkSession
     rows = canonical(df)
@@ -147,6 +148,7 @@ def save_bars(df: DataFrame, path: str, buckets: int | None = None, timeframe: s
         new = new.withColumn(TIMEFRAME, F.lit(timeframe))
         parts = [TIMEFRAME, BUCKET]
     if meta is not None:
+        new = scratch_table(new, "store-new")  # read for its partitions, its symbols and the write
         old = _read_store(spark, path, meta)
         touched = new.select(*parts).distinct()
         keep = (old.join(touched, parts, "left_semi")
