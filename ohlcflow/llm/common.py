@@ -5,14 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohlcflow.session import ensure_checkpoint_dir
+from ohlcflow.session import scratch_folder
 
 #: Arrow batches handed to Python hold at most this many rows and about this many bytes,
 #: so a task's memory follows the batch, not the partition.
@@ -107,11 +106,12 @@ def give_back_memory() -> None:
 
 
 class Workspace:
-    """A folder of one job's tables and files below the session's shared checkpoint folder."""
+    """A folder of one job's tables and files, below the session's scratch tables (``drop_scratch_tables``
+    deletes it with them)."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.folder = scratch_folder(spark, name)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts the lineage, survives lost executors."""

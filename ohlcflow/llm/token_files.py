@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohlcflow.llm.common import RecentWords, file_system, id_and_text, pieces_of, small_batches
-from ohlcflow.session import ensure_checkpoint_dir
+from ohlcflow.session import scratch_folder
 
 #: Pieces of one of two generations that a worker remembers (about 200 bytes each).
 RECENT = 600_000
@@ -120,10 +120,10 @@ def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int =
     ``by_piece`` is for vocabularies that drop white space and fold case: pieces between
     white space are then encoded by themselves, and recent ones remembered; another one is
     refused.  ``out`` is a shared folder
-    (default: one below the session's checkpoint folder)."""
+    (default: one beside the session's scratch tables)."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = out or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    out = out or scratch_folder(spark, "token-files")
     if by_piece and not encodes_by_piece(tokenizer):
         raise ValueError(f"{tokenizer} does not encode pieces between white space by themselves")
     dtype = "<u2" if max(encoder(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"

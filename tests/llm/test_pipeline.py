@@ -56,3 +56,13 @@ def test_stages_on_edges(spark, edge_docs):
 def test_queries_without_sql_cover_every_document(spark, name):
     got = QUERIES[name](spark, SF_SMALL)
     assert got.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+
+
+def test_workspaces_go_with_the_scratch_tables(spark):
+    import os
+    from ohlcflow.llm.common import Workspace
+    from ohlcflow.session import drop_scratch_tables
+    work = Workspace(spark, "probe")
+    assert work.table(spark.range(3), "t").count() == 3
+    folder = work.folder.removeprefix("file:")
+    assert os.path.isdir(folder) and drop_scratch_tables(spark) and not os.path.exists(folder)
