@@ -18,12 +18,12 @@ def build(hashes: DataFrame, column: str, n: int, bits_per_hash: int) -> np.ndar
     bits = 1 << max(BITS[0] - 1, min(BITS[1], n * bits_per_hash) - 1).bit_length()
     h = F.col(column)
     place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))))
-    words = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(31)).cast("int"))
+    words = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
                  ).alias("word"))
-    t = words.toArrow()  # at most bits / 32 rows
-    out = np.zeros(bits // 32, dtype="<u4")
-    out[t["at"].to_numpy()] = t["word"].to_numpy().astype(np.uint32)
+    t = words.toArrow()  # at most bits / 64 rows of 12 bytes: 50 MB for the largest filter
+    out = np.zeros(bits // 64, dtype="<i8")
+    out[t["at"].to_numpy()] = t["word"].to_numpy()
     return out.view(np.uint8)
 
 

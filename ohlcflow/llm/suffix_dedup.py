@@ -520,6 +520,7 @@ class Sorter:
             "range", "tell").toArrow().to_pylist())  # one row per range
         tells = [[(k % ranges, t) for k, t in told if k // ranges == f] for f in range(r.families)]
         del sent
+        work.release()
 
         def take(t: pa.Table) -> pa.Table:
             name = t["block"][0].as_py()
