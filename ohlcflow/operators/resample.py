@@ -2,13 +2,15 @@
 
 Every fold is a hash aggregate on (symbol, bucket): partial aggregation runs
 map-side, so a symbol holding a third of all bars is reduced in every map
-task before the shuffle.  Open/close are ``min_by``/``max_by`` on the time
-column (unique per symbol), volume is summed with an empty sum of 0.
+task before the shuffle, and nothing is sorted.  Open/close are
+``min_by``/``max_by`` on one number: the time, and below it a hash of the bar,
+which orders bars of equal time (a struct as order would make it a sort
+aggregate).  Volume is summed with an empty sum of 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import date_bucket
@@ -18,16 +20,39 @@ from . import indicators as I
 from .series import Framed
 
 
-def _fold(df: DataFrame, keys, time_col: str, skip_null_open: bool = False) -> DataFrame:
-    # equal times are ordered by the bar's other columns, so open and close are defined
-    t = F.struct(F.col(time_col), F.col("high"), F.col("low"), F.col("open"), F.col("close"), F.col("volume"))
-    open_ = (F.min_by(F.col("open"), F.when(F.col("open").isNotNull(), t)) if skip_null_open
-             else F.min_by(F.col("open"), t))
-    close = (F.max_by(F.col("close"), F.when(F.col("close").isNotNull(), t)) if skip_null_open
-             else F.max_by(F.col("close"), t))
+#: Bits of a day number, and of microseconds inside a bucket, in the order of a fold.
+DAY_BITS, MICRO_BITS = 24, 40
+
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def time_order(time: Column, bits: int, *rest: str) -> Column:
+    """One long that orders by ``time`` (a whole number of ``bits`` bits), then by a hash of the columns ``rest``."""
+    low = 63 - bits
+    return F.shiftleft(time.cast("long"), low).bitwiseOR(F.xxhash64(*rest).bitwiseAND(F.lit((1 << low) - 1)))
+
+
+def micros_in(window: Column, time: Column) -> Column:
+    """Microseconds from the window's start."""
+    return F.unix_micros(time.cast("timestamp")) - F.unix_micros(window["start"].cast("timestamp"))
+
+
+def fits_micros(timeframe: str) -> bool:
+    """Whether a bucket's microseconds fit ``MICRO_BITS`` bits (12 days; written as ``15 minutes``)."""
+    parts = timeframe.lower().split()
+    known = len(parts) == 2 and parts[0].isdigit() and parts[1].rstrip("s") in _UNIT_SECONDS
+    return known and int(parts[0]) * _UNIT_SECONDS[parts[1].rstrip("s")] * 1_000_000 < 1 << MICRO_BITS
+
+
+def _fold(df: DataFrame, keys, order: Column, skip_null_open: bool = False) -> DataFrame:
+    first = F.when(F.col("open").isNotNull(), order) if skip_null_open else order
+    last = F.when(F.col("close").isNotNull(), order) if skip_null_open else order
     return df.groupBy(*keys).agg(
-        open_.alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        close.alias("close"), F.coalesce(F.sum("volume"), F.lit(0)).cast("bigint").alias("volume"))
+        F.min_by("open", first).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", last).alias("close"), F.coalesce(F.sum("volume"), F.lit(0)).cast("bigint").alias("volume"))
+
+
+_BAR = ("high", "low", "open", "close", "volume")
 
 
 def resample_daily(bars: DataFrame, every: str = "1d") -> DataFrame:
@@ -35,15 +60,19 @@ def resample_daily(bars: DataFrame, every: str = "1d") -> DataFrame:
     if not every:
         return bars
     keyed = bars.withColumn("_bucket", date_bucket(F.col("date"), every))
-    out = _fold(keyed, ["symbol", "_bucket"], "date")
+    out = _fold(keyed, ["symbol", "_bucket"], time_order(F.unix_date("date"), DAY_BITS, *_BAR))
     return out.withColumnRenamed("_bucket", "date").select(
         "symbol", "date", "open", "high", "low", "close", "volume")
 
 
 def resample_intraday(bars: DataFrame, timeframe: str = "15 minutes", time_col: str = "ts") -> DataFrame:
     """R-I: epoch-aligned buckets of ``timeframe`` per symbol; NULL prices are skipped."""
-    keyed = bars.withColumn("_w", F.window(F.col(time_col), timeframe).getField("start"))
-    out = _fold(keyed, ["symbol", "_w"], time_col, skip_null_open=True)
+    keyed = bars.withColumn("_win", F.window(F.col(time_col), timeframe))
+    keyed = keyed.withColumn("_w", F.col("_win.start"))
+    # longer buckets do not leave room for the hash: ordered by a struct
+    order = (time_order(micros_in(F.col("_win"), F.col(time_col)), MICRO_BITS, *_BAR) if fits_micros(timeframe)
+             else F.struct(time_col, *_BAR))
+    out = _fold(keyed, ["symbol", "_w"], order, skip_null_open=True)
     return out.withColumnRenamed("_w", time_col).select(
         "symbol", time_col, "open", "high", "low", "close", "volume")
 

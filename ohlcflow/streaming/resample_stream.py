@@ -21,6 +21,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.resample import MICRO_BITS, fits_micros, micros_in, time_order
 from ..schema import TICK_SCHEMA
 from ..session import ensure_checkpoint_dir
 
@@ -35,10 +36,15 @@ def read_tick_stream(spark: SparkSession, path: str, max_files_per_trigger: int
 def stream_resample(ticks: DataFrame, timeframe: str = "15 minutes", watermark: str = "10 minutes") -> DataFrame:
     """Streaming OHLCV bars per (symbol, bucket) in append mode."""
     t = ticks.withColumn("_ts", F.col("ts").cast("timestamp"))
-    at = F.when(F.col("price").isNotNull(), F.struct("_ts", "price", "size"))
+    window = F.window("_ts", timeframe)
+    order = (time_order(micros_in(window, F.col("_ts")), MICRO_BITS, "price", "size") if fits_micros(timeframe)
+             else F.struct("_ts", "price", "size"))
+    at = F.col("_at")
     agg = (t.withWatermark("_ts", watermark)
-            .groupBy("symbol", F.window("_ts", timeframe).alias("_w"))
-            # as in the batch fold: NULL prices are skipped, equal times ordered by price and size
+            .withColumn("_w", window)
+            .withColumn("_at", F.when(F.col("price").isNotNull(), order))
+            .groupBy("symbol", "_w")
+            # as in the batch fold: NULL prices are skipped, equal times ordered by a hash
             .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"),
                  F.min("price").alias("low"), F.max_by("price", at).alias("close"),
                  F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("volume")))

@@ -128,6 +128,37 @@ def test_chunk_start_inverts_chunk_column(spark):
             assert row["k"] == k and row[col] <= value
 
 
+def test_folds_are_hash_aggregates(spark):
+    from ohlcflow.operators import resample
+    from ohlcflow.sources.derived import ticks_from_events
+    bars = _stored(spark)
+    for df in (resample.resample_daily(bars, "1w"), resample.resample_daily(bars, "1mo"),
+               resample.ticks_to_bars(ticks_from_events(spark, SF_SMALL), "15 minutes")):
+        text = _plan(df)
+        assert "HashAggregate" in text and "SortAggregate" not in text and "Sort [" not in text, text
+
+
+def test_folds_of_equal_times_are_defined(spark):
+    """Bars of one time: open and close come from one bar each, whatever the order of the rows."""
+    import datetime as dt
+    import random
+    from ohlcflow.operators import resample
+    rng = random.Random(1)
+    rows = [("A", dt.datetime(2024, 1, 1, 9, rng.choice([0, 7, 14])), float(i), float(i + 9), float(i - 9), float(i) / 2, i)
+            for i in range(40)]
+    schema = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long"
+    for frame in ("15 minutes", "30 days"):
+        seen = set()
+        for _ in range(3):
+            rng.shuffle(rows)
+            df = spark.createDataFrame(rows, schema).repartition(rng.randint(1, 5))
+            seen.add(tuple(resample.resample_intraday(df, frame).collect()))
+        assert len(seen) == 1
+        (r,), = seen
+        first, last = min(x[1] for x in rows), max(x[1] for x in rows)
+        assert r.open in {x[2] for x in rows if x[1] == first} and r.close in {x[5] for x in rows if x[1] == last}
+
+
 def test_bucketed_store_scans_without_an_exchange_of_bars(spark):
     from ohlcflow.sources.store import read_bucketed, save_bucketed
     path = tempfile.mkdtemp(prefix="bucketed-")
