@@ -22,15 +22,16 @@ import uuid
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ohlcflow.plans import catalog  # noqa: E402
-from ohlcflow.plans.scan import scan  # noqa: E402
+from ohlcflow.plans.scan import scan, scan_store  # noqa: E402
 from ohlcflow.plans.spec import ScanSpec  # noqa: E402
 from ohlcflow.session import ensure_checkpoint_dir, get_spark  # noqa: E402
 from ohlcflow.sources.derived import bars_from_lineitem  # noqa: E402
-from ohlcflow.sources.store import read_bars, save_bars  # noqa: E402
+from ohlcflow.sources.store import build_tail, read_bars, save_bars  # noqa: E402
 
 HEADLINE = [
     "scan_combined", "scan_trend_template", "trend_history", "ind_ema", "ind_rsi", "ind_atr",
     "resample_week", "resample_month", "resample_intraday", "batch_scan", "dollar_volume", "latest_bar",
+    "batch_scan_table", "equity_metrics", "atr_percentile",
 ]
 
 
@@ -52,6 +53,19 @@ def _stored_scan(plan: str):
     return run
 
 
+def _tail_scan():
+    """The combined scan over a store with a tail table."""
+    paths = {}
+
+    def run(spark, sf):
+        if sf not in paths:
+            paths[sf] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-store-{uuid.uuid4().hex}"
+            save_bars(bars_from_lineitem(spark, sf), paths[sf])
+            build_tail(spark, paths[sf])
+        return scan_store(spark, paths[sf], catalog.COMBINED)
+    return run
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -61,6 +75,7 @@ def main() -> None:
     runs["batch_scan_100_recipes"] = _batch_100
     runs["scan_combined_store_snapshot"] = _stored_scan("snapshot")
     runs["scan_combined_store_rolling"] = _stored_scan("rolling")
+    runs["scan_combined_store_tail"] = _tail_scan()
     out, parts = {}, {}
     for name, fn in runs.items():
         times = []

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_table
+from ..session import once, scratch_table
 
 
 def latest_bars(bars: DataFrame, as_of=None, key: str = "symbol", order: str = "date") -> DataFrame:
     """The latest bar per ``key``; of several on one date the greatest by all other columns."""
     if as_of is not None:
         bars = bars.where(F.col(order) <= F.lit(as_of))
+    bars = once(bars, "latest-input")
     last = scratch_table(bars.groupBy(key).agg(F.max(order).alias("_last")), "latest-dates")
     first = last.agg(F.min("_last")).first()[0]
     if first is not None:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
 from .resample import symbol_max_dates
 
 # Fixed values of the screener's bulk sync.
@@ -23,6 +24,7 @@ VOLUME_THRESHOLD = 150_000_000.0
 
 def dollar_volume(bars: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """(symbol, dollar_volume); NULL products count as 0, a NaN close gives NaN."""
+    bars = once(bars, "dollar-volume-input")
     last = symbol_max_dates(bars)
     first = last.agg(F.min("_max_date")).first()[0]
     if first is not None:

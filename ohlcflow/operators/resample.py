@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import date_bucket
 from ..functions.periods import period_to_days
-from ..session import scratch_table
+from ..session import once, scratch_table
 from . import indicators as I
 from .series import Framed
 
@@ -95,6 +95,7 @@ def period_filter(bars: DataFrame, period: str | None) -> DataFrame:
     if not period:
         return bars
     days = period_to_days(period)
+    bars = once(bars, "period-input")
     mx = symbol_max_dates(bars)
     first = mx.agg(F.min("_max_date")).first()[0]
     if first is not None:  # no symbol keeps an older bar: a literal bound that reaches the scan

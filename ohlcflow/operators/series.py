@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_table
+from ..session import once, scratch_table
 
 CHUNK = "_chunk"
 START = "_start"
@@ -121,13 +121,6 @@ class Framed:
         return out.drop(*[c for c in out.columns if c in HELPERS or c.startswith(TABLE_PREFIX)])
 
 
-def _has_shuffle(df: DataFrame) -> bool:
-    try:
-        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
-    except Exception:  # noqa: BLE001 - plan inspection is only an optimization hint
-        return False
-
-
 def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
           order: str = "date", width: int | None = None, span: int | None = None,
           latest: bool = False, materialize: bool | None = None, flat: str | None = None) -> Framed:
@@ -143,10 +136,7 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
     from the plan) instead of being recomputed."""
     keys = tuple(keys)
     h = max(int(lookback), 0)
-    if materialize is None:
-        materialize = _has_shuffle(df)
-    if materialize:
-        df = scratch_table(df, "series-input")
+    df = scratch_table(df, "series-input") if materialize else df if materialize is False else once(df, "series-input")
     base = df.withColumn(CHUNK, chunk_column(df, order, width))
 
     still = [] if flat is None else [F.min(flat).alias("_low"), F.max(flat).alias("_high"),

@@ -8,6 +8,8 @@ local (tests, the local benchmark); a cluster session without it is an error.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import tempfile
@@ -93,6 +95,17 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` for operators that read their input twice: itself if it is a scan with filters and
+    projections, else (its plan exchanges data) written once with ``scratch_table``.
+
+    The plan is looked at through its explanation, the only public way to it."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return scratch_table(df, name) if "Exchange" in out.getvalue() else df
+
+
 def drop_scratch_tables(spark: SparkSession) -> bool:
     """Delete every table and folder written as scratch under this session's checkpoint folder.
 
