@@ -79,6 +79,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         run, "doc_id long, text_hash long, fp long")
 
 
+#: A fingerprint with more than this part of all rows is joined back by broadcast.
+HOT_SHARE = 200
+
+
 def ball(width: int, radius: int) -> int:
     return sum(math.comb(width, k) for k in range(radius + 1))
 
@@ -128,12 +132,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     """``doc_id``, ``text_hash``, ``fp``, ``root`` (smallest fingerprint of the group) and
     ``component_id`` (smallest doc_id of the group) for every row of ``docs``."""
     fps = scratch_table(fingerprints(docs, shingle, seed), "simhash-fp")
-    nodes = scratch_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = scratch_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = scratch_table(connected_components(links(nodes, distance)), "simhash-roots").withColumnRenamed("node", "fp")
     least = nodes.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(roots.join(least, "root"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    named = scratch_table(nodes.join(roots.join(least, "root"), "fp", "left").select(
+        "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")),
+        "simhash-named")
+    # the copies of one text are one fingerprint: those that hold a large share of the rows (at most
+    # HOT_SHARE fingerprints) are broadcast, so no task meets all copies of one; the others are joined by key
+    most = F.lit(fps.count() // HOT_SHARE)
+    hot = F.broadcast(named.filter(F.col("n") > most).drop("n"))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= most).drop("n"), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

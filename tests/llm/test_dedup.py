@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import pyarrow as pa
 import xxhash
 
@@ -96,7 +97,9 @@ def components(ids, values, distance):
     return [min((d for d in group[find(i)] if d is not None), default=None) for i in range(len(ids))]
 
 
-def test_simhash(edge_docs, no_docs):
+@pytest.mark.parametrize("share", [1, 5, 200])
+def test_simhash(edge_docs, no_docs, monkeypatch, share):
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)  # no, some and all fingerprints are joined by broadcast
     got = simhash.near_duplicates(edge_docs).collect()
     rows = edge_docs.collect()
     values = [brute_fingerprint(r.text) for r in rows]
