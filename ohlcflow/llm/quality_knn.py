@@ -68,8 +68,11 @@ def term_counts(texts: pa.Array) -> np.ndarray:
         low = w.data.copy()
         caps = (low >= 0x41) & (low <= 0x5A)
         low[caps] += 32
-        padded = np.concatenate([[0], low, [0]]).astype(np.uint32)
-        tri = (padded[pos] << 16) | (padded[pos + 1] << 8) | padded[pos + 2]
+        before = np.concatenate([[0], low[:-1]]).astype(np.uint32)
+        behind = np.concatenate([low[1:], [0]]).astype(np.uint32)
+        some = offsets[1:] > offsets[:-1]
+        before[offsets[:-1][some]], behind[offsets[1:][some] - 1] = 0, 0  # a text's neighbours are none of its own
+        tri = (before[pos] << 16) | (low[pos].astype(np.uint32) << 8) | behind[pos]
         doc = w.doc[word]
         tri_at = np.bincount(doc * TRIGRAM_TERMS + _slot(tri, 1, TRIGRAM_TERMS), minlength=n * TRIGRAM_TERMS)
         # shapes: runs of equal classes count once

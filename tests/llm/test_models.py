@@ -108,6 +108,49 @@ def test_quality_held_out(spark):
     assert got.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def plain_terms(text):
+    """Hashed terms of one text, counted word by word."""
+    import math
+    import re
+
+    def slot(value, salt, slots):
+        x, m = (value + (salt << 40)) % (1 << 64), (1 << 64) - 1
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return (x ^ x >> 31) % slots
+
+    n, m = quality_knn.TRIGRAM_TERMS, quality_knn.STYLE_TERMS
+    tri, style = [0.0] * n, [0.0] * m
+    words = re.findall(rb"[^\x00\x20\x09-\x0D]+", text.encode())
+    kind = lambda b: ord("a") if b >= 0x80 or 0x61 <= b <= 0x7A else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b
+    for i, w in enumerate(words):
+        low = b"\0" + w.lower() + b"\0"
+        for k in range(len(w)):
+            tri[slot(low[k] << 16 | low[k + 1] << 8 | low[k + 2], 1, n)] += 1
+        shape = [kind(b) for b in w]
+        shape = [b for k, b in enumerate(shape) if not k or b != shape[k - 1]]
+        style[slot(sum((b + 1) * pow(0x100000001B3, k, 1 << 64) for k, b in enumerate(shape)) % (1 << 64), 2, m)] += 1
+        style[0] += i > 0 and w == words[i - 1]
+    repeats = len(words) - len(set(words))
+    style[1] += repeats
+    weight = 3 + len(words) / 4
+    style[slot(int(min(math.log2(len(words) + 1), 6)), 3, m)] += weight
+    style[slot(int(10 * repeats / max(len(words), 1)), 4, m)] += weight
+    return np.log1p(np.array(tri + style))
+
+
+def test_quality_terms_by_brute_force():
+    """Every text's counts are its own, whatever texts stand beside it."""
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    texts = ["", "abc", "def", "  ", "Ab12-x Ab12-x\té é, END", "x"] + [
+        " ".join("".join(rng.choice(list("abcXYZ019.,é"), rng.integers(1, 6))) for _ in range(rng.integers(0, 40)))
+        for _ in range(40)]
+    got = quality_knn.term_counts(pa.array(texts))
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_terms(text), atol=1e-5), text
+
+
 def test_quality_equals_plain_voting(spark):
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 3, (40, quality_knn.TRIGRAM_TERMS + quality_knn.STYLE_TERMS)).astype(np.float32)
