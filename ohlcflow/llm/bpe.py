@@ -41,6 +41,8 @@ _LOW = np.int64((1 << 32) - 1)
 
 #: Symbols that one numpy step may hold; longer lists of words are encoded in parts.
 STEP_SYMBOLS = 1 << 19
+#: Of words of at least so many symbols, the last so many go on without numpy, whose calls cost more there.
+LONG_ROW, FEW_ROWS = 256, 4
 #: Pieces of one of two generations that a worker remembers (about 400 bytes each): for
 #: digests alone, and where ids are returned beside the memory of other steps.
 RECENT, RECENT_WITH_IDS = 350_000, 100_000
@@ -151,6 +153,10 @@ class Bpe:
             live, best = live[best < NONE], best[best < NONE]
             if not len(live):
                 break
+            if len(live) <= FEW_ROWS and width >= LONG_ROW:
+                for r in live.tolist():
+                    symbols[r] = self._finish_row(symbols[r].tolist(), nxt[r].tolist(), prev[r].tolist(), tree[r].tolist())
+                break
             base, i = live * width, best & _LOW
             j = flat_next[base + i]
             k = flat_next[base + j]
@@ -177,6 +183,49 @@ class Bpe:
         ends = np.cumsum(kept.sum(axis=1)).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    @functools.cached_property
+    def pair(self) -> dict[int, tuple[int, int]]:
+        """(rank << 32, merged symbol) of every mergeable pair, by left * width + right."""
+        ranks = self.ranks.tolist()
+        return dict(zip(self.keys.tolist(), zip([r << 32 for r in ranks], self.merged[self.ranks].tolist(), strict=True),
+                        strict=True))
+
+    def _finish_row(self, sym: list[int], nxt: list[int], prev: list[int], tree: list[int]) -> list[int]:
+        """The merges that are left of one word, in the same tree but number by number."""
+        width, leaf, scale = len(sym), self.pair.get, int(self.width)
+        none, low_bits = int(NONE), int(_LOW)
+
+        def put(at: int, value: int) -> None:
+            node = width + at
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                low = a if a < b else b
+                if tree[node] == low:
+                    break
+                tree[node] = low
+
+        def rank(left: int, at: int) -> int:
+            """Leaf of the pair that starts with symbol ``left`` before place ``at`` (-1: none)."""
+            found = leaf(left * scale + sym[at]) if at >= 0 else None
+            return found[0] if found else none
+
+        while (best := tree[1]) < none:
+            i = best & low_bits
+            j = nxt[i]
+            k, h = nxt[j], prev[i]
+            sym[i] = own = leaf(sym[i] * scale + sym[j])[1]
+            sym[j] = -1
+            nxt[i] = k
+            if k >= 0:
+                prev[k] = i
+            put(j, none)
+            put(i, r | i if (r := rank(own, k)) < none else r)
+            if h >= 0:
+                put(h, r | h if (r := rank(sym[h], i)) < none else r)
+        return sym
+
     def folded(self, text: str) -> str:
         """The normalizer's NFC and lower-casing; the latter sees one character at a time,
         so a sigma at a word's end is like any other."""

@@ -113,3 +113,14 @@ def test_flat_file_reads_ranges(tmp_path, monkeypatch):
     assert ranged.mapped is None
     for a, z in ((0, 1000), (5, 5), (990, 1000)):
         assert (mapped[a:z] == ranged[a:z]).all() and len(ranged[a:z]) == z - a
+
+
+def test_long_words_equal_the_library(library):
+    """Words of thousands of symbols, whose last merges go number by number, beside short ones."""
+    import random
+    rng = random.Random(9)
+    own = bpe.Bpe(word_bpe())
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "é\u00dfx")
+             for n in (255, 256, 257, 3000)] + ["ha" * 5000, "x" * 20_000, "the " * 50 + "z" * 400]
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
