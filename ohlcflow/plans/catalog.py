@@ -27,6 +27,7 @@ from ..operators import strategy as ST
 from ..operators import resample as R
 from ..session import scratch_folder, scratch_table
 from ..sources import ingest as IN
+from ..sources.files import write_files
 from ..sources import store as S
 from . import predicates as P
 from ..streaming.resample_stream import read_stream_store, run_to_store
@@ -916,19 +917,8 @@ def q_timeframe_roundtrip(spark, sf):
 
 
 def one_file_each(df: DataFrame, path: str, suffix: str) -> str:
-    """Write the rows of every ``file`` as ``<file><suffix>``; Spark itself names files by task, in a folder each."""
-    spark = df.sparkSession
-    writer = df.write.mode("append").partitionBy("file")
-    writer.text(path) if suffix == ".csv" else writer.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    for folder in fs.listStatus(root):
-        name = folder.getPath().getName()
-        if name.startswith("file="):
-            part = fs.listStatus(folder.getPath())[0].getPath()
-            fs.rename(part, jvm.org.apache.hadoop.fs.Path(root, name.removeprefix("file=") + suffix))
-            fs.delete(folder.getPath(), True)
+    """Write the rows of every ``file``, which come together in their partition, as ``<file><suffix>``."""
+    write_files(df, path, suffix)
     return path
 
 
@@ -1064,7 +1054,7 @@ def q_sync_increment(spark, sf):
 @register("symbol_files", with_bars(f"SELECT {BASE_SQL} FROM bars"))
 def q_symbol_files(spark, sf):
     """One Parquet file a symbol, the symbol read off its name."""
-    files = bars(spark, sf).withColumnRenamed("symbol", "file").repartition("file")
+    files = bars(spark, sf).withColumnRenamed("symbol", "file").repartition("file").sortWithinPartitions("file")
     return S.read_symbol_files(spark, one_file_each(files, scratch_folder(spark, "symbol-files"), ".parquet"))
 
 

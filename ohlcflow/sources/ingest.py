@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.liquidity import LOOKBACK_DAYS, VOLUME_THRESHOLD, dollar_volume
 from ..session import scratch_table
+from .files import stem
 from .records import list_files, read_lines, records
 from .store import _exists, canonical, save_bars
 
@@ -34,7 +35,7 @@ FIELDS = ("date", "open", "high", "low", "close", "volume")
 
 
 def _symbol_of(path_col) -> F.Column:
-    return F.upper(F.regexp_extract(path_col, r"([^/]+)\.csv$", 1))
+    return F.upper(stem(path_col, ".csv"))
 
 
 def _fields(record: F.Column, columns: int) -> F.Column:

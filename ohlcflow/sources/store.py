@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..schema import BAR_COLUMNS, BAR_SCHEMA, INTRADAY_SCHEMA
 from ..session import scratch_table
+from .files import stem
 
 BUCKET = "bucket"
 TIMEFRAME = "timeframe"
@@ -91,7 +92,7 @@ def read_symbol_files(spark: SparkSession, pattern: str) -> DataFrame:
         return empty_bars(spark)
     fields = [f for f in BAR_SCHEMA.fields if f.name != "symbol"]
     df = spark.read.schema(T.StructType(fields)).parquet(pattern)
-    sym = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)\.parquet$", 1)
+    sym = stem(F.url_decode(F.col("_metadata.file_path")), ".parquet")
     return canonical(df.withColumn("symbol", sym))
 
 
