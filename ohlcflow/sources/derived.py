@@ -26,24 +26,22 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs close the tie).
     """
     li = table(spark, sf_dir, "lineitem")
-    lines = li.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-                      F.col("l_shipdate").cast("date").alias("date"),
-                      (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-                      F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                               "l_extendedprice", "l_quantity").alias("_key"),
-                      "l_quantity")
     # A (supplier, ship date) holds about one line at every scale factor (the
     # number of suppliers grows with the data), so a map-side partial
     # aggregate would only sort the whole scan without reducing it.  The lines
     # are hash-partitioned on the bar key instead (a hot supplier is spread
-    # over its dates) and folded once on the reduce side.
-    return (lines.repartition("symbol", "date")
-                 .groupBy("symbol", "date")
-                 .agg(F.min_by("price", "_key").alias("open"),
-                      F.max("price").alias("high"),
-                      F.min("price").alias("low"),
-                      F.max_by("price", "_key").alias("close"),
-                      F.sum("l_quantity").cast("bigint").alias("volume")))
+    # over its dates) and folded once on the reduce side.  Only the table's own
+    # columns are moved: the symbol, the price and the order of the lines are
+    # made of them behind the exchange.
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+                      F.col("l_shipdate").cast("date").alias("date")).repartition("l_suppkey", "date")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    folded = lines.groupBy("l_suppkey", "date").agg(
+        F.min_by(price, key).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, key).alias("close"), F.sum("l_quantity").cast("bigint").alias("volume"))
+    return folded.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
+                         "date", "open", "high", "low", "close", "volume")
 
 
 def _trend(date, key) -> F.Column:

@@ -151,9 +151,10 @@ def save_bars(df: DataFrame, path: str, buckets: int | None = None, timeframe: s
     if meta is not None:
         new = scratch_table(new, "store-new")  # read for its partitions, its symbols and the write
         old = _read_store(spark, path, meta)
-        touched = new.select(*parts).distinct()
-        keep = (old.join(touched, parts, "left_semi")
-                   .join(new.select("symbol").distinct(), "symbol", "left_anti"))
+        # written: both joins then broadcast on its measured size, and the store is not shuffled for them
+        names = scratch_table(new.select(*parts, "symbol").distinct(), "store-symbols")
+        keep = (old.join(names.select(*parts).distinct(), parts, "left_semi")
+                   .join(names.select("symbol"), "symbol", "left_anti"))
         # written before the files it was read from are replaced
         keep = scratch_table(keep, "store-keep")
         new = new.unionByName(keep.select(*new.columns))
