@@ -16,7 +16,8 @@ the data.  This module bounds the group size instead:
    (``floor(start / span)``).  Every partition also receives, as read-only
    halo, the chunks holding the ``lookback`` rows just before it, so every
    window with at most ``lookback`` preceding rows is exact inside the
-   partition.  Rows are shuffled once on (symbol, partition).
+   partition.  Rows are shuffled once on (symbol, partition), into one task for
+   about every ``ROWS_PER_TASK`` of them, so a task's sorts do not grow with the input.
 3. Inside a partition the global row index ``_i`` is the partition's first
    offset plus ``row_number``; indicator code uses it for warm-up and EWM
    alignment.  ``finish`` keeps only owned rows, so every input row comes out
@@ -56,6 +57,8 @@ TABLE_PREFIX = "_t_"
 DEFAULT_DATE_WIDTH_DAYS = 64
 DEFAULT_TS_WIDTH_SECONDS = 3600
 MIN_SPAN_ROWS = 4096
+#: Framed rows that one task windows over: its sorts hold some 2 KB of each.
+ROWS_PER_TASK = 1 << 18
 
 
 def chunk_column(df: DataFrame, order: str, width: int | None = None) -> Column:
@@ -173,9 +176,14 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
         p_hi = F.greatest(p, F.floor((F.col(END) - 1 + F.lit(h)) / s))
         stats = stats.select(*keys, CHUNK, START, TOTAL, p.cast("long").alias(_P_LO),
                              p_hi.cast("long").alias(_P_HI), F.lit(True).alias("_own_chunk"),
+                             (F.col("_n") * (p_hi - p + 1)).alias("_framed"),
                              *([] if flat is None else ["_stretch"]))
     stats = scratch_table(stats, "series-chunks")
-    flat_keys = None
+    flat_keys, tasks = None, 1
+    if not latest:
+        # a number of tasks in proportion to the rows, whatever the session's number of shuffle partitions
+        tasks = -(-(stats.agg(F.sum("_framed")).first()[0] or 0) // ROWS_PER_TASK)
+        stats = stats.drop("_framed")
     if flat is not None and not latest:
         # a stretch may span chunks only in part: half a lookback of whole chunks is the least sign of one
         long = stats.where(F.col("_stretch") * 2 >= h).select(*keys).distinct()
@@ -198,6 +206,8 @@ def frame(df: DataFrame, lookback: int, *, keys: tuple[str, ...] = ("symbol",),
         joined = (joined.withColumn(PART, F.explode(F.sequence(F.col(_P_LO), F.col(_P_HI))))
                   .withColumn(OWN, F.col(PART) == F.col(_P_LO)))
     joined = joined.drop("_own_chunk")
+    if tasks > 1:
+        joined = joined.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys, PART)
     # partitions hold contiguous chunks, so the first row's offset is the partition's;
     # first() and row_number() share one window spec -> one sort, one Window operator
     wo = Window.partitionBy(*keys, PART).orderBy(order)
