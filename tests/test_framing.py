@@ -122,3 +122,19 @@ def test_dollar_volume_extremes(spark, close, volume, want):
 def test_dollar_volume_of_nan_is_nan(spark):
     rows = series("AAA", "2024-01-01", [1.0, float("nan")])
     assert math.isnan(liquidity.dollar_volume(make_bars(spark, rows)).first().dollar_volume)
+
+
+def test_frame_deals_its_rows_to_tasks_in_proportion(spark, monkeypatch):
+    """Twice the rows give twice the tasks, whatever the number of shuffle partitions; the values stay."""
+    from ohlcflow.operators import indicators, series as framing
+    tasks = {}
+    for n in (40, 80):
+        rows = [r for k in range(n) for r in series(f"S{k}", "2024-01-01", [float(i % 7 + k) for i in range(100)])]
+        bars = make_bars(spark, rows)
+        monkeypatch.setattr(framing, "ROWS_PER_TASK", 1 << 18)
+        want = sorted(map(str, indicators.add_indicators(bars, [indicators.atr(5)]).collect()))
+        monkeypatch.setattr(framing, "ROWS_PER_TASK", 100)
+        df = indicators.add_indicators(bars, [indicators.atr(5)])
+        assert sorted(map(str, df.collect())) == want
+        tasks[n] = indicators.frame_with(bars, [indicators.atr(5)]).df.rdd.getNumPartitions()
+    assert tasks[40] >= 40 and tasks[80] == 2 * tasks[40]

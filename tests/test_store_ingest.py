@@ -6,6 +6,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import make_bars, series
 from ohlcflow.sources import ingest
 from ohlcflow.sources import store as S
@@ -317,3 +319,51 @@ def test_increments_read_only_new_files(spark, monkeypatch):
     assert status() == {"B": True, "C": True}
     assert {r.symbol: r.close for r in S.read_bars(spark, store).collect()} == {"A": 1.0, "B": 25.0, "C": 3.0}
     assert status() == {}
+
+
+def test_files_under_their_names_are_written_by_the_tasks(spark, monkeypatch):
+    """One file a value, also where a value spans batches; the driver calls no file system for them."""
+    from ohlcflow.sources import files
+    rows = [("A", "1"), ("A", "2"), ("A", "3"), ("B%2", "é"), ("B%2", None), (None, "n"), ("", "m")]
+    df = spark.createDataFrame(rows, "file string, value string").repartition(1).sortWithinPartitions("file")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    monkeypatch.setattr(type(df), "write", None)
+    try:
+        d = tempfile.mkdtemp(prefix="named-")
+        files.write_files(df.where("coalesce(file, '') != ''"), f"file://{d}", ".csv")
+        files.write_files(df.where("file IS NULL"), d, ".csv")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {n: open(os.path.join(d, n), encoding="utf-8").read() for n in os.listdir(d)}
+    assert got == {"A.csv": "1\n2\n3\n", "B%252.csv": "é\n\n", "__HIVE_DEFAULT_PARTITION__.csv": "n\n"}
+
+
+def test_stem_of_a_path(spark):
+    from ohlcflow.sources.files import stem
+    paths = ["file:/a.csv/b/BRK.B.csv", "/x/.csv", "/x/y.txt", "z.csv", "/x/z.csv/"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select(stem(F.col("p"), ".csv").alias("s"))
+    assert [r.s for r in df.collect()] == ["BRK.B", "", "", "z", ""]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_second_save_writes_its_symbols(spark, tmp_path):
+    """The joins with the store read a written table of symbols, not the new bars again."""
+    from ohlcflow.sources import store
+    names, written = [], store.scratch_table
+    store.scratch_table = lambda df, name: names.append((name, df.columns)) or written(df, name)
+    try:
+        S.save_bars(make_bars(spark, series("AAA", "2024-01-01", [1.0]) + series("BBB", "2024-01-01", [2.0])), str(tmp_path), buckets=1)
+        S.save_bars(make_bars(spark, series("AAA", "2024-01-02", [3.0])), str(tmp_path))
+    finally:
+        store.scratch_table = written
+    assert ("store-symbols", ["bucket", "symbol"]) in names
+    assert sorted((r.symbol, r.close) for r in S.read_bars(spark, str(tmp_path)).collect()) == [("AAA", 3.0), ("BBB", 2.0)]
+
+
+def test_bars_move_only_columns_of_the_table(spark):
+    from conftest import SF_SMALL
+    from ohlcflow.sources.derived import bars_from_lineitem
+    plan = bars_from_lineitem(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "struct(" not in below and "concat(" not in below
