@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# sent along with the tasks, so that reading and saving bars asks nothing of the workers but Arrow
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: What Spark calls the folder of a NULL or empty value.
 UNNAMED = "__HIVE_DEFAULT_PARTITION__"
 
