@@ -116,3 +116,46 @@ def test_recipe_table_plan_does_not_grow(small_bars, spark):
     nodes = [re.findall(r"^[ :+-]*([A-Z]\w+)", t, re.M) for t in texts]
     assert nodes[0] == nodes[1]
     assert abs(len(texts[0]) - len(texts[1])) < 0.1 * len(texts[0])
+
+
+def test_recipe_table_exchanges_no_match(small_bars, spark):
+    """Nothing behind the tasks that find the matches joins, sorts or moves them."""
+    import re
+    from ohlcflow.plans.recipe_index import batch_scan_table
+    from ohlcflow.schema import RECIPE_SCHEMA
+    df = batch_scan_table(small_bars, spark.createDataFrame(_random_recipes(300, 1), RECIPE_SCHEMA))
+    nodes = re.findall(r"^[ :+*()0-9-]*([A-Z]\w+)", df._jdf.queryExecution().sparkPlan().toString(), re.M)
+    assert not [n for n in nodes[:nodes.index("MapInArrow")] if re.search("Exchange|Join|Sort|Repartition", n)]
+
+
+def test_recipe_blocks_equal_the_conditions_on_odd_values(spark, monkeypatch):
+    """NULL, NaN, infinite, zero and negative values on both sides: as Spark's own comparisons."""
+    import random
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from ohlcflow.plans import recipe_index
+    rng = random.Random(5)
+    monkeypatch.setattr(recipe_index, "NAMES", 50)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -100.0, -250.0, 1.0, 2.5, 100.0]
+    some = lambda: rng.choice([*odd, *[None] * 8])
+    recipes = [(f"r{i}", *[some() for _ in range(5)], rng.choice([None, 1.0])) for i in range(150)]
+    value = lambda: rng.choice(odd)
+    bars = [(f"s{i}", *[value() for _ in range(5)], rng.choice([0.0, 1.0]), value()) for i in range(200)]
+    c = recipe_index.CRITERIA
+    columns = ["name", *c]
+    block = recipe_index._Block([pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in recipes],
+                                                            pa.schema([("name", pa.string()), *[(x, pa.float64()) for x in c]]))])
+    rows = pa.RecordBatch.from_pylist(
+        [dict(zip([*columns, "prev_high"], b, strict=True)) | {"date": None, "volume": None} for b in bars],
+        pa.schema([("name", pa.string()), *[(x, pa.float64()) for x in (*c, "prev_high")], ("date", pa.date32()), ("volume", pa.int64())]))
+    got = {(s, r) for b in block.matches(rows) for s, names in zip(*[b.column(x).to_pylist() for x in ("symbol", "recipes")], strict=True)
+           for r in names}
+    left = spark.createDataFrame(recipes, "recipe string, " + ", ".join(f"{x} double" for x in c))
+    right = spark.createDataFrame(bars, "symbol string, " + ", ".join(f"v_{x} double" for x in c) + ", prev_high double")
+    tests = [F.col(x).isNull() | F.coalesce(F.col("v_gap_up") > F.col("prev_high") * (1.0 + F.col(x) / 100.0) if x == "gap_up"
+                                            else F.col(f"v_{x}") >= F.col(x), F.lit(False)) for x in c]
+    pairs = left.crossJoin(right)
+    for t in tests:
+        pairs = pairs.where(t)
+    want = {(r.symbol, r.recipe) for r in pairs.collect()}
+    assert got == want and len(want) > 200
