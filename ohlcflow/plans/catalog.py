@@ -916,9 +916,9 @@ def q_timeframe_roundtrip(spark, sf):
     return both[0].unionByName(both[1])
 
 
-def one_file_each(df: DataFrame, path: str, suffix: str) -> str:
+def one_file_each(df: DataFrame, path: str, suffix: str, header: str | None = None) -> str:
     """Write the rows of every ``file``, which come together in their partition, as ``<file><suffix>``."""
-    write_files(df, path, suffix)
+    write_files(df, path, suffix, header)
     return path
 
 
@@ -934,14 +934,14 @@ def landing_folder(spark, sf, path=None, where=None, note=("note",), text="x") -
     if where is not None:
         named = named.where(where)
     bad = (F.substring("symbol", 2, 18).cast("bigint") % 10 == 0) & (F.col("date") < F.to_date(F.lit("1992-03-01")))
-    lines = named.select("file", F.concat_ws(
+    header = ",".join(f'"{c}"' for c in ("date", *PRICES, *note, "volume"))
+    # the lines are made behind the exchange, which moves the bars alone
+    together = named.repartition("file").sortWithinPartitions("file")
+    lines = together.select("file", F.concat_ws(
         ",", F.concat(F.lit('"'), F.col("date").cast("string"), F.lit('"')),
         *[F.when(bad & F.lit(c == "low"), "n/a").otherwise(F.col(c).cast("string")) for c in PRICES],
         *[F.lit("x") for _ in note[1:]], F.lit(text), F.col("volume").cast("string")).alias("value"))
-    header = ",".join(f'"{c}"' for c in ("date", *PRICES, *note, "volume"))
-    head = named.select("file").distinct().withColumn("value", F.lit(header))
-    return one_file_each(lines.unionByName(head).repartition("file").sortWithinPartitions(
-        "file", F.col("value").startswith('"date"').cast("int").desc()), path, ".csv")
+    return one_file_each(lines, path, ".csv", header)
 
 
 BAD_SYMBOLS = "bad AS (SELECT DISTINCT symbol FROM bars WHERE CAST(substr(symbol, 2) AS BIGINT) % 10 = 0 " \

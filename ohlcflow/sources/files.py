@@ -12,6 +12,7 @@ import sys
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -50,18 +51,24 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
 
 
 class _Lines:
-    def __init__(self, path: str, schema: pa.Schema):
-        self.file = open(path, "w", encoding="utf-8", newline="")
+    def __init__(self, path: str, header: str | None):
+        self.file = open(path, "wb")
+        if header is not None:
+            self.file.write(f"{header}\n".encode())
 
     def write_batch(self, rows: pa.RecordBatch) -> None:
-        self.file.writelines(f"{line or ''}\n" for line in rows.column(0).to_pylist())
+        lines = pc.fill_null(rows.column(0).cast(pa.large_string()), "")
+        lines = pc.binary_join_element_wise(lines, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
+        if len(lines):  # their texts stand one after the other in one buffer
+            at = np.frombuffer(lines.buffers()[1], np.int64)
+            self.file.write(lines.buffers()[2][int(at[lines.offset]):int(at[lines.offset + len(lines)])])
 
     def close(self) -> None:
         self.file.close()
 
 
-def _writer(folder: str, suffix: str):
-    new = _Lines if suffix == ".csv" else pq.ParquetWriter
+def _writer(folder: str, suffix: str, header: str | None = None):
+    new = (lambda path, _: _Lines(path, header)) if suffix == ".csv" else pq.ParquetWriter
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,14 +91,19 @@ def _writer(folder: str, suffix: str):
     return written
 
 
-def write_files(df: DataFrame, path: str, suffix: str) -> None:
+def write_files(df: DataFrame, path: str, suffix: str, header: str | None = None) -> None:
     """Write the rows of every ``file`` as ``<file><suffix>`` (``.csv``: lines of text, ``.parquet``).
 
-    The rows of a ``file`` stand one after the other in one partition."""
+    The rows of a ``file`` stand one after the other in one partition; ``header`` is the first line of
+    every ``.csv``."""
     uri = urlparse(path)
     if uri.scheme in ("", "file"):
-        df.mapInArrow(_writer(unquote(uri.path), suffix), "n long").agg(F.sum("n")).collect()
+        df.mapInArrow(_writer(unquote(uri.path), suffix, header), "n long").agg(F.sum("n")).collect()
         return
+    if header is not None:
+        heads = df.select("file").distinct().select("file", F.lit(header).alias("value"), F.lit(0).alias("_at"))
+        df = df.select("file", "value", F.lit(1).alias("_at")).unionByName(heads).repartition("file")
+        df = df.sortWithinPartitions("file", "_at").drop("_at")
     writer = df.write.mode("append").partitionBy("file")
     writer.text(path) if suffix == ".csv" else writer.parquet(path)
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

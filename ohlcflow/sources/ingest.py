@@ -17,13 +17,18 @@ does the same for the files that are new or changed since its last call.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.liquidity import LOOKBACK_DAYS, VOLUME_THRESHOLD, dollar_volume
 from ..session import scratch_table
+from . import small_files
 from .files import stem
 from .records import list_files, read_lines, records
+from .small_files import local_folder
 from .store import _exists, canonical, save_bars
 
 # Status messages of a sync.
@@ -48,35 +53,71 @@ def _fields(record: F.Column, columns: int) -> F.Column:
 
 
 GLOB = "*.csv"
+AT = "struct<split: bigint, id: bigint>"
+
+
+def listing(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
+    """``_path``, ``modified`` and ``length`` of a landing folder's files; in a local folder the driver holds none."""
+    folder = local_folder(spark, path)
+    if folder is None:
+        return list_files(spark, path, GLOB, modified_after)
+    return small_files.list_folder(spark, folder, GLOB.removeprefix("*"), modified_after)
 
 
 def read_landing(spark: SparkSession, path: str, fresh: DataFrame | None = None,
                  modified_after: str | None = None) -> DataFrame:
     """Parsed landing rows: (symbol, date, open, high, low, close, volume, bad, _empty).
 
-    A file's first record is its header.  Headers are one row per file, written as a small
-    table (broadcast on its measured size, shuffle-joined beyond) and joined to the other
-    records by file; the widest header gives the number of columns to parse.  ``bad`` names
+    A file's first record is its header.  Headers are one row per file, written as a small table;
+    the widest gives the number of columns to parse.  Tasks that read files whole are handed the
+    places of a file's fields with its name; records of split files are joined to them by file
+    (broadcast on the table's measured size, shuffle-joined beyond).  ``bad`` names
     the first field that does not parse (``date`` for a record whose quotes do not close).
     Files without any data record (0-byte or header-only) come back as one ``_empty`` row of
     their symbol.  ``fresh`` (``_path``) limits the work to those files, ``modified_after`` the
     listing."""
-    lines = read_lines(spark, path, GLOB, modified_after)
-    files = list_files(spark, path, GLOB, modified_after).select("_path")
-    if fresh is not None:
-        lines, files = lines.join(fresh, "_path", "left_semi"), fresh.select("_path")
-    rows = records(lines)
-    headers = scratch_table(rows.groupBy("_path").agg(F.min("_at").alias("_head_at"), F.min_by("_text", "_at").alias(
-        "_head")), "landing-headers")
+    files = fresh
+    if fresh is None or "length" not in fresh.columns:
+        files = listing(spark, path, modified_after)
+        files = scratch_table(files if fresh is None else files.join(fresh, "_path", "left_semi"), "landing-files")
+    whole, lines = None, None
+    if local_folder(spark, path) is not None:
+        large = [r._path for r in files.where(F.col("length") > small_files.WHOLE).select("_path").collect()]
+        whole = files.where(F.col("length").between(1, small_files.WHOLE))
+        tasks = small_files.tasks_of(whole)
+        if large:
+            lines = read_lines(spark, [re.sub(r"([\\{}\[\]*?])", r"\\\1", x) for x in large], "*")
+    else:
+        lines = read_lines(spark, path, GLOB, modified_after)
+        if fresh is not None:
+            lines = lines.join(fresh.select("_path"), "_path", "left_semi")
+    heads = []
+    if whole is not None:
+        heads.append(small_files.read_heads(whole, tasks).withColumn("_head_at", F.lit(None).cast(AT)))
+    if lines is not None:
+        rows = records(lines)
+        heads.append(rows.groupBy("_path").agg(F.min_by("_text", "_at").alias("_head"), (F.count("*") > 1).alias("_more"),
+                                               F.min("_at").alias("_head_at")))
+    headers = scratch_table(reduce(DataFrame.unionByName, heads), "landing-headers")
     # fields of the widest header, at most: commas inside its quotes count, too
     widest = headers.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1
-    headers = headers.select("_path", "_head_at", F.transform(
-        _fields(F.col("_head"), widest), lambda x: F.lower(x)).alias("_hdr"))
-    data = rows.join(headers, "_path").where(F.col("_at") != F.col("_head_at")).withColumn(
-        "_f", _fields(F.col("_text"), widest))
+    named = F.transform(_fields(F.col("_head"), widest), lambda x: F.lower(x))
+    headers = headers.withColumn("_hdr", named).select(
+        "_path", "_head_at", "_more", _symbol_of(F.col("_path")).alias("symbol"),
+        F.array(*[F.coalesce(F.array_position("_hdr", c), F.lit(0)).cast("int") for c in FIELDS]).alias("_places"))
+    headers = scratch_table(headers, "landing-places")
+    data = []
+    if whole is not None:
+        data.append(small_files.read_bodies(headers.where(F.col("_head_at").isNull() & F.col("_more")), tasks, widest))
+    if lines is not None:
+        data.append(rows.join(headers, "_path").where(F.col("_at") != F.col("_head_at")).select(
+            "symbol", "_places", "_text", "_broken", F.lit(False).alias("_picked")))
+    data = reduce(DataFrame.unionByName, data).withColumn("_f", F.when(
+        F.col("_picked"), _fields(F.col("_text"), len(FIELDS))).otherwise(_fields(F.col("_text"), widest)))
+    place = {c: F.get("_places", F.lit(i)) for i, c in enumerate(FIELDS)}
 
     def val(name):
-        return F.get("_f", (F.array_position("_hdr", name) - 1).cast("int"))
+        return F.get("_f", place[name] - 1)
 
     date = F.try_to_date(val("date"), "yyyy-MM-dd")
     # strict %Y-%m-%d: the text must round-trip (rejects 2026-1-5 and trailing junk)
@@ -84,17 +125,14 @@ def read_landing(spark: SparkSession, path: str, fresh: DataFrame | None = None,
     numbers = ("open", "high", "low", "close", "volume")
     bad = F.when(~strict | F.col("_broken"), "date")
     for c in numbers:
-        missing = F.coalesce(F.array_position("_hdr", c), F.lit(0)) == 0
-        bad = bad.when(missing | (val(c).isNotNull() & val(c).try_cast("double").isNull()), c)
+        bad = bad.when((place[c] == 0) | (val(c).isNotNull() & val(c).try_cast("double").isNull()), c)
     rows = data.select(
-        _symbol_of(F.col("_path")).alias("symbol"), F.when(strict, date).alias("date"),
+        "symbol", F.when(strict, date).alias("date"),
         *[val(c).try_cast("double").alias(c) for c in numbers[:-1]],
         F.floor(val("volume").try_cast("double")).cast("bigint").alias("volume"),
         bad.alias("bad"), F.lit(False).alias("_empty"))
     listed = files.select(_symbol_of(F.col("_path")).alias("symbol")).distinct()
-    # symbols with data: a partial (map-side) distinct, so a hot symbol sends
-    # one row per map task, not all its lines, into the anti join
-    present = rows.select("symbol").distinct()
+    present = headers.where("_more").select("symbol").distinct()
     empty = (listed.join(present, "symbol", "left_anti")
                    .select("symbol", *[F.lit(None).cast(t).alias(c) for c, t in
                                        (("date", "date"), ("open", "double"), ("high", "double"), ("low", "double"),

@@ -60,7 +60,7 @@ def list_files(spark: SparkSession, path: str, glob: str, modified_after: str |
     return files.unionByName(empty)
 
 
-def read_lines(spark: SparkSession, path: str, glob: str, modified_after: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], glob: str, modified_after: str | None = None) -> DataFrame:
     """``_path``, ``_at`` (split and place, ascending in a file) and ``_line``."""
     reader = spark.read.format("text").option("pathGlobFilter", glob)
     if modified_after is not None:
