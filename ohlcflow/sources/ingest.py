@@ -202,7 +202,7 @@ def sync_increment(spark: SparkSession, landing: str, store_path: str,
     known = spark.read.schema(LANDED).parquet(landed) if _exists(spark, landed) else None
     newest = known.agg(F.max("modified")).select(F.date_format(
         F.col("max(modified)") - F.expr("INTERVAL 2 SECONDS"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0] if known else None
-    files = list_files(spark, landing, GLOB, newest)
+    files = listing(spark, landing, newest)
     if known is not None:
         seen = known.select(*[F.col(c).alias(f"_known_{c}") for c in known.columns])
         files = files.join(seen, (F.col("_path") == F.col("_known__path")) & (F.col("length") == F.col("_known_length"))

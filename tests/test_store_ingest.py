@@ -429,3 +429,17 @@ def test_landing_records_are_parsed_once_without_joins(spark):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and len(re.findall(r"Join", plan)) == 1  # of the listed symbols without a record
     assert len(re.findall("MapInArrow", plan)) == 1 and df.count() == 150
+
+
+def test_increments_keep_no_file_names_in_the_driver(spark, monkeypatch):
+    """A local folder is listed and read by tasks; no source of Spark indexes its files in the driver."""
+    bar = "date,open,high,low,close,volume\n2024-01-02,1,2,0.5,{},10\n"
+    d = _write({f"s{i}.csv": bar.format(i) for i in range(300)} | {"empty.csv": ""})
+    monkeypatch.setattr(type(spark.range(1)), "inputFiles", lambda *_: 1 / 0)
+    monkeypatch.setattr(type(spark.read), "text", lambda *_: 1 / 0)
+    store = os.path.join(tempfile.mkdtemp(prefix="incr-"), "bars")
+    status = lambda: {r.symbol: r.ok for r in ingest.sync_increment(spark, d, store).collect()}
+    assert status() == {f"S{i}": True for i in range(300)} | {"EMPTY": False}
+    _write({"s7.csv": bar.format(77), "new.csv": bar.format(1)}, d)
+    assert status() == {"S7": True, "NEW": True}
+    assert S.read_bars(spark, store).count() == 301
